@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from orfloom.llm.ngram_join import shingle_classes
+from orfloom.llm.substring_dedup import cut_repeats
 
 
 def _read(spark, sf_dir, table):
@@ -13,8 +16,14 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return shingle_classes(_read(spark, sf_dir, "documents"), shingle=3, threshold=90)
 
 
+def op9_substring_dedup(spark, sf_dir):
+    out = cut_repeats(_read(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -36,5 +45,15 @@ reach(x, y) AS (SELECT r, r FROM rep UNION SELECT reach.x, e.y FROM reach JOIN e
 c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (m) LEFT JOIN c ON c.x = rep.r
+""",
+    "op9_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+34], ' ')) AS m FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+dup AS (SELECT doc_id, i FROM win WHERE m IN (SELECT m FROM win GROUP BY m HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM dup),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
 """,
 }
