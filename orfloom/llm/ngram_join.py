@@ -51,7 +51,7 @@ def _texts(batch: pa.RecordBatch) -> list:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _sets(texts: list, shingle: int, lower: bool, size: int = 2 << 20):
+def _sets(texts: list, shingle: int, lower: bool, size: int = 1 << 20):
     """(first text, text of each token, token) per chunk: the sorted, distinct shingles of each text."""
     for first, part in chunks(texts, size):
         w = split_words(part, lower)
@@ -197,6 +197,7 @@ def shingle_classes(
     table gives an empty result; further columns are not read.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def hashes(batch):

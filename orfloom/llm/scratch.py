@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Used only where spark.checkpoint.dir is unset.
 LOCAL_DIR = "/tmp/checkpoints"
 
+#: Rows of an Arrow batch of whole texts; bounds what a Python worker and its JVM hold at once.
+BATCH_ROWS = 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -22,6 +25,13 @@ def folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_DIR}").rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: let this session's Arrow batches hold at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again."""
     spark = df.sparkSession

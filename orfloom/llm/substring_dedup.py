@@ -210,6 +210,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < group <= window:
         raise ValueError("group must be between 1 and window")
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def hashes(batch):
