@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.substring_dedup import cut_repeats
 
@@ -16,6 +17,11 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return shingle_classes(_read(spark, sf_dir, "documents"), shingle=3, threshold=90)
 
 
+def op3_line_dedup(spark, sf_dir):
+    out = drop_repeated_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     out = cut_repeats(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -23,6 +29,7 @@ def op9_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_line_dedup": op3_line_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
@@ -45,6 +52,19 @@ reach(x, y) AS (SELECT r, r FROM rep UNION SELECT reach.x, e.y FROM reach JOIN e
 c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (m) LEFT JOIN c ON c.x = rep.r
+""",
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS own, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+n AS (SELECT doc_id, line, own, len(regexp_extract_all(own, '[^\x20\x09-\x0D]+')) AS words FROM l),
+w AS (SELECT *, lead(own) OVER d AS after, row_number() OVER d AS seq FROM n WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
+one AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, seq) AS k FROM w),
+two AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY own, after ORDER BY doc_id, seq) AS k FROM w WHERE after IS NOT NULL),
+gone AS (SELECT doc_id, seq FROM one WHERE k > 1 AND words >= 8 UNION SELECT doc_id, seq FROM two WHERE k > 1 UNION SELECT doc_id, seq + 1 FROM two WHERE k > 1),
+g AS (SELECT doc_id, line FROM w SEMI JOIN gone USING (doc_id, seq)),
+t AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY line) AS kept FROM n ANTI JOIN g USING (doc_id, line) GROUP BY 1),
+c AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY 1)
+SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
     "op9_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
