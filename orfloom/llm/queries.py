@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
+from orfloom.llm.quality_rules import apply_rules
 from orfloom.llm.substring_dedup import cut_repeats
 
 
@@ -22,6 +23,11 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    out = apply_rules(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.drop("text", "lang", "source")
+
+
 def op9_substring_dedup(spark, sf_dir):
     out = cut_repeats(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -30,6 +36,7 @@ def op9_substring_dedup(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
@@ -65,6 +72,28 @@ t AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY line) AS kept FROM n ANTI
 c AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY 1)
 SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
 FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+""",
+    "op5_quality_rules": rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS.format("text")} AS ws FROM documents),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM rep) GROUP BY 1),
+b AS (SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM b),
+v AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'upper', 'word_length']) AS metric,
+  unnest([1000 * n_symbols // greatest(n_words, 1), 1000 * n_dup_lines // greatest(len(ls), 1), 1000 * n_repeat_words // greatest(n_words, 1),
+          1000 * n_upper // greatest(word_chars, 1), 100 * word_chars // greatest(n_words, 1)]) AS v, unnest([100, 300, 400, 200, 150]) AS slack FROM m),
+k AS (SELECT *, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 5)) << (length(bin(v)) - 5) END AS bucket FROM v),
+f AS (SELECT metric, slack, bucket, lang, source FROM k WHERE NOT base_failed),
+lv AS (SELECT 1 AS lv, lang AS l, source AS s, * FROM f UNION ALL SELECT 2, lang, '', * FROM f UNION ALL SELECT 3, '', '', * FROM f),
+q AS (SELECT lv, l, s, metric, any_value(slack) AS slack, count(*) AS n, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.5) AS q2, quantile_disc(bucket, 0.75) AS q3 FROM lv GROUP BY ALL),
+t AS (SELECT *, q2 + 4 * (q3 - q1) + slack AS high, CASE WHEN metric = 'word_length' THEN q2 - 4 * (q3 - q1) - slack ELSE -1 END AS low FROM q),
+c AS (SELECT k.doc_id, bool_and(CASE WHEN a.n >= 100 THEN k.v BETWEEN a.low AND a.high WHEN b.n >= 100 THEN k.v BETWEEN b.low AND b.high ELSE k.v BETWEEN e.low AND e.high END) AS ok
+  FROM k JOIN t a ON a.lv = 1 AND a.l = k.lang AND a.s = k.source AND a.metric = k.metric JOIN t b ON b.lv = 2 AND b.l = k.lang AND b.metric = k.metric
+  JOIN t e ON e.lv = 3 AND e.metric = k.metric GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(ok, false)) AS kept FROM m LEFT JOIN c USING (doc_id)
 """,
     "op9_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
