@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
+from orfloom.llm.packing import pack_documents
 from orfloom.llm.quality_rules import apply_rules
 from orfloom.llm.substring_dedup import cut_repeats
 
@@ -23,6 +25,10 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_packing(spark, sf_dir):
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
 def op5_quality_rules(spark, sf_dir):
     out = apply_rules(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.drop("text", "lang", "source")
@@ -36,6 +42,7 @@ def op9_substring_dedup(spark, sf_dir):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
+    "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
 }
