@@ -128,10 +128,11 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[t
     m = len(size)
     columns = np.diag(capacity // size).astype(float)
     cost = np.ones(m)
-    inverse = np.linalg.inv(columns) if m else np.zeros((0, 0))
-    x = inverse @ demand
+    inverse = np.diag(1 / (capacity // size))
+    # Sums instead of BLAS calls: its threads can hang in a process that has forked.
+    x = (inverse * demand).sum(1)
     for _ in range(200 * m):
-        y = cost @ inverse
+        y = (cost[:, None] * inverse).sum(0)
         low = int(np.argmin(y))
         if y[low] < -1e-9:  # more items of a size than there are cost nothing
             entering, price = -np.eye(m)[low], 0.0
@@ -140,18 +141,18 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[t
             price = 1.0
             if value <= 1 + 1e-9:
                 break
-        d = inverse @ entering
+        d = (inverse * entering).sum(1)
         ok = d > 1e-9
         ratio = np.where(ok, x / np.where(ok, d, 1), np.inf)
         r = int(np.argmin(ratio))
         if not ok[r]:
             break
         inverse[r] /= d[r]
-        for i in range(m):
-            if i != r:
-                inverse[i] -= d[i] * inverse[r]
+        rest = d.copy()
+        rest[r] = 0
+        inverse -= rest[:, None] * inverse[r]
         columns[:, r], cost[r] = entering, price
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum((inverse * demand).sum(1), 0)
     left = demand.astype(np.int64).copy()
     out = []
     for p in range(m):
