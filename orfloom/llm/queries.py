@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from orfloom.llm.byte_bpe import decode_ids, encode_documents
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.packing import pack_documents
@@ -39,12 +40,20 @@ def op9_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = decode_ids(encode_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
