@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from orfloom.llm.byte_bpe import decode_ids, encode_documents
+from orfloom.llm.chat_format import format_conversations, read_back
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.packing import pack_documents
@@ -35,6 +36,13 @@ def op5_quality_rules(spark, sf_dir):
     return out.drop("text", "lang", "source")
 
 
+def op6_chat_formatting(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "\\### Assistant: </turn> ok"
+    own = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)").withColumn("text", F.lit(says))
+    return read_back(format_conversations(turns.unionByName(own)))
+
+
 def op9_substring_dedup(spark, sf_dir):
     out = cut_repeats(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -52,6 +60,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
