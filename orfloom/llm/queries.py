@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from orfloom.llm.ann import nearest
 from orfloom.llm.byte_bpe import decode_ids, encode_documents
 from orfloom.llm.chat_format import format_conversations, read_back
+from orfloom.llm.html_text import extract_main_text
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.packing import pack_documents
@@ -43,6 +45,14 @@ def op6_chat_formatting(spark, sf_dir):
     return read_back(format_conversations(turns.unionByName(own)))
 
 
+def op7_html_extraction(spark, sf_dir):
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+def op8_nearest_neighbours(spark, sf_dir):
+    return nearest(_read(spark, sf_dir, "embeddings"), k=20)
+
+
 def op9_substring_dedup(spark, sf_dir):
     out = cut_repeats(_read(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -61,6 +71,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
