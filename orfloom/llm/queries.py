@@ -12,6 +12,7 @@ from orfloom.llm.html_text import extract_main_text
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.packing import pack_documents
+from orfloom.llm.quality_classifier import fit_grades, score_documents
 from orfloom.llm.quality_rules import apply_rules
 from orfloom.llm.substring_dedup import cut_repeats
 
@@ -24,6 +25,14 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return shingle_classes(_read(spark, sf_dir, "documents"), shingle=3, threshold=90)
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    # Grades: 0 toxic, 1 of low quality, 2 good.
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    out = score_documents(docs, fit_grades(docs, labels, grade))
+    return out.withColumn("kept", F.col("p_top") >= 0.5)
+
+
 def op3_line_dedup(spark, sf_dir):
     out = drop_repeated_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -67,6 +76,7 @@ def op10_byte_bpe(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,

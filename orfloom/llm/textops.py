@@ -81,10 +81,11 @@ def split_words(texts: list[bytes], lower: bool = False, seed: int = 0) -> Words
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])
     bound = np.searchsorted(start, begins)
     bound[-1] = len(start)
-    return Words(buf, start, end, _hash(buf, start, end, seed), bound)
+    return Words(buf, start, end, word_hashes(buf, start, end, seed), bound)
 
 
-def _hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each slice of the bytes; buf goes on for 16 bytes after the last."""
     n = (end - start).astype(np.int64)
     h = n.astype(np.uint64) * _M1 + np.uint64(seed)
     eight = np.ndarray((len(buf) - 8,), "<u8", buffer=buf.data, strides=(1,))
