@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfloom.llm import scratch
-from orfloom.llm.textops import chunks, split_words
+from orfloom.llm.textops import Words, chunks, split_words, word_hashes
 
 #: Length classes of a sequence.
 CLASSES = 128
-#: Distinct words whose ids a task remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a task remembers, and slots of the table in front of them.
+CACHE_UNITS, TABLE_BITS = 700_000, 19
 #: Pieces that one bucket of a ranking holds, about.
 BUCKET_ROWS = 20_000
 
 
+_TAIL = np.zeros(256, np.int64)
+_TAIL[list(b".,!?;:#$%*&|()")] = 1
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+
+
 class WordEncoder:
-    """Ids of words by a tokenizer that never joins across white space; each distinct word is encoded once."""
+    """Ids of words by a tokenizer that never joins across white space and lowers case; each distinct word is encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,36 +52,63 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.number: dict[int, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
-        self.sizes: list[np.ndarray] = []
+        self.ids, self.sizes, self.begins = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A direct table in front of the dictionary: the last unit at each slot.
+        self.slot_hash, self.slot_unit = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's)."""
-        w = split_words(texts)
-        value, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.number) > CACHE_WORDS:
+        if len(self.number) > CACHE_UNITS:
             self.clear()
-        number = self.number
-        at = np.fromiter((number.get(v, -1) for v in value.tolist()), np.int64, len(value))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            raw = w.buf.data
-            words = [bytes(raw[w.start[i] : w.end[i]]).decode("utf-8", "replace") for i in first[new]]
-            got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            at[new] = np.arange(len(number), len(number) + len(new))
-            number.update(zip(value[new].tolist(), at[new].tolist()))
-            self.sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            self.ids.append(np.fromiter((x for g in got for x in g), np.uint32, int(self.sizes[-1].sum())))
-            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        if not len(value):
+        w = split_words(texts, lower=True)
+        start, end, bound = _units(w)
+        if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        sizes = self.sizes[0]
-        begins = np.cumsum(sizes) - sizes
-        own = at[inverse]
-        size = sizes[own]
+        h = word_hashes(w.buf, start, end)
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        unit = self.slot_unit[slot]
+        miss = np.flatnonzero(self.slot_hash[slot] != h)
+        if len(miss):
+            value, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            at = np.fromiter((self.number.get(v, -1) for v in value.tolist()), np.int64, len(value))
+            new = np.flatnonzero(at < 0)
+            if len(new):
+                raw = w.buf.data
+                words = [bytes(raw[start[i] : end[i]]).decode("utf-8", "replace") for i in miss[first[new]]]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                at[new] = np.arange(len(self.number), len(self.number) + len(new))
+                self.number.update(zip(value[new].tolist(), at[new].tolist()))
+                sizes = np.fromiter(map(len, got), np.int64, len(got))
+                self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+                self.sizes = np.concatenate([self.sizes, sizes])
+                self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
+            unit[miss] = at[inverse]
+            self.slot_hash[slot[miss]], self.slot_unit[slot[miss]] = h[miss], unit[miss]
+        size = self.sizes[unit]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[0][np.repeat(begins[own] - upto[:-1], size) + np.arange(upto[-1])]
-        return ids, upto[w.bound]
+        return self.ids[np.repeat(self.begins[unit] - upto[:-1], size) + np.arange(upto[-1])], upto[bound]
+
+
+def _units(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, bound): words, with ASCII punctuation at their end cut off where that is a token of its own.
+
+    The pattern keeps letters, digits and other signs apart, so a tail of signs
+    after a letter is its own part.  Only tails of at most eight signs after an
+    ASCII letter or digit or one of the letters À-ÿ are cut off.
+    """
+    core = w.end.copy()
+    for _ in range(8):
+        core -= (core > w.start) & _TAIL[w.buf[np.maximum(core, 1) - 1]]
+    last, before = w.buf[np.maximum(core, 1) - 1], w.buf[np.maximum(core, 2) - 2]
+    letter = _ALNUM[last] | ((before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+    cut = (core > w.start) & (core < w.end) & letter
+    core = np.where(cut, core, w.end)
+    place = np.arange(len(core)) + np.concatenate([[0], np.cumsum(cut)[:-1]]) if len(core) else np.zeros(0, np.int64)
+    start, end = np.zeros(len(core) + int(cut.sum()), np.int64), np.zeros(len(core) + int(cut.sum()), np.int64)
+    start[place], end[place] = w.start, core
+    tail = place[cut] + 1
+    start[tail], end[tail] = core[cut], w.end[cut]
+    return start, end, np.append(place, len(start))[w.bound]
 
 
 def _pieces(path: str, end_id: int, capacity: int):
@@ -223,8 +257,8 @@ def pack_documents(
     sequence lie at gapless offsets from 0 and have at most ``capacity`` ids
     together.  A null text is empty (its piece is the end id alone); repeated
     rows are packed each; a null id passes through; an empty table gives an
-    empty result; further columns are not read.  The tokenizer must not join
-    across ASCII white space.
+    empty result; further columns are not read.  The tokenizer must lower case,
+    keep letters, digits and signs apart, and not join across white space.
     """
     if capacity % classes:
         raise ValueError("classes must divide capacity")
