@@ -166,6 +166,10 @@ def read_blast_json(spark: SparkSession, path) -> DataFrame:
 DATABASES = "Pfam InterPro NCBIfam PANTHER SUPFAM Gene3D KEGG GO AntiFam".split()
 
 
+def _is_type(name: str):
+    return lambda r: r._type == name
+
+
 def read_uniprot_xml(spark: SparkSession, path) -> DataFrame:
     """One row an accession: name, taxonomy, product, function, existence, sequence, references of DATABASES."""
     ref = "array<struct<_type: string, _id: string, property: array<struct<_type: string, _value: string>>>>"
@@ -184,7 +188,7 @@ def read_uniprot_xml(spark: SparkSession, path) -> DataFrame:
         none(F.col("proteinExistence._type")).alias("existence"), F.regexp_replace("sequence", r"\s", "").alias("seq"), "file_name",
     ]
     for db in DATABASES:
-        own = F.filter("dbReference", lambda r, db=db: r._type == db)
+        own = F.filter("dbReference", _is_type(db))
         value = lambda r: F.coalesce(F.get(F.transform(F.filter(r.property, lambda p: p._type.isin("entry name", "term", "description")), lambda p: p._value), F.lit(0)), F.lit("no description"))
         cols += [none(F.nullif(F.array_join(F.transform(own, lambda r: r._id), ";"), F.lit(""))).alias(f"{db.lower()}_id"), none(F.nullif(F.array_join(F.transform(own, value), ";"), F.lit(""))).alias(f"{db.lower()}_description")]
     return x.select(*cols)
