@@ -9,14 +9,18 @@ How it works, for "two sets link when 100 * |A & B| >= T * |A | B|":
   the larger set's tokens at most floor(S * n / 100) lie beyond its prefix.
   Nodes with fewer prefix tokens that occur in another node's prefix have no
   links and leave (index-level skipping of whole sets).
+* Of the nodes that stay, tokens that occur in one set only are counted off: a
+  set with more of them than it may lack leaves.  The index prefix is the n -
+  ceil(T * n / 100) + 1 rarest tokens; two linked sets share one of them.
 * *Answer-level relations*: nodes that link to a leader (the node of a MinHash
   bucket with the smallest id) become its satellites.  A satellite's answers are
   derived from the leader's: Jaccard distance is a metric, so what lies farther
   from the leader than (1 - T / 100) + radii needs no comparison, and what links
   to the leader is in the component already.
 * *Block-skip index*: posting lists hold one entry per (token, leader), in
-  blocks of size classes; blocks whose sizes or positions cannot give the
-  overlap are skipped by the join's keys and its position bound.
+  blocks of size classes; the join's keys skip blocks whose sizes differ too
+  much, and entries whose positions together exceed the differences that linked
+  sets may have: a pair is found at the first token that it shares.
 * Leaders that are close but not linked, and whose components still differ, get
   their satellites compared: first against the other leader, then, where the
   triangle inequality leaves doubt, against each other.
@@ -39,7 +43,7 @@ from pyspark.sql import types as T
 from orfloom.llm import scratch
 from orfloom.llm.components import components
 from orfloom.llm.sketches import HEAVY_BITS, bitmap, heavy_slots, in_bitmap
-from orfloom.llm.textops import chunks, mix, shingle_hashes, split_words, whole_hash
+from orfloom.llm.textops import chunks, lean, mix, shingle_hashes, split_words, whole_hash
 
 #: MinHash buckets in which leaders are looked for.
 LEADER_ROUNDS = 3
@@ -139,6 +143,60 @@ def _set_rows(shingle: int, lower: bool, wanted):
     return rows
 
 
+def _candidate_rows(shared, step: float):
+    """(sid, need, tok): prefix tokens that may occur elsewhere, of nodes with enough of them."""
+
+    def rows(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            size = np.diff(prefix.offsets.to_numpy())
+            tok = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            hit = in_bitmap(shared.value, tok.view(np.uint64))
+            need = np.maximum(1, np.ceil(batch.column("n").to_numpy() * step - 1e-9)).astype(np.int64)
+            hit &= (np.bincount(row[hit], minlength=batch.num_rows) >= need)[row]
+            row = row[hit]
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(row)), pa.array(need[row]), pa.array(tok[hit])], ["sid", "need", "tok"])
+
+    return rows
+
+
+def _token_rows(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            raw = b"".join(batch.column("toks").slice(a, 256).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64))], ["tok"])
+
+
+def _ranked_rows(threshold: int, shared, heavy):
+    """Sets with their index prefix: rarest tokens first, those that occur once counted but left out.
+
+    A set with more such tokens than it may lack has no links and leaves.
+    """
+
+    def rows(batches):
+        for batch in batches:
+            keep, prefix, skipped = [], [], []
+            for i, raw in enumerate(batch.column("toks").to_pylist()):
+                h = np.frombuffer(raw, np.uint64)
+                own = h[in_bitmap(shared.value, h)]
+                lack = len(h) - -(-threshold * len(h) // 100)
+                once = len(h) - len(own)
+                if once > lack:
+                    continue
+                own = own[np.lexsort((own, heavy.value[(own >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))][: lack + 1 - once]
+                keep.append(i)
+                prefix.append(own.view(np.int64))
+                skipped.append(once)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("sid", "n", "toks", "keys")), pa.array(prefix, pa.list_(pa.int64())), pa.array(skipped, pa.int64())],
+                ["sid", "n", "toks", "keys", "prefix", "skipped"],
+            )
+
+    return rows
+
+
 @F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Common members of two sets, each the bytes of its sorted 64-bit tokens."""
@@ -157,31 +215,22 @@ def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def _satellites(sets: DataFrame, threshold: int) -> DataFrame:
-    """(sid, leader, d): nodes that link to the leader they are put under."""
-    spark, taken = sets.sparkSession, None
+def _satellites(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b, d) to the first nodes of MinHash buckets; (sid, leader, d) of satellites).
+
+    A link goes from a node to a smaller one.  Leaders are nodes without a link
+    to a smaller node, so no leader is a satellite.
+    """
+    pairs = None
     for r in range(LEADER_ROUNDS):
-        act = sets.withColumn("key", F.col("keys")[r])
-        if taken is None:
-            act = act.withColumn("leads", F.lit(False))
-        else:
-            leaders = taken.select(F.col("leader").alias("sid")).distinct().withColumn("leads", F.lit(True))
-            act = act.join(taken.select("sid"), "sid", "left_anti").join(leaders, "sid", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        first = (
-            act.groupBy("key").agg(F.min(F.struct(~F.col("leads"), "sid")).alias("best"), F.count("*").alias("c")).where("c > 1")
-            .select("key", F.col("best.sid").alias("leader"))
-        )
-        own = sets.select(F.col("sid").alias("leader"), F.col("n").alias("ln"), F.col("toks").alias("lt"))
-        found = (
-            act.where(~F.col("leads")).join(first.join(own, "leader"), "key").where("sid <> leader")
-            .withColumn("o", _overlap("toks", "lt"))
-            .withColumn("u", F.col("n") + F.col("ln") - F.col("o"))
-            .where(100 * F.col("o") >= threshold * F.col("u"))
-            .select("sid", "leader", (1 - F.col("o") / F.col("u")).alias("d"))
-        )
-        # A node may lead one bucket only if it follows in none: each round has one key per node, so a leader that links here is its own bucket's first.
-        taken = scratch.table(found if taken is None else taken.union(found), "satellites")
-    return taken
+        own = sets.select("sid", F.col("keys")[r].alias("key"))
+        first = own.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b <> top").drop("top")
+        some = own.join(first, "key").where("sid <> b").select(F.col("sid").alias("a"), "b")
+        pairs = some if pairs is None else pairs.union(some)
+    links = scratch.table(_compared(pairs.distinct(), sets, threshold).where("linked").select("a", "b", "d"), "leads")
+    inner = links.select(F.col("a").alias("b")).distinct()
+    under = links.join(inner, "b", "left_anti").groupBy("a").agg(F.min(F.struct("b", "d")).alias("x"))
+    return links, scratch.table(under.select(F.col("a").alias("sid"), F.col("x.b").alias("leader"), F.col("x.d").alias("d")), "satellites")
 
 
 def shingle_classes(
@@ -205,28 +254,40 @@ def shingle_classes(
             yield h
 
     heavy = spark.sparkContext.broadcast(heavy_slots(src.select("text"), hashes))
-    index = scratch.table(src.mapInArrow(_index_rows(shingle, threshold, lower, heavy), "id long, sid long, n long, prefix array<long>"), "sets")
+    index = scratch.table(src.mapInArrow(lean(_index_rows(shingle, threshold, lower, heavy)), "id long, sid long, n long, prefix array<long>"), "sets")
 
     step = (100 - threshold) / 200
-    nodes = index.where("prefix is not null").dropDuplicates(["sid"])
-    posts = nodes.select("sid", F.ceil(F.col("n") * step - 1e-9).alias("need"), F.explode("prefix").alias("tok"))
-    shared = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-    alive = scratch.table(
-        posts.join(shared, "tok", "left_semi").groupBy("sid", "need").agg(F.count("*").alias("c")).where("c >= need").select("sid"), "alive"
-    )
+    first = index.where("prefix is not null").select("sid", "n", "prefix")
+    shared = scratch.table(first.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok"), "shared")
+    some = spark.sparkContext.broadcast(bitmap(shared, "tok"))
+    # The bitmap keeps most tokens from travelling; the join decides.
+    posts = first.mapInArrow(_candidate_rows(some, step), "sid long, need long, tok long").join(shared, "tok", "left_semi").distinct()
+    posts = scratch.table(posts, "candidates")
+    alive = posts.groupBy("sid", "need").agg(F.count("*").alias("c")).where("c >= need").select("sid")
+    again = posts.join(alive, "sid", "left_semi")
+    both = again.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    alive = scratch.table(again.join(both, "tok", "left_semi").groupBy("sid", "need").agg(F.count("*").alias("c")).where("c >= need").select("sid"), "alive")
     wanted = spark.sparkContext.broadcast(bitmap(alive, "sid"))
-    sets = scratch.table(
-        src.select("text").mapInArrow(_set_rows(shingle, lower, wanted), "sid long, n long, toks binary, keys array<long>")
-        .join(alive, "sid", "left_semi").dropDuplicates(["sid"]),
-        "tokens",
-    )
+    whole = scratch.table(src.select("text").mapInArrow(lean(_set_rows(shingle, lower, wanted)), "sid long, n long, toks binary, keys array<long>"), "tokens")
+    scratch.remove(shared, posts)
 
-    under = _satellites(sets, threshold)
+    def set_hashes(batch):
+        for a in range(0, batch.num_rows, 256):
+            yield np.frombuffer(b"".join(batch.column("toks").slice(a, 256).to_pylist()), np.uint64)
+
+    heavy = spark.sparkContext.broadcast(heavy_slots(whole.select("toks"), set_hashes))
+    twice = whole.select("toks").mapInArrow(_token_rows, "tok long").groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
+    some = spark.sparkContext.broadcast(bitmap(twice, "tok", 27))
+    ranked = whole.mapInArrow(_ranked_rows(threshold, some, heavy), "sid long, n long, toks binary, keys array<long>, prefix array<long>, skipped long")
+    sets = scratch.table(ranked.dropDuplicates(["sid"]), "ranked")
+    scratch.remove(whole)
+
+    leads, under = _satellites(sets, threshold)
     member = scratch.table(
         sets.select("sid", "n").join(under, "sid", "left").select("sid", "n", F.coalesce("leader", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")),
         "members",
     )
-    links, labels = _links(index, sets, under, member, threshold)
+    labels = _labels(sets, leads, member, threshold)
     out = index.select("id", "sid", "n")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
@@ -239,44 +300,43 @@ def shingle_classes(
     return full.union(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def _links(index: DataFrame, sets: DataFrame, under: DataFrame, member: DataFrame, threshold: int):
-    """(links, labels of their components): all links that components need, between distinct sets."""
-    step = (100 - threshold) / 200
+def _labels(sets: DataFrame, leads: DataFrame, member: DataFrame, threshold: int) -> DataFrame | None:
+    """(node, label) by all links that components need, between distinct sets; None without links."""
     ratio = math.log(100 / threshold) * 1.0001  # sizes that may link are in the same class or the next
     group = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("d").alias("r"), F.count("*").alias("size"))
-    group = scratch.table(group.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("lo") * step - 1e-9))), "groups")
-    nodes = index.where("prefix is not null").dropDuplicates(["sid"]).join(member.select("sid", "g"), "sid")
+    group = scratch.table(group, "groups")
+    nodes = sets.select("sid", "n", "prefix", "skipped").join(member.select("sid", "g"), "sid")
     posts = (
-        nodes.select("g", "n", F.posexplode("prefix").alias("pos", "tok"))
-        .groupBy("tok", "g").agg(F.min("pos").alias("plo"), F.max("pos").alias("phi"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+        nodes.select("g", "n", "skipped", F.posexplode("prefix").alias("k", "tok")).withColumn("pos", F.col("k") + F.col("skipped"))
+        .groupBy("tok", "g").agg(F.min("pos").alias("plo"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     )
     size_class = lambda c: F.floor(F.log(F.col(c).cast("double")) / ratio).cast("int")
     posts = posts.withColumn("k0", size_class("lo")).withColumn("k1", size_class("hi"))
     common = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     posts = scratch.table(posts.join(common, "tok", "left_semi"), "postings")
-    left = posts.select("tok", F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("plo", "phi", "lo", "hi", "k0")], F.explode(F.sequence("k0", "k1")).alias("k"))
-    right = posts.select("tok", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("plo", "phi", "lo", "hi", "k0")], F.explode(F.sequence(F.col("k0") - 1, F.col("k1") + 1)).alias("k"))
-    # Of what two groups' sets can share, at most so much lies before and after this token.
-    most = F.least("phi_a", "phi_b") + F.least(F.col("hi_a") - F.col("plo_a"), F.col("hi_b") - F.col("plo_b"))
+    left = posts.select("tok", F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("plo", "lo", "hi", "k0")], F.explode(F.sequence("k0", "k1")).alias("k"))
+    right = posts.select("tok", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("plo", "lo", "hi", "k0")], F.explode(F.sequence(F.col("k0") - 1, F.col("k1") + 1)).alias("k"))
+    # At the first token that two sets share, all tokens before it are differences, of which linked sets have so many at most.
+    before = F.col("plo_a") + F.col("plo_b")
     pairs = (
         left.join(right, ["tok", "k"])
         .where("a < b and k = greatest(k0_a, k0_b - 1)")
         .where((100 * F.col("hi_a") >= threshold * F.col("lo_b")) & (100 * F.col("hi_b") >= threshold * F.col("lo_a")))
-        .where((100 + threshold) * most >= threshold * (F.col("lo_a") + F.col("lo_b")))
-        .groupBy("a", "b").agg(F.count("*").alias("c"))
+        .where((100 + threshold) * before <= (100 - threshold) * (F.col("hi_a") + F.col("hi_b")))
+        .select("a", "b").distinct()
     )
-    ga = group.select(F.col("g").alias("a"), F.col("need").alias("need_a"), F.col("r").alias("ra"), F.col("size").alias("size_a"))
-    gb = group.select(F.col("g").alias("b"), F.col("need").alias("need_b"), F.col("r").alias("rb"), F.col("size").alias("size_b"))
-    pairs = pairs.join(ga, "a").join(gb, "b").where("c >= greatest(need_a, need_b)")
+    ga = group.select(F.col("g").alias("a"), F.col("r").alias("ra"), F.col("size").alias("size_a"))
+    gb = group.select(F.col("g").alias("b"), F.col("r").alias("rb"), F.col("size").alias("size_b"))
+    pairs = pairs.join(leads.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     reach = 1 - threshold / 100 + 1e-9
     seen = scratch.table(
         _compared(pairs.select("a", "b"), sets, threshold).join(ga, "a").join(gb, "b")
         .where(F.col("linked") | ((F.col("size_a") + F.col("size_b") > 2) & (F.col("d") <= reach + F.col("ra") + F.col("rb")))),
         "pairs",
     )
-    links = under.select(F.col("sid").alias("a"), F.col("leader").alias("b")).union(seen.where("linked").select("a", "b"))
-    if links.limit(1).count() == 0 and seen.limit(1).count() == 0:
-        return links, None
+    links = leads.select("a", "b").union(seen.where("linked").select("a", "b"))
+    if links.limit(1).count() == 0:
+        return None  # and so no satellites, whose links could matter
     near = seen.where("not linked").select("a", "b", "ra", "rb")
     labels = components(links)
 
@@ -286,7 +346,7 @@ def _links(index: DataFrame, sets: DataFrame, under: DataFrame, member: DataFram
 
     todo = scratch.table(open_pairs(labels), "open")
     if todo.limit(1).count() == 0:
-        return links, labels
+        return labels
     inner = member.where("sid <> g").select("g", F.col("sid").alias("y"))
     to_b = todo.join(inner, todo.a == inner.g).select("a", "b", F.col("y").alias("x"), F.col("b").alias("z"), F.col("rb").alias("r"))
     to_a = todo.join(inner, todo.b == inner.g).select("a", "b", F.col("a").alias("x"), F.col("y").alias("z"), F.col("ra").alias("r"))
@@ -300,14 +360,14 @@ def _links(index: DataFrame, sets: DataFrame, under: DataFrame, member: DataFram
     labels = components(links)
     rest = scratch.table(open_pairs(labels).where("ra > 0 and rb > 0"), "open")
     if rest.limit(1).count() == 0:
-        return links, labels
+        return labels
     maybe = seen2.where("not linked")
     mine = maybe.where("z = b").join(rest.select("a", "b"), ["a", "b"]).select("a", "b", F.col("x").alias("y"))
     theirs = maybe.where("x = a").join(rest.select("a", "b"), ["a", "b"]).select("a", "b", F.col("z").alias("w"))
-    own = index.where("prefix is not null").dropDuplicates(["sid"]).select("sid", F.ceil(F.col("n") * step - 1e-9).alias("need"), F.explode("prefix").alias("tok"))
+    own = sets.select("sid", F.explode("prefix").alias("tok"))
     mine = mine.join(own.withColumnRenamed("sid", "y"), "y")
-    theirs = theirs.join(own.select(F.col("sid").alias("w"), "tok", F.col("need").alias("need_w")), "w")
-    last = mine.join(theirs, ["a", "b", "tok"]).groupBy("y", "w", "need", "need_w").agg(F.countDistinct("tok").alias("c")).where("c >= greatest(need, need_w)")
+    theirs = theirs.join(own.withColumnRenamed("sid", "w"), "w")
+    last = mine.join(theirs, ["a", "b", "tok"]).select("y", "w").distinct()
     found = scratch.table(_compared(last.select(F.col("y").alias("a"), F.col("w").alias("b")).distinct(), sets, threshold).where("linked").select("a", "b"), "last")
     links = links.union(found)
-    return links, components(links)
+    return components(links)

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfloom.llm import scratch
-from orfloom.llm.textops import Words, chunks, split_words, word_hashes
+from orfloom.llm.textops import Words, chunks, lean, split_words, word_hashes
 
 #: Length classes of a sequence.
 CLASSES = 128
 #: Distinct words whose ids a task remembers, and slots of the table in front of them.
-CACHE_UNITS, TABLE_BITS = 700_000, 19
+CACHE_UNITS, TABLE_BITS = 400_000, 19
 #: Pieces that one bucket of a ranking holds, about.
 BUCKET_ROWS = 20_000
 
@@ -116,7 +116,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         encoder = WordEncoder(path)
         for batch in batches:
             ids = batch.column("id")
-            for first, part in chunks(batch.column("text").cast(pa.binary()).to_pylist(), 2 << 20):
+            for first, part in chunks(batch.column("text").cast(pa.binary()).to_pylist(), 1 << 20):
                 tokens, bound = encoder.encode(part)
                 doc, start, length, crc, total = [], [], [], [], []
                 for i in range(len(part)):
@@ -266,7 +266,7 @@ def pack_documents(
     id_type = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = scratch.table(
-        src.mapInArrow(_pieces(tokenizer_path, end_id, capacity), f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"), "pieces"
+        src.mapInArrow(lean(_pieces(tokenizer_path, end_id, capacity)), f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"), "pieces"
     )
     width = capacity // classes
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / width).cast("long"))

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orfloom.llm.textops import lean
+
 #: Slots of the frequency summary: 1 MB as one byte each, whatever the corpus.
 HEAVY_BITS = 20
 #: Slots of a bitmap: 8 MB as one bit each.
@@ -35,7 +37,7 @@ def heavy_slots(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nd
         slot = np.flatnonzero(count >= max(8, 4 * total / (1 << bits)))
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(count[slot])], ["slot", "n"])
 
-    found = df.mapInArrow(local, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = df.mapInArrow(lean(local), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << bits, np.uint8)
     if len(found):
         n = found["n"].to_numpy().astype(np.float64)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orfloom.llm import scratch
 from orfloom.llm.sketches import HEAVY_BITS, bitmap, heavy_slots, in_bitmap
-from orfloom.llm.textops import Words, chunks, mix, shingle_hashes, split_words
+from orfloom.llm.textops import Words, chunks, lean, mix, shingle_hashes, split_words
 
 #: Words in a minimiser.
 GROUP = 7
@@ -220,21 +220,21 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     heavy = spark.sparkContext.broadcast(heavy_slots(src.select("text"), hashes))
     again = scratch.table(
-        src.select("text").mapInArrow(_minimisers(window, group, heavy), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).where("c > 1").select("v"),
+        src.select("text").mapInArrow(lean(_minimisers(window, group, heavy)), "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).where("c > 1").select("v"),
         "minimisers",
     )
     wanted = spark.sparkContext.broadcast(bitmap(again, "v"))
     keyed = src.withColumn("key", F.unhex(F.md5("text")))
     strings = scratch.table(
-        keyed.select("key", "text").mapInArrow(_packed(window, group, heavy, wanted), "key binary, start long, v long, name binary, packed binary"),
+        keyed.select("key", "text").mapInArrow(lean(_packed(window, group, heavy, wanted)), "key binary, start long, v long, name binary, packed binary"),
         "superkmers",
     )
     counted = (
         strings.groupBy("v", "packed").agg(F.count("*").alias("c"))
         .repartition("v").sortWithinPartitions("v")
-        .mapInArrow(_count(window), "name binary, runs array<long>")
+        .mapInArrow(lean(_count(window)), "name binary, runs array<long>")
     )
     places = strings.select("key", "start", "name").distinct().join(counted, "name").groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("runs"))
     out = keyed.join(scratch.table(places, "runs"), "key", "left")
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long, kept_text string"
-    return out.mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(_cut), schema).withColumnRenamed("id", id_col)

@@ -248,7 +248,7 @@ def test_pipeline(spark, tmp_path):
     text = lambda: "\n".join(" ".join(f"{r.choice('abcdefgh')}x{r.randrange(10**5)}" for _ in range(15)) for _ in range(6))
     clean = [(i, text()) for i in range(30)]
     copy = (40, clean[3][1])
-    near = (41, clean[4][1].replace("\n", " ", 3) + " more")
+    near = (41, clean[4][1].replace(" ", "  ") + " more")
     shared = " ".join(f"s{i}" for i in range(50))
     passage = [(50 + i, f"{text()} {shared} {text()}") for i in range(3)]
     rows = clean + [copy, near, (60, "too short")] + passage
