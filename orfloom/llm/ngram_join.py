@@ -12,18 +12,19 @@ How it works, for "two sets link when 100 * |A & B| >= T * |A | B|":
 * Of the nodes that stay, tokens that occur in one set only are counted off: a
   set with more of them than it may lack leaves.  The index prefix is the n -
   ceil(T * n / 100) + 1 rarest tokens; two linked sets share one of them.
-* *Answer-level relations*: nodes that link to a leader (the node of a MinHash
-  bucket with the smallest id) become its satellites.  A satellite's answers are
-  derived from the leader's: Jaccard distance is a metric, so what lies farther
-  from the leader than (1 - T / 100) + radii needs no comparison, and what links
-  to the leader is in the component already.
-* *Block-skip index*: posting lists hold one entry per (token, leader), in
-  blocks of size classes; the join's keys skip blocks whose sizes differ too
-  much, and entries whose positions together exceed the differences that linked
-  sets may have: a pair is found at the first token that it shares.
-* Leaders that are close but not linked, and whose components still differ, get
-  their satellites compared: first against the other leader, then, where the
-  triangle inequality leaves doubt, against each other.
+* *Answer-level relations*: a node's reference is the set with the fewest once
+  tokens in its MinHash buckets (followed to that set's own), so near copies of
+  one text have one reference R.  X is kept as its difference D(X) to R, and
+  |X ^ Y| = |D(X)| + |D(Y)| - 2 |D(X) & D(Y)|.  Nodes that link to R answer for
+  each other; any other link within R's nodes needs common *differences*, and
+  how many follows from |D| alone.  So these nodes are indexed by the rarest of
+  their differences, never by what all near copies share, and most leave: what
+  their differences have in common with any other node is too little.
+* *Block-skip index*, for nodes of different references: posting lists hold one
+  entry per (token, reference), in blocks of size classes; the join's keys skip
+  blocks whose sizes differ too much, and entries whose positions together
+  exceed the differences that linked sets may have: a pair is found at the first
+  token that it shares.  What is left is looked up in the nodes' own entries.
 
 Nodes and tokens are 64-bit hashes; chance of any two of a billion sets sharing
 an id is about three in a hundred.
@@ -45,8 +46,12 @@ from orfloom.llm.components import components
 from orfloom.llm.sketches import HEAVY_BITS, bitmap, heavy_slots, in_bitmap
 from orfloom.llm.textops import chunks, lean, mix, shingle_hashes, split_words, whole_hash
 
-#: MinHash buckets in which leaders are looked for.
-LEADER_ROUNDS = 3
+#: MinHash buckets in which references are looked for.
+REFERENCE_ROUNDS = 3
+#: Times that a reference is replaced by its own.
+REFERENCE_JUMPS = 2
+#: A set that differs more from its reference (Jaccard distance) is its own.
+FARTHEST = 0.75
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,7 +137,7 @@ def _set_rows(shingle: int, lower: bool, wanted):
                     if len(seen) < 200_000:
                         seen.add(int(sid[i]))
                     own = h[begin[i] : begin[i + 1]]
-                    keys = [int(mix(own + np.uint64(7919 * (r + 1))).min().view(np.int64)) for r in range(LEADER_ROUNDS)]
+                    keys = [int(mix(own + np.uint64(7919 * (r + 1))).min().view(np.int64)) for r in range(REFERENCE_ROUNDS)]
                     out.append((int(sid[i : i + 1].view(np.int64)[0]), int(n[i]), own.tobytes(), keys))
                 if out:
                     yield pa.RecordBatch.from_arrays(
@@ -204,33 +209,78 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """pairs(a, b) with linked and the Jaccard distance d, from the whole sets."""
+    """pairs(a, b) with linked, from the whole sets."""
     left = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     return (
         pairs.join(left, "a").join(right, "b")
         .withColumn("o", _overlap("ta", "tb"))
         .withColumn("u", F.col("na") + F.col("nb") - F.col("o"))
-        .select("a", "b", (100 * F.col("o") >= threshold * F.col("u")).alias("linked"), (1 - F.col("o") / F.col("u")).alias("d"))
+        .select("a", "b", (100 * F.col("o") >= threshold * F.col("u")).alias("linked"))
     )
 
 
-def _satellites(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b, d) to the first nodes of MinHash buckets; (sid, leader, d) of satellites).
+def _difference_rows(threshold: int):
+    """(sid, ref, linked, d, need, diff): how a set differs from its reference.
 
-    A link goes from a node to a smaller one.  Leaders are nodes without a link
-    to a smaller node, so no leader is a satellite.
+    A link that matters (not one between two sets that link to the reference)
+    needs ``need`` differences in common, and at least one: with N the sizes'
+    sum, linked sets differ in at most (100 - T) / (100 + T) * N tokens, and in
+    at most (100 - T) / T * n whatever the other's size.
     """
-    pairs = None
-    for r in range(LEADER_ROUNDS):
-        own = sets.select("sid", F.col("keys")[r].alias("key"))
-        first = own.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b <> top").drop("top")
-        some = own.join(first, "key").where("sid <> b").select(F.col("sid").alias("a"), "b")
-        pairs = some if pairs is None else pairs.union(some)
-    links = scratch.table(_compared(pairs.distinct(), sets, threshold).where("linked").select("a", "b", "d"), "leads")
-    inner = links.select(F.col("a").alias("b")).distinct()
-    under = links.join(inner, "b", "left_anti").groupBy("a").agg(F.min(F.struct("b", "d")).alias("x"))
-    return links, scratch.table(under.select(F.col("a").alias("sid"), F.col("x.b").alias("leader"), F.col("x.d").alias("d")), "satellites")
+
+    def rows(batches):
+        low, high = 100 - threshold, 100 + threshold
+        for batch in batches:
+            out: list = [[], [], [], [], [], []]
+            columns = (batch.column(c).to_pylist() for c in ("sid", "ref", "toks", "ref_toks"))
+            for sid, ref, x, r in zip(*columns):
+                x, r = np.frombuffer(x, np.int64), np.frombuffer(r, np.int64)
+                diff = np.setxor1d(x, r, assume_unique=True)
+                d, n = len(diff), len(x) + len(r)
+                if 2 * d > FARTHEST * (n + d):
+                    continue
+                linked = high * d <= low * n
+                need = (high * d + low * (len(r) - len(x))) // (2 * high) + 1 if linked else d - low * len(x) // threshold
+                for column, value in zip(out, (sid, ref, linked, d, max(1, need), diff)):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["sid", "ref", "linked", "d", "need", "diff"])
+
+    return rows
+
+
+def _differences(sets: DataFrame, threshold: int) -> DataFrame:
+    """The differences of nodes to their references; nodes that are their own reference have no row."""
+    keys = sets.select("sid", F.struct("skipped", "sid").alias("me"), F.posexplode("keys").alias("r", "key"))
+    low = keys.groupBy("r", "key").agg(F.min("me").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    refs = keys.join(low, ["r", "key"]).groupBy("sid").agg(F.min("low").alias("low")).select("sid", F.col("low.sid").alias("ref"))
+    refs = scratch.table(refs.where("sid <> ref"), "references")
+    for _ in range(REFERENCE_JUMPS):
+        up = refs.select(F.col("sid").alias("ref"), F.col("ref").alias("up"))
+        refs = refs.join(up, "ref", "left").select("sid", F.coalesce("up", "ref").alias("ref"))
+    both = sets.select("sid", "toks").join(refs, "sid").join(sets.select(F.col("sid").alias("ref"), F.col("toks").alias("ref_toks")), "ref")
+    return scratch.table(both.mapInArrow(_difference_rows(threshold), "sid long, ref long, linked boolean, d long, need long, diff array<long>"), "differences")
+
+
+def _within(differences: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """pairs(a, b) of nodes with one reference that may link, unless both link to it, by their common differences."""
+    each = differences.select("ref", "sid", "linked", "d", "need", F.explode("diff").alias("tok"))
+    often = each.groupBy("ref", "tok").agg(F.count("*").alias("c"), F.min("linked").alias("all_linked")).where("c > 1 and not all_linked")
+    own = each.join(often.drop("all_linked"), ["ref", "tok"]).groupBy("ref", "sid", "linked", "d", "need").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("own"))
+    own = own.where("size(own) >= need").join(sets.select("sid", "n"), "sid")
+    own = own.withColumn("once", F.col("d") - F.size("own")).withColumn("own", F.expr("slice(own, 1, cast(size(own) - need + 1 as int))"))
+    posts = own.select("ref", "sid", "linked", "d", "n", "once", F.posexplode("own").alias("k", "x"))
+    posts = scratch.table(posts.select("ref", F.col("x.tok").alias("tok"), "sid", "linked", "d", "n", (F.col("once") + F.col("k")).alias("pos")), "within")
+    side = lambda e: posts.select("ref", "tok", *[F.col(c).alias(f"{c}_{e}") for c in ("sid", "linked", "d", "n", "pos")])
+    # Before the first common difference all differ; from there on, at most all of the shorter rest is common.
+    apart = F.expr("d_a + d_b - 2 * least(d_a - pos_a, d_b - pos_b)")
+    return (
+        side("a").where("not linked_a").join(side("b"), ["ref", "tok"])
+        .where("linked_b or sid_a < sid_b")
+        .where((100 + threshold) * apart <= (100 - threshold) * (F.col("n_a") + F.col("n_b")))
+        .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    )
 
 
 def shingle_classes(
@@ -282,12 +332,7 @@ def shingle_classes(
     sets = scratch.table(ranked.dropDuplicates(["sid"]), "ranked")
     scratch.remove(whole)
 
-    leads, under = _satellites(sets, threshold)
-    member = scratch.table(
-        sets.select("sid", "n").join(under, "sid", "left").select("sid", "n", F.coalesce("leader", "sid").alias("g"), F.coalesce("d", F.lit(0.0)).alias("d")),
-        "members",
-    )
-    labels = _labels(sets, leads, member, threshold)
+    labels = _labels(sets, threshold)
     out = index.select("id", "sid", "n")
     if labels is not None:
         out = out.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
@@ -300,74 +345,40 @@ def shingle_classes(
     return full.union(none).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
-def _labels(sets: DataFrame, leads: DataFrame, member: DataFrame, threshold: int) -> DataFrame | None:
+def _labels(sets: DataFrame, threshold: int) -> DataFrame | None:
     """(node, label) by all links that components need, between distinct sets; None without links."""
+    differences = _differences(sets, threshold)
+    within = _within(differences, sets, threshold)
+    star = differences.where("linked").select(F.col("sid").alias("a"), F.col("ref").alias("b"))
+    nodes = sets.select("sid", "n", "prefix", "skipped").join(differences.select("sid", "ref"), "sid", "left")
+    entries = nodes.select("sid", F.coalesce("ref", "sid").alias("g"), "n", "skipped", F.posexplode("prefix").alias("k", "tok"))
+    entries = scratch.table(entries.select("tok", "g", "sid", "n", (F.col("k") + F.col("skipped")).alias("pos")), "entries")
+
     ratio = math.log(100 / threshold) * 1.0001  # sizes that may link are in the same class or the next
-    group = member.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("d").alias("r"), F.count("*").alias("size"))
-    group = scratch.table(group, "groups")
-    nodes = sets.select("sid", "n", "prefix", "skipped").join(member.select("sid", "g"), "sid")
-    posts = (
-        nodes.select("g", "n", "skipped", F.posexplode("prefix").alias("k", "tok")).withColumn("pos", F.col("k") + F.col("skipped"))
-        .groupBy("tok", "g").agg(F.min("pos").alias("plo"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    )
     size_class = lambda c: F.floor(F.log(F.col(c).cast("double")) / ratio).cast("int")
+    posts = entries.groupBy("tok", "g").agg(F.min("pos").alias("plo"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     posts = posts.withColumn("k0", size_class("lo")).withColumn("k1", size_class("hi"))
     common = posts.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
     posts = scratch.table(posts.join(common, "tok", "left_semi"), "postings")
     left = posts.select("tok", F.col("g").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("plo", "lo", "hi", "k0")], F.explode(F.sequence("k0", "k1")).alias("k"))
     right = posts.select("tok", F.col("g").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("plo", "lo", "hi", "k0")], F.explode(F.sequence(F.col("k0") - 1, F.col("k1") + 1)).alias("k"))
     # At the first token that two sets share, all tokens before it are differences, of which linked sets have so many at most.
-    before = F.col("plo_a") + F.col("plo_b")
-    pairs = (
+    groups = (
         left.join(right, ["tok", "k"])
         .where("a < b and k = greatest(k0_a, k0_b - 1)")
         .where((100 * F.col("hi_a") >= threshold * F.col("lo_b")) & (100 * F.col("hi_b") >= threshold * F.col("lo_a")))
-        .where((100 + threshold) * before <= (100 - threshold) * (F.col("hi_a") + F.col("hi_b")))
-        .select("a", "b").distinct()
+        .where((100 + threshold) * (F.col("plo_a") + F.col("plo_b")) <= (100 - threshold) * (F.col("hi_a") + F.col("hi_b")))
+        .select("tok", F.col("a").alias("ga"), F.col("b").alias("gb"))
     )
-    ga = group.select(F.col("g").alias("a"), F.col("r").alias("ra"), F.col("size").alias("size_a"))
-    gb = group.select(F.col("g").alias("b"), F.col("r").alias("rb"), F.col("size").alias("size_b"))
-    pairs = pairs.join(leads.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    reach = 1 - threshold / 100 + 1e-9
-    seen = scratch.table(
-        _compared(pairs.select("a", "b"), sets, threshold).join(ga, "a").join(gb, "b")
-        .where(F.col("linked") | ((F.col("size_a") + F.col("size_b") > 2) & (F.col("d") <= reach + F.col("ra") + F.col("rb")))),
-        "pairs",
+    side = lambda e: entries.select("tok", F.col("g").alias(f"g{e}"), F.col("sid").alias(e), F.col("n").alias(f"n_{e}"), F.col("pos").alias(f"pos_{e}"))
+    across = (
+        groups.join(side("a"), ["tok", "ga"]).join(side("b"), ["tok", "gb"])
+        .where((100 * F.col("n_a") >= threshold * F.col("n_b")) & (100 * F.col("n_b") >= threshold * F.col("n_a")))
+        .where((100 + threshold) * (F.col("pos_a") + F.col("pos_b")) <= (100 - threshold) * (F.col("n_a") + F.col("n_b")))
+        .select("a", "b")
     )
-    links = leads.select("a", "b").union(seen.where("linked").select("a", "b"))
+    pairs = scratch.table(within.union(across).distinct(), "pairs")
+    links = scratch.table(star.union(_compared(pairs, sets, threshold).where("linked").select("a", "b")), "found")
     if links.limit(1).count() == 0:
-        return None  # and so no satellites, whose links could matter
-    near = seen.where("not linked").select("a", "b", "ra", "rb")
-    labels = components(links)
-
-    def open_pairs(labels):
-        la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        return near.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "ra", "rb")
-
-    todo = scratch.table(open_pairs(labels), "open")
-    if todo.limit(1).count() == 0:
-        return labels
-    inner = member.where("sid <> g").select("g", F.col("sid").alias("y"))
-    to_b = todo.join(inner, todo.a == inner.g).select("a", "b", F.col("y").alias("x"), F.col("b").alias("z"), F.col("rb").alias("r"))
-    to_a = todo.join(inner, todo.b == inner.g).select("a", "b", F.col("a").alias("x"), F.col("y").alias("z"), F.col("ra").alias("r"))
-    cross = to_b.union(to_a)
-    seen2 = scratch.table(
-        _compared(cross.select(F.col("x").alias("a"), F.col("z").alias("b")).distinct(), sets, threshold)
-        .withColumnsRenamed({"a": "x", "b": "z"}).join(cross, ["x", "z"]).where(F.col("linked") | (F.col("d") <= reach + F.col("r"))),
-        "crossed",
-    )
-    links = links.union(seen2.where("linked").select(F.col("x").alias("a"), F.col("z").alias("b")))
-    labels = components(links)
-    rest = scratch.table(open_pairs(labels).where("ra > 0 and rb > 0"), "open")
-    if rest.limit(1).count() == 0:
-        return labels
-    maybe = seen2.where("not linked")
-    mine = maybe.where("z = b").join(rest.select("a", "b"), ["a", "b"]).select("a", "b", F.col("x").alias("y"))
-    theirs = maybe.where("x = a").join(rest.select("a", "b"), ["a", "b"]).select("a", "b", F.col("z").alias("w"))
-    own = sets.select("sid", F.explode("prefix").alias("tok"))
-    mine = mine.join(own.withColumnRenamed("sid", "y"), "y")
-    theirs = theirs.join(own.withColumnRenamed("sid", "w"), "w")
-    last = mine.join(theirs, ["a", "b", "tok"]).select("y", "w").distinct()
-    found = scratch.table(_compared(last.select(F.col("y").alias("a"), F.col("w").alias("b")).distinct(), sets, threshold).where("linked").select("a", "b"), "last")
-    links = links.union(found)
+        return None
     return components(links)
