@@ -17,6 +17,8 @@ LOCAL_DIR = "/tmp/checkpoints"
 
 #: Rows of an Arrow batch of whole texts; bounds what a Python worker and its JVM hold at once.
 BATCH_ROWS = 2000
+#: Bytes of such a batch, where texts are very long.
+BATCH_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -26,10 +28,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are long: let this session's Arrow batches hold at most BATCH_ROWS rows."""
+    """Texts are long: let this session's Arrow batches hold at most BATCH_ROWS rows and about BATCH_BYTES bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
