@@ -24,8 +24,8 @@ from orfloom.llm import scratch
 SAMPLE, PER_CENTROID, MAX_CENTROIDS = 131_072, 32, 4096
 #: Lists that a vector may be in, and how much farther (distance ratio) the others may be.
 REPLICAS, BOUNDARY = 4, 1.15
-#: Lists that a query visits, at most, and the distance ratio beyond which it does not.
-PROBES, RATIO = 96, 1.6
+#: Lists that a query visits, at most: so many, or this share of all lists if that is more; the distance ratio beyond which it does not.
+PROBES, PROBE_SHARE, RATIO = 96, 0.15, 1.6
 #: Neighbours in the centroid graph, and width of the walk.
 DEGREE, BEAM = 24, 128
 #: Vectors in a part of a list, queries in a block.
@@ -133,7 +133,12 @@ def _list_rows(centroids, norm):
     return rows
 
 
-def _probe_rows(centroids):
+def probe_count(lists: int) -> int:
+    """Lists that a query visits at most: they grow with the lists, so that recall does not fall with the table's size."""
+    return max(PROBES, int(np.ceil(PROBE_SHARE * lists)))
+
+
+def _probe_rows(centroids, probes):
     def rows(batches):
         c, graph = centroids.value
         for batch in batches:
@@ -142,8 +147,8 @@ def _probe_rows(centroids):
                 q = _matrix(part.column("v"))
                 q = q / np.sqrt((q * q).sum(1))[:, None]
                 q = np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32)
-                found, dist = search_graph(q, c, graph, max(BEAM, PROBES))
-                found, dist = found[:, :PROBES], dist[:, :PROBES]
+                found, dist = search_graph(q, c, graph, max(BEAM, probes))
+                found, dist = found[:, :probes], dist[:, :probes]
                 i, j = np.nonzero(np.isfinite(dist) & (dist <= RATIO**2 * np.maximum(dist[:, :1], 1e-9)))
                 yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(i)), pa.array(found[i, j].astype(np.int64)), part.column("v").take(pa.array(i))], ["id", "list", "v"])
 
@@ -212,7 +217,7 @@ def nearest(
     fitted = sorted(some.mapInArrow(fit, "i long, c array<float>, g array<long>").collect(), key=lambda r: r["i"])
     centroids = spark.sparkContext.broadcast((np.array([r["c"] for r in fitted], np.float32), np.array([r["g"] for r in fitted], np.int64)))
     lists = scratch.table(rows.mapInArrow(_list_rows(centroids, norm), "id long, list long, v array<double>"), "lists")
-    probes = scratch.table(asked.mapInArrow(_probe_rows(centroids), "id long, list long, v array<double>"), "probes")
+    probes = scratch.table(asked.mapInArrow(_probe_rows(centroids, probe_count(len(fitted))), "id long, list long, v array<double>"), "probes")
     # At most one row for each centroid: how many parts a list and its queries have.
     parts = lists.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     blocks = probes.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("blocks"))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,24 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_nearest_many_lists(spark):
+    from orfloom.llm.ann import nearest
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(10, 64))[r.integers(0, 10, 40_000)] + 6 * r.normal(size=(40_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
+    got = collections.defaultdict(set)
+    for q in nearest(vectors, vectors.where("vec_id % 400 = 0")).collect():
+        got[q.query_id].add(q.vec_id)
+    hit = 0
+    for q in range(0, len(x), 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+    assert hit / 2000 >= 0.9
+
+
 def test_byte_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     from orfloom.llm.byte_bpe import decode_ids, encode_documents
