@@ -28,10 +28,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of five-word-shingle sets with a similarity of 0.8 or more."""
-    classes = shingle_classes(docs, shingle=5, threshold=80)
-    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+    """One row of each group of five-word-shingle sets with a similarity of 0.8 or more: the smallest id (null last), then hash of the row.
+
+    Rows go by a hash of all their columns, not by id: repeated rows, null ids
+    and one id with several texts leave one row of a group.  Wordless texts are
+    in no group and stay.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    keyed = docs.withColumn("_key", key)
+    classes = shingle_classes(keyed, id_col="_key", shingle=5, threshold=80).where("n_shingles > 0").select("_key", "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))
+    ids = keyed.select("_key", "doc_id").distinct()
+    stay = classes.join(ids, "_key").groupBy("component_id").agg(least.alias("least")).select("least._key")
+    wordless = keyed.where(~F.coalesce(F.col("text"), F.lit("")).rlike(_WORD))
+    return keyed.join(stay, "_key").dropDuplicates(["_key"]).select(docs.columns).union(wordless.select(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
