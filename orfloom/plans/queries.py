@@ -266,6 +266,41 @@ def q24_silhouette(spark, d):
     return cluster.silhouette(v, v.where(F.col("id") % _ASK == 0)).withColumn("silhouette", F.round("silhouette", 4))
 
 
+_ASKED = "WHERE a.vec_id % 50 = 0"
+
+
+@query(SQL["q18_pair_distance"].replace(f" {_ASKED}", ""))
+def q18b_pair_distance_all(spark, d):
+    v = _vectors(spark, d)
+    return vectors.pair_distances(v, v, "id", "embedding").withColumn("distance", F.round("distance", 4))
+
+
+@query(SQL["q19_knn_top_k"].replace("% 50", "% 20"))
+def q19b_knn_top_k_searches(spark, d):
+    v = _vectors(spark, d)
+    return vectors.knn(v, v.where("id % 20 = 0"), 5, "id", "embedding").select("src", "rank", "dst", F.round("distance", 4).alias("distance"))
+
+
+@query(SQL["q20_radius_graph"].replace(f"{_ASKED} AND", "WHERE"))
+def q20b_radius_graph_all(spark, d):
+    v = _vectors(spark, d)
+    return vectors.radius_edges(v, v, 1.2, "id", "embedding").withColumn("distance", F.round("distance", 4))
+
+
+@query(SQL["q21_neighbor_summary"].replace("% 50", "% 20"))
+def q21b_neighbor_summary_searches(spark, d):
+    v = _vectors(spark, d)
+    e = vectors.merge_edges(vectors.knn(v, v.where("id % 20 = 0"), 6, "id", "embedding"))
+    s = vectors.neighbor_summary(e, v.withColumn("value", F.col("id")), "value", "label")
+    return s.select("src", "n_neighbors", F.round("mean_distance", 4).alias("mean_distance"), F.round("std_distance", 4).alias("std_distance"), "min_value", "n_same_label", "nearest_id")
+
+
+@query(SQL["q24_silhouette"].replace(f" {_ASKED}", ""))
+def q24b_silhouette_all(spark, d):
+    v = _clustered(spark, d)
+    return cluster.silhouette(v, v).withColumn("silhouette", F.round("silhouette", 4))
+
+
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), s AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1)
 SELECT vec_id AS id, round(sum((v - m) / s), 4) AS total, round(sum(((v - m) / s) * ((v - m) / s)), 3) AS square FROM x JOIN s USING (k) GROUP BY 1""")
 def q25_scaler(spark, d):

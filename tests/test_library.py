@@ -199,3 +199,29 @@ def test_relational(spark):
         relational.require_keys(df, df.where("k = 1"), "k")
     z = vectors.scale(spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "embedding array<double>"), "embedding").collect()
     assert sorted(r.scaled for r in z) == [[-1.0, 0.0], [1.0, 0.0]]
+
+
+def test_vector_queries_over_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from orfloom.plans.queries import QUERIES
+
+    r = random.Random(11)
+    x = np.array([[r.gauss(i % 3, 0.4) for _ in range(4)] for i in range(61)])
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float32).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {(e.i, e.j): e.distance for e in run("q18b_pair_distance_all")}
+    assert set(got) == set(itertools.combinations(range(61), 2)) and all(abs(v - d[k]) < 1e-4 for k, v in got.items())
+    assert {(e.src, e.dst) for e in run("q20b_radius_graph_all")} == set(map(tuple, np.argwhere(d <= 1.2).tolist()))
+    want = []
+    for i in range(61):
+        mean = [np.mean([d[i, j] for j in range(61) if j != i and j % 3 == c]) for c in range(3)]
+        a, b = mean[i % 3], min(m for c, m in enumerate(mean) if c != i % 3)
+        want.append((b - a) / max(a, b))
+    (s,) = run("q24b_silhouette_all")
+    assert s.n == 61 and abs(s.silhouette - np.mean(want)) < 1e-4
+    near = {i: np.lexsort((np.arange(61), d[i]))[:5].tolist() for i in range(0, 61, 20)}
+    assert {(e.src, e["rank"], e.dst) for e in run("q19b_knn_top_k_searches")} == {(i, k + 1, j) for i, js in near.items() for k, j in enumerate(js)}
+    assert {e.src for e in run("q21b_neighbor_summary_searches")} == {0, 20, 40, 60}
