@@ -108,6 +108,11 @@ def q05_keep_first_dedup(spark, d):
     return relational.keep_first(_t(spark, d, "documents"), ["text"], "doc_id").where(F.length("text") < 2000).select("doc_id", "text")
 
 
+@query(SQL["q05_keep_first_dedup"].replace(" AND length(text) < 2000", ""))
+def q05b_keep_first_dedup_all(spark, d):
+    return relational.keep_first(_t(spark, d, "documents"), ["text"], "doc_id").select("doc_id", "text")
+
+
 @query("""SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount, round(stddev_samp(l_tax), 6) AS tax_std,
   count(DISTINCT o_orderpriority) AS priorities FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
 def q06_group_summary_rollup(spark, d):
@@ -172,6 +177,13 @@ def q14_sliding_bins(spark, d):
     return stats.sliding_bins(_t(spark, d, "documents"), "n_chars", 0.0, 10_000.0, 250.0, 500.0, F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean"))
 
 
+@query(SQL["q14_sliding_bins"].replace("range(0, 41) AS r(g)", "(SELECT unnest(range(0, ceil(max(n_chars) / 250.0)::BIGINT + 1)) AS g FROM documents)"))
+def q14b_sliding_bins_all(spark, d):
+    docs = _t(spark, d, "documents")
+    last = 250.0 * (docs.agg(F.ceil(F.max("n_chars") / 250.0).alias("g")).first()["g"] or 0)
+    return stats.sliding_bins(docs, "n_chars", 0.0, last, 250.0, 500.0, F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean"))
+
+
 @query("""SELECT l_quantity, round(max(c), 8) AS ecdf FROM (SELECT l_quantity, cume_dist() OVER (ORDER BY l_quantity) AS c FROM lineitem) GROUP BY 1""")
 def q15_ecdf(spark, d):
     return stats.ecdf(_t(spark, d, "lineitem"), "l_quantity").withColumn("ecdf", F.round("ecdf", 8))

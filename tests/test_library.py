@@ -225,3 +225,13 @@ def test_vector_queries_over_all_rows(spark, tmp_path):
     near = {i: np.lexsort((np.arange(61), d[i]))[:5].tolist() for i in range(0, 61, 20)}
     assert {(e.src, e["rank"], e.dst) for e in run("q19b_knn_top_k_searches")} == {(i, k + 1, j) for i, js in near.items() for k, j in enumerate(js)}
     assert {e.src for e in run("q21b_neighbor_summary_searches")} == {0, 20, 40, 60}
+
+
+def test_long_documents_stay(spark, tmp_path):
+    from orfloom.plans.queries import QUERIES
+
+    rows = [(1, "a" * 10), (2, "b" * 2500), (3, "b" * 2500), (4, "c" * 30_010)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(x.doc_id for x in QUERIES["q05b_keep_first_dedup_all"](spark, str(tmp_path)).collect()) == [1, 2, 4]
+    n = {x.center: x.n for x in QUERIES["q14b_sliding_bins_all"](spark, str(tmp_path)).collect()}
+    assert n == {0: 1, 250: 1, 500: 1, 2250: 2, 2500: 2, 2750: 2, 29_750: 1, 30_000: 1, 30_250: 1}
