@@ -28,8 +28,8 @@ def subsequence(seq: Column, start: Column, stop: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """The in-frame codons of a sequence, an incomplete last one left out."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(seq, i * 3 + 1, 3))).otherwise(F.array().cast("array<string>"))
+    # One pass: substrings by place cost the square of the length.
+    return F.coalesce(F.regexp_extract_all(seq, F.lit(r"(?s).{3}"), F.lit(0)), F.array().cast("array<string>"))
 
 
 def codon_positions(seq: Column, wanted: tuple[str, ...]) -> Column:

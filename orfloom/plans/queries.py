@@ -209,6 +209,27 @@ def q17_codon_orfs(spark, d):
     return x.where(F.col("c").isin(*seq.START_CODONS, *seq.STOP_CODONS[11])).select("item_id", F.col("codon").cast("long").alias("codon"), F.col("c").isin(*seq.STOP_CODONS[11]).alias("is_stop"))
 
 
+_DOCS = {"item_id": "doc_id", "benchmark": "documents", "/ length(s), 6)": "/ nullif(length(s), 0), 6)"}
+
+
+def _of_documents(sql: str) -> str:
+    for a, b in _DOCS.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
+@query(_of_documents(SQL["q16_seq_functions"]))
+def q16b_seq_functions_documents(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", _rna().alias("s"))
+    return x.select("doc_id", F.length("s").cast("long").alias("n"), seq.reverse_complement(F.col("s")).alias("rc"), F.round(seq.gc_content(F.col("s")), 6).alias("gc"), seq.residue_count(F.col("s"), "A").cast("long").alias("n_a"))
+
+
+@query(_of_documents(SQL["q17_codon_orfs"]))
+def q17b_codon_orfs_documents(spark, d):
+    x = _t(spark, d, "documents").select("doc_id", F.posexplode(seq.codons(_rna())).alias("codon", "c"))
+    return x.where(F.col("c").isin(*seq.START_CODONS, *seq.STOP_CODONS[11])).select("doc_id", F.col("codon").cast("long").alias("codon"), F.col("c").isin(*seq.STOP_CODONS[11]).alias("is_stop"))
+
+
 def _vectors(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -235,3 +235,20 @@ def test_long_documents_stay(spark, tmp_path):
     assert sorted(x.doc_id for x in QUERIES["q05b_keep_first_dedup_all"](spark, str(tmp_path)).collect()) == [1, 2, 4]
     n = {x.center: x.n for x in QUERIES["q14b_sliding_bins_all"](spark, str(tmp_path)).collect()}
     assert n == {0: 1, 250: 1, 500: 1, 2250: 2, 2500: 2, 2750: 2, 29_750: 1, 30_000: 1, 30_250: 1}
+
+
+def test_sequence_queries_read_documents(spark, tmp_path):
+    from orfloom.plans.queries import QUERIES
+
+    # Letters go to ACGU in turn.
+    rows = [(1, "adc, " + "adc" * 20_000), (2, "dad aac"), (3, "12"), (4, "ab")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rna = lambda t: "".join("ACGU"[(ord(c) - 97) % 4] for c in t if c.isalpha())
+    got = {x.doc_id: x for x in QUERIES["q16b_seq_functions_documents"](spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        s = rna(t)
+        gc = round(sum(c in "GC" for c in s) / len(s), 6) if s else None
+        assert tuple(got[i]) == (i, len(s), s[::-1].translate(str.maketrans("ACGU", "UGCA")), gc, s.count("A"))
+    stops, starts = ("UAA", "UAG", "UGA"), ("AUG", "GUG", "UUG")
+    want = {(i, k // 3, s[k : k + 3] in stops) for i, t in rows for s in [rna(t)] for k in range(0, len(s) - 2, 3) if s[k : k + 3] in stops + starts}
+    assert want and {tuple(x) for x in QUERIES["q17b_codon_orfs_documents"](spark, str(tmp_path)).collect()} == want
