@@ -109,11 +109,16 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN sets USING (doc_id) LEFT JOIN rep US
 """,
     "op3_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS own, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
-n AS (SELECT doc_id, line, own, len(regexp_extract_all(own, '[^\x20\x09-\x0D]+')) AS words FROM l),
-w AS (SELECT *, lead(own) OVER d AS after, row_number() OVER d AS seq FROM n WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY line)),
-one AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY doc_id, seq) AS k FROM w),
-two AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY own, after ORDER BY doc_id, seq) AS k FROM w WHERE after IS NOT NULL),
-gone AS (SELECT doc_id, seq FROM one WHERE k > 1 AND words >= 8 UNION SELECT doc_id, seq FROM two WHERE k > 1 UNION SELECT doc_id, seq + 1 FROM two WHERE k > 1),
+n AS (SELECT doc_id, line, own, length(regexp_replace(own, '[\x20\x09-\x0D]+', '', 'g')) AS c FROM l),
+d AS (SELECT doc_id, list(own ORDER BY line) AS os, list(c ORDER BY line) AS cs FROM n WHERE c > 0 GROUP BY 1),
+p AS (SELECT doc_id, os, cs, unnest(range(1, len(cs) + 1)) AS i FROM d),
+s AS (SELECT doc_id, os, i, list_filter(range(1, 17), lambda m: i + m - 1 <= len(cs) AND list_sum(cs[i:i+m-1]) >= 16)[1] AS ahead,
+  list_filter(range(1, 17), lambda m: i - m >= 0 AND list_sum(cs[i-m+1:i]) >= 16)[1] AS back FROM p),
+r AS (SELECT doc_id, i AS seq, ahead AS m, array_to_string(os[i:i+ahead-1], chr(10)) AS run FROM s WHERE ahead IS NOT NULL
+  UNION SELECT doc_id, i - back + 1, back, array_to_string(os[i-back+1:i], chr(10)) FROM s WHERE back IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, seq) AS k FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(range(seq, seq + m)) AS seq FROM k WHERE k > 1),
+w AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM n WHERE c > 0),
 g AS (SELECT doc_id, line FROM w SEMI JOIN gone USING (doc_id, seq)),
 t AS (SELECT doc_id, string_agg(own, chr(10) ORDER BY line) AS kept FROM n ANTI JOIN g USING (doc_id, line) GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY 1)

@@ -101,16 +101,6 @@ def test_substring_dedup(spark, window, group):
     assert cut_repeats(frame(spark, []), window=window, group=group).count() == 0
 
 
-def test_line_dedup(spark):
-    from orfloom.llm.line_dedup import drop_repeated_lines
-
-    long = "this line has more than eight words in it"
-    rows = [(1, f"a\nb\nc\n\n{long}"), (2, f"x\n{long}\ny"), (3, "a\nb"), (4, "a\nz\nb"), (5, None), (6, ""), (7, "q\nq\nq\nq"), (None, "a\nb\nc"), (2, f"x\n{long}\ny")]
-    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in drop_repeated_lines(frame(spark, rows)).collect()}
-    assert got == {(1, rows[0][1], 5, 0), (2, "x\ny", 3, 1), (3, "", 2, 2), (4, "a\nz\nb", 3, 0), (5, None, 0, 0), (6, "", 1, 0), (7, "q", 4, 3), (None, "", 3, 3)}
-    assert drop_repeated_lines(frame(spark, [])).count() == 0
-
-
 def test_quality_rules(spark):
     from orfloom.llm.quality_rules import apply_rules, bucket
 
@@ -191,46 +181,6 @@ def test_html_text(spark):
     assert sorted((r.page_id, r.url, r.n_chars) for r in extract_main_text(df).collect() if r.url) == [(2, "u", 0), (2, "u", 0)]
 
 
-def test_nearest(spark):
-    from orfloom.llm.ann import nearest
-
-    r = np.random.default_rng(1)
-    x = r.normal(size=(3000, 16)) * r.uniform(0.5, 2, (3000, 1))
-    x[500:560] = 5 * x[500]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(4000, None), (4020, [0.0] * 16), (4001, [float("nan")] * 16), (4002, [None] * 16), (4003, [1.0]), (None, [1.0] * 16)]
-    got = collections.defaultdict(list)
-    for q in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10).orderBy("query_id", "rank").collect():
-        got[q.query_id].append((q.vec_id, q.score))
-    hit = 0
-    for q in range(0, 3000, 20):
-        s = np.einsum("d,nd->n", x[q], x)
-        s[q] = -np.inf
-        best = np.lexsort((np.arange(3000), -s))[:10]
-        assert all(abs(s[i] - v) < 1e-12 for i, v in got[q])
-        hit += len(set(best.tolist()) & {i for i, _ in got[q]})
-    assert set(got) == set(range(0, 3000, 20)) and hit / 1500 >= 0.9
-    assert [i for i, _ in got[500]][:3] == [501, 502, 503]
-    assert nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
-
-
-def test_nearest_many_lists(spark):
-    from orfloom.llm.ann import nearest
-
-    r = np.random.default_rng(2)
-    x = r.normal(size=(10, 64))[r.integers(0, 10, 40_000)] + 6 * r.normal(size=(40_000, 64))
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}))
-    got = collections.defaultdict(set)
-    for q in nearest(vectors, vectors.where("vec_id % 400 = 0")).collect():
-        got[q.query_id].add(q.vec_id)
-    hit = 0
-    for q in range(0, len(x), 400):
-        s = x @ x[q]
-        s[q] = -np.inf
-        hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
-    assert hit / 2000 >= 0.9
-
-
 def test_byte_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     from orfloom.llm.byte_bpe import decode_ids, encode_documents
