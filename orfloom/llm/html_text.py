@@ -3,7 +3,7 @@
 The article's blocks are found by elements and roles: what lies in navigation,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments is left out, and where a page marks its main part (article, main) only
-that part counts.  Removing what a host's pages repeat is not used to decide:
+that part counts, unless most of the text is elsewhere.  Removing what a host's pages repeat is not used to decide:
 copies of an article on one host are long repeats too and must stay, and menus
 that differ from page to page are not repeats at all (see the README).
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +33,12 @@ BLOCK = frozenset(
 SKIP = frozenset("head script style nav footer aside form noscript template iframe svg math button select textarea dialog menu object canvas audio video title noframes xmp".split())
 MAIN = frozenset(("article", "main"))
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar note".split())
-#: Words of a class or id that mark what is not main text.
-SKIP_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|topbar|masthead|header|footer|comments?|respond|replies|reply|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Names of classes and ids that mark what is not main text, wherever they are a word of a name (as in ``top-ad``).
+AWAY = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|respond|replies|reply|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|widget"
+#: Names that do so as a whole name, or as a word of one outside the main part: in an article, ``section-header`` is text.
+FRAME = r"banner|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|topbar|masthead|header|footer"
+SKIP_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{AWAY})(?:$|[\s_-])|(?:^|\s)(?:{FRAME})(?:$|\s)", re.IGNORECASE)
+SKIP_OUTSIDE = re.compile(rf"(?:^|[\s_-])(?:{AWAY}|{FRAME})(?:$|[\s_-])", re.IGNORECASE)
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
@@ -54,7 +56,7 @@ def _skips(name: str, attrs: str, inside: bool) -> bool:
             return True
         if key == "role" and value.strip().lower() in SKIP_ROLES:
             return True
-        if key in ("class", "id") and name not in ("html", "body") and name not in MAIN and SKIP_NAME.search(value):
+        if key in ("class", "id") and name not in ("html", "body") and name not in MAIN and (SKIP_INSIDE if inside else SKIP_OUTSIDE).search(value):
             return True
         if key == "class" and name == "article" and re.search(r"(?:^|[\s_-])(?:comments?|reply|ads?|related|promo)(?:$|[\s_-])", value, re.IGNORECASE):
             return True
@@ -64,6 +66,7 @@ def _skips(name: str, attrs: str, inside: bool) -> bool:
 def main_text(page: str) -> str:
     """The main text of a page: its blocks joined by newlines, white space within a block as one space."""
     stack: list[tuple[str, bool, bool]] = []  # (element, in a skipped one, in a main one)
+    is_open: Counter[str] = Counter()
     blocks: list[tuple[bool, str]] = []
     own: list[str] = []
     skip = main = any_main = False
@@ -79,6 +82,7 @@ def main_text(page: str) -> str:
     def pop_to(k):
         nonlocal skip, main
         close_block()
+        is_open.subtract(name for name, _, _ in stack[k:])
         del stack[k:]
         skip, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -96,16 +100,16 @@ def main_text(page: str) -> str:
             if name == "br":
                 own.append(" " if not skip else "")
                 continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or stack[k][1]:
-                        pop_to(k)
-                    else:
-                        del stack[k]
-                    break
-            else:
+            if not is_open[name]:
                 if name in BLOCK and not skip:
                     close_block()
+                continue
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+            if name in BLOCK or stack[k][1]:
+                pop_to(k)
+            else:
+                is_open[name] -= 1
+                del stack[k]
             continue
         if name in VOID:
             if not skip:
@@ -135,11 +139,13 @@ def main_text(page: str) -> str:
         any_main |= now_main and not hide
         if (m[3] or "").rstrip().endswith("/") and name not in BLOCK:
             continue
-        if len(stack) < 4096:
-            stack.append((name, hide, now_main))
-            skip, main = hide, now_main
+        stack.append((name, hide, now_main))
+        is_open[name] += 1
+        skip, main = hide, now_main
     close_block()
-    return "\n".join(t for is_main, t in blocks if is_main or not any_main)
+    # A marked part that holds less than half of the text is a teaser, not the main story.
+    marked = any_main and 2 * sum(len(t) for is_main, t in blocks if is_main) >= sum(len(t) for _, t in blocks)
+    return "\n".join(t for is_main, t in blocks if is_main or not marked)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orfloom.llm import scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: Fewest words, and the largest percentage of words in repeated 3-word windows.
@@ -114,8 +116,10 @@ def limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return q.select(*keys, "metric", "n", F.when(two, F.col("q2") - reach).otherwise(F.lit(-1)).alias("low"), (F.col("q2") + reach).alias("high"))
 
 
-def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """All columns of docs with the base metrics, base_failed and kept.
+def apply_rules(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP, columns: list[str] | None = None
+) -> DataFrame:
+    """The columns of docs (all, unless ``columns`` names some) with the base metrics, base_failed and kept.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT percent
     of the words in 3-word windows that the text repeats.  kept: not base_failed
@@ -123,11 +127,17 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     did not fail.  A null text is empty (and fails); null languages and sources
     form groups like any other; repeated rows count each; an empty table gives
     an empty result.  Columns of docs that are named like new ones are replaced.
+    The metrics are computed once and written with the columns asked for; the
+    limits are fitted on that table and joined with it.
     """
     base = base_metrics(docs, text_col)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     base = base.withColumn("base_failed", failed).withColumns(metric_columns())
     base = base.withColumn("lang_", F.col("row").getField(lang_col)).withColumn("source_", F.col("row").getField(source_col))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = [c for c in columns or docs.columns if c not in (*added, "kept")]
+    own = F.struct(*[F.col("row").getField(c).alias(c) for c in names]) if names else F.struct(F.lit(0))
+    base = scratch.table(base.select(own.alias("row"), *added, *METRICS, "lang_", "source_"), "metrics")
     fine = sketches(base.where("not base_failed"), ["lang_", "source_"])
     wide = lambda t, keys, name: t.groupBy(*keys).agg(
         F.max("n").alias(f"{name}_n"), F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias(name)
@@ -143,6 +153,4 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     for m in METRICS:
         at = F.col("limit").getItem(m)
         inside = inside & (F.col(m) >= at["low"]) & (F.col(m) <= at["high"])
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    names = [c for c in docs.columns if c not in (*added, "kept")]
     return out.select(*[F.col("row").getField(c).alias(c) for c in names], *added, (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

@@ -43,8 +43,7 @@ def op4_packing(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    out = apply_rules(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return out.drop("text", "lang", "source")
+    return apply_rules(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), columns=["doc_id"])
 
 
 def op6_chat_formatting(spark, sf_dir):

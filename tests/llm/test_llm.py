@@ -254,3 +254,18 @@ def test_pipeline_repeated_rows(spark, tmp_path):
         step = stage(spark, step, str(tmp_path))
     assert sorted((x.doc_id or 0 for x in step.collect())) == [0, 0, 1, 2, 3]
     assert collections.Counter(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x.start == 0) == {1: 1, 2: 1, 3: 1, None: 2}
+
+
+def test_quality_rules_odd_rows(spark):
+    from orfloom.llm.quality_rules import apply_rules
+
+    r = random.Random(4)
+    text = lambda: " ".join(f"{chr(97 + r.randrange(26))}ord{r.randrange(99999)}" for _ in range(90))
+    rows = [(i, text(), "en" if i % 2 else None, "s") for i in range(40)] + [(7, "same row twice " * 2 + text(), None, None)] * 2 + [(90, text() + " " + " ".join(text() for _ in range(2500)), "en", None)]
+    df = spark.createDataFrame([(i, t, a, b, True, 3) for i, t, a, b in rows], "doc_id long, text string, lang string, source string, kept boolean, n_words int")
+    out = apply_rules(df)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = out.collect()
+    assert sorted(((x.doc_id, x.text, x.lang, x.source) for x in got), key=str) == sorted(rows, key=str)
+    assert all(x.kept and x.n_words == len(W.findall(x.text)) for x in got)
+    assert apply_rules(df, columns=["doc_id"]).columns == ["doc_id", *out.columns[4:]]
