@@ -14,20 +14,24 @@ ALIGNMENT = T.StructType(
 
 
 def local_alignment(a: str, b: str, match: float = 1, mismatch: float = 0, gap_open: float = -11, gap_extend: float = -1) -> tuple:
-    """(score, matches, length, aligned blocks, gapped a, gapped b) of a best local alignment."""
+    """(score, matches, length, aligned blocks, gapped a, gapped b) of a best local alignment.
+
+    A row of the table is one array operation; opening a gap must cost as much as extending it, or more.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, 0, 0, 0, "", ""
     score = np.zeros((n + 1, m + 1))
     up, left = np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    letters = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    letters, place = np.frombuffer(b.encode("utf-32-le"), np.uint32), np.arange(m + 1)
     for i, c in enumerate(a, 1):
         up[i] = np.maximum(score[i - 1] + gap_open, up[i - 1] + gap_extend)
         diagonal = score[i - 1, :-1] + np.where(letters == ord(c), match, mismatch)
         best = np.maximum(0, np.maximum(diagonal, up[i, 1:]))
-        for j in range(1, m + 1):
-            left[i, j] = max(score[i, j - 1] + gap_open, left[i, j - 1] + gap_extend)
-            score[i, j] = max(best[j - 1], left[i, j])
+        # A gap that ends at j opens at the k < j with the largest score less what its length costs: a running maximum.
+        opened = np.maximum.accumulate(np.concatenate([[0.0], best]) - gap_extend * place)
+        left[i, 1:] = opened[:-1] + gap_open + gap_extend * (place[1:] - 1)
+        score[i, 1:] = np.maximum(best, left[i, 1:])
     i, j = np.unravel_index(int(np.argmax(score)), score.shape)
     top, rows, state = float(score[i, j]), [], "m"
     while i and j:

@@ -88,6 +88,25 @@ def point_mutations(seq: Column, letters: str = RESIDUES) -> Column:
     return F.filter(F.flatten(F.transform(place, one)), lambda m: m.seq != seq)
 
 
+def mutations(seq: Column, n: int = 1, letters: str = RESIDUES) -> Column:
+    """All sequences that differ in exactly n places: array of (place: the last one, seq).  Their number grows with the n-th power of the length."""
+    out = F.array(F.struct(F.lit(0).alias("place"), seq.alias("seq")))
+    for _ in range(n):
+        later = lambda m: F.when(m.place < F.length(m.seq), F.sequence(m.place + 1, F.length(m.seq))).otherwise(F.array().cast("array<int>"))
+        other = lambda m, i: F.filter(F.array(*[F.lit(x) for x in letters]), lambda r: r != F.substring(m.seq, i, F.lit(1)))
+        out = F.flatten(F.transform(out, lambda m: F.flatten(F.transform(later(m), lambda i: F.transform(other(m, i), lambda r: F.struct(i.alias("place"), F.overlay(m.seq, r, i, F.lit(1)).alias("seq")))))))
+    return out
+
+
+def potential_orfs(seq: Column, table: int = 11) -> Column:
+    """(start, stop) of every start codon with every later stop codon in its frame, 0-based and half-open.
+
+    Their number grows with the square of the length; find_orfs pairs a start with its next stop only.
+    """
+    starts, stops = codon_positions(seq, START_CODONS), codon_positions(seq, STOP_CODONS[table])
+    return F.flatten(F.transform(starts, lambda a: F.transform(F.filter(stops, lambda b: (b > a) & ((b - a) % 3 == 0)), lambda b: F.struct(a.alias("start"), (b + 3).alias("stop")))))
+
+
 def pair_id(a: Column, b: Column) -> Column:
     return F.array_join(F.array_sort(F.array(a, b)), "+")
 

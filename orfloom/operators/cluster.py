@@ -2,39 +2,136 @@
 
 from __future__ import annotations
 
-import uuid
+import heapq
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfloom.operators.vectors import euclidean
+from orfloom.operators.vectors import _edge_kernel, distances, euclidean, in_blocks, knn
 
-#: Rows of a cluster up to which it is split on the driver; a fixed bound.
-LOCAL_ROWS = 20_000
+#: Rows of a cluster up to which one task splits it; larger ones take a pass over the rows for each round.
+TASK_ROWS = 20_000
 
 
-def _two_means(x: np.ndarray, seed: int, starts: int, rounds: int) -> np.ndarray:
-    """0/1 for each row: the best of several 2-means runs."""
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
-    for _ in range(starts):
-        c = x[rng.choice(len(x), 2, replace=False)].copy()
+def _assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(side, squared distance) of each row to the nearer of two centers."""
+    d = np.stack([((x - c[k]) ** 2).sum(1) for k in (0, 1)], 1)
+    side = d.argmin(1)
+    return side, d[np.arange(len(x)), side]
+
+
+def _two_means(x: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
+    """0/1 for each row: the best of several 2-means runs, one from each pair of centers."""
+    best = (np.inf, None)
+    for c in starts.copy():
         side = None
         for _ in range(rounds):
-            d = ((x[:, None] - c[None]) ** 2).sum(2)
-            new = d.argmin(1)
+            new, _ = _assign(x, c)
             if side is not None and (new == side).all():
                 break
             side = new
             for k in (0, 1):
                 if (side == k).any():
                     c[k] = x[side == k].mean(0)
-        cost = d.min(1).sum()
+        cost = _assign(x, c)[1].sum()
         if cost < best[0] and 0 < side.sum() < len(x):
             best = (cost, side)
-    return best[1] if 0 < best[1].sum() < len(x) else (np.arange(len(x)) % 2)
+    return np.arange(len(x)) % 2 if best[1] is None else best[1]
+
+
+def _starts(rows: DataFrame, n_init: int, seed: int) -> dict[int, np.ndarray]:
+    """n_init pairs of rows of each node, the first and last by a seeded hash: (n_init, 2, dims) by node."""
+    pick = []
+    for t in range(n_init):
+        h = F.struct(F.xxhash64("id", F.lit(seed + t)), F.col("id"))
+        pick += [F.min_by("v", h).alias(f"a{t}"), F.max_by("v", h).alias(f"b{t}")]
+    got = rows.groupBy("node").agg(*pick).collect()  # as many rows as clusters are split in a pass
+    return {r["node"]: np.array([[r[f"a{t}"], r[f"b{t}"]] for t in range(n_init)], np.float64) for r in got}
+
+
+def _large_centers(rows: DataFrame, starts: dict[int, np.ndarray], rounds: int) -> dict[int, np.ndarray | None]:
+    """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once."""
+    spark, now, open_ = rows.sparkSession, {n: c.copy() for n, c in starts.items()}, set(starts)
+    cost = {n: np.full(len(c), np.inf) for n, c in starts.items()}
+    for _ in range(rounds):
+        if not open_:
+            break
+        shared = spark.sparkContext.broadcast({n: now[n] for n in open_})
+
+        def sums(batches):
+            total = {}
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+                for n in np.unique(node):
+                    for t, c in enumerate(shared.value.get(int(n), ())):  # noqa: B023
+                        own = x[node == n]
+                        side, d = _assign(own, c)
+                        for k in (0, 1):
+                            at = total.setdefault((int(n), t, k), [0, 0.0, np.zeros(x.shape[1])])
+                            at[0] += int((side == k).sum())
+                            at[1] += float(d[side == k].sum())
+                            at[2] += own[side == k].sum(0)
+            for (n, t, k), (count, far, vector) in total.items():
+                yield pa.RecordBatch.from_pylist([{"node": n, "t": t, "k": k, "n": count, "cost": far, "sum": vector.tolist()}])
+
+        part = rows.where(F.col("node").isin(sorted(open_))).select("node", "v").mapInArrow(sums, "node long, t long, k long, n long, cost double, sum array<double>")
+        flat = part.select("node", "t", "k", "n", "cost", F.posexplode("sum").alias("d", "x"))
+        vectors = flat.groupBy("node", "t", "k", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+        got = vectors.groupBy("node", "t", "k").agg(F.max("n").alias("n"), F.max("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("d", "x"))).alias("s")).collect()
+        by: dict = {}
+        for r in got:
+            by.setdefault(r["node"], {})[r["t"], r["k"]] = (r["n"], r["cost"], np.array([x["x"] for x in r["s"]]))
+        for n in list(open_):
+            before = now[n].copy()
+            for t in range(len(now[n])):
+                cost[n][t] = sum(by[n][t, k][1] for k in (0, 1)) if all(by[n][t, k][0] for k in (0, 1)) else np.inf
+                for k in (0, 1):
+                    if by[n][t, k][0]:
+                        now[n][t, k] = by[n][t, k][2] / by[n][t, k][0]
+            if np.allclose(before, now[n], rtol=1e-9, atol=1e-12):
+                open_.discard(n)
+    return {n: (now[n][int(np.argmin(cost[n]))] if np.isfinite(cost[n]).any() else None) for n in starts}
+
+
+def _split_pass(rows: DataFrame, sizes: dict[int, int], first_new: int, n_init: int, rounds: int, seed: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """((id, node) of the members of the nodes in sizes after their splits, node -> (child 0, child 1))."""
+    spark = rows.sparkSession
+    rows = rows.where(F.col("node").isin(sorted(sizes))).select("id", "v", F.col("node").cast("long").alias("node"))
+    starts = _starts(rows, n_init, seed)
+    children = {n: (first_new + 2 * i, first_new + 2 * i + 1) for i, n in enumerate(sorted(sizes))}
+    small = {n for n in sizes if sizes[n] <= TASK_ROWS}
+    shared = spark.sparkContext.broadcast(({n: starts[n] for n in small}, children))
+    schema = f"id {dict(rows.dtypes)['id']}, node long"
+
+    def in_task(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("id")
+        n = int(t["node"].iloc[0])
+        side = _two_means(np.stack(t["v"].to_numpy()).astype(np.float64), shared.value[0][n], rounds)
+        return pd.DataFrame({"id": t["id"], "node": np.array(shared.value[1][n])[side]})
+
+    out = rows.where(F.col("node").isin(sorted(small))).groupBy("node").applyInPandas(in_task, schema)
+    large = {n: c for n, c in starts.items() if n not in small}
+    if large:
+        final = spark.sparkContext.broadcast((_large_centers(rows, large, rounds), children))
+
+        def assign(batches):
+            found, names = final.value
+            for batch in batches:
+                node = batch.column("node").to_numpy()
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
+                side = batch.column("half").to_numpy().astype(np.int64)  # where all rows are at one place
+                for n in np.unique(node):
+                    if found[int(n)] is not None:
+                        side[node == n] = _assign(x[node == n], found[int(n)])[0]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[int(n)][k] for n, k in zip(node, side)], pa.int64())], ["id", "node"])
+
+        half = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).alias("half")
+        out = out.union(rows.where(F.col("node").isin(sorted(large))).select("id", "v", "node", half).mapInArrow(assign, schema))
+    return out, children
 
 
 def bisecting_kmeans(
@@ -44,60 +141,73 @@ def bisecting_kmeans(
 
     Each step splits the largest cluster with more than one label (the largest
     of all once none is left, or with strategy="largest"); child 0 keeps the id,
-    child 1 gets the next.  Small clusters are split on the driver, larger ones
-    by distributed 2-means; assignments are checkpointed every few steps.
+    child 1 gets the next.  A split does not depend on the others, so a pass
+    makes all that may be needed at once, and the steps are then read off in
+    order: passes grow with the depth of the tree, not with its clusters.  Each
+    is the best of n_init runs from the same starts whether one task holds the
+    cluster or many do.  Ids must be unique.  Node tables are checkpointed.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).alias("label"), F.lit(0).alias("cluster_id"))
-    log: list[tuple[int, int, int]] = []
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    rows = rows.checkpoint()
-    for step in range(1, n_clusters):
-        # One row for each cluster.
-        size = rows.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("l")).where("n > 1")
-        mixed = (F.col("l") > 1).cast("int") if strategy == "largest_non_homogenous" else F.lit(1)
-        pick = size.orderBy(mixed.desc(), F.desc("n"), "cluster_id").limit(1).collect()
-        if not pick:
-            break
-        parent, n = pick[0]["cluster_id"], pick[0]["n"]
-        own = rows.where(F.col("cluster_id") == parent)
-        if n <= LOCAL_ROWS:
-            got = own.select("id", "v").orderBy("id").collect()
-            side = _two_means(np.array([r["v"] for r in got]), seed, n_init, max_iter)
-            moved = spark.createDataFrame([(r["id"],) for r, s in zip(got, side.tolist()) if s], f"id {dict(df.dtypes)[id_col]}")
-        else:
-            model = KMeans(k=2, seed=seed, maxIter=max_iter, featuresCol="f", predictionCol="side").fit(own.withColumn("f", array_to_vector("v")))
-            moved = model.transform(own.withColumn("f", array_to_vector("v"))).where("side = 1").select("id")
-        rows = rows.join(moved.withColumn("_m", F.lit(True)), "id", "left").withColumn("cluster_id", F.when(F.col("_m"), step).otherwise(F.col("cluster_id"))).drop("_m")
-        rows = rows.checkpoint()
-        log.append((step, parent, step))
-    return rows.select("id", "cluster_id"), log
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    rows = df.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).alias("label"))
+    nodes = rows.select("id", "label", F.lit(0).cast("long").alias("node")).checkpoint()
+    first = nodes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("l")).first()
+    facts, children = {0: (first["n"], first["l"])}, {}
+    log: list[tuple[int, int, int]] = []
+    leaf = {0: 0}  # cluster -> node
+
+    def rank(cluster: int) -> tuple:
+        n, labels = facts[leaf[cluster]]
+        return (0 if strategy != "largest_non_homogenous" or labels > 1 else 1, -n, cluster)
+
+    waiting = [rank(0)] if first["n"] > 1 else []
+    while waiting and len(log) < n_clusters - 1:
+        node = leaf[waiting[0][2]]
+        if node not in children:
+            need = [leaf[c] for _, _, c in heapq.nsmallest(n_clusters - 1 - len(log), waiting) if leaf[c] not in children]
+            moved, new = _split_pass(rows.join(nodes.select("id", "node"), "id"), {n: facts[n][0] for n in need}, 1 + 2 * len(children), n_init, max_iter, seed)
+            children |= new
+            moved = moved.withColumnRenamed("node", "_new")
+            nodes = nodes.join(moved, "id", "left").select("id", "label", F.coalesce("_new", "node").alias("node")).checkpoint()
+            fresh = nodes.where(F.col("node").isin([x for pair in new.values() for x in pair])).groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("label").alias("l")).collect()
+            facts |= {r["node"]: (r["n"], r["l"]) for r in fresh}
+        cluster = heapq.heappop(waiting)[2]
+        step = len(log) + 1
+        leaf[cluster], leaf[step] = children[node]
+        log.append((step, cluster, step))
+        for c in (cluster, step):
+            if facts[leaf[c]][0] > 1:
+                heapq.heappush(waiting, rank(c))
+    # Nodes below a final cluster's node were split ahead but not used.
+    final = {}
+    for cluster, node in leaf.items():
+        below = [node]
+        while below:
+            at = below.pop()
+            final[at] = cluster
+            below += children.get(at, ())
+    table = spark.createDataFrame(sorted(final.items()), "node long, cluster_id int")  # at most a few entries for each cluster
+    return nodes.join(F.broadcast(table), "node").select("id", "cluster_id"), log
 
 
 def homogeneous_depth(log: list[tuple[int, int, int]], labels: dict[int, set]) -> dict[int, int]:
-    """Splits above each final cluster until the first ancestor whose members share one label (-1: none)."""
-    parent = {new: (old, step) for step, old, new in log}
-    out = {}
-    for c in labels:
-        members, depth, at = set(labels[c]), 0, c
-        best = 0 if len(members) == 1 else -1
-        while at in parent:
-            at, since = parent[at]
-            depth += 1
-            members |= set().union(*(labels[k] for k in labels if _ancestor(k, at, since, parent)))
-            if len(members) == 1:
-                best = depth
-        out[c] = best
+    """Splits above each final cluster up to the highest ancestor whose members share one label (-1: not even its own do)."""
+    held = {c: set(x) for c, x in labels.items()}
+    members = {c: [c] for c in labels}
+    depth, out = dict.fromkeys(labels, 0), {c: 0 if len(x) == 1 else -1 for c, x in labels.items()}
+    for _, parent, new in reversed(log):
+        members[parent] = members.get(parent, []) + members.pop(new, [])
+        held[parent] = held.get(parent, set()) | held.pop(new, set())
+        for c in members[parent]:
+            depth[c] += 1
+            if len(held[parent]) == 1:
+                out[c] = depth[c]
     return out
 
 
-def _ancestor(c: int, at: int, since: int, parent: dict) -> bool:
-    while c != at and c in parent and parent[c][1] >= since:
-        c = parent[c][0]
-    return c == at
-
-
 def centers(df: DataFrame, cluster_col: str = "cluster_id", vector_col: str = "embedding") -> DataFrame:
     """(cluster_id, center): mean vectors; sums combine before the shuffle."""
     flat = df.select(F.col(cluster_col).alias("cluster_id"), F.posexplode(vector_col).alias("d", "x"))
@@ -105,16 +215,51 @@ def centers(df: DataFrame, cluster_col: str = "cluster_id", vector_col: str = "e
     return mean.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x.m).alias("center"))
 
 
+#: Bytes of centers that every task may hold.
+CENTER_BYTES = 64 << 20
+
+
 def nearest_centers(df: DataFrame, cs: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(id, rank, cluster_id, distance): the n nearest clusters of each row.
+    """(id, rank, cluster_id, distance): the n nearest clusters of each row, ties to the smaller cluster id.
 
-    All centers are one row, an array of as many entries as there are clusters
-    (at most some ten thousand by design), so rows need no shuffle.
+    Centers of at most CENTER_BYTES go to every task, so rows need no shuffle;
+    more are held against the rows in blocks.  Both ways give the same rows.
     """
-    one = cs.agg(F.collect_list(F.struct("cluster_id", "center")).alias("_c"))
-    near = F.slice(F.array_sort(F.transform("_c", lambda c: F.struct(euclidean(F.col(vector_col), c.center).alias("distance"), c.cluster_id.alias("cluster_id")))), 1, n)
-    out = df.join(one).select(F.col(id_col).alias("id"), F.posexplode(near).alias("rank", "_x"))
-    return out.select("id", (F.col("rank") + 1).alias("rank"), "_x.cluster_id", "_x.distance")
+    size = cs.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("center")), F.lit(0)).alias("d")).first()
+    if 8 * size["n"] * size["d"] > CENTER_BYTES:
+        kinds = dict(df.dtypes)[id_col], dict(cs.dtypes)["cluster_id"]
+        rows, own = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), cs.select(F.col("cluster_id").alias("id"), F.col("center").alias("v"))
+        near = in_blocks(rows, own, _edge_kernel(lambda a, b, d: _near(d, n)), f"src {kinds[0]}, dst {kinds[1]}, distance double")
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+        return near.withColumn("rank", rank).where(F.col("rank") <= n).select(F.col("src").alias("id"), "rank", F.col("dst").alias("cluster_id"), "distance")
+    centers_ = sorted(cs.collect(), key=lambda r: r["cluster_id"])
+    if not centers_:
+        return df.select(F.col(id_col).alias("id"), F.lit(1).alias("rank"), F.lit(0).alias("cluster_id"), F.lit(0.0).alias("distance")).where("false")
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r["cluster_id"] for r in centers_]), np.array([r["center"] for r in centers_], np.float64)))
+
+    def rows(batches):
+        names, c = shared.value
+        k = min(n, len(c))
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                d = distances(part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1), c)
+                best = np.argsort(d, 1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(part.num_rows), k)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(i)), pa.array(np.tile(np.arange(1, k + 1), part.num_rows).astype(np.int32)), pa.array(names[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())],
+                    ["id", "rank", "cluster_id", "distance"],
+                )
+
+    src = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    kind = dict(cs.dtypes)["cluster_id"]
+    out = src.mapInArrow(rows, f"id {dict(src.dtypes)['id']}, rank int, cluster_id {'string' if kind == 'string' else 'long'}, distance double")
+    return out.withColumn("cluster_id", F.col("cluster_id").cast(kind))
+
+
+def _near(d: np.ndarray, n: int) -> np.ndarray:
+    least = np.partition(d, n - 1, 1)[:, n - 1] if d.shape[1] > n else np.full(len(d), np.inf)
+    return d <= least[:, None] * (1 + 1e-9)
 
 
 def cluster_labels(df: DataFrame, order: str, cluster_col: str = "cluster_id", label_col: str = "label") -> DataFrame:
@@ -132,39 +277,112 @@ def top_clusters_wide(near: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     return x.groupBy("id").agg(*cols)
 
 
-def intra_distance(df: DataFrame, cs: DataFrame, method: str = "center", vector_col: str = "embedding") -> DataFrame:
-    """(cluster_id, intra): mean or largest distance to the center, 0 for singletons."""
-    d = df.join(cs, "cluster_id").withColumn("_d", euclidean(vector_col, "center"))
-    how = F.max("_d") if method == "furthest" else F.avg("_d")
-    return d.groupBy("cluster_id").agg(F.when(F.count("*") > 1, how).otherwise(F.lit(0.0)).alias("intra"))
+def intra_distance(df: DataFrame, cs: DataFrame | None, method: str = "center", vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
+    """(cluster_id, intra), 0 for singletons: the mean distance to the center, the mean of all pairs, or the largest of a pair (furthest)."""
+    if method == "center":
+        d = df.join(cs, "cluster_id").withColumn("_d", euclidean(vector_col, "center"))
+        return d.groupBy("cluster_id").agg(F.when(F.count("*") > 1, F.avg("_d")).otherwise(F.lit(0.0)).alias("intra"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
+    sums = _cluster_sums(rows, rows.withColumn("target", F.col("cluster_id")))
+    total = F.when(F.sum("n") > 0, F.sum("total") / F.sum("n")) if method == "pairwise" else F.max("most")
+    return sums.groupBy(F.col("src_cluster").alias("cluster_id")).agg(F.coalesce(total, F.lit(0.0)).alias("intra"))
 
 
-def center_distances(cs: DataFrame, nearest: int | None = None) -> DataFrame:
-    """(a, b, distance) between centers, the nearest few of each."""
-    a, b = cs.select(F.col("cluster_id").alias("a"), F.col("center").alias("_a")), cs.select(F.col("cluster_id").alias("b"), F.col("center").alias("_b"))
-    d = a.join(b, F.col("a") != F.col("b")).select("a", "b", euclidean("_a", "_b").alias("distance"))
-    if nearest is None:
-        return d
-    return d.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("_r") <= nearest).drop("_r")
+def _cluster_sums(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of each asked row (id, v, cluster_id, target) and the target cluster's members: sums over their distances, itself left out.
+
+    (id, src_cluster, target, total, n, positive, least, most); blocks of one
+    cluster's members meet blocks of those that ask for it, so a large cluster is many tasks.
+    """
+    kinds = dict(asked.dtypes)
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        src, dst = left.column("id").to_numpy(), right.column("id").to_numpy()
+        if not len(src) or not len(dst):
+            left = left[:0]
+            total = n = positive = least = most = np.zeros(0)
+        else:
+            d = distances(np.stack([np.asarray(x, np.float64) for x in left.column("v").to_pylist()]), np.stack([np.asarray(x, np.float64) for x in right.column("v").to_pylist()]))
+            other = src[:, None] != dst[None]
+            total, n, positive = (d * other).sum(1), other.sum(1), (other & (d > 0)).sum(1)
+            least, most = np.where(other, d, np.inf).min(1), np.where(other, d, 0).max(1)
+        return pa.table(
+            {"id": left.column("id"), "src_cluster": left.column("cluster_id"), "target": left.column("target"), "total": pa.array(total, pa.float64()), "n": pa.array(n.astype(np.int64)),
+             "positive": pa.array(positive.astype(np.int64)), "least": pa.array(least, pa.float64()), "most": pa.array(most, pa.float64())}
+        )
+
+    own = members.select("id", "v", F.col("cluster_id").alias("target"))
+    schema = f"id {kinds['id']}, src_cluster {kinds['cluster_id']}, target {kinds['cluster_id']}, total double, n long, positive long, least double, most double"
+    return in_blocks(asked, own, kernel, schema, ("target",))
 
 
-def dunn(df: DataFrame, cs: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """dunn (smallest distance of centers over largest intra) and dunn_inverse."""
-    i, d = intra_distance(df, cs, vector_col=vector_col).agg(F.max("intra").alias("i")), center_distances(cs).agg(F.min("distance").alias("d"))
+def center_distances(cs: DataFrame, nearest: int | None = None) -> DataFrame:
+    """(a, b, distance) between centers: of all of them, or the nearest few of each."""
+    own = cs.select(F.col("cluster_id").alias("id"), F.col("center").alias("v"))
+    choose = lambda a, b, d: (a[:, None] != b[None]) & (d >= 0)
+    if nearest is not None:
+        return knn(own, own, nearest, "id", "v", include_self=False).select(F.col("src").alias("a"), F.col("dst").alias("b"), "distance")
+    kind = dict(own.dtypes)["id"]
+    return in_blocks(own, own, _edge_kernel(choose), f"src {kind}, dst {kind}, distance double").select(F.col("src").alias("a"), F.col("dst").alias("b"), "distance")
+
+
+def inter_distance(df: DataFrame, cs: DataFrame, method: str = "center", nearest: int | None = 19, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
+    """(a, b, distance) of each cluster and its nearest clusters: of the centers, or of the closest or furthest members."""
+    pairs = center_distances(cs, nearest)
+    if method == "center":
+        return pairs
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
+    asked = rows.join(pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("target")), "cluster_id")
+    sums = _cluster_sums(rows, asked)
+    how = F.min("least") if method == "closest" else F.max("most")
+    return sums.groupBy(F.col("src_cluster").alias("a"), F.col("target").alias("b")).agg(how.alias("distance"))
+
+
+def min_inter_distance(df: DataFrame, cs: DataFrame, method: str = "center", nearest: int | None = 19, vector_col: str = "embedding") -> DataFrame:
+    """(cluster_id, min_inter): the least distance of each cluster to its nearest clusters."""
+    return inter_distance(df, cs, method, nearest, vector_col).groupBy(F.col("a").alias("cluster_id")).agg(F.min("distance").alias("min_inter"))
+
+
+def dunn(df: DataFrame, cs: DataFrame, vector_col: str = "embedding", inter: str = "center", intra: str = "center") -> DataFrame:
+    """dunn (smallest distance of clusters over largest intra) and dunn_inverse, by the methods named."""
+    i = intra_distance(df, cs, intra, vector_col).agg(F.max("intra").alias("i"))
+    # The two centers that are closest are each other's nearest.
+    d = inter_distance(df, cs, inter, 1 if inter == "center" else None, vector_col).agg(F.min("distance").alias("d"))
     return i.join(d).select(F.try_divide("d", "i").alias("dunn"), F.try_divide("i", "d").alias("dunn_inverse"))
 
 
 def davies_bouldin(df: DataFrame, cs: DataFrame, nearest: int | None = 9, vector_col: str = "embedding") -> DataFrame:
+    """davies_bouldin over the nearest clusters of each (all, if None)."""
     s = intra_distance(df, cs, vector_col=vector_col)
     d = center_distances(cs, nearest).join(s.select(F.col("cluster_id").alias("a"), F.col("intra").alias("sa")), "a").join(s.select(F.col("cluster_id").alias("b"), F.col("intra").alias("sb")), "b")
     return d.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.col("distance")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, sample: DataFrame, blocks: int = 8, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(silhouette, n) over a sample's rows against all rows, in blocks; singletons count 0."""
-    k = F.pmod(F.xxhash64(id_col), F.lit(blocks))
-    a = sample.select(F.col(id_col).alias("i"), F.col(vector_col).alias("_a"), F.col("cluster_id").alias("ci"), k.alias("_k"))
-    b = df.select(F.col(id_col).alias("j"), F.col(vector_col).alias("_b"), F.col("cluster_id").alias("cj"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_k"))
-    d = a.join(b, "_k").where("i <> j").groupBy("i", "ci", "cj").agg(F.avg(euclidean("_a", "_b")).alias("d"))
-    s = d.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("a"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("b"))
-    return s.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"), F.count("*").alias("n"))
+def silhouettes(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, nearest: int | None = 19, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(id, cluster_id, silhouette) of a sample's rows (all, if None).
+
+    a is the mean distance to the other members of the own cluster that are not
+    at the same place, b the least mean distance to one of the ``nearest``
+    clusters; rows of singletons, and those all of whose cluster is at one
+    place, have 0.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
+    some = rows if sample is None else sample.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
+    targets = center_distances(cs, nearest).select(F.col("a").alias("cluster_id"), F.col("b").alias("target")).union(cs.select("cluster_id", "cluster_id"))
+    sums = _cluster_sums(rows, some.join(targets, "cluster_id"))
+    d = sums.groupBy("id", "src_cluster", "target").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    own = F.col("target") == F.col("src_cluster")
+    s = d.groupBy("id", F.col("src_cluster").alias("cluster_id")).agg(
+        F.max(F.when(own, F.try_divide("total", "positive"))).alias("a"), F.min(F.when(~own, F.try_divide("total", "n"))).alias("b")
+    )
+    return s.select("id", "cluster_id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, nearest: int | None = 19, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(silhouette, n): the mean over a sample's rows."""
+    return silhouettes(df, cs, sample, nearest, id_col, vector_col).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
+
+
+def cluster_silhouettes(s: DataFrame) -> DataFrame:
+    """(cluster_id, silhouette_index_mean, silhouette_index_weight) from silhouettes()."""
+    return s.groupBy("cluster_id").agg(F.avg("silhouette").alias("silhouette_index_mean"), F.count("*").alias("silhouette_index_weight"))

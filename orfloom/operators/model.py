@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orfloom.functions.stats import confusion
+from orfloom.operators.relational import require_unique, upsert_columns
 from orfloom.operators.split import cluster_stratified_split
 
 
@@ -47,12 +48,47 @@ class Fitted:
         return cls(PipelineModel.load(path))
 
 
-def fit(df: DataFrame, dims: list[int], vector_col: str = "embedding", label_col: str = "label", epochs: int = 50, balance: bool = True, seed: int = 42) -> Fitted:
-    """Scaler (fitted on these rows) and a perceptron with the layer sizes dims."""
+def sample_coverage(df: DataFrame, sample: DataFrame, label_col: str = "label", id_col: str = "id") -> DataFrame:
+    """Per label: rows, draws, and the share of the rows that a sample holds at least once."""
+    n = df.groupBy(label_col).agg(F.count("*").alias("n_rows"))
+    drawn = sample.groupBy(label_col).agg(F.count("*").alias("n_draws"), F.count_distinct(id_col).alias("_d"))
+    return n.join(drawn, label_col, "left").select(label_col, "n_rows", F.coalesce("n_draws", F.lit(0)).alias("n_draws"), F.coalesce(F.col("_d") / F.col("n_rows"), F.lit(0.0)).alias("coverage"))
+
+
+def weighted_loss(df: DataFrame, probability: str, weights: DataFrame, label_col: str = "label") -> DataFrame:
+    """(loss): weighted cross-entropy of the probability of the true label, weights normalised by their sum."""
+    x = df.join(F.broadcast(weights), label_col)
+    return x.agg((-F.sum(F.col("weight") * F.log(F.greatest(F.col(probability), F.lit(1e-15)))) / F.sum("weight")).alias("loss"))
+
+
+def fit(
+    df: DataFrame, dims: list[int], vector_col: str = "embedding", label_col: str = "label", epochs: int = 50, balance: bool = True, seed: int = 42,
+    validation: DataFrame | None = None, check_every: int = 10,
+) -> Fitted:
+    """Scaler (fitted on these rows) and a perceptron with the layer sizes dims.
+
+    balance draws classes by their inverse frequencies, which weights the loss
+    by them.  With validation rows the fit goes on in steps of check_every
+    epochs, each from the last weights, and the best by balanced accuracy stays;
+    ``history`` in its metrics has each step's.
+    """
     train = df.select(array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("raw"), F.col(label_col).cast("double").alias("label"))
     train = balanced_sample(train, "label", seed) if balance else train
-    steps = [StandardScaler(inputCol="raw", outputCol="features", withMean=True), MultilayerPerceptronClassifier(layers=dims, maxIter=epochs, seed=seed)]
-    return Fitted(Pipeline(stages=steps).fit(train))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
+    scaled = scaler.transform(train)
+    if validation is None:
+        return Fitted(PipelineModel([scaler, MultilayerPerceptronClassifier(layers=dims, maxIter=epochs, seed=seed).fit(scaled)]))
+    best, weights, history = None, None, []
+    for done in range(check_every, epochs + check_every, check_every):
+        step = MultilayerPerceptronClassifier(layers=dims, maxIter=min(check_every, epochs - done + check_every), seed=seed)
+        net = (step if weights is None else step.setInitialWeights(weights)).fit(scaled)
+        weights = net.weights
+        got = Fitted(PipelineModel([scaler, net]))
+        got.metrics = confusion(predict(validation, got, vector_col=vector_col), label_col, "model_label").first().asDict() | {"epoch": min(done, epochs)}
+        history.append(dict(got.metrics))
+        best = got if best is None or got > best else best
+    best.metrics["history"] = history
+    return best
 
 
 def predict(df: DataFrame, fitted: Fitted, name: str = "model", vector_col: str = "embedding") -> DataFrame:
@@ -64,12 +100,24 @@ def predict(df: DataFrame, fitted: Fitted, name: str = "model", vector_col: str
     return out.drop("raw", "features", "rawPrediction", "probability", "prediction")
 
 
+def predict_many(df: DataFrame, models: dict[str, Fitted], id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """id with {name}_label and {name}_output_i of each model; one pass over the rows."""
+    out = df
+    for name, fitted in models.items():
+        out = predict(out, fitted, name, vector_col)
+    return out.select(id_col, *[c for c in out.columns if any(c == f"{n}_label" or c.startswith(f"{n}_output_") for n in models)])
+
+
+def write_predictions(stored: DataFrame, new: DataFrame, id_col: str = "id") -> DataFrame:
+    """stored predictions with a model's new columns in place of its old ones; both must have the same ids, each once."""
+    return upsert_columns(require_unique(stored, [id_col]), require_unique(new, [id_col]), id_col)
+
+
 def fit_best(df: DataFrame, dims: list[int], n_splits: int = 1, **kwargs) -> Fitted:
     """The best of n_splits seeded cluster-stratified splits by balanced accuracy on its test rows."""
     best = None
     for i in range(n_splits):
         parts = cluster_stratified_split(df, seed=42 + i)
-        got = fit(parts.where(~F.col("test")), dims, **kwargs)
-        got.metrics = confusion(predict(parts.where("test"), got), "label", "model_label").first().asDict()
+        got = fit(parts.where(~F.col("test")), dims, validation=parts.where("test"), **kwargs)
         best = got if best is None or got > best else best
     return best

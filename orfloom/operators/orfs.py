@@ -13,20 +13,28 @@ def find_orfs(contigs: DataFrame, min_length: int = 50, table: int = 11) -> Data
 
     A frame that translates ends at the first stop after its start, so each
     start is paired with the next in-frame stop only.  Ids count all frames of
-    a contig by strand and place, before the length filter.
+    a contig by strand and place, before the length filter.  Contig ids are
+    unique.  Only places of starts and stops are shuffled; contigs are joined to
+    the frames that are long enough.
     """
-    rna = F.translate(F.upper("seq"), "T", "U")
-    both = contigs.select("contig_id", F.length("seq").alias("n"), F.explode(F.array(F.struct(rna.alias("s"), F.lit(1).alias("strand")), F.struct(seq.reverse_complement(F.col("seq")).alias("s"), F.lit(-1).alias("strand")))).alias("x"))
-    both = both.select("contig_id", "n", "x.s", "x.strand", F.posexplode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame", "_f"))
-    own = both.select("contig_id", "n", "strand", "frame", "s", F.posexplode(seq.codons(F.expr("substring(s, frame + 1, length(s))"))).alias("i", "codon"))
-    stop = F.when(F.col("codon").isin(*seq.STOP_CODONS[table]), F.col("i"))
+    both = contigs.select(
+        F.col("contig_id"), F.length("seq").alias("n"),
+        F.explode(F.array(F.struct(F.translate(F.upper("seq"), "T", "U").alias("s"), F.lit(1).alias("strand")), F.struct(seq.reverse_complement(F.col("seq")).alias("s"), F.lit(-1).alias("strand")))).alias("x"),
+    )
+    both = both.select("contig_id", "n", "x.s", "x.strand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
+    own = both.select("contig_id", "n", "strand", "frame", F.posexplode(seq.codons(F.expr("substring(s, frame + 1, length(s))"))).alias("i", "codon"))
+    own = own.where(F.col("codon").isin(*seq.START_CODONS, *seq.STOP_CODONS[table]))
+    own = own.select("contig_id", "n", "strand", "frame", "i", F.col("codon").isin(*seq.STOP_CODONS[table]).alias("is_stop"))
     ahead = Window.partitionBy("contig_id", "strand", "frame").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
-    hit = own.withColumn("end", F.min(stop).over(ahead)).where(F.col("codon").isin(*seq.START_CODONS) & F.col("end").isNotNull())
+    hit = own.withColumn("end", F.first(F.when(F.col("is_stop"), F.col("i")), ignorenulls=True).over(ahead)).where("not is_stop and end is not null")
     a, b = F.col("i") * 3 + F.col("frame"), (F.col("end") + 1) * 3 + F.col("frame")
-    hit = hit.withColumn("seq", seq.cds_protein(seq.subsequence(F.col("s"), a, b), table)).withColumn("start", F.when(F.col("strand") == 1, a + 1).otherwise(F.col("n") - b + 1)).withColumn("stop", F.when(F.col("strand") == 1, b).otherwise(F.col("n") - a))
+    hit = hit.select("contig_id", "strand", a.alias("a"), b.alias("b"), F.when(F.col("strand") == 1, a + 1).otherwise(F.col("n") - b + 1).alias("start"), F.when(F.col("strand") == 1, b).otherwise(F.col("n") - a).alias("stop"))
     number = F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("strand"), "start", "stop")) - 1
-    out = hit.where("seq is not null").withColumn("orf_id", F.concat("contig_id", F.lit("_ORF_"), number.cast("string")))
-    return out.where(F.length("seq") >= min_length).select("contig_id", "orf_id", "start", "stop", "strand", "seq")
+    hit = hit.withColumn("orf_id", F.concat("contig_id", F.lit("_ORF_"), number.cast("string"))).where((F.col("b") - F.col("a")) >= 3 * (min_length + 1))
+    text = contigs.select("contig_id", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.translate(F.upper("seq"), "T", "U").alias("s")), F.struct(F.lit(-1).alias("strand"), seq.reverse_complement(F.col("seq")).alias("s")))).alias("x"))
+    out = hit.join(text.select("contig_id", "x.strand", "x.s"), ["contig_id", "strand"])
+    protein = seq.cds_protein(seq.subsequence(F.col("s"), F.col("a"), F.col("b")), table)
+    return out.select("contig_id", "orf_id", "start", "stop", "strand", protein.alias("seq")).where("seq is not null")
 
 
 def hit_sequences(hits: DataFrame, contigs: DataFrame, prefix: str, upstream: int = 27) -> DataFrame:

@@ -28,13 +28,17 @@ def translation_start(start: Column, stop: Column, strand: Column, codon_start:
     return F.when(strand == -1, stop - shift).otherwise(start + shift)
 
 
-def overlap_join(queries: DataFrame, subjects: DataFrame, keys: list[str], bin_width: int | None = None, how: str = "inner") -> DataFrame:
+#: Positions in a bin of the interval joins.
+BIN_WIDTH = 65_536
+
+
+def overlap_join(queries: DataFrame, subjects: DataFrame, keys: list[str], bin_width: int | None = BIN_WIDTH, how: str = "inner") -> DataFrame:
     """Pairs of rows with equal keys whose [start, stop] overlap; columns become query_* and subject_*.
 
-    Without bin_width the keys alone are the equi-join.  With it, an interval
-    also joins on the bins of that width that it touches, which splits a key with
-    very many rows; a pair is kept in the first bin that both touch, so it is
-    found once.  Queries without a hit stay with how="left".
+    Intervals join on their keys and the bins of bin_width that they touch, which
+    splits a key with very many rows; a pair is kept in the first bin that both
+    touch, so it is found once.  Without bin_width the keys alone are the
+    equi-join.  Queries without a hit stay with how="left".
     """
     q = queries.select([F.col(c).alias(f"query_{c}") for c in queries.columns])
     s = subjects.select([F.col(c).alias(f"subject_{c}") for c in subjects.columns])
@@ -88,11 +92,18 @@ def hit_columns(hits: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(df: DataFrame, keys: list[str], id_col: str, max_separation: int) -> DataFrame:
-    """Ordered pairs of different rows of a key that overlap or lie less than max_separation apart."""
-    a, b = df.select([F.col(c).alias(f"a_{c}") for c in df.columns]), df.select([F.col(c).alias(f"b_{c}") for c in df.columns])
+def near_pairs(df: DataFrame, keys: list[str], id_col: str, max_separation: int, bin_width: int = BIN_WIDTH) -> DataFrame:
+    """Ordered pairs of different rows of a key that overlap or lie less than max_separation apart.
+
+    With their stops moved by max_separation - 1, such rows overlap, and so meet
+    in a bin; a pair is kept in the first bin that both touch.
+    """
+    last = F.floor((F.col("stop") + max_separation - 1) / bin_width)
+    bins = F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.greatest(last, F.floor(F.col("start") / bin_width))))
+    side = lambda p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], bins.alias(f"_{p}"))
     separation = F.greatest("a_start", "b_start") - F.least("a_stop", "b_stop")
-    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys] + [F.col(f"a_{id_col}") != F.col(f"b_{id_col}"), separation < max_separation]
-    return a.join(b, on).withColumns(
+    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
+    on += [F.col("_a") == F.col("_b"), F.col("_a") == F.floor(F.greatest("a_start", "b_start") / bin_width), F.col(f"a_{id_col}") != F.col(f"b_{id_col}"), separation < max_separation]
+    return side("a").join(side("b"), on).drop("_a", "_b").withColumns(
         {"separation_length": separation, "overlap_length": F.greatest(1 - separation, F.lit(0)), "phase": (F.abs(F.col("a_start") - F.col("b_start")) % 3).cast("int")}
     )

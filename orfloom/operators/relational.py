@@ -38,6 +38,16 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join after a check that the keys are unique on both sides; raises ValueError otherwise."""
+    return require_unique(left, keys).join(require_unique(right, keys), keys, how)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join after a check that the keys are unique on the right; raises ValueError otherwise."""
+    return left.join(require_unique(right, keys), keys, how)
+
+
 def joined_values(value: str, order: str, delimiter: str = ";"):
     """Distinct values of a group in the order in which they first come."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))

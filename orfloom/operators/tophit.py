@@ -60,26 +60,24 @@ def is_intergenic(max_overlap: int = 0, prefix: str = "top_hit") -> Column:
 
 
 def annotate(df: DataFrame, max_overlap: int = 0, prefix: str = "top_hit") -> DataFrame:
-    """category: match, pseudogene, intergenic or conflict, the first that holds; every row gets one."""
-    category = (
-        F.when(is_match(max_overlap=max_overlap, prefix=prefix), "match")
-        .when(is_pseudogene(max_overlap, prefix), "pseudogene")
-        .when(is_intergenic(max_overlap, prefix), "intergenic")
-        .otherwise("conflict")
-    )
-    return df.withColumn("category", category)
-
-
-def terminal_changes(df: DataFrame, query_length: str = "query_length", hit_length: str = "top_hit_length") -> DataFrame:
-    """exact, truncated or extended against the top hit; not for programmed frameshifts."""
-    steady = ~_yes(F.col("top_hit_ribosomal_slippage")) if "top_hit_ribosomal_slippage" in df.columns else F.lit(True)
-    return df.withColumns(
-        {
-            "exact": _yes(F.col("exact_match")),
-            "truncated": _yes((F.col(query_length) < F.col(hit_length)) & steady),
-            "extended": _yes((F.col(query_length) > F.col(hit_length)) & steady),
-        }
-    )
+    """df with match, pseudogene, intergenic, conflict, and category, the first of them that holds; every row gets one."""
+    match, pseudo = is_match(max_overlap=max_overlap, prefix=prefix), is_pseudogene(max_overlap, prefix)
+    between = is_intergenic(max_overlap, prefix)
+    category = F.when(match, "match").when(pseudo, "pseudogene").when(between, "intergenic").otherwise("conflict")
+    return df.withColumns({"match": match, "pseudogene": pseudo, "intergenic": between, "conflict": ~match & ~pseudo & ~between, "category": category})
+
+
+def terminal_changes(df: DataFrame, prefix: str = "top_hit", seq: str = "seq") -> DataFrame:
+    """df with length, {prefix}_length (residues; a null or ``none`` sequence has 0) and exact_match, truncated, extended.
+
+    The flags hold for matches only (column ``match``), and not for programmed frameshifts.
+    """
+    residues = lambda c: F.when(F.coalesce(F.col(c), F.lit("none")) == "none", 0).otherwise(F.length(c))
+    hit = f"{prefix}_ribosomal_slippage"
+    steady = _yes(F.col("match")) & (~_yes(F.col(hit)) if hit in df.columns else F.lit(True))
+    df = df.withColumns({"length": residues(seq), f"{prefix}_length": residues(f"{prefix}_seq")})
+    change = F.col(f"{prefix}_length") - F.col("length")
+    return df.withColumns({"exact_match": steady & (change == 0), "truncated": steady & (change > 0), "extended": steady & (change < 0)})
 
 
 def two_sided_label(real: Column, spurious: Column, real_threshold: float = 0.8, spurious_threshold: float = 0.95) -> Column:

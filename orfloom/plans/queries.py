@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orfloom.functions import seq, stats
 from orfloom.functions.align import align
-from orfloom.operators import cluster, overlap, relational, tophit, vectors
+from orfloom.operators import cluster, overlap, predicates, relational, tophit, vectors
+from orfloom.operators.orfs import find_orfs
 from orfloom.operators.split import cluster_stratified_split
 
 QUERIES: dict = {}
@@ -47,7 +48,7 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def interval_hits(spark: SparkSession, d: str, bin_width: int | None = None) -> DataFrame:
+def interval_hits(spark: SparkSession, d: str, bin_width: int | None = 21_600) -> DataFrame:
     iv = intervals(spark, d)
     s = iv.where("event_type <> 'click'").withColumn("feature", F.when(F.col("event_type") == "view", "gap").otherwise("CDS"))
     return overlap.hit_columns(overlap.overlap_join(iv.where("event_type = 'click'"), s, ["contig"], bin_width))
@@ -68,8 +69,8 @@ def q01_overlap_join(spark, d):
 
 
 @query(_Q01)
-def q01b_overlap_join_binned(spark, d):
-    return interval_hits(spark, d, 21_600).select(*_HIT, F.round("query_overlap_fraction", 6).alias("query_overlap_fraction"))
+def q01b_overlap_join_keys_only(spark, d):
+    return interval_hits(spark, d, None).select(*_HIT, F.round("query_overlap_fraction", 6).alias("query_overlap_fraction"))
 
 
 _TOP = f"""WITH {_IV}, r AS (SELECT *, sv > 10 AS ok, row_number() OVER (PARTITION BY query_id ORDER BY in_frame DESC, coalesce(sv > 10, false) DESC, overlap_length DESC, subject_id) AS n FROM h),
@@ -103,13 +104,8 @@ def q04_overlap_self_join(spark, d):
     return overlap.near_pairs(intervals(spark, d).where("event_type = 'click'"), ["contig"], "id", 1000).select("a_id", "b_id", "separation_length", "overlap_length", "phase")
 
 
-@query("""SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND length(text) < 2000""")
+@query("""SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
 def q05_keep_first_dedup(spark, d):
-    return relational.keep_first(_t(spark, d, "documents"), ["text"], "doc_id").where(F.length("text") < 2000).select("doc_id", "text")
-
-
-@query(SQL["q05_keep_first_dedup"].replace(" AND length(text) < 2000", ""))
-def q05b_keep_first_dedup_all(spark, d):
     return relational.keep_first(_t(spark, d, "documents"), ["text"], "doc_id").select("doc_id", "text")
 
 
@@ -172,16 +168,23 @@ def q13_threshold_sweep(spark, d):
     return stats.threshold_sweep(x, "s", "y", _STEPS).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
-@query("""SELECT g * 250.0 AS center, count(*) AS n, round(avg(length(text)), 4) AS mean FROM documents, range(0, 41) AS r(g) WHERE abs(n_chars - g * 250.0) < 500 GROUP BY 1""")
-def q14_sliding_bins(spark, d):
-    return stats.sliding_bins(_t(spark, d, "documents"), "n_chars", 0.0, 10_000.0, 250.0, 500.0, F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean"))
+_GRID = "(SELECT unnest(range(0, ceil(max(n_chars) / 250.0)::BIGINT + 1)) AS g FROM documents)"
 
 
-@query(SQL["q14_sliding_bins"].replace("range(0, 41) AS r(g)", "(SELECT unnest(range(0, ceil(max(n_chars) / 250.0)::BIGINT + 1)) AS g FROM documents)"))
-def q14b_sliding_bins_all(spark, d):
+def _bins(spark, d, **how):
     docs = _t(spark, d, "documents")
     last = 250.0 * (docs.agg(F.ceil(F.max("n_chars") / 250.0).alias("g")).first()["g"] or 0)
-    return stats.sliding_bins(docs, "n_chars", 0.0, last, 250.0, 500.0, F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean"))
+    return stats.sliding_bins(docs, "n_chars", 0.0, last, 250.0, 500.0, F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean"), **how)
+
+
+@query(f"""SELECT g * 250.0 AS center, count(*) AS n, round(avg(length(text)), 4) AS mean FROM documents, {_GRID} WHERE abs(n_chars - g * 250.0) < 500 GROUP BY 1""")
+def q14_sliding_bins(spark, d):
+    return _bins(spark, d)
+
+
+@query(SQL["q14_sliding_bins"].replace("< 500", "<= 500"))
+def q14b_sliding_bins_inclusive(spark, d):
+    return _bins(spark, d, inclusive=True)
 
 
 @query("""SELECT l_quantity, round(max(c), 8) AS ecdf FROM (SELECT l_quantity, cume_dist() OVER (ORDER BY l_quantity) AS c FROM lineitem) GROUP BY 1""")
@@ -189,6 +192,11 @@ def q15_ecdf(spark, d):
     return stats.ecdf(_t(spark, d, "lineitem"), "l_quantity").withColumn("ecdf", F.round("ecdf", 8))
 
 
+@query("""SELECT l_extendedprice, round(max(c), 8) AS ecdf FROM (SELECT l_extendedprice, cume_dist() OVER (ORDER BY l_extendedprice) AS c FROM lineitem) GROUP BY 1""")
+def q15b_ecdf_continuous(spark, d):
+    return stats.ecdf(_t(spark, d, "lineitem"), "l_extendedprice").withColumn("ecdf", F.round("ecdf", 8))
+
+
 _RNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGUACGUACGUACGUACGUACGUAC')"
 
 
@@ -196,76 +204,63 @@ def _rna():
     return F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGUACGUACGUACGUACGUACGUAC")
 
 
-@query(f"""SELECT item_id, length(s) AS n, reverse(translate(s, 'ACGU', 'UGCA')) AS rc, round(len(regexp_extract_all(s, '[GC]')) / length(s), 6) AS gc, length(s) - length(replace(s, 'A', '')) AS n_a FROM (SELECT item_id, {_RNA} AS s FROM benchmark)""")
+@query(f"""SELECT doc_id, length(s) AS n, reverse(translate(s, 'ACGU', 'UGCA')) AS rc, round(len(regexp_extract_all(s, '[GC]')) / nullif(length(s), 0), 6) AS gc, length(s) - length(replace(s, 'A', '')) AS n_a FROM (SELECT doc_id, {_RNA} AS s FROM documents)""")
 def q16_seq_functions(spark, d):
-    x = _t(spark, d, "benchmark").select("item_id", _rna().alias("s"))
-    return x.select("item_id", F.length("s").cast("long").alias("n"), seq.reverse_complement(F.col("s")).alias("rc"), F.round(seq.gc_content(F.col("s")), 6).alias("gc"), seq.residue_count(F.col("s"), "A").cast("long").alias("n_a"))
-
-
-@query(f"""WITH x AS (SELECT item_id, {_RNA} AS s FROM benchmark), c AS (SELECT item_id, unnest(range(0, length(s) // 3)) AS i, s FROM x)
-SELECT item_id, i::BIGINT AS codon, substr(s, 3 * i + 1, 3) IN ('UAA', 'UAG', 'UGA') AS is_stop FROM c WHERE substr(s, 3 * i + 1, 3) IN ('AUG', 'GUG', 'UUG', 'UAA', 'UAG', 'UGA')""")
-def q17_codon_orfs(spark, d):
-    x = _t(spark, d, "benchmark").select("item_id", F.posexplode(seq.codons(_rna())).alias("codon", "c"))
-    return x.where(F.col("c").isin(*seq.START_CODONS, *seq.STOP_CODONS[11])).select("item_id", F.col("codon").cast("long").alias("codon"), F.col("c").isin(*seq.STOP_CODONS[11]).alias("is_stop"))
-
-
-_DOCS = {"item_id": "doc_id", "benchmark": "documents", "/ length(s), 6)": "/ nullif(length(s), 0), 6)"}
-
-
-def _of_documents(sql: str) -> str:
-    for a, b in _DOCS.items():
-        sql = sql.replace(a, b)
-    return sql
-
-
-@query(_of_documents(SQL["q16_seq_functions"]))
-def q16b_seq_functions_documents(spark, d):
     x = _t(spark, d, "documents").select("doc_id", _rna().alias("s"))
     return x.select("doc_id", F.length("s").cast("long").alias("n"), seq.reverse_complement(F.col("s")).alias("rc"), F.round(seq.gc_content(F.col("s")), 6).alias("gc"), seq.residue_count(F.col("s"), "A").cast("long").alias("n_a"))
 
 
-@query(_of_documents(SQL["q17_codon_orfs"]))
-def q17b_codon_orfs_documents(spark, d):
-    x = _t(spark, d, "documents").select("doc_id", F.posexplode(seq.codons(_rna())).alias("codon", "c"))
-    return x.where(F.col("c").isin(*seq.START_CODONS, *seq.STOP_CODONS[11])).select("doc_id", F.col("codon").cast("long").alias("codon"), F.col("c").isin(*seq.STOP_CODONS[11]).alias("is_stop"))
+@query(f"""WITH x AS (SELECT doc_id, {_RNA} AS s FROM documents), b AS (SELECT doc_id, length(s) AS n, 1 AS strand, s FROM x UNION ALL SELECT doc_id, length(s), -1, reverse(translate(s, 'ACGU', 'UGCA')) FROM x),
+c AS (SELECT doc_id, n, strand, unnest(range(0, n - 2)) AS p, s FROM b), k AS (SELECT doc_id, n, strand, p, substr(s, p + 1, 3) AS codon FROM c),
+e AS (SELECT *, min(CASE WHEN codon IN ('UAA', 'UAG', 'UGA') THEN p END) OVER (PARTITION BY doc_id, strand, p % 3 ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop_at FROM k)
+SELECT doc_id, strand, CASE WHEN strand = 1 THEN p + 1 ELSE n - stop_at - 2 END AS start, CASE WHEN strand = 1 THEN stop_at + 3 ELSE n - p END AS stop, ((stop_at - p) // 3)::BIGINT AS length
+FROM e WHERE codon IN ('AUG', 'GUG', 'UUG') AND stop_at - p >= 150""")
+def q17_codon_orfs(spark, d):
+    x = find_orfs(_t(spark, d, "documents").select(F.col("doc_id").alias("contig_id"), _rna().alias("seq")))
+    return x.select(F.col("contig_id").alias("doc_id"), "strand", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.length("seq").cast("long").alias("length"))
 
 
 def _vectors(spark, d):
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-_ASK = 50  # the stated query set of the pair queries: ids divisible by it
-
-
-@query("""SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 50 = 0""")
+@query("""SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""")
 def q18_pair_distance(spark, d):
     v = _vectors(spark, d)
-    return vectors.pair_distances(v, v.where(F.col("id") % _ASK == 0), "id", "embedding").withColumn("distance", F.round("distance", 4))
+    return vectors.pair_distances(v, v, "id", "embedding").withColumn("distance", F.round("distance", 4))
 
 
-@query("""SELECT src, rank, dst, round(d, 4) AS distance FROM (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
-  (row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id))::INT AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank <= 5""")
+_KNN = """e AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label AS la, b.label AS lb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM e)"""
+
+
+@query(f"""WITH {_KNN} SELECT src, n::INT AS rank, dst, round(d, 4) AS distance FROM k WHERE n <= 5""")
 def q19_knn_top_k(spark, d):
     v = _vectors(spark, d)
-    return vectors.knn(v, v.where(F.col("id") % _ASK == 0), 5, "id", "embedding").select("src", "rank", "dst", F.round("distance", 4).alias("distance"))
+    return vectors.knn(v, v, 5, "id", "embedding").select("src", "rank", "dst", F.round("distance", 4).alias("distance"))
 
 
-@query("""SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.2""")
+@query("""SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS distance FROM embeddings a, embeddings b WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.2""")
 def q20_radius_graph(spark, d):
     v = _vectors(spark, d)
-    return vectors.radius_edges(v, v.where(F.col("id") % _ASK == 0), 1.2, "id", "embedding").withColumn("distance", F.round("distance", 4))
+    return vectors.radius_edges(v, v, 1.2, "id", "embedding").withColumn("distance", F.round("distance", 4))
 
 
-@query("""WITH e AS (SELECT a.vec_id AS src, b.vec_id AS dst, a.label AS la, b.label AS lb, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM e)
+@query(f"""WITH {_KNN}
 SELECT src, count(*) AS n_neighbors, round(avg(d), 4) AS mean_distance, round(stddev_pop(d), 4) AS std_distance, min(dst) AS min_value, count(*) FILTER (WHERE la = lb) AS n_same_label, arg_min(dst, d) AS nearest_id FROM k WHERE n <= 6 AND src <> dst GROUP BY 1""")
 def q21_neighbor_summary(spark, d):
     v = _vectors(spark, d)
-    e = vectors.merge_edges(vectors.knn(v, v.where(F.col("id") % _ASK == 0), 6, "id", "embedding"))
+    e = vectors.merge_edges(vectors.knn(v, v, 6, "id", "embedding"))
     s = vectors.neighbor_summary(e, v.withColumn("value", F.col("id")), "value", "label")
     return s.select("src", "n_neighbors", F.round("mean_distance", 4).alias("mean_distance"), F.round("std_distance", 4).alias("std_distance"), "min_value", "n_same_label", "nearest_id")
 
 
+@query(f"""WITH {_KNN}, c AS (SELECT src, any_value(la) AS label, count(*) FILTER (WHERE la = lb AND src <> dst) AS n_same FROM k WHERE n <= 6 GROUP BY 1) SELECT label, n_same, count(*) AS n FROM c GROUP BY 1, 2""")
+def q21b_same_label_histogram(spark, d):
+    v = _vectors(spark, d)
+    return predicates.same_label_histogram(vectors.knn(v, v, 6, "id", "embedding"), v)
+
+
 _CENTERS = """x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings),
 m AS (SELECT label, k, avg(v) AS v FROM x GROUP BY 1, 2), c AS (SELECT label AS cluster_id, list(v ORDER BY k) AS center FROM m GROUP BY 1)"""
 
@@ -281,57 +276,51 @@ def q22_centroid_predict(spark, d):
     return cluster.nearest_centers(v, cluster.centers(v), 3).withColumn("distance", F.round("distance", 4))
 
 
-@query(f"""WITH {_CENTERS}, i AS (SELECT label AS k, CASE WHEN count(*) > 1 THEN avg(list_distance(embedding::DOUBLE[], center)) ELSE 0 END AS s FROM embeddings JOIN c ON label = cluster_id GROUP BY 1),
-d AS (SELECT a.cluster_id AS a, b.cluster_id AS b, list_distance(a.center, b.center) AS d FROM c a, c b WHERE a.cluster_id <> b.cluster_id),
-r AS (SELECT a, max((x.s + y.s) / d) AS r FROM d JOIN i x ON x.k = a JOIN i y ON y.k = b GROUP BY 1)
-SELECT round((SELECT avg(r) FROM r), 4) AS davies_bouldin, round((SELECT min(d) FROM d) / (SELECT max(s) FROM i), 4) AS dunn""")
-def q23_intra_inter_metrics(spark, d):
-    v = _clustered(spark, d)
-    c = cluster.centers(v)
-    return cluster.davies_bouldin(v, c, None).join(cluster.dunn(v, c)).select(F.round("davies_bouldin", 4).alias("davies_bouldin"), F.round("dunn", 4).alias("dunn"))
+_INTRA = f"""{_CENTERS}, i AS (SELECT label AS k, CASE WHEN count(*) > 1 THEN avg(list_distance(embedding::DOUBLE[], center)) ELSE 0 END AS s FROM embeddings JOIN c ON label = cluster_id GROUP BY 1),
+d AS (SELECT a.cluster_id AS a, b.cluster_id AS b, list_distance(a.center, b.center) AS d, row_number() OVER (PARTITION BY a.cluster_id ORDER BY list_distance(a.center, b.center), b.cluster_id) AS near FROM c a, c b WHERE a.cluster_id <> b.cluster_id)"""
 
 
-@query("""WITH p AS (SELECT a.vec_id AS i, a.label AS ci, b.label AS cj, avg(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2, 3),
-s AS (SELECT i, max(d) FILTER (WHERE ci = cj) AS a, min(d) FILTER (WHERE ci <> cj) AS b FROM p GROUP BY 1)
-SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s""")
-def q24_silhouette(spark, d):
+@query(f"""WITH {_INTRA}, r AS (SELECT a, max((x.s + y.s) / d) AS r, max((x.s + y.s) / d) FILTER (WHERE near <= 3) AS r3 FROM d JOIN i x ON x.k = a JOIN i y ON y.k = b WHERE near <= 9 GROUP BY 1)
+SELECT round((SELECT avg(r) FROM r), 4) AS davies_bouldin, round((SELECT avg(r3) FROM r), 4) AS davies_bouldin_3, round((SELECT min(d) FROM d) / (SELECT max(s) FROM i), 4) AS dunn, round((SELECT max(s) FROM i) / (SELECT min(d) FROM d), 4) AS dunn_inverse""")
+def q23_intra_inter_metrics(spark, d):
     v = _clustered(spark, d)
-    return cluster.silhouette(v, v.where(F.col("id") % _ASK == 0)).withColumn("silhouette", F.round("silhouette", 4))
+    c = cluster.centers(v)
+    three = cluster.davies_bouldin(v, c, 3).withColumnRenamed("davies_bouldin", "davies_bouldin_3")
+    return cluster.davies_bouldin(v, c).join(three).join(cluster.dunn(v, c)).select(*[F.round(x, 4).alias(x) for x in ("davies_bouldin", "davies_bouldin_3", "dunn", "dunn_inverse")])
 
 
-_ASKED = "WHERE a.vec_id % 50 = 0"
+_MEMBERS = "p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS ci, b.label AS cj, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)"
 
 
-@query(SQL["q18_pair_distance"].replace(f" {_ASKED}", ""))
-def q18b_pair_distance_all(spark, d):
-    v = _vectors(spark, d)
-    return vectors.pair_distances(v, v, "id", "embedding").withColumn("distance", F.round("distance", 4))
-
-
-@query(SQL["q19_knn_top_k"].replace("% 50", "% 20"))
-def q19b_knn_top_k_searches(spark, d):
-    v = _vectors(spark, d)
-    return vectors.knn(v, v.where("id % 20 = 0"), 5, "id", "embedding").select("src", "rank", "dst", F.round("distance", 4).alias("distance"))
+@query(f"""WITH {_MEMBERS} SELECT ci AS cluster_id, round(avg(d), 4) AS pairwise, round(max(d), 4) AS furthest FROM p WHERE ci = cj GROUP BY 1""")
+def q23b_intra_methods(spark, d):
+    v = _clustered(spark, d)
+    own = lambda how: cluster.intra_distance(v, None, how).select("cluster_id", F.round("intra", 4).alias(how))
+    return own("pairwise").join(own("furthest"), "cluster_id")
 
 
-@query(SQL["q20_radius_graph"].replace(f"{_ASKED} AND", "WHERE"))
-def q20b_radius_graph_all(spark, d):
-    v = _vectors(spark, d)
-    return vectors.radius_edges(v, v, 1.2, "id", "embedding").withColumn("distance", F.round("distance", 4))
+@query(f"""WITH {_INTRA}, {_MEMBERS} SELECT a, b, round(min(p.d), 4) AS closest, round(max(p.d), 4) AS furthest FROM p JOIN d ON a = ci AND b = cj WHERE near <= 4 GROUP BY 1, 2""")
+def q23c_inter_methods(spark, d):
+    v = _clustered(spark, d)
+    own = lambda how: cluster.inter_distance(v, cluster.centers(v), how, 4).select("a", "b", F.round("distance", 4).alias(how))
+    return own("closest").join(own("furthest"), ["a", "b"])
 
 
-@query(SQL["q21_neighbor_summary"].replace("% 50", "% 20"))
-def q21b_neighbor_summary_searches(spark, d):
-    v = _vectors(spark, d)
-    e = vectors.merge_edges(vectors.knn(v, v.where("id % 20 = 0"), 6, "id", "embedding"))
-    s = vectors.neighbor_summary(e, v.withColumn("value", F.col("id")), "value", "label")
-    return s.select("src", "n_neighbors", F.round("mean_distance", 4).alias("mean_distance"), F.round("std_distance", 4).alias("std_distance"), "min_value", "n_same_label", "nearest_id")
+@query(f"""WITH {_INTRA}, {_MEMBERS}, e AS (SELECT i, ci, cj, CASE WHEN ci = cj THEN avg(d) FILTER (WHERE d > 0) ELSE avg(d) END AS m FROM p GROUP BY 1, 2, 3),
+s AS (SELECT i, ci, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE near <= 4) AS b FROM e LEFT JOIN d ON a = ci AND b = cj GROUP BY 1, 2)
+SELECT ci AS cluster_id, round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s GROUP BY 1""")
+def q24_silhouette(spark, d):
+    v = _clustered(spark, d)
+    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v), nearest=4))
+    return s.select("cluster_id", F.round("silhouette_index_mean", 4).alias("silhouette"), F.col("silhouette_index_weight").alias("n"))
 
 
-@query(SQL["q24_silhouette"].replace(f" {_ASKED}", ""))
-def q24b_silhouette_all(spark, d):
+@query(f"""WITH {_MEMBERS}, m AS (SELECT i, ci, cj, CASE WHEN ci = cj THEN avg(d) FILTER (WHERE d > 0) ELSE avg(d) END AS m FROM p GROUP BY 1, 2, 3),
+s AS (SELECT i, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE ci <> cj) AS b FROM m GROUP BY 1)
+SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s""")
+def q24b_silhouette_index(spark, d):
     v = _clustered(spark, d)
-    return cluster.silhouette(v, v).withColumn("silhouette", F.round("silhouette", 4))
+    return cluster.silhouette(v, cluster.centers(v)).withColumn("silhouette", F.round("silhouette", 4))
 
 
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), s AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1)
@@ -342,19 +331,42 @@ def q25_scaler(spark, d):
     return z.select("id", F.round(fold(lambda a, x: a + x), 4).alias("total"), F.round(fold(lambda a, x: a + x * x), 3).alias("square"))
 
 
-@query("""WITH x AS (SELECT n_chars::DOUBLE AS v, quality AS g FROM labels JOIN documents USING (doc_id)),
-r AS (SELECT g, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x), a AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n2, sum(r) FILTER (WHERE g = 1) AS r1 FROM r)
-SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, r1 - n1 * (n1 + 1) / 2 AS u1 FROM a""")
+#: erfc(z) by the error function's series, which is exact to eight digits up to 4; beyond, it is below 2e-8.
+_ERFC = "CASE WHEN {z} > 4 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * n + 1) * ln(greatest({z}, 1e-300)) - lgamma(n + 1)) / (2 * n + 1))) END"
+
+
+@query(f"""WITH x AS (SELECT n_chars::DOUBLE AS v, quality AS g FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x), t AS (SELECT sum(c * c * c - c) AS tie FROM (SELECT count(*) AS c FROM x GROUP BY v)),
+a AS (SELECT (count(*) FILTER (WHERE g = 1))::DOUBLE AS n1, (count(*) FILTER (WHERE g = 0))::DOUBLE AS n2, sum(r) FILTER (WHERE g = 1) AS r1 FROM r),
+u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, n1 + n2 AS n, tie FROM a, t),
+z AS (SELECT *, greatest(abs(u1 - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * (n + 1 - tie / (n * (n - 1)))) / sqrt(2) AS z FROM u)
+SELECT n1, n2, u1, round({_ERFC.format(z="z")}, 6) AS p_value FROM z""")
 def q26_mann_whitney(spark, d):
     x = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id")
-    return stats.mann_whitney(x, "n_chars", "quality").drop("p_value")
+    return stats.mann_whitney(x, "n_chars", "quality", n_permutations=None).select(F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"), "u1", F.round("p_value", 6).alias("p_value"))
 
 
-@query("""WITH t AS (SELECT (SELECT count(*) FROM labels)::DOUBLE AS n), r AS (SELECT quality, count(*) AS r FROM labels GROUP BY 1), c AS (SELECT toxic, count(*) AS c FROM labels GROUP BY 1),
-o AS (SELECT quality, toxic, count(*) AS o FROM labels GROUP BY 1, 2)
-SELECT round(sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)), 4) AS statistic, (count(*) - 1)::BIGINT AS dof FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o USING (quality, toxic)""")
+@query()
+def q26b_mann_whitney_permutations(spark, d):
+    x = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id")
+    return stats.mann_whitney(x, "n_chars", "quality", id_col="doc_id")
+
+
+@query(f"""WITH t AS (SELECT (SELECT count(*) FROM orders)::DOUBLE AS n), r AS (SELECT o_orderstatus, count(*) AS r FROM orders GROUP BY 1), c AS (SELECT o_custkey % 2 AS k, count(*) AS c FROM orders GROUP BY 1),
+o AS (SELECT o_orderstatus, o_custkey % 2 AS k, count(*) AS o FROM orders GROUP BY 1, 2),
+x AS (SELECT sum((coalesce(o, 0) - r * c / n) ** 2 / (r * c / n)) AS x, count(*) - 1 AS dof FROM r CROSS JOIN c CROSS JOIN t LEFT JOIN o USING (o_orderstatus, k))
+SELECT round(x, 4) AS statistic, dof::BIGINT AS dof, round({_ERFC.format(z="sqrt(x / 2)")} + sqrt(2 * x / pi()) * exp(-x / 2) * (1 + x / 3), 6) AS p_value FROM x""")
 def q27_chi_square(spark, d):
-    return stats.chi_square(_t(spark, d, "labels"), "quality", "toxic").select(F.round("statistic", 4).alias("statistic"), "dof")
+    x = stats.chi_square(_t(spark, d, "orders").withColumn("k", F.col("o_custkey") % 2), "o_orderstatus", "k")
+    return x.select(F.round("statistic", 4).alias("statistic"), "dof", F.round("p_value", 6).alias("p_value"))
+
+
+@query("""WITH o AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders),
+x AS (SELECT (f - 0.33 * n) ** 2 / (0.33 * n) + (o - 0.33 * n) ** 2 / (0.33 * n) + (p - 0.34 * n) ** 2 / (0.34 * n) AS x FROM o)
+SELECT round(x, 4) AS statistic, 2::BIGINT AS dof, round(exp(-x / 2), 6) AS p_value FROM x""")
+def q27b_chi_square_fixed(spark, d):
+    x = stats.chi_square_fixed(_t(spark, d, "orders"), "o_orderstatus", {"F": 33, "O": 33, "P": 34})
+    return x.select(F.round("statistic", 4).alias("statistic"), "dof", F.round("p_value", 6).alias("p_value"))
 
 
 @query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(corr(l_extendedprice, l_quantity), 6) AS r,
@@ -364,9 +376,14 @@ def q28_regression(spark, d):
     return x.select("l_returnflag", *[F.round(c, k).alias(c) for c, k in (("slope", 4), ("intercept", 3), ("r2", 6), ("r", 6), ("se", 8))])
 
 
-@query()
+@query("""WITH c AS (SELECT o_custkey, count(*) AS s FROM orders GROUP BY 1), m AS (SELECT * FROM c WHERE s > 1), t AS (SELECT count(*) AS k, sum(s) AS m FROM m),
+w AS (SELECT *, least(greatest(k, floor(m * 0.2)), m - k) AS want FROM t), h AS (SELECT o_custkey, s, want, k, coalesce((want - k) * (s - 2) / nullif(m - 2 * k, 0), 0) AS share FROM m, w),
+f AS (SELECT *, floor(share) AS down, want - k - sum(floor(share)) OVER () AS rest FROM h),
+q AS (SELECT o_custkey, (1 + down + (row_number() OVER (ORDER BY share - down DESC, s DESC, o_custkey) <= rest)::INT)::BIGINT AS n_test FROM f)
+SELECT o_custkey AS cluster_id, s AS n, coalesce(n_test, 0) AS n_test FROM c LEFT JOIN q USING (o_custkey)""")
 def q29_cluster_split(spark, d):
-    return cluster_stratified_split(_clustered(spark, d)).select("id", "cluster_id", "test")
+    x = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cluster_id"), F.lit(1).alias("label"))
+    return cluster_stratified_split(x).groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if("test").alias("n_test"))
 
 
 @query()
@@ -415,10 +432,12 @@ def q35_partial_correlation(spark, d):
     return stats.partial_r2(x, "x", "y", "z").withColumn("partial_r2", F.round("partial_r2", 6))
 
 
-@query("""SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM (SELECT quality = 1 AS y, n_chars > 1000 AS p FROM labels JOIN documents USING (doc_id))""")
+@query("""WITH x AS (SELECT quality = 1 AS y, n_chars > 1000 AS p FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE NOT y AND p) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) FILTER (WHERE NOT y AND NOT p) AS tn FROM x)
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy FROM c""")
 def q36_confusion(spark, d):
     x = _t(spark, d, "labels").join(_t(spark, d, "documents"), "doc_id").withColumn("p", (F.col("n_chars") > 1000).cast("int"))
-    return stats.confusion(x, "quality", "p").select("tp", "fp", "fn", "tn")
+    return stats.confusion(x, "quality", "p").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "balanced_accuracy")})
 
 
 @query("""SELECT c_mktsegment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY 1""")

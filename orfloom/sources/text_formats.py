@@ -54,6 +54,19 @@ def write_fasta(df: DataFrame, path: str, mode: str = "overwrite", mask_unknown:
     df.select(F.concat(F.lit(">"), F.concat_ws(" ", *words), F.lit("\n"), seq).alias("value")).write.mode(mode).text(path)
 
 
+def write_hit_fasta(df: DataFrame, path: str, query: str = "query", hit: str = "top_hit", mode: str = "overwrite") -> None:
+    """Two records a row, the query and its top hit, without runs of two or more X; hits without an id or sequence are left out."""
+    both = df.select(F.explode(F.array(*[F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_seq").alias("seq")) for p in (query, hit)])).alias("x")).select("x.*")
+    write_fasta(both.where("id is not null and coalesce(seq, 'none') <> 'none'"), path, mode, mask_unknown=True)
+
+
+def without_asterisks(spark: SparkSession, path, out: str, mode: str = "overwrite") -> None:
+    """The text files of path with every ``*`` of their sequence lines removed, written to a new folder."""
+    lines = spark.read.text(path)
+    kept = F.when(F.startswith(F.col("value"), F.lit(">")), F.col("value")).otherwise(F.translate("value", "*", ""))
+    lines.select(kept.alias("value")).write.mode(mode).text(out)
+
+
 def _field(body: Column, key: str) -> Column:
     """All values of a /key="value" qualifier, joined by ``;``; later values have their own ``;`` as spaces."""
     found = F.regexp_extract_all(body, F.lit(rf'/{key}="([^"]*)"'), F.lit(1))
@@ -62,7 +75,6 @@ def _field(body: Column, key: str) -> Column:
 
 
 QUALIFIERS = "product note locus_tag inference experiment go_function go_process protein_id".split()
-FEATURES = "gene CDS tRNA rRNA tmRNA ncRNA misc_RNA misc_feature misc_binding regulatory repeat_region mobile_element sig_peptide mat_peptide source assembly_gap gap rep_origin oriT".split()
 
 
 def read_genbank(spark: SparkSession, path, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +82,10 @@ def read_genbank(spark: SparkSession, path, keep: tuple[str, ...] = ()) -> tuple
 
     ``gene`` and ``source`` features are left out unless named in keep.
     """
-    raw = spark.read.option("lineSep", "\nLOCUS").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.contains(F.col("value"), F.lit("PGAP")).alias("used_pgap"))
+    raw = spark.read.option("lineSep", "\nLOCUS").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    # A file's first record keeps its LOCUS; what comes before its first FEATURES says how the file was made.
+    head = raw.where(F.rlike("value", F.lit(r"^\s*LOCUS"))).groupBy("path").agg(F.bool_or(F.contains(F.split_part("value", F.lit("FEATURES"), F.lit(1)), F.lit("PGAP"))).alias("used_pgap"))
+    raw = raw.join(F.broadcast(head), "path", "left").na.fill(False, ["used_pgap"])
     contig = raw.where(F.contains("value", F.lit("FEATURES"))).select(
         genome_id(F.col("path"), "none").alias("genome_id"), "used_pgap",
         F.regexp_extract(F.regexp_replace("value", r"^LOCUS", ""), r"^\s*(\S+)", 1).alias("contig_id"),
@@ -135,6 +150,7 @@ def read_interpro(spark: SparkSession, path, max_e_value: float | None = None, d
     if drop_duplicates:
         w = Window.partitionBy("id").orderBy(F.asc_nulls_last("e_value"), "signature", "start", "stop")
         df = df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    df = df.orderBy(F.asc_nulls_last("e_value"), "id", "signature", "start", "stop")
     return df.withColumnsRenamed({c: f"{prefix}{c}" for c in df.columns if c != "id"}) if prefix else df
 
 
@@ -143,9 +159,12 @@ def read_mmseqs(spark: SparkSession, path) -> DataFrame:
 
 
 def read_mmseqs_clusters(spark: SparkSession, path) -> DataFrame:
-    """cluster_rep_id, id, cluster_id: dense numbers of representatives in order of name."""
+    """cluster_rep_id, id, cluster_id: dense numbers of representatives (from 0) in order of appearance."""
     df = spark.read.csv(path, sep="\t", schema="cluster_rep_id string, id string")
-    reps = df.select("cluster_rep_id").distinct().withColumn("cluster_id", F.row_number().over(Window.orderBy("cluster_rep_id")) - 1)
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    reps = df.withColumn("_p", place).groupBy("cluster_rep_id").agg(F.min("_p").alias("_p"))
+    # One row for each cluster.
+    reps = reps.withColumn("cluster_id", F.row_number().over(Window.orderBy("_p")) - 1).drop("_p")
     return df.join(reps, "cluster_rep_id")
 
 
@@ -176,7 +195,8 @@ def read_uniprot_xml(spark: SparkSession, path) -> DataFrame:
     schema = (
         "accession array<string>, name string, protein struct<recommendedName: struct<fullName: string>, submittedName: array<struct<fullName: string>>>, "
         "organism struct<name: array<string>, dbReference: array<struct<_type: string, _id: string>>, lineage: struct<taxon: array<string>>>, "
-        f"dbReference {ref}, comment array<struct<_type: string, text: string>>, proteinExistence struct<_type: string>, sequence string"
+        f"dbReference {ref}, comment array<struct<_type: string, text: string>>, proteinExistence struct<_type: string>, sequence string, "
+        "feature array<struct<_type: string, _description: string, location: struct<position: struct<_position: string>>>>"
     )
     x = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", "true").schema(schema).load(path).select("*", F.col("_metadata.file_name").alias("file_name"))
     none = lambda c: F.coalesce(c, F.lit("none"))
@@ -187,8 +207,38 @@ def read_uniprot_xml(spark: SparkSession, path) -> DataFrame:
         none(F.coalesce("protein.recommendedName.fullName", F.get("protein.submittedName.fullName", F.lit(0)))).alias("product"), none(comments("function")).alias("function"), none(comments("PTM")).alias("post_translational_modification"),
         none(F.col("proteinExistence._type")).alias("existence"), F.regexp_replace("sequence", r"\s", "").alias("seq"), "file_name",
     ]
+    refseq = F.get(F.filter("dbReference", _is_type("RefSeq")), F.lit(0))
+    nucleotide = F.get(F.transform(F.filter(refseq["property"], lambda p: p._type == "nucleotide sequence ID"), lambda p: p._value), F.lit(0))
+    ends = F.transform(F.filter("feature", _is_type("non-terminal residue")), lambda f: f.location.position._position)
+    cols += [none(refseq["_id"]).alias("refseq_protein_id"), none(nucleotide).alias("refseq_nucleotide_id"), none(F.nullif(F.array_join(ends, ","), F.lit(""))).alias("non_terminal_residue")]
     for db in DATABASES:
         own = F.filter("dbReference", _is_type(db))
         value = lambda r: F.coalesce(F.get(F.transform(F.filter(r.property, lambda p: p._type.isin("entry name", "term", "description")), lambda p: p._value), F.lit(0)), F.lit("no description"))
         cols += [none(F.nullif(F.array_join(F.transform(own, lambda r: r._id), ";"), F.lit(""))).alias(f"{db.lower()}_id"), none(F.nullif(F.array_join(F.transform(own, value), ";"), F.lit(""))).alias(f"{db.lower()}_description")]
     return x.select(*cols)
+
+
+def read_uniprot_features(spark: SparkSession, path) -> DataFrame:
+    """Distinct (type, description) of the features in UniProt XML files, chains left out."""
+    found = spark.read.text(path).select(F.regexp_extract("value", r'<feature type="([^"]+)".+description="([^"]+)".+>', 1).alias("type"), F.regexp_extract("value", r'<feature type="([^"]+)".+description="([^"]+)".+>', 2).alias("description"))
+    return found.where("type <> '' and type <> 'chain'").distinct()
+
+
+def read_typed_csv(spark: SparkSession, path, types: dict[str, str], sep: str = ",") -> DataFrame:
+    """A CSV file with a header: columns named in types have those types, all others are text."""
+    df = spark.read.csv(path, sep=sep, header=True, escape='"')
+    return df.select([F.col(f"`{c}`").cast(types.get(c, "string")).alias(c) for c in df.columns])
+
+
+# Types of the columns of top-hit tables that are not text.
+TOP_HIT_TYPES = {
+    **{f"{p}_{c}": "long" for p in ("query", "subject", "top_hit") for c in ("start", "stop", "length")}, **{f"{p}_strand": "int" for p in ("query", "subject", "top_hit")},
+    "overlap_start": "long", "overlap_stop": "long", "overlap_length": "long", "phase": "int", "same_strand": "boolean", "in_frame": "boolean", "exact_match": "boolean",
+    "top_hit_pseudo": "boolean", "subject_pseudo": "boolean", "top_hit_ribosomal_slippage": "boolean", "subject_ribosomal_slippage": "boolean", "sequence_identity": "double",
+    **{f"n_hits{c}": "int" for c in ("", "_supported", "_same_strand", "_opposite_strand", "_in_frame")}, "query_gc_content": "double",
+}
+
+
+def read_top_hits(spark: SparkSession, path) -> DataFrame:
+    """A table of top hits or of all hits, typed."""
+    return read_typed_csv(spark, path, TOP_HIT_TYPES)

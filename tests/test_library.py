@@ -212,19 +212,19 @@ def test_vector_queries_over_all_rows(spark, tmp_path):
     x = x.astype(np.float32).astype(float)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    got = {(e.i, e.j): e.distance for e in run("q18b_pair_distance_all")}
+    got = {(e.i, e.j): e.distance for e in run("q18_pair_distance")}
     assert set(got) == set(itertools.combinations(range(61), 2)) and all(abs(v - d[k]) < 1e-4 for k, v in got.items())
-    assert {(e.src, e.dst) for e in run("q20b_radius_graph_all")} == set(map(tuple, np.argwhere(d <= 1.2).tolist()))
+    assert {(e.src, e.dst) for e in run("q20_radius_graph")} == set(map(tuple, np.argwhere(d <= 1.2).tolist()))
     want = []
     for i in range(61):
         mean = [np.mean([d[i, j] for j in range(61) if j != i and j % 3 == c]) for c in range(3)]
         a, b = mean[i % 3], min(m for c, m in enumerate(mean) if c != i % 3)
         want.append((b - a) / max(a, b))
-    (s,) = run("q24b_silhouette_all")
+    (s,) = run("q24b_silhouette_index")
     assert s.n == 61 and abs(s.silhouette - np.mean(want)) < 1e-4
-    near = {i: np.lexsort((np.arange(61), d[i]))[:5].tolist() for i in range(0, 61, 20)}
-    assert {(e.src, e["rank"], e.dst) for e in run("q19b_knn_top_k_searches")} == {(i, k + 1, j) for i, js in near.items() for k, j in enumerate(js)}
-    assert {e.src for e in run("q21b_neighbor_summary_searches")} == {0, 20, 40, 60}
+    near = {i: np.lexsort((np.arange(61), d[i]))[:5].tolist() for i in range(61)}
+    assert {(e.src, e["rank"], e.dst) for e in run("q19_knn_top_k")} == {(i, k + 1, j) for i, js in near.items() for k, j in enumerate(js)}
+    assert {e.src for e in run("q21_neighbor_summary")} == set(range(61))
 
 
 def test_long_documents_stay(spark, tmp_path):
@@ -232,8 +232,8 @@ def test_long_documents_stay(spark, tmp_path):
 
     rows = [(1, "a" * 10), (2, "b" * 2500), (3, "b" * 2500), (4, "c" * 30_010)]
     spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(x.doc_id for x in QUERIES["q05b_keep_first_dedup_all"](spark, str(tmp_path)).collect()) == [1, 2, 4]
-    n = {x.center: x.n for x in QUERIES["q14b_sliding_bins_all"](spark, str(tmp_path)).collect()}
+    assert sorted(x.doc_id for x in QUERIES["q05_keep_first_dedup"](spark, str(tmp_path)).collect()) == [1, 2, 4]
+    n = {x.center: x.n for x in QUERIES["q14_sliding_bins"](spark, str(tmp_path)).collect()}
     assert n == {0: 1, 250: 1, 500: 1, 2250: 2, 2500: 2, 2750: 2, 29_750: 1, 30_000: 1, 30_250: 1}
 
 
@@ -241,14 +241,140 @@ def test_sequence_queries_read_documents(spark, tmp_path):
     from orfloom.plans.queries import QUERIES
 
     # Letters go to ACGU in turn.
-    rows = [(1, "adc, " + "adc" * 20_000), (2, "dad aac"), (3, "12"), (4, "ab")]
+    rows = [(1, "adc, " + "adc" * 20_000), (2, "dad aac"), (3, "12"), (4, "ab"), (5, "auc" + "aab" * 60 + "uae")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rna = lambda t: "".join("ACGU"[(ord(c) - 97) % 4] for c in t if c.isalpha())
-    got = {x.doc_id: x for x in QUERIES["q16b_seq_functions_documents"](spark, str(tmp_path)).collect()}
+    got = {x.doc_id: x for x in QUERIES["q16_seq_functions"](spark, str(tmp_path)).collect()}
     for i, t in rows:
         s = rna(t)
         gc = round(sum(c in "GC" for c in s) / len(s), 6) if s else None
         assert tuple(got[i]) == (i, len(s), s[::-1].translate(str.maketrans("ACGU", "UGCA")), gc, s.count("A"))
     stops, starts = ("UAA", "UAG", "UGA"), ("AUG", "GUG", "UUG")
-    want = {(i, k // 3, s[k : k + 3] in stops) for i, t in rows for s in [rna(t)] for k in range(0, len(s) - 2, 3) if s[k : k + 3] in stops + starts}
-    assert want and {tuple(x) for x in QUERIES["q17b_codon_orfs_documents"](spark, str(tmp_path)).collect()} == want
+    want = set()
+    for i, t in rows:
+        for strand, s in ((1, rna(t)), (-1, rna(t)[::-1].translate(str.maketrans("ACGU", "UGCA")))):
+            for k in range(len(s) - 2):
+                if s[k : k + 3] in starts:
+                    end = next((e for e in range(k, len(s) - 2, 3) if s[e : e + 3] in stops), None)
+                    if end is not None and end - k >= 150:
+                        want.add((i, strand, k + 1 if strand == 1 else len(s) - end - 2, end + 3 if strand == 1 else len(s) - k, (end - k) // 3))
+    assert {tuple(x) for x in QUERIES["q17_codon_orfs"](spark, str(tmp_path)).collect()} == want
+
+
+def test_clusters_by_tasks_and_by_passes(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(c, 0.3, (30, 3)) for c in (0, 4, 9, 15)] + [np.zeros((6, 3)) + 30])
+    df = spark.createDataFrame([(i, v.tolist(), int(i // 30 % 2)) for i, v in enumerate(x)], "id long, embedding array<double>, label int")
+
+    def groups():
+        parts, log = cluster.bisecting_kmeans(df, 5, n_init=3, max_iter=20)
+        by = {}
+        for p in parts.collect():
+            by.setdefault(p.cluster_id, set()).add(p.id)
+        return sorted(map(sorted, by.values())), log
+
+    small = groups()
+    monkeypatch.setattr(cluster, "TASK_ROWS", 2)
+    assert groups() == small and [len(g) for g in small[0]] == [30, 30, 30, 30, 6]
+    same = spark.createDataFrame([(i, [1.0, 1.0], 0) for i in range(8)], "id long, embedding array<double>, label int")
+    assert cluster.bisecting_kmeans(same, 3, n_init=2)[0].select("cluster_id").distinct().count() == 3
+    assert cluster.homogeneous_depth([(1, 0, 1), (2, 0, 2)], {0: {1}, 1: {2}, 2: {1}}) == {0: 1, 2: 1, 1: 0}
+
+
+def test_many_centers_and_reduced_vectors(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x, c = r.normal(size=(200, 6)), r.normal(size=(40, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    cs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster_id int, center array<double>")
+    read = lambda: sorted((e.id, e["rank"], e.cluster_id, round(e.distance, 9)) for e in cluster.nearest_centers(df, cs, 3).collect())
+    held = read()
+    monkeypatch.setattr(cluster, "CENTER_BYTES", 1)
+    assert read() == held
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+    assert [e[2] for e in held] == np.argsort(d, 1, kind="stable")[:, :3].ravel().tolist()
+    z = (x - x.mean(0)) / x.std(0)
+    u, s, _ = np.linalg.svd(z - z.mean(0), full_matrices=False)
+    want = (u * s)[:, :2]
+    got = np.array([e.features for e in vectors.preprocess(df, 2).orderBy("id").collect()])
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+    edges = vectors.pair_distances(df, df, "id", "embedding").select(F.col("i").alias("src"), F.col("j").alias("dst"), "distance").where("src < 30 and dst < 30")
+    points, shares = vectors.matrix_components(edges)
+    assert points.count() == 30 and len(shares) == 2 and shares[0] >= shares[1] > 0
+
+
+def test_permutation_p_value(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [(i, float(round(r.normal(0.8 * (i % 2)), 1)), i % 2) for i in range(120)]
+    x = stats.mann_whitney(spark.createDataFrame(rows, "id long, v double, g int"), "v", "g", id_col="id").first()
+    v = np.array([a for _, a, _ in rows])
+    rank = np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    assert x.u1 == rank[1::2].sum() - 60 * 61 / 2 and x.p_value < 0.05
+    none = spark.createDataFrame([(i, float(i % 7), i // 7 % 2) for i in range(140)], "id long, v double, g int")
+    assert stats.mann_whitney(none, "v", "g", id_col="id").first().p_value > 0.5
+    sums = stats._shuffled_sums(spark.createDataFrame([(i, float(i)) for i in range(50)], "key long, rank double"), spark.createDataFrame([(20,)], "_n1 long"), 300, 1).collect()
+    r = np.array([s.r for s in sums])
+    assert len(r) == 300 and abs(r.mean() - 20 * 24.5) < 15 and r.min() >= 190 and r.max() <= 790
+
+
+def test_split_quotas_and_many_splits(spark):
+    rows = [(i, c) for i, c in enumerate([1] * 40 + [2] * 7 + [3] * 2 + [4] * 2 + [5] * 3 + list(range(10, 60)))]
+    df = spark.createDataFrame([(i, c, 0) for i, c in rows], "id long, cluster_id long, label int")
+    got = cluster_stratified_split(df, n_splits=3).collect()
+    for k in range(3):
+        test = [x for x in got if x.split == k and x.test]
+        assert len(test) == 10 and {x.cluster_id for x in test} == {1, 2, 3, 4, 5}
+        assert all(sum(y.cluster_id == c for y in test) < n for c, n in ((1, 40), (2, 7), (3, 2), (4, 2), (5, 3)))
+    assert len(got) == 3 * len(rows) and len({frozenset(x.id for x in got if x.split == k and x.test) for k in range(3)}) > 1
+
+
+def test_terminal_flags(spark):
+    from orfloom.operators import predicates, tophit
+
+    rows = [("a", True, "MKV", "MKV", False), ("b", True, "MK", "MKV", False), ("c", True, "MKV", "M", False), ("d", False, "MKV", "MKV", False), ("e", True, "MKV", "MKVL", True), ("f", False, "MKV", "none", None)]
+    x = {r.id: (r.exact_match, r.truncated, r.extended, r.top_hit_length) for r in tophit.terminal_changes(spark.createDataFrame(rows, "id string, match boolean, seq string, top_hit_seq string, top_hit_ribosomal_slippage boolean")).collect()}
+    assert x == {"a": (True, False, False, 3), "b": (False, True, False, 3), "c": (False, False, True, 1), "d": (False, False, False, 3), "e": (False, False, False, 4), "f": (False, False, False, 0)}
+    hits = spark.createDataFrame([("q", "s1", 60.0, 0.9), ("q", "s1", 70.0, 0.85), ("q", "s2", 60.0, 0.95), ("t", "s1", 99.0, 0.99), ("t", "s2", 99.0, 0.81), ("t", "s3", 99.0, 0.99)], "id string, subject_id string, bit_score double, percent_identity double")
+    pairs = spark.createDataFrame([("q", "t"), ("q", "u")], "query_id string, top_hit_id string")
+    assert {r.top_hit_id: r.shared_hit for r in predicates.shared_hits(pairs, hits).collect()} == {"t": "s1", "u": None}
+
+
+def test_mutations_and_potential_orfs(spark):
+    assert len(one(spark, seq.mutations(F.lit("AC"), 2, "ACD"))) == 4 and {x.seq for x in one(spark, seq.mutations(F.lit("AC"), 1, "ACD"))} == {"CC", "DC", "AA", "AD"}
+    assert {(x.start, x.stop) for x in one(spark, seq.potential_orfs(F.lit("AUGAAAUAAUGA")))} == {(0, 9), (0, 12)}
+
+
+def test_hit_files(spark, tmp_path):
+    df = spark.createDataFrame([("q1", "MKXXV", "h1", "MX"), ("q2", "MM", None, "none")], "query_id string, query_seq string, top_hit_id string, top_hit_seq string")
+    tf.write_hit_fasta(df, str(tmp_path / "fa"))
+    assert {(x.id, x.seq) for x in tf.read_fasta(spark, str(tmp_path / "fa")).collect()} == {("q1", "MKV"), ("h1", "MX"), ("q2", "MM")}
+    (tmp_path / "a.fa").write_text(">a*b\nMK*V*\n")
+    tf.without_asterisks(spark, str(tmp_path / "a.fa"), str(tmp_path / "clean"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "clean")).collect()) == [">a*b", "MKV"]
+    (tmp_path / "c.tsv").write_text("z\ta\nz\tb\nb\tc\n")
+    assert {(x.id, x.cluster_id) for x in tf.read_mmseqs_clusters(spark, str(tmp_path / "c.tsv")).collect()} == {("a", 0), ("b", 0), ("c", 1)}
+    (tmp_path / "t.csv").write_text("query_id,overlap_length,same_strand,top_hit_product\nx,12,True,007\n")
+    x = tf.read_top_hits(spark, str(tmp_path / "t.csv")).first()
+    assert (x.overlap_length, x.same_strand, x.top_hit_product) == (12, True, "007")
+    (tmp_path / "f.xml").write_text('<a>\n <feature type="chain" id="1" description="x">\n <feature type="site" evidence="1" description="cut" id="2">\n <feature type="site" evidence="1" description="cut" id="3">\n</a>\n')
+    assert [tuple(x) for x in tf.read_uniprot_features(spark, str(tmp_path / "f.xml")).collect()] == [("site", "cut")]
+
+
+def test_model_steps(spark):
+    from orfloom.operators import model
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(i, i % 8, i % 2, [r.gauss(2 * (i % 2), 1) for _ in range(3)]) for i in range(160)], "id long, cluster_id long, label int, embedding array<double>")
+    best = model.fit_best(df, [3, 4, 2], epochs=20, check_every=10)
+    assert [h["epoch"] for h in best.metrics["history"]] == [10, 20] and best.metrics["balanced_accuracy"] == max(h["balanced_accuracy"] for h in best.metrics["history"])
+    both = model.predict_many(df, {"a": best, "b": best})
+    assert both.columns == ["id", "a_label", "a_output_0", "a_output_1", "b_label", "b_output_0", "b_output_1"] and both.count() == 160
+    cover = {x.label: x for x in model.sample_coverage(df, model.balanced_sample(df)).collect()}
+    assert set(cover) == {0, 1} and all(0 < x.coverage <= 1 for x in cover.values())
+    loss = model.weighted_loss(df.withColumn("p", F.lit(0.5)), "p", model.class_weights(df)).first().loss
+    assert abs(loss - 0.6931471805599453) < 1e-12
