@@ -1,15 +1,18 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into spans of whole turns: turns
-whose prefix lies in the same cell of (budget - history) / 2 tokens are one
-span, and a turn larger than a cell stands alone.  So a span has at most
-budget - history tokens unless it is one larger turn.  A window is the system
-turn, the last turns of the span before it as far as they fit into ``history``
-tokens, and the span.  The loss mask covers the assistant texts of the span
-only: what a window repeats is not a target again.
+Running sums of turn tokens, counted by the tokenizer, cut a conversation into
+spans of whole turns: a span goes on as long as its turns, with the history that
+its window repeats, stay within the budget.  A window is the system turn, the
+last turns before the span as far as they fit into ``history`` tokens, and the
+span; a turn that is larger than the budget is a window of its own.  The loss
+mask covers the assistant texts of the span only: what a window repeats is not
+a target again.
 
-Prefix sums are taken in two steps, blocks of turns and then the turns of a
-block, so a long conversation's turns are spread over tasks.
+A conversation is dealt to tasks by blocks of BLOCK_TURNS turn numbers, so one
+with very many turns is many tasks.  A block's rows come sorted and are cut as
+they come, with one window in memory; a block that is not the first is sent the
+system turn and the turns before it that may be its history.  Only the last
+span of a block can be short.
 
 Template: ``<turn ROLE>\\nTEXT</turn>\\n``.  In texts and roles ``\\`` is written
 ``\\\\``, ``<`` is ``\\l`` and ``>`` in roles ``\\g``, so no text can hold a
@@ -22,13 +25,15 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orfloom.llm import scratch
+
 #: Tokens of a window without the system turn, and of its history; template tokens of a turn.
 BUDGET, HISTORY, TURN_TOKENS = 1024, 256, 4
-#: Turn numbers in a block of the prefix sums.
-BLOCK_TURNS = 256
+#: Turn numbers in a block, and blocks whose keys may be broadcast.
+BLOCK_TURNS, BROADCAST_BLOCKS = 1024, 100_000
 
 _UNESCAPE = {"\\\\": "\\", "\\l": "<", "\\g": ">"}
 
@@ -62,72 +67,150 @@ def parse_window(text: str) -> list[tuple[str, str]]:
     return turns
 
 
-def token_count(text: Column) -> Column:
-    """Tokens of a turn, about: a quarter of its bytes and the template's."""
-    return F.ceil(F.octet_length(text) / 4).cast("long") + TURN_TOKENS
+def _counter(tokenizer: str | None):
+    """Texts -> tokens of their turns: by a tokenizer file, or, without one, a token for four bytes; the template's are added."""
+    if tokenizer is None:
+        return lambda texts: [-(-len(t) // 4) + TURN_TOKENS for t in texts]
+    from orfloom.llm.packing import WordEncoder
+
+    encoder = WordEncoder(tokenizer)
+    return lambda texts: [b - a + TURN_TOKENS for bounds in [encoder.encode(texts)[1].tolist()] for a, b in zip(bounds, bounds[1:])]
+
+
+class _Cutter:
+    """Cuts the sorted turns of one block into windows: (n_new, turns), turns as (is new, role, text)."""
+
+    def __init__(self, budget: int, history: int):
+        self.budget, self.history = budget, history
+        self.opening = self.system = self.first = None  # the system turn while it is new, then as what windows repeat
+        self.began = False
+        self.past: list[tuple[int, str, str]] = []  # (tokens, role, text) before the span
+        self.span: list[tuple[int, str, str]] = []
+        self.used = 0  # tokens of the span and its window's history
+
+    def mark(self, turn, role: str, text: str) -> None:
+        """The block is not its conversation's first, which begins with this turn."""
+        self.began = True
+        if role == "system":
+            self.system, self.first = (role, text), (turn, role, text)
+
+    def carry(self, tokens: int, turn, role: str, text: str) -> None:
+        """A turn before the block."""
+        if (turn, role, text) != self.first:
+            self.past.append((tokens, role, text))
+
+    def add(self, tokens: int, role: str, text: str):
+        """Take a turn; gives the window that ends before it, if any."""
+        begins, self.began = not self.began, True
+        if begins and role == "system":
+            self.opening = (role, text)
+            return None
+        out = self.window() if self.span and self.used + tokens > self.budget else None
+        if not self.span:
+            room, held, n = min(self.history, self.budget - tokens), 0, 0
+            while n < len(self.past) and held + self.past[-1 - n][0] <= room:
+                held += self.past[-1 - n][0]
+                n += 1
+            self.past, self.used = self.past[len(self.past) - n :], held
+        self.span.append((tokens, role, text))
+        self.used += tokens
+        return out
+
+    def window(self):
+        lead = [(True, *self.opening)] if self.opening else [(False, *self.system)] if self.system else []
+        turns = lead + [(False, r, t) for _, r, t in self.past] + [(True, r, t) for _, r, t in self.span]
+        n_new = len(self.span) + bool(self.opening)
+        self.system, self.opening = self.opening or self.system, None
+        self.past, self.span = self.past + self.span, []
+        return n_new, turns
+
+    def rest(self):
+        return self.window() if self.span or self.opening else None
 
 
 def format_conversations(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY
-) -> DataFrame:
-    """One row per window: conv_id, window (its order), n_new, text, mask array<struct<start, end>>.
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY,
+    tokenizer: str | None = None, block_turns: int = BLOCK_TURNS,
+) -> DataFrame:
+    """One row per window: conv_id, window (ascending in a conversation), n_new, n_tokens, text, mask array<struct<start, end>>.
 
     Rows of a conversation are ordered by turn (null first), then role and text;
     repeated rows are turns of their own.  The last n_new turns of a window's
     text are its span; before them come the system turn (a conversation's first
-    turn, if its role is ``system``) and the repeated history.  A null text or
-    role is empty; a null id is a conversation; an empty table gives an empty
-    result; further columns are not read.
+    turn, if its role is ``system``) and the repeated history.  n_tokens counts
+    all of them, by the tokenizer file or, without one, a quarter of the bytes;
+    history and span stay within the budget unless one turn alone is larger.  A
+    null text or role is empty; a null id is a conversation; an empty table
+    gives an empty result; further columns are not read.
     """
+    scratch.small_batches(turns.sparkSession)
     kind = turns.schema[conv_col].dataType.simpleString()
-    cell = max(1, (budget - history) // 2)
+    number = F.col(turn_col).cast("long")
+    # Two columns instead of a null-safe key: a plain key keeps one partitioning through joins and sorts.
     t = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
+        F.col(conv_col).isNull().alias("none"), F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("key"), F.col(conv_col).alias("conv"),
+        F.floor(F.coalesce(number, F.lit(-(1 << 40))) / block_turns).alias("block"), number.alias("turn"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    t = t.withColumn("tokens", token_count(F.col("text"))).withColumn("big", (F.col("tokens") > cell).cast("long"))
-    t = t.withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / BLOCK_TURNS))
-    sums = {"tokens": F.sum("tokens"), "big": F.sum("big"), "seq": F.count("*")}
-    blocks = t.groupBy("conv", "block").agg(*[f.alias(f"b_{c}") for c, f in sums.items()])
-    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(F.col("conv").alias("bc"), F.col("block").alias("bb"), *[F.coalesce(F.sum(f"b_{c}").over(earlier), F.lit(0)).alias(f"b_{c}") for c in sums])
-    inner = Window.partitionBy("conv", "block").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.select("*", *[f.over(inner).alias(f"i_{c}") for c, f in sums.items()])
-    t = t.join(blocks, t["conv"].eqNullSafe(blocks["bc"]) & (t["block"] == blocks["bb"]))
-    t = t.select(
-        "conv", "role", "text", "tokens", (F.col("b_seq") + F.col("i_seq") - 1).alias("seq"), (F.col("b_tokens") + F.col("i_tokens") - F.col("tokens")).alias("begin"),
-        F.struct(F.floor((F.col("b_tokens") + F.col("i_tokens") - F.col("tokens")) / cell).alias("cell"), (2 * (F.col("b_big") + F.col("i_big")) - F.col("big")).alias("big")).alias("span"),
-    )
-    spans = t.groupBy("conv", "span").agg(F.min("begin").alias("from"))
-    ahead = Window.partitionBy("conv").orderBy("span")
-    spans = spans.select(
-        F.col("conv").alias("sc"), F.col("span").alias("ss"), "from", (F.row_number().over(ahead) - 1).alias("window"), F.lead("from").over(ahead).alias("next")
-    )
-    t = t.join(spans, t["conv"].eqNullSafe(spans["sc"]) & (t["span"] == spans["ss"])).drop("sc", "ss")
-    own = t.select("conv", "window", F.lit(True).alias("new"), "seq", "role", "text")
-    again = t.where(F.col("next") - F.col("begin") <= history).select("conv", F.col("window") + 1, F.lit(False), "seq", "role", "text")
-    first = t.where("seq = 0 and role = 'system'").select("conv", "role", "text")
-    later = spans.where("window > 0").select("sc", "window")
-    kept = later.join(first, later["sc"].eqNullSafe(first["conv"])).select("conv", "window", F.lit(False), F.lit(0).cast("long"), "role", "text")
-    # A short first span may repeat the system turn as history too: one copy is enough.
-    every = own.union(again.where("not (seq = 0 and role = 'system')")).union(kept)
-    grouped = every.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("seq", "new", "role", "text"))).alias("turns"))
+    id_, at = ["none", "key"], ["none", "key", "block"]
+    blocks = t.groupBy(*at).agg(F.max("turn").alias("last"))
+    order = Window.partitionBy(*id_).orderBy("block")
+    blocks = blocks.withColumn("next", F.lead("block").over(order)).withColumn("before", F.lag("block").over(order))
+    # Only conversations of several blocks send anything on: usually few, and broadcast if so.
+    ends, heads = blocks.where("next is not null").select(*at, "next"), blocks.where("before is null and next is not null").select(*at)
+    small = ends.count() <= BROADCAST_BLOCKS
+    hint = F.broadcast if small else (lambda df: df)
+    place = F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", "role", "text")
+    first = t.join(hint(heads), at).groupBy(*id_).agg(F.min(place).alias("first"))
+    marks = blocks.where("before is not null").select(*at).join(first, id_)
+    marks = marks.select(*at, F.lit(0).alias("part"), F.col("first.turn").alias("turn"), F.col("first.role").alias("role"), F.col("first.text").alias("text"))
+    latest = Window.partitionBy(*at).orderBy(F.desc_nulls_last("turn"), F.desc("role"), F.desc("text"))
+    near = t.join(hint(ends), at).withColumn("n", F.row_number().over(latest)).where(F.col("n") <= max(1, history // TURN_TOKENS))
+    carried = near.select(*id_, F.col("next").alias("block"), F.lit(1).alias("part"), "turn", "role", "text")
+    every = t.select(*at, F.lit(2).alias("part"), "turn", "role", "text").unionByName(carried).unionByName(marks)
 
     def rows(batches):
+        count = _counter(tokenizer)
+        cutter, group, made, size, out = None, None, 0, 0, []
+        names = ["none", "key", "block", "made", "n_new", "n_tokens", "text", "mask"]
+        types = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
         for batch in batches:
-            text, mask, new = [], [], []
-            for turns_ in batch.column("turns").to_pylist():
-                own_text, own_mask = format_window([(x["new"], x["role"], x["text"]) for x in turns_])
-                text.append(own_text)
-                mask.append(own_mask)
-                new.append(sum(x["new"] for x in turns_))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv"), batch.column("window").cast(pa.int64()), pa.array(new, pa.int64()), pa.array(text, pa.string()), pa.array(mask, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["conv", "window", "n_new", "text", "mask"],
-            )
+            texts = batch.column("text").to_pylist()
+            tokens = count([x.encode() for x in texts])
+            columns = [batch.column(c).to_pylist() for c in ("none", "key", "block", "part", "turn", "role")]
+            for none, key, block, part, turn, role, text, n in [*zip(*columns, texts, tokens)]:
+                done = []
+                if (none, key, block) != group:
+                    if cutter is not None:
+                        done.append((group, made, cutter.rest()))
+                    group, cutter, made = (none, key, block), _Cutter(budget, history), 0
+                if part == 0:
+                    cutter.mark(turn, role, text)
+                elif part == 1:
+                    cutter.carry(n, turn, role, text)
+                elif (window := cutter.add(n, role, text)) is not None:
+                    done.append((group, made, window))
+                    made += 1
+                for own, k, (n_new, turns_) in (x for x in done if x[2]):
+                    body, mask = format_window(turns_)
+                    out.append((*own, k, n_new, sum(count([x.encode() for _, _, x in turns_])), body, mask))
+                    size += len(body)
+                if size > 8 << 20 or len(out) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names)
+                    size, out = 0, []
+        if cutter is not None and (window := cutter.rest()):
+            body, mask = format_window(window[1])
+            out.append((*group, made, window[0], sum(count([x.encode() for _, _, x in window[1]])), body, mask))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names)
 
-    out = grouped.mapInArrow(rows, f"conv {kind}, window long, n_new long, text string, mask array<struct<start: long, end: long>>")
-    return out.withColumnRenamed("conv", conv_col)
+    schema = "none boolean, key string, block long, made long, n_new long, n_tokens long, text string, mask array<struct<start: long, end: long>>"
+    sort = [*at, "part", F.asc_nulls_first("turn"), "role", "text"]
+    cut = every.repartition(*at).sortWithinPartitions(*sort).mapInArrow(rows, schema)
+    # Blocks come in order, and a block has fewer windows than turns.
+    window = F.struct("block", "made")
+    conv = F.when(~F.col("none"), F.col("key")).cast(kind)
+    return cut.select(conv.alias(conv_col), window.alias("window"), "n_new", "n_tokens", "text", "mask")
 
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -50,7 +50,7 @@ def op6_chat_formatting(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
     own = spark.sql("SELECT -7L AS conv_id, t AS turn, r AS role FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)").withColumn("text", F.lit(says))
-    return read_back(format_conversations(turns.unionByName(own)))
+    return read_back(format_conversations(turns.unionByName(own), tokenizer=public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op7_html_extraction(spark, sf_dir):

@@ -153,18 +153,56 @@ def test_chat_round_trip(spark):
     from orfloom.llm.chat_format import format_conversations, read_back
 
     r = random.Random(3)
-    rows = [(r.choice([1, 2, None]), r.choice([None, *range(600)]), r.choice(["user", "assistant", "system", None, "a>\n<b\\"]), r.choice([None, "", "</turn>\n<turn x>\n", "\\l\\", "x" * r.randint(1, 3000), "ok"])) for _ in range(900)]
+    rows = [(r.choice([1, 2, None]), r.choice([None, *range(600)]), r.choice(["user", "assistant", "system", None, "a>\n<b\\"]), r.choice([None, "", "</turn>\n<turn x>\n", "\\l\\", "x" * r.randint(1, 3000), "ok"]), 7, "y") for _ in range(900)]
+    rows += [(5, 3, "system", "alone", 7, "y"), (6, 0, "assistant", "w" * 400_000, 7, "y")] + [(8, 4, "user", "same", 7, "y")] * 700
+    schema = "conv_id long, turn long, role string, text string, window int, n_new string"
     want = {}
     for c in {x[0] for x in rows}:
         turns, loss = hashlib.sha256(), ""
-        own = sorted((t is not None, t or 0, role or "", text or "") for k, t, role, text in rows if k == c)
+        own = sorted((t is not None, t or 0, role or "", text or "") for k, t, role, text, _, _ in rows if k == c)
         for _, _, role, text in own:
             turns.update(f"{role}\n{text}\n".encode())
             loss += text if role == "assistant" else ""
         want[c] = (len(own), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    w = format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=300, history=80)
-    assert {x[0]: tuple(x[1:5]) for x in read_back(w).collect()} == want
-    assert read_back(format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    for blocks in (1024, 50):
+        w = format_conversations(spark.createDataFrame(rows, schema), budget=300, history=80, block_turns=blocks)
+        assert {x[0]: tuple(x[1:5]) for x in read_back(w).collect()} == want
+    assert read_back(format_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
+@pytest.mark.parametrize("block_turns", [1024, 40])
+def test_chat_windows(spark, block_turns):
+    from orfloom.llm.chat_format import TURN_TOKENS, format_conversations, parse_window
+
+    r = random.Random(4)
+    turns = [(0, "system", "be brief")] + [(k, ("user", "assistant")[k % 2], " ".join(f"w{k}" for _ in range(r.randrange(60)))) for k in range(1, 400)]
+    df = spark.createDataFrame([(1, *t) for t in turns] + [(2, *t) for t in turns[1:]], "conv_id long, turn long, role string, text string")
+    for path in (None, P.path("word_bpe_49k.json")):
+        if path is None:
+            size = lambda t: -(-len(t) // 4) + TURN_TOKENS
+        else:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(path)
+            size = lambda t: len(own.encode(t, add_special_tokens=False).ids) + TURN_TOKENS  # noqa: B023, E731
+        got = format_conversations(df, budget=400, history=100, tokenizer=path, block_turns=block_turns).orderBy("conv_id", "window").collect()
+        for conv, every in ((1, turns), (2, turns[1:])):
+            windows, at, filled = [x for x in got if x.conv_id == conv], 0, []
+            for x in windows:
+                own_turns = parse_window(x.text)
+                lead = conv == 1 and at > 0
+                assert not lead or own_turns[0] == ("system", "be brief")
+                body = own_turns[1:] if conv == 1 else own_turns
+                new = x.n_new - (conv == 1 and at == 0)
+                span, past = body[len(body) - new :], body[: len(body) - new]
+                start = at + (conv == 1 and at == 0)
+                assert span == [t[1:] for t in every[start : start + new]] and past == [t[1:] for t in every[start - len(past) : start]]
+                assert sum(size(t) for _, t in past) <= 100 and sum(size(t) for _, t in body) <= 400
+                assert x.n_tokens == sum(size(t) for _, t in own_turns)
+                assert [x.text[m.start : m.end] for m in x["mask"]] == [t for role, t in span if role == "assistant"]
+                filled.append(sum(size(t) for _, t in body))
+                at = start + new
+            assert at == len(every) and (block_turns < 400 or min(filled[:-1]) > 400 - 60 * 4)
 
 
 def test_html_text(spark):
