@@ -175,6 +175,8 @@ def bisecting_kmeans(
             fresh = nodes.where(F.col("node").isin([x for pair in new.values() for x in pair])).groupBy("node").agg(F.count("*").alias("n"), F.count_distinct("label").alias("l")).collect()
             facts |= {r["node"]: (r["n"], r["l"]) for r in fresh}
         cluster = heapq.heappop(waiting)[2]
+        if any(n not in facts for n in children[node]):  # all rows at one place, and on one side by their hash
+            continue
         step = len(log) + 1
         leaf[cluster], leaf[step] = children[node]
         log.append((step, cluster, step))
