@@ -78,7 +78,7 @@ def _counter(tokenizer: str | None):
 
 
 class _Cutter:
-    """Cuts the sorted turns of one block into windows: (n_new, turns), turns as (is new, role, text)."""
+    """Cuts the sorted turns of one block into windows: (n_new, tokens, turns), turns as (is new, role, text)."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
@@ -88,11 +88,11 @@ class _Cutter:
         self.span: list[tuple[int, str, str]] = []
         self.used = 0  # tokens of the span and its window's history
 
-    def mark(self, turn, role: str, text: str) -> None:
+    def mark(self, tokens: int, turn, role: str, text: str) -> None:
         """The block is not its conversation's first, which begins with this turn."""
         self.began = True
         if role == "system":
-            self.system, self.first = (role, text), (turn, role, text)
+            self.system, self.first = (tokens, role, text), (turn, role, text)
 
     def carry(self, tokens: int, turn, role: str, text: str) -> None:
         """A turn before the block."""
@@ -103,7 +103,7 @@ class _Cutter:
         """Take a turn; gives the window that ends before it, if any."""
         begins, self.began = not self.began, True
         if begins and role == "system":
-            self.opening = (role, text)
+            self.opening = (tokens, role, text)
             return None
         out = self.window() if self.span and self.used + tokens > self.budget else None
         if not self.span:
@@ -117,12 +117,13 @@ class _Cutter:
         return out
 
     def window(self):
-        lead = [(True, *self.opening)] if self.opening else [(False, *self.system)] if self.system else []
-        turns = lead + [(False, r, t) for _, r, t in self.past] + [(True, r, t) for _, r, t in self.span]
-        n_new = len(self.span) + bool(self.opening)
+        parts = [(True, [self.opening])] if self.opening else [(False, [self.system])] if self.system else []
+        parts += [(False, self.past), (True, self.span)]
+        turns = [(new, role, text) for new, own in parts for _, role, text in own]
+        n_new, tokens = len(self.span) + bool(self.opening), sum(n for _, own in parts for n, _, _ in own)
         self.system, self.opening = self.opening or self.system, None
         self.past, self.span = self.past + self.span, []
-        return n_new, turns
+        return n_new, tokens, turns
 
     def rest(self):
         return self.window() if self.span or self.opening else None
@@ -185,22 +186,22 @@ def format_conversations(
                         done.append((group, made, cutter.rest()))
                     group, cutter, made = (none, key, block), _Cutter(budget, history), 0
                 if part == 0:
-                    cutter.mark(turn, role, text)
+                    cutter.mark(n, turn, role, text)
                 elif part == 1:
                     cutter.carry(n, turn, role, text)
                 elif (window := cutter.add(n, role, text)) is not None:
                     done.append((group, made, window))
                     made += 1
-                for own, k, (n_new, turns_) in (x for x in done if x[2]):
+                for own, k, (n_new, n_tokens, turns_) in (x for x in done if x[2]):
                     body, mask = format_window(turns_)
-                    out.append((*own, k, n_new, sum(count([x.encode() for _, _, x in turns_])), body, mask))
+                    out.append((*own, k, n_new, n_tokens, body, mask))
                     size += len(body)
                 if size > 8 << 20 or len(out) >= 2000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names)
                     size, out = 0, []
         if cutter is not None and (window := cutter.rest()):
-            body, mask = format_window(window[1])
-            out.append((*group, made, window[0], sum(count([x.encode() for _, _, x in window[1]])), body, mask))
+            body, mask = format_window(window[2])
+            out.append((*group, made, *window[:2], body, mask))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(types)], names)
 

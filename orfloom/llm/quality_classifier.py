@@ -22,9 +22,9 @@ from orfloom.llm.textops import chunks, mix, split_words, word_hashes
 
 #: Weights, and labelled rows that the fit uses at most.
 BITS, MAX_LABELS = 20, 8000
-#: A weight is fitted only if so many of the sample's texts have the feature, and at most this share.
-MIN_TEXTS, MAX_SHARE = 20, 0.08
-#: The first slots are for features of form (endings, whole-text steps), which are fitted however frequent.
+#: Ridge penalty, and the square of the standard errors at which a feature counts half.
+RIDGE, DOUBT = 1.0, 9.0
+#: The first slots are for features of form (endings, whole-text steps).
 FORM_SLOTS = 4096
 
 _PUNCT = np.zeros(256, np.int64)
@@ -69,44 +69,98 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -30, 30)))
 
     @classmethod
-    def fit(cls, text: np.ndarray, slot: np.ndarray, grade: np.ndarray, rounds: int = 200, rate: float = 0.1, ridge: float = 60.0) -> OrdinalModel:
-        """Full-batch AdaGrad on the negative log likelihood; text is sorted, one grade for each text."""
+    def fit(cls, text: np.ndarray, slot: np.ndarray, grade: np.ndarray, rounds: int = 150, ridge: float = RIDGE) -> OrdinalModel:
+        """Regularised maximum likelihood; text is sorted, one grade for each text.
+
+        A feature's weight is its coefficient times z^2 / (z^2 + DOUBT): z is how
+        many standard errors the mean grade of the texts that have it lies from
+        that of all.  So what says nothing about grades, rare or common, is
+        damped alike at every number of texts and every mix of grades.
+        """
         n, top = len(grade), max(1, int(grade.max(initial=0)))
-        seen = np.bincount(slot, minlength=1 << BITS)
-        fitted = (seen >= MIN_TEXTS) & ((seen <= MAX_SHARE * n) | (np.arange(1 << BITS) < FORM_SLOTS))
-        text, slot = text[fitted[slot]], slot[fitted[slot]]
-        used, slot = np.unique(slot, return_inverse=True)  # work on the fitted weights alone
-        w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
+        used, slot = np.unique(slot, return_inverse=True)
         share = [np.clip((grade <= k).mean() if n else 0.5, 0.01, 0.99) for k in range(top)]
         base = np.log(np.array(share) / (1 - np.array(share)))
-        first, gaps = base[0], np.log(np.maximum(np.diff(base), 0.1))
-        for _ in range(rounds if n else 0):
-            t = np.concatenate([[first], first + np.cumsum(np.exp(gaps))])
-            score = np.bincount(text, weights=w[slot], minlength=n)
-            below = 1 / (1 + np.exp(np.clip(score[:, None] - t[None], -30, 30)))  # P(grade <= k)
-            full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
-            row = np.arange(n)
-            high, low = full[row, grade + 1], full[row, grade]
-            by_score = (1 - high - low) / n  # slope of the loss; exact for logistic links, so it never vanishes where the fit is wrong
-            step = np.bincount(slot, weights=by_score[text], minlength=len(w)) + ridge * w / n
-            g2 += step * step
-            w -= rate * step / np.sqrt(g2)
-            p = np.maximum(high - low, 1e-9)
-            lift = np.minimum(full[:, 1 : top + 1] * (1 - full[:, 1 : top + 1]) / p[:, None], 1)
-            by_t = np.array([(lift[grade == k + 1, k].sum() - lift[grade == k, k].sum()) / n for k in range(top)])
-            first -= rate * by_t.sum()
-            for k in range(1, top):
-                gaps[k - 1] -= rate * by_t[k:].sum() * np.exp(gaps[k - 1])
+        start = np.concatenate([np.zeros(len(used)), base[:1], np.log(np.maximum(np.diff(base), 0.1))])
+        if n:
+            count, total = np.bincount(slot, minlength=len(used)), np.bincount(slot, weights=grade[text].astype(np.float64), minlength=len(used))
+            far = (total / np.maximum(count, 1) - grade.mean()) * np.sqrt(count) / max(grade.std(), 1e-9)
+            value = far * far / (far * far + DOUBT)
+            start = _minimise(lambda p: _loss(p, text, slot, value, grade, top, ridge), start, rounds)
+        else:
+            value = np.zeros(0)
         weights = np.zeros(1 << BITS)
-        weights[used] = w
+        weights[used] = start[: len(used)] * value
+        first, gaps = start[len(used)], start[len(used) + 1 :]
         return cls(weights, np.concatenate([[first], first + np.cumsum(np.exp(gaps))]))
 
 
+def _loss(p: np.ndarray, text: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, top: int, ridge: float) -> tuple[float, np.ndarray]:
+    """(negative log likelihood with ridge, its slope) in coefficients, first threshold and logs of the gaps, for a text."""
+    n, k = len(grade), len(value)
+    w, gaps = p[:k], np.exp(np.clip(p[k + 1 :], -20, 20))
+    t = np.concatenate([[p[k]], p[k] + np.cumsum(gaps)])
+    score = np.bincount(text, weights=(w * value)[slot], minlength=n)
+    below = 1 / (1 + np.exp(np.clip(score[:, None] - t[None], -30, 30)))  # P(grade <= k)
+    full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
+    row = np.arange(n)
+    high, low = full[row, grade + 1], full[row, grade]
+    chance = np.maximum(high - low, 1e-12)
+    by_score = (1 - high - low) / n  # exact for logistic links: it never vanishes where the fit is wrong
+    slope = np.zeros_like(p)
+    slope[:k] = np.bincount(slot, weights=by_score[text], minlength=k) * value + ridge * w / n
+    lift = full[:, 1 : top + 1] * (1 - full[:, 1 : top + 1]) / chance[:, None]
+    by_t = np.array([(lift[grade == j + 1, j].sum() - lift[grade == j, j].sum()) / n for j in range(top)])
+    slope[k] = by_t.sum()
+    for j in range(1, top):
+        slope[k + j] = by_t[j:].sum() * gaps[j - 1]
+    return float(-np.log(chance).mean() + ridge * (w @ w) / (2 * n)), slope
+
+
+def _minimise(f, p: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with backtracking."""
+    loss, g = f(p)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        d, kept = g.copy(), []
+        for s, y in reversed(pairs):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d -= a * y
+        if pairs:
+            d *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), a in zip(pairs, reversed(kept)):
+            d += s * (a - (y @ d) / (s @ y))
+        step = 1.0 if pairs else 1 / max(np.abs(g).max(), 1.0)
+        while step > 1e-10:
+            q = p - step * d
+            new, h = f(q)
+            if np.isfinite(new) and new <= loss - 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            return p
+        s, y = q - p, h - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y)]
+        done = loss - new < 1e-7 * max(abs(loss), 1e-3)
+        p, loss, g = q, new, h
+        if done:
+            return p
+    return p
+
+
 def fit_grades(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> OrdinalModel:
-    """Fit on at most max_labels labelled rows; grade is a column of labels, 0 the worst.  Null ids, texts and grades take no part."""
-    rated = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("grade is not null").dropDuplicates(["id"])
+    """Fit on at most max_labels labelled ids, chosen by hash; grade is a column of labels, 0 the worst.
+
+    An id with several grades counts with the lowest; of an id's texts in docs
+    the first by hash counts.  Null ids, texts and grades take no part; without
+    any labelled text all documents get one score.
+    """
+    rated = labels.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("grade is not null and id is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     some = rated.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     both = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "id")
+    both = both.groupBy("id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def rows(batches):
         for batch in batches:
@@ -116,7 +170,7 @@ def fit_grades(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id"
                 out = pa.array([s[cut[i] : cut[i + 1]].astype("<u4").tobytes() for i in range(len(part))], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(part)).cast(pa.string()), batch.column("grade").slice(first, len(part)), out], ["id", "grade", "slots"])
 
-    got = both.select("id", "grade", "text").mapInArrow(rows, "id string, grade int, slots binary").limit(2 * max_labels).collect()
+    got = both.select("id", "grade", "text").mapInArrow(rows, "id string, grade int, slots binary").collect()  # max_labels rows at most
     got.sort(key=lambda r: (str(r["id"]), bytes(r["slots"])))
     slots = [np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in got]
     text = np.repeat(np.arange(len(got)), [len(s) for s in slots])

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -246,6 +247,67 @@ def test_classifier(spark):
     assert np.mean([(got[i].p_top >= 0.5) == (i % 3 == 2) for i in held]) > 0.9
     assert np.mean([got[i].expected_grade for i in held if i % 3 == 0]) < np.mean([got[i].expected_grade for i in held if i % 3 == 1])
     assert score_documents(frame(spark, []), model).count() == 0
+    # One id with several grades and texts, a bound on the labels, no labels at all, integer and text ids.
+    twice = labels.unionByName(labels.withColumn("grade", F.lit(2)))
+    assert np.array_equal(fit_grades(frame(spark, rows + rows), twice, F.col("grade")).weights, model.weights)
+    few = fit_grades(frame(spark, rows), labels, F.col("grade"), max_labels=10)
+    assert 0 < np.count_nonzero(few.weights) < np.count_nonzero(model.weights)
+    none = fit_grades(frame(spark, rows), labels.where("grade > 9"), F.col("grade"))
+    assert len({x.p_top for x in score_documents(frame(spark, rows[:5]), none).collect()}) == 1
+
+
+def test_classifier_loss_and_scores():
+    from orfloom.llm.quality_classifier import OrdinalModel, _loss, feature_slots
+
+    r = np.random.default_rng(1)
+    grade = r.integers(0, 3, 40)
+    d, s = feature_slots([" ".join(f"w{k}" for k in r.integers(0, 30, 12)).encode() for _ in grade])
+    used, s_ = np.unique(s, return_inverse=True)
+    value, p = r.uniform(size=len(used)), np.concatenate([r.normal(size=len(used)), [-0.4, 0.2]])
+    f = lambda q: _loss(q, d, s_, value, grade, 2, 3.0)
+    _, slope = f(p)
+    for i in [0, 5, len(used) - 1, len(used), len(used) + 1]:
+        e = np.zeros(len(p))
+        e[i] = 1e-6
+        assert abs((f(p + e)[0] - f(p - e)[0]) / 2e-6 - slope[i]) < 1e-6
+    # Each text scored by itself is the sum over its distinct features.
+    model = OrdinalModel.fit(d, s, grade)
+    assert (np.diff(model.thresholds) > 0).all()
+    texts = [b"", b"w1 W1 w2", b"x" * 300_000, "\u00e9\u4e2d w3.".encode()]
+    together = feature_slots(texts)
+    for i, t in enumerate(texts):
+        alone = feature_slots([t])[1]
+        assert sorted(alone.tolist()) == sorted(set(together[1][together[0] == i].tolist()))
+
+
+def held_out(folder, heavy=False):
+    """Share kept of toxic, low and good texts in the half of the labels that the fit does not see."""
+    import pyarrow.parquet as pq
+
+    from orfloom.llm.quality_classifier import OrdinalModel, feature_slots
+
+    texts = dict(zip(*(pq.read_table(f"{folder}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))))
+    rows = pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    rated = sorted({(x["doc_id"], 0 if x["toxic"] else 1 if not x["quality"] else 2) for x in rows if texts.get(x["doc_id"])}, key=lambda x: hashlib.md5(str(x).encode()).hexdigest())
+    train, test = rated[::2], rated[1::2]
+    if heavy:
+        toxic = [x for x in train if x[1] == 0]
+        train = toxic + [x for x in train if x[1]][: 2 * len(toxic)]
+    own = lambda some: feature_slots([(texts[i] or "").encode() for i, _ in some])
+    d, s = own(train)
+    model = OrdinalModel.fit(d, s, np.array([g for _, g in train]))
+    d, s = own(test)
+    kept = model.above(np.bincount(d, weights=model.weights[s], minlength=len(test)))[:, -1] >= 0.5
+    return [float(np.mean([k for k, (_, g) in zip(kept, test) if g == j])) for j in range(3)]
+
+
+@pytest.mark.parametrize("size,heavy", [("sf0.01", False), ("sf0.1", False), ("sf0.1", True)])
+def test_classifier_held_out(size, heavy):
+    folder = f"/root/testdata/{size}"
+    if not os.path.exists(f"{folder}/labels.parquet"):
+        pytest.skip("test tables are not there")
+    toxic, low, good = held_out(folder, heavy)
+    assert good >= 0.9 and toxic <= (0.4 if size == "sf0.01" else 0.1) and low < 0.75
 
 
 def test_pipeline(spark, tmp_path):
