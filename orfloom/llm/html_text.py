@@ -44,6 +44,11 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!
 _ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/>]+)")
 
 
+def _unseen(name: str, attrs: str, inside: bool) -> bool:
+    """Whether an element is not shown at all."""
+    return name in ("head", "script", "style", "noscript", "template", "title", "textarea", "noframes", "xmp")
+
+
 def _skips(name: str, attrs: str, inside: bool) -> bool:
     if name in SKIP or (name == "header" and not inside):
         return True
@@ -65,11 +70,19 @@ def _skips(name: str, attrs: str, inside: bool) -> bool:
 
 def main_text(page: str) -> str:
     """The main text of a page: its blocks joined by newlines, white space within a block as one space."""
+    blocks = page_blocks(page, _skips)
+    # A marked part that holds less than half of the text is a teaser, not the main story.
+    marked = 2 * sum(len(t) for is_main, t in blocks if is_main) >= sum(len(t) for _, t in blocks) and any(is_main for is_main, _ in blocks)
+    return "\n".join(t for is_main, t in blocks if is_main or not marked)
+
+
+def page_blocks(page: str, skips=_unseen) -> list[tuple[bool, str]]:
+    """(whether it is in the page's marked main part, text) of each block outside the elements that skips names."""
     stack: list[tuple[str, bool, bool]] = []  # (element, in a skipped one, in a main one)
     is_open: Counter[str] = Counter()
     blocks: list[tuple[bool, str]] = []
     own: list[str] = []
-    skip = main = any_main = False
+    skip = main = False
     at = 0
 
     def close_block():
@@ -131,21 +144,18 @@ def main_text(page: str) -> str:
             end = re.compile(rf"</{name}[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
-        hide = skip or _skips(name, m[3] or "", main)
+        hide = skip or skips(name, m[3] or "", main)
         if hide and not skip:
             close_block()
         role_main = not hide and re.search(r"\brole\s*=\s*[\"']?main\b", m[3] or "", re.IGNORECASE)
         now_main = main or (not hide and (name in MAIN or bool(role_main)))
-        any_main |= now_main and not hide
         if (m[3] or "").rstrip().endswith("/") and name not in BLOCK:
             continue
         stack.append((name, hide, now_main))
         is_open[name] += 1
         skip, main = hide, now_main
     close_block()
-    # A marked part that holds less than half of the text is a teaser, not the main story.
-    marked = any_main and 2 * sum(len(t) for is_main, t in blocks if is_main) >= sum(len(t) for _, t in blocks)
-    return "\n".join(t for is_main, t in blocks if is_main or not marked)
+    return blocks
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

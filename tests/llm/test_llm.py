@@ -310,52 +310,6 @@ def test_classifier_held_out(size, heavy):
     assert good >= 0.9 and toxic <= (0.4 if size == "sf0.01" else 0.1) and low < 0.75
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
-
-    r = random.Random(8)
-    text = lambda: "\n".join(" ".join(f"{r.choice('abcdefgh')}x{r.randrange(10**5)}" for _ in range(15)) for _ in range(6))
-    clean = [(i, text()) for i in range(30)]
-    copy = (40, clean[3][1])
-    near = (41, clean[4][1].replace(" ", "  ") + " more")
-    shared = " ".join(f"s{i}" for i in range(50))
-    passage = [(50 + i, f"{text()} {shared} {text()}") for i in range(3)]
-    rows = clean + [copy, near, (60, "too short")] + passage
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    step = docs
-    seen = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, str(tmp_path))
-        assert step.columns == docs.columns
-        seen.append({x.doc_id: x.text for x in step.collect()})
-    assert set(seen[0]) == {i for i, _ in rows} - {60}
-    assert 40 not in seen[1] and 41 not in seen[2] and {i for i, _ in clean} <= set(seen[2])
-    assert all(seen[3][i] == t for i, t in clean) and all("s10" not in seen[3][i] for i, _ in passage)
-    assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen[3])
-
-
-def test_pipeline_repeated_rows(spark, tmp_path):
-    import corpus_pipeline
-
-    r = random.Random(9)
-    text = lambda: "\n".join(" ".join(f"{r.choice('abcdefgh')}x{r.randrange(10**5)}" for _ in range(15)) for _ in range(6))
-    one, two, three, four, five = (text() for _ in range(5))
-    near = lambda t: t.replace(" ", "  ") + " more"
-    rows = [(1, one)] * 3 + [(2, two), (3, near(two)), (3, three)] + [(None, four)] * 2 + [(None, near(four)), (None, five)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    want = collections.Counter([(1, one), (2, two), (3, three), (None, five)])
-    got = collections.Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
-    assert {n for n in got.values()} == {1} and len(got) == 5 and set(want) < set(got)
-    assert (set(got) - set(want)) <= {(None, four), (None, near(four))}
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    step = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, str(tmp_path))
-    assert sorted((x.doc_id or 0 for x in step.collect())) == [0, 0, 1, 2, 3]
-    assert collections.Counter(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect() if x.start == 0) == {1: 1, 2: 1, 3: 1, None: 2}
-
-
 def test_quality_rules_odd_rows(spark):
     from orfloom.llm.quality_rules import apply_rules
 
