@@ -74,7 +74,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row is a document here, so two rows with one text lose all that they
     share; the stage before leaves no such rows.  Texts without repeats stay as
-    they are, a null one too; others are their words that stay, joined by spaces.
+    they are (null becomes empty); others are their words that stay, joined by
+    spaces.
     """
     out = cut_repeats(docs.select(_row(docs), "text"), id_col="row").where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
