@@ -26,8 +26,8 @@ SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Interquartile ranges between the median and a limit.
 SPREADS = 4
-#: Texts that a group needs for limits of its own.
-MIN_GROUP = 100
+#: Texts that a group needs for limits of its own, and groups whose limits may be broadcast (about 400 bytes each).
+MIN_GROUP, BROADCAST_GROUPS = 100, 50_000
 #: metric: (slack, whether there is a lower limit too)
 METRICS = {
     "symbols": (100, False),  # symbols in 1000 words
@@ -147,7 +147,9 @@ def apply_rules(
     every = wide(limits(merged(fine, []), []), [], "every")
     table = own.join(per_lang, own["lang_"].eqNullSafe(per_lang["lang_"])).drop(per_lang["lang_"]).join(every)
     chosen = F.when(F.col("own_n") >= min_group, F.col("own")).when(F.col("per_lang_n") >= min_group, F.col("per_lang")).otherwise(F.col("every"))
-    table = table.select(F.col("lang_").alias("l"), F.col("source_").alias("s"), chosen.alias("limit"))
+    table = scratch.table(table.select(F.col("lang_").alias("l"), F.col("source_").alias("s"), chosen.alias("limit")), "limits")
+    if table.count() <= BROADCAST_GROUPS:  # then no text is shuffled, and a hot source is in no one task
+        table = F.broadcast(table)
     out = base.join(table, base["lang_"].eqNullSafe(table["l"]) & base["source_"].eqNullSafe(table["s"]), "left")
     inside = F.lit(True)
     for m in METRICS:

@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the cluster shares (``spark.checkpoint.dir``).
 
 They cut lineage and survive the loss of executors.  The folder's name comes
-from the session; only where it is unset (tests, local use) is a local folder
-used.  Tables written by this process are removed when it ends.
+from the session; only where it is unset and the master is local (tests) is a
+local folder used.  Tables written by this process are removed when it ends.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_DIR}").rstrip("/")
 
 
