@@ -78,12 +78,15 @@ class OrdinalModel:
         damped alike at every number of texts and every mix of grades.
         """
         n, top = len(grade), max(1, int(grade.max(initial=0)))
-        used, slot = np.unique(slot, return_inverse=True)
+        used = np.flatnonzero(np.bincount(slot, minlength=1 << BITS)) if len(slot) else np.zeros(0, np.int64)
+        place = np.zeros(1 << BITS, np.int32)
+        place[used] = np.arange(len(used))
+        slot, text = place[slot], text.astype(np.int32)
         share = [np.clip((grade <= k).mean() if n else 0.5, 0.01, 0.99) for k in range(top)]
         base = np.log(np.array(share) / (1 - np.array(share)))
         start = np.concatenate([np.zeros(len(used)), base[:1], np.log(np.maximum(np.diff(base), 0.1))])
         if n:
-            count, total = np.bincount(slot, minlength=len(used)), np.bincount(slot, weights=grade[text].astype(np.float64), minlength=len(used))
+            count, total = np.bincount(slot, minlength=len(used)), _sums(slot, lambda a, b: grade[text[a:b]], len(used))
             far = (total / np.maximum(count, 1) - grade.mean()) * np.sqrt(count) / max(grade.std(), 1e-9)
             value = far * far / (far * far + DOUBT)
             start = _minimise(lambda p: _loss(p, text, slot, value, grade, top, ridge), start, rounds)
@@ -95,12 +98,25 @@ class OrdinalModel:
         return cls(weights, np.concatenate([[first], first + np.cumsum(np.exp(gaps))]))
 
 
+#: Entries that are summed at once: what is held besides the entries themselves does not grow with them.
+STEP = 1 << 20
+
+
+def _sums(at: np.ndarray, values, n: int) -> np.ndarray:
+    """Sums of values(a, b), the values of entries a to b - 1, by the entries' places."""
+    out = np.zeros(n)
+    for a in range(0, len(at), STEP):
+        out += np.bincount(at[a : a + STEP], weights=values(a, a + STEP), minlength=n)
+    return out
+
+
 def _loss(p: np.ndarray, text: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray, top: int, ridge: float) -> tuple[float, np.ndarray]:
     """(negative log likelihood with ridge, its slope) in coefficients, first threshold and logs of the gaps, for a text."""
     n, k = len(grade), len(value)
     w, gaps = p[:k], np.exp(np.clip(p[k + 1 :], -20, 20))
     t = np.concatenate([[p[k]], p[k] + np.cumsum(gaps)])
-    score = np.bincount(text, weights=(w * value)[slot], minlength=n)
+    scaled = w * value
+    score = _sums(text, lambda a, b: scaled[slot[a:b]], n)
     below = 1 / (1 + np.exp(np.clip(score[:, None] - t[None], -30, 30)))  # P(grade <= k)
     full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
     row = np.arange(n)
@@ -108,7 +124,7 @@ def _loss(p: np.ndarray, text: np.ndarray, slot: np.ndarray, value: np.ndarray,
     chance = np.maximum(high - low, 1e-12)
     by_score = (1 - high - low) / n  # exact for logistic links: it never vanishes where the fit is wrong
     slope = np.zeros_like(p)
-    slope[:k] = np.bincount(slot, weights=by_score[text], minlength=k) * value + ridge * w / n
+    slope[:k] = _sums(slot, lambda a, b: by_score[text[a:b]], k) * value + ridge * w / n
     lift = full[:, 1 : top + 1] * (1 - full[:, 1 : top + 1]) / chance[:, None]
     by_t = np.array([(lift[grade == j + 1, j].sum() - lift[grade == j, j].sum()) / n for j in range(top)])
     slope[k] = by_t.sum()
@@ -172,9 +188,11 @@ def fit_grades(docs: DataFrame, labels: DataFrame, grade, id_col: str = "doc_id"
 
     got = both.select("id", "grade", "text").mapInArrow(rows, "id string, grade int, slots binary").collect()  # max_labels rows at most
     got.sort(key=lambda r: (str(r["id"]), bytes(r["slots"])))
-    slots = [np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in got]
-    text = np.repeat(np.arange(len(got)), [len(s) for s in slots])
-    return OrdinalModel.fit(text, np.concatenate(slots) if slots else np.zeros(0, np.int64), np.array([r["grade"] for r in got], np.int64))
+    grades = np.array([r["grade"] for r in got], np.int64)
+    slots = [np.frombuffer(r["slots"], "<u4").astype(np.int32) for r in got]
+    del got
+    text = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
+    return OrdinalModel.fit(text, np.concatenate(slots) if slots else np.zeros(0, np.int32), grades)
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
