@@ -9,9 +9,10 @@ to others that are not much farther.  A query finds centroids by a best-first
 walk on their neighbour graph, which each task holds in memory, and visits the
 lists whose distance ratio to the nearest is small.
 
-How many lists and which ratio is measured, not fixed: CALIBRATE queries are
-answered by brute force over all vectors, and each stratum's limits are those
-that would have found TARGET of their neighbours.  So recall holds on tables of
+How many lists, which ratio and how wide a walk is measured, not fixed:
+CALIBRATE queries are answered by brute force over all vectors, and each
+stratum's limits are those that would have found TARGET of their neighbours; the
+walk is widened, up to all centroids, until it finds WALK of what they give.  So recall holds on tables of
 any size and kind, and it is the work that grows where vectors are hard to
 tell apart.  A query whose lists hold fewer than k vectors is answered exactly.
 
@@ -40,8 +41,8 @@ REPLICAS, BOUNDARY = 4, 1.15
 #: Queries that are answered by brute force to set the limits, and the share of their neighbours to be found
 #: by the number of lists and by the distance ratio each.
 CALIBRATE, TARGET = 256, 0.985
-#: Neighbours in the centroid graph, and least width of the walk.
-DEGREE, BEAM = 24, 128
+#: Neighbours in the centroid graph, least width of the walk, and the share of what all centroids would find that it must.
+DEGREE, BEAM, WALK = 24, 128, 0.99
 #: Vectors in a cell, about, and in a part of one; queries in a block.
 CELL_ROWS, PART_ROWS, BLOCK_ROWS = 8192, 16_384, 4096
 #: Share of the rows from which a range of lengths is a stratum of its own.
@@ -166,6 +167,7 @@ class Index:
     size: np.ndarray  # rows of each list
     probes: np.ndarray  # lists that a query visits in each stratum, at most
     ratio: np.ndarray  # the distance ratio beyond which it does not
+    beam: np.ndarray  # width of the walk in each stratum
 
     def stratum(self, x: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.ends, exponents(x)), len(self.ends) - 1)
@@ -197,7 +199,7 @@ class Index:
         largest = int(np.argmax([len(c) for c in self.centroids]))
         for s in sorted(range(len(self.ends)), key=lambda s: s == largest):
             c, p = self.centroids[s], int(self.probes[s])
-            found, dist = search_graph(q, c, self.graphs[s], max(BEAM, p))
+            found, dist = search_graph(q, c, self.graphs[s], int(self.beam[s]))
             go = (np.arange(found.shape[1])[None] < p) & (dist <= self.ratio[s] ** 2 * np.maximum(dist[:, :1], 1e-9) + 1e-12)
             size = self.size[self.offset[s] + found]
             if s == largest:  # a vector is in REPLICAS lists at most, so these hold k + 1 different ones
@@ -212,7 +214,7 @@ class Index:
 
     def calibrate(self, q: np.ndarray, at: np.ndarray, near: np.ndarray) -> None:
         """Set probes and ratio from queries q and their true neighbours: vector near[i] is one of query at[i]."""
-        self.probes, self.ratio = np.ones(len(self.ends), np.int64), np.ones(len(self.ends))
+        self.probes, self.ratio, self.beam = np.ones(len(self.ends), np.int64), np.ones(len(self.ends)), np.full(len(self.ends), BEAM)
         if not len(near):
             return
         d = [np.maximum(2 - 2 * _direction(q) @ c.T + ((c * c).sum(1) - 1)[None], 0) for c in self.centroids]
@@ -227,10 +229,21 @@ class Index:
             ratio[m] = np.sqrt(d[t][at[i[m]], local] / np.maximum(d[t].min(1)[at[i[m]]], 1e-9))
         first = np.lexsort((place, i))  # the nearest of each neighbour's lists
         first = first[np.concatenate([[True], np.diff(i[first]) != 0])]
-        place, ratio, s = place[first], ratio[first], s[first]
+        place, ratio, s, i, lists = place[first], ratio[first], s[first], i[first], lists[first]
         for t in np.unique(s):
             enough = lambda x: np.quantile(x[s == t], TARGET, method="higher")  # noqa: B023, E731
             self.probes[t], self.ratio[t] = enough(place) + 1, enough(ratio) * (1 + 1e-6)
+            held = (s == t) & (place < self.probes[t])
+            row, wanted, c = at[i[held]], lists[held] - self.offset[t], self.centroids[t]
+            beam = max(BEAM, int(self.probes[t]))
+            while beam < len(c):
+                found, _ = search_graph(_direction(q), c, self.graphs[t], beam)
+                visited = np.zeros((len(q), len(c)), bool)
+                visited[np.arange(len(q))[:, None], found[:, : self.probes[t]]] = True
+                if visited[row, wanted].mean() >= WALK:
+                    break
+                beam *= 2
+            self.beam[t] = beam
 
 
 def _by_cell(row: np.ndarray, lists: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
@@ -374,7 +387,7 @@ def _fit(nodes: DataFrame, counts: dict[int, int], sample: int) -> Index:
     in_stratum = [sum(n for e, n in counts.items() if np.searchsorted(ends, e) == s) for s in range(len(ends))]
     share = min(1.0, 1.2 * sample / total)
     some = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))).orderBy(F.xxhash64("id"), "id").limit(sample).select("v").coalesce(1)
-    blank = Index(ends, [], [], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
+    blank = Index(ends, [], [], np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
 
     def fit(batches):
         x = [_matrix(b.column("v")) for b in batches]
@@ -401,7 +414,7 @@ def _fit(nodes: DataFrame, counts: dict[int, int], sample: int) -> Index:
         cells.append(first_cell + np.arange(lists) * min(n, lists) // lists)
         first_cell = int(cells[-1][-1]) + 1
     offset = np.concatenate([[0], np.cumsum([len(c) for c in centroids])])[:-1]
-    return Index(ends, centroids, graphs, offset, np.concatenate(cells), np.zeros(0), np.zeros(0), np.zeros(0))
+    return Index(ends, centroids, graphs, offset, np.concatenate(cells), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))
 
 
 def _calibrate(index: Index, nodes: DataFrame, asked: DataFrame, k: int) -> None:

@@ -24,8 +24,11 @@ def kinds():
     r = np.random.default_rng(0)
     unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
     base = r.normal(size=(10, 64))
-    noise = unit(base[r.integers(0, 10, 50_000)] + 6 * r.normal(size=(50_000, 64)))
+    noise = unit(base[r.integers(0, 10, 30_000)] + 6 * r.normal(size=(30_000, 64)))
     yield "noise", noise, 250
+    # Many tight groups: neighbour lists of centroids do not lead from one to the other.
+    many = unit(r.normal(size=(2000, 64)))
+    yield "copies", unit(many[r.integers(0, 2000, 40_000)] + 0.04 * r.normal(size=(40_000, 64))), 400
     yield "lengths", r.normal(size=(12_000, 32)) * r.lognormal(0, 1, (12_000, 1)), 20
     one = unit(r.normal(size=(12_000, 32)))
     one[77] *= 1e5
@@ -35,7 +38,7 @@ def kinds():
     yield "few", unit(r.normal(size=(15, 8))), 1
 
 
-@pytest.mark.parametrize("name", ["noise", "lengths", "one long", "groups", "few"])
+@pytest.mark.parametrize("name", ["noise", "copies", "lengths", "one long", "groups", "few"])
 def test_recall_and_whole_results(spark, name):
     from orfloom.llm.ann import nearest
 
