@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from orfloom.operators.vectors import _edge_kernel, distances, euclidean, in_blo
 
 #: Rows of a cluster up to which one task splits it; larger ones take a pass over the rows for each round.
 TASK_ROWS = 20_000
+#: Rows of a larger cluster's block; bytes of vectors that are worth a task of a round, and that a task reads at most.
+BLOCK_ROWS, LEAST_BYTES, TASK_BYTES = 2048, 8 << 20, 64 << 20
 
 
 def _assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -23,114 +25,175 @@ def _assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return side, d[np.arange(len(x)), side]
 
 
+def _sides(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each pair of centers (t, 2, dims), 0/1 for each row as by _assign: by the sign of a matrix product, near 0 by plain differences."""
+    w, mid = c[:, 1] - c[:, 0], (c[:, 0] + c[:, 1]) / 2
+    f = w @ x.T - (w * mid).sum(1)[:, None]
+    reach = np.sqrt((w * w).sum(1)) * (np.sqrt(x.shape[1]) * np.abs(x).max(initial=0) + np.sqrt((mid * mid).sum(1)))
+    side, near = f > 0, np.abs(f) <= 1e-11 * reach[:, None]
+    for t in np.flatnonzero(near.any(1)):
+        side[t, near[t]] = _assign(x[near[t]], c[t])[0]
+    return side
+
+
+def _sums(x: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sum of rows) of each side of each start: (t, 2) and (t, 2, dims)."""
+    own = np.stack([~side, side], 1).astype(np.float64)
+    return own.sum(2), (own.reshape(-1, len(x)) @ x).reshape(*own.shape[:2], -1)
+
+
+def _means(n: np.ndarray, total: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The centers of the sides; an empty side keeps its center."""
+    return np.where(n[..., None] > 0, total / np.maximum(n, 1)[..., None], before)
+
+
+def _costs(x: np.ndarray, side: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.array([((x - c[t][side[t].astype(np.int64)]) ** 2).sum() for t in range(len(c))])
+
+
+def _best(cost: np.ndarray) -> int | None:
+    """The first start of the least cost; one partition found from two starts has two sums that differ in the last digits."""
+    return int(np.argmax(cost <= cost.min() * (1 + 1e-9))) if np.isfinite(cost).any() else None
+
+
 def _two_means(x: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
     """0/1 for each row: the best of several 2-means runs, one from each pair of centers."""
-    best = (np.inf, None)
-    for c in starts.copy():
-        side = None
-        for _ in range(rounds):
-            new, _ = _assign(x, c)
-            if side is not None and (new == side).all():
-                break
-            side = new
-            for k in (0, 1):
-                if (side == k).any():
-                    c[k] = x[side == k].mean(0)
-        cost = _assign(x, c)[1].sum()
-        if cost < best[0] and 0 < side.sum() < len(x):
-            best = (cost, side)
-    return np.arange(len(x)) % 2 if best[1] is None else best[1]
-
-
-def _starts(rows: DataFrame, n_init: int, seed: int) -> dict[int, np.ndarray]:
+    now, side, open_ = starts.copy(), np.zeros((len(starts), len(x)), bool), np.arange(len(starts))
+    for k in range(rounds):
+        new = _sides(x, now[open_])
+        moved = (new != side[open_]).any(1) | (k == 0)
+        side[open_] = new
+        open_ = open_[moved]
+        if not len(open_):
+            break
+        now[open_] = _means(*_sums(x, new[moved]), now[open_])
+    n = side.sum(1)
+    best = _best(np.where((n > 0) & (n < len(x)), _costs(x, side, now), np.inf))
+    return np.arange(len(x)) % 2 if best is None else side[best].astype(np.int64)
+
+
+def _starts(rows: DataFrame, members: DataFrame, n_init: int, seed: int) -> dict[int, np.ndarray]:
     """n_init pairs of rows of each node, the first and last by a seeded hash: (n_init, 2, dims) by node."""
-    pick = []
-    for t in range(n_init):
-        h = F.struct(F.xxhash64("id", F.lit(seed + t)), F.col("id"))
-        pick += [F.min_by("v", h).alias(f"a{t}"), F.max_by("v", h).alias(f"b{t}")]
-    got = rows.groupBy("node").agg(*pick).collect()  # as many rows as clusters are split in a pass
-    return {r["node"]: np.array([[r[f"a{t}"], r[f"b{t}"]] for t in range(n_init)], np.float64) for r in got}
-
-
-def _large_centers(rows: DataFrame, starts: dict[int, np.ndarray], rounds: int) -> dict[int, np.ndarray | None]:
-    """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once."""
-    spark, now, open_ = rows.sparkSession, {n: c.copy() for n, c in starts.items()}, set(starts)
-    cost = {n: np.full(len(c), np.inf) for n, c in starts.items()}
+    hashes = [F.struct(F.xxhash64("id", F.lit(seed + t)), F.col("id").alias("id")) for t in range(n_init)]
+    picked = members.groupBy("node").agg(F.array(*[how(h)["id"] for h in hashes for how in (F.min, F.max)]).alias("ids"))
+    found = rows.join(F.broadcast(picked.select("node", F.posexplode("ids").alias("at", "id"))), "id")
+    by: dict = {}
+    for r in found.select("node", "at", "v").collect():  # 2 * n_init rows for each cluster that is split in a pass
+        by.setdefault(r["node"], {})[r["at"]] = r["v"]
+    return {n: np.array([at[i] for i in range(2 * n_init)], np.float64).reshape(n_init, 2, -1) for n, at in by.items()}
+
+
+def _vectors_of(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    v = t.column("v")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
+def _blocks(rows: DataFrame, sizes: dict[int, int], dims: int) -> DataFrame:
+    """(node, ids, x): the rows of nodes in blocks, x their vectors' bytes; written once, as each round reads them."""
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    n_blocks = {n: -(-size // BLOCK_ROWS) for n, size in sizes.items()}
+    plan = spark.createDataFrame(sorted(n_blocks.items()), "node long, blocks long")  # as many rows as large clusters
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        ids = t.column("id").combine_chunks()
+        return pa.table({"node": t.column("node")[:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "x": pa.array([_vectors_of(t).tobytes()], pa.binary())})
+
+    size = 8 * dims * sum(sizes.values())
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), size // TASK_BYTES)
+    dealt = rows.join(F.broadcast(plan), "node").select("id", "v", "node", F.pmod(F.xxhash64("id"), "blocks").alias("block")).repartition(tasks, "node", "block")
+    return dealt.groupBy("node", "block").applyInArrow(pack, f"node long, ids array<{kinds['id']}>, x binary").checkpoint()
+
+
+def _each_block(batches, dims: int, width: str):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column("x")[i].as_buffer(), width).reshape(-1, dims)
+            yield batch.column("node")[i].as_py(), x.astype(np.float64), batch, i
+
+
+def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int, width: str) -> dict[int, np.ndarray | None]:
+    """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once.
+
+    A round's job reads the blocks and gives sums for each task and node; a
+    start whose centers stay is left out from then on.
+    """
+    dims = next(iter(starts.values())).shape[-1]
+    now, open_ = {n: c.copy() for n, c in starts.items()}, {n: np.arange(len(c)) for n, c in starts.items()}
+
+    def gathered(c: dict[int, np.ndarray], last: bool) -> dict[int, tuple]:
+        def sums(batches):
+            if not gc.get_freeze_count():  # the worker collects garbage after each task, which takes longer than its sums; what is loaded stays
+                gc.freeze()
+            total: dict = {}
+            for n, x, _, _ in _each_block(batches, dims, width):
+                side = _sides(x, c[n])
+                got = (side.sum(1), _costs(x, side, c[n])) if last else _sums(x, side)
+                total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
+            if total:
+                parts = [pa.array([np.asarray(t[k], np.float64).tobytes() for t in total.values()], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *parts], ["node", "a", "b"])
+
+        own = blocks if len(c) == len(starts) else blocks.where(F.col("node").isin(sorted(c)))
+        by: dict = {}
+        for r in own.select("node", "x").mapInArrow(sums, "node long, a binary, b binary").collect():
+            got = np.frombuffer(r["a"]), np.frombuffer(r["b"])
+            by[r["node"]] = tuple(a + b for a, b in zip(by[r["node"]], got, strict=True)) if r["node"] in by else got
+        return by
+
     for _ in range(rounds):
         if not open_:
             break
-        shared = spark.sparkContext.broadcast({n: now[n] for n in open_})
+        for n, (count, total) in gathered({n: now[n][t] for n, t in open_.items()}, False).items():
+            before = now[n][open_[n]]
+            after = _means(count.reshape(-1, 2), total.reshape(before.shape), before)
+            now[n][open_[n]] = after
+            open_[n] = open_[n][~np.isclose(before, after, rtol=1e-9, atol=1e-12).all((1, 2))]
+            if not len(open_[n]):
+                del open_[n]
+    out = {}
+    size = {r["node"]: r["n"] for r in blocks.groupBy("node").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    for n, (ones, cost) in gathered(now, True).items():
+        best = _best(np.where((ones > 0) & (ones < size[n]), cost, np.inf))
+        out[n] = None if best is None else now[n][best]
+    return out
 
-        def sums(batches):
-            total = {}
-            for batch in batches:
-                node = batch.column("node").to_numpy()
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-                for n in np.unique(node):
-                    for t, c in enumerate(shared.value.get(int(n), ())):  # noqa: B023
-                        own = x[node == n]
-                        side, d = _assign(own, c)
-                        for k in (0, 1):
-                            at = total.setdefault((int(n), t, k), [0, 0.0, np.zeros(x.shape[1])])
-                            at[0] += int((side == k).sum())
-                            at[1] += float(d[side == k].sum())
-                            at[2] += own[side == k].sum(0)
-            for (n, t, k), (count, far, vector) in total.items():
-                yield pa.RecordBatch.from_pylist([{"node": n, "t": t, "k": k, "n": count, "cost": far, "sum": vector.tolist()}])
-
-        part = rows.where(F.col("node").isin(sorted(open_))).select("node", "v").mapInArrow(sums, "node long, t long, k long, n long, cost double, sum array<double>")
-        flat = part.select("node", "t", "k", "n", "cost", F.posexplode("sum").alias("d", "x"))
-        vectors = flat.groupBy("node", "t", "k", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"))
-        got = vectors.groupBy("node", "t", "k").agg(F.max("n").alias("n"), F.max("cost").alias("cost"), F.array_sort(F.collect_list(F.struct("d", "x"))).alias("s")).collect()
-        by: dict = {}
-        for r in got:
-            by.setdefault(r["node"], {})[r["t"], r["k"]] = (r["n"], r["cost"], np.array([x["x"] for x in r["s"]]))
-        for n in list(open_):
-            before = now[n].copy()
-            for t in range(len(now[n])):
-                cost[n][t] = sum(by[n][t, k][1] for k in (0, 1)) if all(by[n][t, k][0] for k in (0, 1)) else np.inf
-                for k in (0, 1):
-                    if by[n][t, k][0]:
-                        now[n][t, k] = by[n][t, k][2] / by[n][t, k][0]
-            if np.allclose(before, now[n], rtol=1e-9, atol=1e-12):
-                open_.discard(n)
-    return {n: (now[n][int(np.argmin(cost[n]))] if np.isfinite(cost[n]).any() else None) for n in starts}
-
-
-def _split_pass(rows: DataFrame, sizes: dict[int, int], first_new: int, n_init: int, rounds: int, seed: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+
+def _split_pass(rows: DataFrame, nodes: DataFrame, sizes: dict[int, int], first_new: int, n_init: int, rounds: int, seed: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """((id, node) of the members of the nodes in sizes after their splits, node -> (child 0, child 1))."""
-    spark = rows.sparkSession
-    rows = rows.where(F.col("node").isin(sorted(sizes))).select("id", "v", F.col("node").cast("long").alias("node"))
-    starts = _starts(rows, n_init, seed)
+    spark, kinds = rows.sparkSession, dict(rows.dtypes)
+    members = nodes.where(F.col("node").isin(sorted(sizes))).select("id", "node")
+    starts = _starts(rows, members, n_init, seed)
     children = {n: (first_new + 2 * i, first_new + 2 * i + 1) for i, n in enumerate(sorted(sizes))}
     small = {n for n in sizes if sizes[n] <= TASK_ROWS}
     shared = spark.sparkContext.broadcast(({n: starts[n] for n in small}, children))
-    schema = f"id {dict(rows.dtypes)['id']}, node long"
+    rows = rows.select("id", "v").join(members, "id")
+    schema = f"id {kinds['id']}, node long"
 
-    def in_task(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("id")
-        n = int(t["node"].iloc[0])
-        side = _two_means(np.stack(t["v"].to_numpy()).astype(np.float64), shared.value[0][n], rounds)
-        return pd.DataFrame({"id": t["id"], "node": np.array(shared.value[1][n])[side]})
+    def in_task(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        n = t.column("node")[0].as_py()
+        side = _two_means(_vectors_of(t).astype(np.float64), shared.value[0][n], rounds)
+        return pa.table({"id": t.column("id"), "node": np.array(shared.value[1][n])[side]})
 
-    out = rows.where(F.col("node").isin(sorted(small))).groupBy("node").applyInPandas(in_task, schema)
+    out = rows.where(F.col("node").isin(sorted(small))).groupBy("node").applyInArrow(in_task, schema)
     large = {n: c for n, c in starts.items() if n not in small}
     if large:
-        final = spark.sparkContext.broadcast((_large_centers(rows, large, rounds), children))
+        dims, width = next(iter(large.values())).shape[-1], "f4" if kinds["v"] == "array<float>" else "f8"
+        blocks = _blocks(rows.where(F.col("node").isin(sorted(large))), {n: sizes[n] for n in large}, dims)
+        final = spark.sparkContext.broadcast((_large_centers(blocks, large, rounds, width), children))
 
         def assign(batches):
             found, names = final.value
-            for batch in batches:
-                node = batch.column("node").to_numpy()
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1)
-                side = batch.column("half").to_numpy().astype(np.int64)  # where all rows are at one place
-                for n in np.unique(node):
-                    if found[int(n)] is not None:
-                        side[node == n] = _assign(x[node == n], found[int(n)])[0]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([names[int(n)][k] for n, k in zip(node, side)], pa.int64())], ["id", "node"])
-
-        half = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)).alias("half")
-        out = out.union(rows.where(F.col("node").isin(sorted(large))).select("id", "v", "node", half).mapInArrow(assign, schema))
+            for n, x, batch, i in _each_block(batches, dims, width):
+                ids = batch.column("ids")[i].values
+                side = np.full(len(ids), -1) if found[n] is None else _sides(x, found[n][None])[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), names[n][0])), pa.array(side)], ["id", "first", "side"])
+
+        half = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2))  # where all rows are at one place
+        sides = blocks.mapInArrow(assign, f"id {kinds['id']}, first long, side long")
+        out = out.union(sides.select("id", (F.col("first") + F.when(F.col("side") < 0, half).otherwise(F.col("side"))).alias("node")))
     return out, children
 
 
@@ -152,7 +215,8 @@ def bisecting_kmeans(
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    rows = df.select(F.col(id_col).alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"), F.col(label_col).alias("label"))
+    v = F.col(vector_col) if dict(df.dtypes)[vector_col] == "array<float>" else F.transform(vector_col, lambda x: x.cast("double"))
+    rows = df.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label"))
     nodes = rows.select("id", "label", F.lit(0).cast("long").alias("node")).checkpoint()
     first = nodes.agg(F.count("*").alias("n"), F.count_distinct("label").alias("l")).first()
     facts, children = {0: (first["n"], first["l"])}, {}
@@ -168,7 +232,7 @@ def bisecting_kmeans(
         node = leaf[waiting[0][2]]
         if node not in children:
             need = [leaf[c] for _, _, c in heapq.nsmallest(n_clusters - 1 - len(log), waiting) if leaf[c] not in children]
-            moved, new = _split_pass(rows.join(nodes.select("id", "node"), "id"), {n: facts[n][0] for n in need}, 1 + 2 * len(children), n_init, max_iter, seed)
+            moved, new = _split_pass(rows, nodes, {n: facts[n][0] for n in need}, 1 + 2 * len(children), n_init, max_iter, seed)
             children |= new
             moved = moved.withColumnRenamed("node", "_new")
             nodes = nodes.join(moved, "id", "left").select("id", "label", F.coalesce("_new", "node").alias("node")).checkpoint()

@@ -283,6 +283,39 @@ def test_clusters_by_tasks_and_by_passes(spark, monkeypatch):
     assert cluster.homogeneous_depth([(1, 0, 1), (2, 0, 2)], {0: {1}, 1: {2}, 2: {1}}) == {0: 1, 2: 1, 1: 0}
 
 
+def test_a_round_over_a_large_cluster_is_one_stage(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(2000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, embedding array<float>, label int")
+    sc = spark.sparkContext
+
+    def run(rounds):
+        sc.setJobGroup(f"rounds-{rounds}-{cluster.TASK_ROWS}", "")
+        parts = {p.id: p.cluster_id for p in cluster.bisecting_kmeans(df, 2, n_init=3, max_iter=rounds)[0].collect()}
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"rounds-{rounds}-{cluster.TASK_ROWS}")
+        sc._jsc.sc().clearJobGroup()
+        return parts, sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs)
+
+    small = run(1000)[0]
+    monkeypatch.setattr(cluster, "TASK_ROWS", 500)
+    few, many = run(3)[1], run(13)[1]
+    assert few < many <= few + 14  # ten rounds more
+    assert run(1000)[0] == small
+
+
+def test_sides_are_those_of_plain_differences():
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    grid = np.array(list(itertools.product(range(-3, 4), repeat=3)), float) / 10
+    for x in (grid, grid + 1e6, np.full((5, 3), 0.1), r.normal(size=(300, 3)) * 1e-9 + 1):
+        c = np.stack([x[r.choice(len(x), 2)] for _ in range(20)])
+        want = np.array([cluster._assign(x, pair)[0] for pair in c])
+        assert (cluster._sides(x, c) == want).all()
+
+
 def test_many_centers_and_reduced_vectors(spark, monkeypatch):
     import numpy as np
 
