@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import heapq
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,40 +108,42 @@ def _blocks(rows: DataFrame, sizes: dict[int, int], dims: int) -> DataFrame:
     return dealt.groupBy("node", "block").applyInArrow(pack, f"node long, ids array<{kinds['id']}>, x binary").checkpoint()
 
 
-def _each_block(batches, dims: int, width: str):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            x = np.frombuffer(batch.column("x")[i].as_buffer(), width).reshape(-1, dims)
-            yield batch.column("node")[i].as_py(), x.astype(np.float64), batch, i
+@cache
+def _keep_loaded() -> None:
+    """Once in a worker: it collects garbage after each task, and going through all loaded modules takes longer than a round's sums."""
+    gc.freeze()
+
+
+def _matrix_of(x: bytes, dims: int, width: str) -> np.ndarray:
+    return np.frombuffer(x, width).reshape(-1, dims).astype(np.float64)
 
 
 def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int, width: str) -> dict[int, np.ndarray | None]:
     """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once.
 
     A round's job reads the blocks and gives sums for each task and node; a
-    start whose centers stay is left out from then on.
+    start whose centers stay is left out from then on.  Jobs are an RDD's, as
+    planning a query takes longer than a round of 100,000 rows.
     """
     dims = next(iter(starts.values())).shape[-1]
     now, open_ = {n: c.copy() for n, c in starts.items()}, {n: np.arange(len(c)) for n, c in starts.items()}
+    held = blocks.select("node", "x").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     def gathered(c: dict[int, np.ndarray], last: bool) -> dict[int, tuple]:
-        def sums(batches):
-            if not gc.get_freeze_count():  # the worker collects garbage after each task, which takes longer than its sums; what is loaded stays
-                gc.freeze()
+        def sums(rows):
+            _keep_loaded()
             total: dict = {}
-            for n, x, _, _ in _each_block(batches, dims, width):
-                side = _sides(x, c[n])
-                got = (side.sum(1), _costs(x, side, c[n])) if last else _sums(x, side)
-                total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
-            if total:
-                parts = [pa.array([np.asarray(t[k], np.float64).tobytes() for t in total.values()], pa.binary()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *parts], ["node", "a", "b"])
-
-        own = blocks if len(c) == len(starts) else blocks.where(F.col("node").isin(sorted(c)))
+            for n, block in rows:
+                if n in c:
+                    x = _matrix_of(block, dims, width)
+                    side = _sides(x, c[n])
+                    got = (side.sum(1), _costs(x, side, c[n])) if last else _sums(x, side)
+                    total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
+            return total.items()
+
         by: dict = {}
-        for r in own.select("node", "x").mapInArrow(sums, "node long, a binary, b binary").collect():
-            got = np.frombuffer(r["a"]), np.frombuffer(r["b"])
-            by[r["node"]] = tuple(a + b for a, b in zip(by[r["node"]], got, strict=True)) if r["node"] in by else got
+        for n, got in held.mapPartitions(sums).collect():
+            by[n] = tuple(a + b for a, b in zip(by[n], got, strict=True)) if n in by else got
         return by
 
     for _ in range(rounds):
@@ -147,7 +151,7 @@ def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int
             break
         for n, (count, total) in gathered({n: now[n][t] for n, t in open_.items()}, False).items():
             before = now[n][open_[n]]
-            after = _means(count.reshape(-1, 2), total.reshape(before.shape), before)
+            after = _means(count, total, before)
             now[n][open_[n]] = after
             open_[n] = open_[n][~np.isclose(before, after, rtol=1e-9, atol=1e-12).all((1, 2))]
             if not len(open_[n]):
@@ -157,6 +161,7 @@ def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int
     for n, (ones, cost) in gathered(now, True).items():
         best = _best(np.where((ones > 0) & (ones < size[n]), cost, np.inf))
         out[n] = None if best is None else now[n][best]
+    held.unpersist()
     return out
 
 
@@ -186,8 +191,9 @@ def _split_pass(rows: DataFrame, nodes: DataFrame, sizes: dict[int, int], first_
 
         def assign(batches):
             found, names = final.value
-            for n, x, batch, i in _each_block(batches, dims, width):
-                ids = batch.column("ids")[i].values
+            for batch, i in ((batch, i) for batch in batches for i in range(batch.num_rows)):
+                n, ids = batch.column("node")[i].as_py(), batch.column("ids")[i].values
+                x = _matrix_of(batch.column("x")[i].as_buffer(), dims, width)
                 side = np.full(len(ids), -1) if found[n] is None else _sides(x, found[n][None])[0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), names[n][0])), pa.array(side)], ["id", "first", "side"])
 
