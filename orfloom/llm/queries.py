@@ -14,6 +14,7 @@ from orfloom.llm.ngram_join import shingle_classes
 from orfloom.llm.packing import pack_documents
 from orfloom.llm.quality_classifier import fit_grades, score_documents
 from orfloom.llm.quality_rules import apply_rules
+from orfloom.llm.resampling import resample
 from orfloom.llm.substring_dedup import cut_repeats
 
 
@@ -73,6 +74,10 @@ def op10_byte_bpe(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op13_importance_resampling(spark, sf_dir):
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=5)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -155,5 +161,26 @@ word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p F
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    # crc32 over the hex digits of a feature's bytes, low digit first; the table of 16 is the checksum's own.
+    "op13_importance_resampling": r"""
+WITH RECURSIVE t16 AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(16) r(i))),
+w AS (SELECT doc_id, corpus, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT doc_id, 's' AS corpus, text FROM documents UNION ALL SELECT item_id, 't', text FROM benchmark)),
+p AS (SELECT doc_id, corpus, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+f AS (SELECT doc_id, corpus, unnest([ws[i], CASE WHEN i < len(ws) THEN ws[i] || ' ' || ws[i+1] END, CASE WHEN i + 1 < len(ws) THEN ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] END]) AS f FROM p),
+n AS (SELECT doc_id, corpus, f, count(*) AS c FROM f WHERE f IS NOT NULL GROUP BY ALL),
+d AS (SELECT f, lower(hex(encode(f))) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) + 1), lambda i: (instr('0123456789abcdef', h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END]) - 1)::BIGINT)),
+  lambda c, x: xor(t[(xor(c, x) & 15) + 1], c >> 4)), 4294967295) % 10000 AS bucket FROM d, t16),
+c AS (SELECT doc_id, corpus, bucket, sum(c)::BIGINT AS c FROM n JOIN b USING (f) GROUP BY ALL),
+g AS (SELECT bucket, coalesce(sum(c) FILTER (corpus = 's'), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (corpus = 't'), 0)::DOUBLE AS t FROM c GROUP BY 1),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM g) + 10000) / ((s + 1) * ((SELECT sum(t) FROM g) + 10000))))::BIGINT AS gain FROM g),
+wt AS (SELECT doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM c JOIN gains USING (bucket) WHERE corpus = 's' GROUP BY 1),
+e AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || sha256('42:' || w.doc_id)[1:8])::BIGINT AS h
+  FROM w LEFT JOIN wt USING (doc_id) WHERE corpus = 's'),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (n_words >= 20) OVER () AS n FROM r)
+SELECT doc_id, n_features, n_words, weight, score, CASE WHEN n_words >= 20 AND k <= 5 * n // 100 THEN k END AS rank FROM k
 """,
 }

@@ -68,13 +68,13 @@ def chunks(texts, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
         yield first, got
 
 
-def split_words(texts: list[bytes], lower: bool = False, seed: int = 0) -> Words:
-    """The words of the texts with their hashes."""
+def split_words(texts: list[bytes], lower: bool = False, seed: int = 0, space: np.ndarray = _SPACE) -> Words:
+    """The words of the texts with their hashes; space says for each byte whether it separates words (0x20 must)."""
     raw = b" ".join(texts) + b" " * 16
     buf = np.frombuffer(raw, np.uint8)
     if lower:
         buf = _LOWER[buf]
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
