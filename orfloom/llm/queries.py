@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orfloom.llm.ann import nearest
 from orfloom.llm.byte_bpe import decode_ids, encode_documents
 from orfloom.llm.chat_format import format_conversations, read_back
+from orfloom.llm.collocations import collocations
 from orfloom.llm.html_text import extract_main_text
 from orfloom.llm.line_dedup import drop_repeated_lines
 from orfloom.llm.ngram_join import shingle_classes
@@ -74,6 +75,10 @@ def op10_byte_bpe(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations(_read(spark, sf_dir, "documents"), least=10, longest=3, covered=50, top=2000)
+
+
 def op13_importance_resampling(spark, sf_dir):
     return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=5)
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -161,6 +167,22 @@ word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p F
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op12_phrase_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, unnest([ws[i:i], CASE WHEN i < len(ws) THEN ws[i:i+1] END, CASE WHEN i + 1 < len(ws) THEN ws[i:i+2] END]) AS g FROM i),
+f AS (SELECT lang, g, count(*) AS f FROM g WHERE g IS NOT NULL GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY 1),
+c AS (SELECT lang, g, f AS a FROM f WHERE len(g) > 1 AND f >= 10),
+k AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+s AS (SELECT k.lang, k.g, k.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.a * k.a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k+1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, g, max(a) AS o FROM (SELECT lang, a, unnest([g[1:2], g[2:3]]) AS g FROM c WHERE len(g) = 3) GROUP BY ALL),
+d AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE o.o IS NULL OR 100 * o.o < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN t USING (lang) QUALIFY rank <= 2000
 """,
     # crc32 over the hex digits of a feature's bytes, low digit first; the table of 16 is the checksum's own.
     "op13_importance_resampling": r"""
