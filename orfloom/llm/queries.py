@@ -16,6 +16,7 @@ from orfloom.llm.packing import pack_documents
 from orfloom.llm.quality_classifier import fit_grades, score_documents
 from orfloom.llm.quality_rules import apply_rules
 from orfloom.llm.resampling import resample
+from orfloom.llm.secret_scan import find_secrets
 from orfloom.llm.substring_dedup import cut_repeats
 
 
@@ -75,6 +76,14 @@ def op10_byte_bpe(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
+def op11_secret_scan(spark, sf_dir):
+    out = find_secrets(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    base = text(F.filter("spans", lambda s: s.kind != "crf"))
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 def op12_phrase_collocations(spark, sf_dir):
     return collocations(_read(spark, sf_dir, "documents"), least=10, longest=3, covered=50, top=2000)
 
@@ -94,6 +103,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_secret_scan": op11_secret_scan,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_importance_resampling": op13_importance_resampling,
 }
