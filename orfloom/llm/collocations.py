@@ -13,8 +13,11 @@ their pivots alone, and only frequent ones leave them.
   fixed order gives the same phrases, the rarest-first one gives short fragments.
   A slot's count is never below a word's, so no frequent word is taken for rare.
 * Equal fragments are counted before they travel.  A pivot that holds a share of
-  1 / HOT_SHARE of a language's words is dealt to SALTS partitions by fragment;
-  the counts of its n-grams are added up once more.
+  1 / HOT_SHARE of a language's words is dealt to SALTS partitions by fragment.
+* A task mines blocks of a few MB of fragments, which end between two pivots.
+  Of a pivot with all its fragments in one block only the frequent n-grams leave;
+  n-grams of dealt pivots, and of pivots that fill more than a block, leave with
+  their counts so far.  These few rows are added up at the end.
 """
 
 from __future__ import annotations
@@ -22,22 +25,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfloom.llm import scratch
 from orfloom.llm.textops import Words, chunks, lean, mix, split_words
 
 #: Slots of the word-count summary (4 bytes each), whatever the corpus.
-SLOT_BITS = 22
+SLOT_BITS, BLOCK_BITS = 22, 14
 #: A pivot with one of so many words of its language is dealt to SALTS partitions.
 HOT_SHARE, SALTS = 256, 64
 #: Keys with a share of 1 / HOT_KEYS of the rows are joined by broadcast.
 HOT_KEYS = 1024
 #: Groups that the ranks of a language are cut to before the last one.
 TOP_GROUPS = 256
-#: Bytes of text that are worked on at once.
-CHUNK = 3 << 20
+#: Bytes of text, and of fragments, that are worked on at once.
+CHUNK, BLOCK_BYTES = 3 << 20, 4 << 20
 
 #: floor(10**6 a*a / (l*r)) in decimals of 38 digits.
 SCORE = "(cast(a as decimal(16,0)) * cast(a as decimal(16,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
@@ -94,20 +97,29 @@ def _count_words(batches):
 
 def _slot_counts(batches):
     for batch in batches:
-        langs, words, n = (batch.column(c) for c in ("lang", "word", "n"))
-        langs = np.array(langs.to_pylist(), object)
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        words, n = batch.column("word").cast(pa.binary()), batch.column("n").to_numpy()
         for lang in sorted(set(langs)):
             at = np.flatnonzero(langs == lang)
-            w = split_words(words.take(pa.array(at)).cast(pa.binary()).to_pylist(), space=_BREAK)
+            w = split_words(words.take(pa.array(at)).to_pylist(), space=_BREAK)
             slot, back = np.unique(_slots(_seeded(w, lang)), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(back, weights=n.to_numpy()[at]).astype(np.int64))], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.bincount(back, weights=n[at]).astype(np.int64))], ["slot", "n"])
+
+
+def _pack_block(key, table):
+    """The counts of 2**BLOCK_BITS slots, at most 2**32 - 1 each."""
+    total = np.zeros(1 << BLOCK_BITS, "<u4")
+    total[table.column("slot").to_numpy() & ((1 << BLOCK_BITS) - 1)] = np.minimum(table.column("n").to_numpy(), (1 << 32) - 1)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_summary(words: DataFrame) -> np.ndarray:
-    """Counts of the hash slots of words(lang, word, n), at most 2**32 - 1."""
-    found = words.mapInArrow(lean(_slot_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    """Counts of the hash slots of words(lang, word, n), at most 2**32 - 1 each."""
+    found = words.mapInArrow(lean(_slot_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    parts = found.withColumn("block", F.shiftright("slot", BLOCK_BITS)).groupBy("block").applyInArrow(_pack_block, "block long, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.uint32)
-    out[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), (1 << 32) - 1)
+    for r in parts.collect():
+        out[r["block"] << BLOCK_BITS : (r["block"] + 1) << BLOCK_BITS] = np.frombuffer(r["counts"], "<u4")
     return out
 
 
@@ -174,17 +186,66 @@ def _hot_pivots(words: DataFrame, totals: DataFrame) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _owned(longest: int) -> Column:
-    """The n-grams of 2 to ``longest`` words of a fragment in which its pivot stands."""
-    def at(words: Column) -> Column:
-        grams = []
-        for n in range(2, longest + 1):
-            for back in range(n):
-                start = F.col("place") - back
-                grams.append(F.when((start >= 0) & (start + n <= F.size(words)), F.array_join(F.slice(words, start + 1, F.lit(n)), " ")))
-        return F.filter(F.array(*grams), lambda x: x.isNotNull())
+def _mine_block(langs: list, pivot: np.ndarray, hot: np.ndarray, place: np.ndarray, fragments: list[bytes], n: np.ndarray, least: int, longest: int, partial: set):
+    """(lang, phrase, n) of the n-grams with their pivot in them, of fragments of some pivots; partial pivots give all, others those that occur ``least`` times."""
+    w = split_words(fragments, space=_BREAK)
+    kinds = sorted(set(langs))
+    lang = np.searchsorted(kinds, langs)
+    open_ended = hot | np.isin(pivot, list(partial))
+    names, firsts, sizes, owners = [], [], [], []
+    for size in range(2, longest + 1):
+        for back in range(size):
+            start = w.bound[:-1] + place - back
+            ok = np.flatnonzero((place >= back) & (start + size <= w.bound[1:]))
+            name = (lang[ok] * (longest + 1) + size).astype(np.uint64)
+            for k in range(size):
+                name = mix(name * _LANG + w.hash[start[ok] + k])
+            names.append(name)
+            firsts.append(start[ok])
+            sizes.append(np.full(len(ok), size))
+            owners.append(ok)
+    names, firsts, sizes, owners = (np.concatenate(x) for x in (names, firsts, sizes, owners))
+    _, one, back = np.unique(names, return_index=True, return_inverse=True)
+    total = np.bincount(back, weights=n[owners], minlength=len(one)).astype(np.int64)
+    keep = np.flatnonzero((total >= least) | open_ended[owners[one]])
+    one = one[keep]
+    for k in np.unique(lang[owners[one]]):
+        own = np.flatnonzero(lang[owners[one]] == k)
+        phrases = _strings(w, firsts[one[own]], firsts[one[own]] + sizes[one[own]] - 1)
+        yield _rows(kinds[k], phrase=pa.array(phrases, pa.binary()).cast(pa.string()), n=total[keep[own]])
+
+
+def _mine(least: int, longest: int, most: int):
+    def rows(batches):
+        """Rows come by pivot and salt; a block ends between two pivots, or, if it gets too large, within one, which is partial then."""
+        held, size, cut = [], 0, None
+
+        def block(end):
+            pivots = np.concatenate([h[1] for h in held])
+            partial = ({cut} if cut is not None else set()) | ({int(pivots[-1])} if end is not None and pivots[-1] == end else set())
+            langs, fragments = [x for h in held for x in h[0]], [x for h in held for x in h[4]]
+            return _mine_block(langs, pivots, *(np.concatenate([h[k] for h in held]) for k in (2, 3)), fragments, np.concatenate([h[5] for h in held]), least, longest, partial)
 
-    return F.get(F.transform(F.array(F.split("fragment", " ", -1)), at), F.lit(0))
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            pivot, fragments = column("pivot"), batch.column("fragment").cast(pa.binary()).to_pylist()
+            langs = batch.column("lang").to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
+            parts = [column(c) for c in ("hot", "place", "n")]
+            done = 0
+            for e in edges[1:]:
+                size += sum(map(len, fragments[done:e])) + 8 * (e - done)
+                held.append((langs[done:e], pivot[done:e], parts[0][done:e], parts[1][done:e].astype(np.int64), fragments[done:e], parts[2][done:e]))
+                done = e
+                if size > most:
+                    end = int(pivot[e - 1])
+                    goes_on = e == len(pivot) or int(pivot[e]) == end
+                    yield from block(end if goes_on else None)
+                    held, size, cut = [], 0, end if goes_on else None
+        if held:
+            yield from block(None)
+
+    return rows
 
 
 def _with(rows: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
@@ -206,12 +267,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     summary, hot = spark.sparkContext.broadcast(word_summary(words)), spark.sparkContext.broadcast(_hot_pivots(words, totals))
     schema = "lang string, pivot long, hot boolean, salt int, place int, fragment string, n long"
-    dealt = src.mapInArrow(lean(_fragments(summary, hot, least, longest)), schema).repartition("lang", "pivot", "salt")
-    mined = dealt.select("lang", "pivot", "salt", "hot", "n", F.explode(_owned(longest)).alias("phrase"))
-    mined = mined.groupBy("lang", "pivot", "salt", "hot", "phrase").agg(F.sum("n").alias("n")).where(F.col("hot") | (F.col("n") >= least))
-    mined = scratch.table(mined.select("lang", "hot", "phrase", "n"), "mined")
-    split = mined.where("hot").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return words, scratch.table(mined.where("not hot").select("lang", "phrase", "n").union(split), "phrases")
+    dealt = src.mapInArrow(lean(_fragments(summary, hot, least, longest)), schema).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt")
+    mined = dealt.drop("salt").mapInArrow(lean(_mine(least, longest, BLOCK_BYTES)), "lang string, phrase string, n long")
+    phrases = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return words, scratch.table(phrases, "phrases")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, covered: int = 50, top: int = 2000) -> DataFrame:

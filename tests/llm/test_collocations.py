@@ -52,11 +52,13 @@ def test_collocations(spark, seed, n, options):
     assert got == brute(rows, **options)
 
 
-def test_salted_pivots_and_shared_slots(spark, monkeypatch):
-    """Every word is a hot pivot, and 16 slots hold all words: another order and more fragments, the same phrases."""
+@pytest.mark.parametrize("share,block", [(10**6, 4 << 20), (1, 300), (8, 2000)])
+def test_salted_pivots_small_blocks_and_shared_slots(spark, monkeypatch, share, block):
+    """All words, none or some are hot pivots, pivots fill several blocks, and all words rank the same: the same phrases."""
     import orfloom.llm.collocations as m
 
-    monkeypatch.setattr(m, "HOT_SHARE", 10**6)
+    monkeypatch.setattr(m, "HOT_SHARE", share)
+    monkeypatch.setattr(m, "BLOCK_BYTES", block)
     monkeypatch.setattr(m, "HOT_KEYS", 20)
     rows = texts(5, 200)
     real = m.word_summary
