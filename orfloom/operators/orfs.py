@@ -37,13 +37,15 @@ def find_orfs(contigs: DataFrame, min_length: int = 50, table: int = 11) -> Data
     return out.select("contig_id", "orf_id", "start", "stop", "strand", protein.alias("seq")).where("seq is not null")
 
 
-def hit_sequences(hits: DataFrame, contigs: DataFrame, prefix: str, upstream: int = 27) -> DataFrame:
+def hit_sequences(hits: DataFrame, contigs: DataFrame, prefix: str, upstream: int = 27, keys: dict[str, str] | None = None) -> DataFrame:
     """hits with {prefix}_nt_seq and {prefix}_nt_seq_upstream (the upstream bases and the start codon).
 
-    Features that are not coding give ``none``; a start that is cut off gives ``partial``.
+    keys names, for each key column of contigs, the column of hits that it must
+    equal; by default genome_id, if contigs has it, and contig_id.  Features that are not coding give ``none``; a start that is cut off gives ``partial``.
     """
-    c = contigs.select(F.col("contig_id").alias("_c"), F.upper("seq").alias("_s"))
-    out = hits.join(c, F.col("contig_id") == F.col("_c"), "left")
+    keys = keys or {c: c for c in ("genome_id", "contig_id") if c in contigs.columns}
+    c = contigs.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.upper("seq").alias("_s"))
+    out = hits.join(c, [F.col(own) == F.col(f"_key{i}") for i, own in enumerate(keys.values())], "left")
     a, b, forward = F.col(f"{prefix}_start") - 1, F.col(f"{prefix}_stop"), F.col(f"{prefix}_strand") == 1
     own = lambda x, y: F.when(forward, F.translate(seq.subsequence(F.col("_s"), x, y), "T", "U")).otherwise(seq.reverse_complement(seq.subsequence(F.col("_s"), x, y)))
     coding = F.coalesce(F.col(f"{prefix}_feature") == "CDS", F.lit(False)) if f"{prefix}_feature" in hits.columns else F.lit(True)
@@ -53,4 +55,4 @@ def hit_sequences(hits: DataFrame, contigs: DataFrame, prefix: str, upstream: in
     before = F.when(forward, own(a - upstream, a + 3)).otherwise(own(b - 3, b + upstream))
     return out.withColumns(
         {f"{prefix}_nt_seq": F.when(coding, own(a, b)).otherwise("none"), f"{prefix}_nt_seq_upstream": F.when(~coding, "none").when(cut, "partial").otherwise(before)}
-    ).drop("_c", "_s")
+    ).drop(*[f"_key{i}" for i in range(len(keys))], "_s")

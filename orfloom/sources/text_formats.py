@@ -117,15 +117,31 @@ def parse_coordinates(f: DataFrame) -> DataFrame:
     return f.withColumns({"start": first.cast("long"), "stop": last.cast("long"), "partial": F.concat(bit("<"), bit(">"))}).drop("segment")
 
 
-# Evidence types from the strongest to the weakest.
-EVIDENCE = ["experiment", "similar to AA sequence", "similar to RNA sequence", "similar to DNA sequence", "similar to sequence", "protein motif", "profile", "nucleotide motif", "alignment", "ab initio prediction", "non-experimental evidence, no additional details recorded"]
+# Evidence types, the first ones preferred.
+EVIDENCE = [
+    "experiment",
+    "alignment",
+    "similar to sequence",
+    "similar to AA sequence",
+    "similar to DNA sequence",
+    "similar to RNA sequence",
+    "similar to RNA sequence, mRNA",
+    "similar to RNA sequence, EST",
+    "similar to RNA sequence, other RNA",
+    "profile",
+    "nucleotide motif",
+    "protein motif",
+    "ab initio prediction",
+    "non-experimental evidence, no additional details recorded",
+    "none",
+]
 
 
 def best_evidence(features: DataFrame, id_cols: list[str]) -> DataFrame:
     """features with the best evidence: category, type, source, details (``none`` without any)."""
     kinds = F.array(*[F.lit(x) for x in EVIDENCE])
     each = lambda c, kind: features.where(F.col(c).isNotNull()).select(*id_cols, F.posexplode(F.split(c, ";")).alias("_o", "_x"), F.lit(kind).alias("_k"))
-    x = each("inference", "i").union(each("experiment", "e")).withColumn("_x", F.trim(F.regexp_replace("_x", r"\[PMID[^\]]*\]", "")))
+    x = each("inference", "i").union(each("experiment", "e")).withColumn("_x", F.trim(F.regexp_replace("_x", r"\[PMID[^\]]+\]|PMID:(?:[0-9]+(?:, )?)+", "")))
     category = F.regexp_extract("_x", r"^(EXISTENCE|COORDINATES|DESCRIPTION)\s*:", 1)
     rest = F.trim(F.regexp_replace("_x", r"^(EXISTENCE|COORDINATES|DESCRIPTION)\s*:", ""))
     type_ = F.when(F.col("_k") == "e", "experiment").otherwise(F.trim(F.split_part(rest, F.lit(":"), F.lit(1))))
@@ -159,12 +175,18 @@ def read_mmseqs(spark: SparkSession, path) -> DataFrame:
 
 
 def read_mmseqs_clusters(spark: SparkSession, path) -> DataFrame:
-    """cluster_rep_id, id, cluster_id: dense numbers of representatives (from 0) in order of appearance."""
+    """cluster_rep_id, id, cluster_id: dense numbers of representatives (from 0) in order of appearance.
+
+    Representatives are numbered within their file block, behind those of the
+    blocks before (one count for each block).
+    """
     df = spark.read.csv(path, sep="\t", schema="cluster_rep_id string, id string")
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    reps = df.withColumn("_p", place).groupBy("cluster_rep_id").agg(F.min("_p").alias("_p"))
-    # One row for each cluster.
-    reps = reps.withColumn("cluster_id", F.row_number().over(Window.orderBy("_p")) - 1).drop("_p")
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    reps = df.withColumn("_p", place).groupBy("cluster_rep_id").agg(F.min("_p").alias("_p")).select("cluster_rep_id", "_p.*")
+    before = F.sum("count").over(Window.orderBy("path", "block")) - F.col("count")
+    blocks = reps.groupBy("path", "block").count().withColumn("before", before).drop("count")
+    number = F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1 + F.col("before")
+    reps = reps.join(F.broadcast(blocks), ["path", "block"]).withColumn("cluster_id", number).select("cluster_rep_id", "cluster_id")
     return df.join(reps, "cluster_rep_id")
 
 
@@ -220,8 +242,9 @@ def read_uniprot_xml(spark: SparkSession, path) -> DataFrame:
 
 def read_uniprot_features(spark: SparkSession, path) -> DataFrame:
     """Distinct (type, description) of the features in UniProt XML files, chains left out."""
-    found = spark.read.text(path).select(F.regexp_extract("value", r'<feature type="([^"]+)".+description="([^"]+)".+>', 1).alias("type"), F.regexp_extract("value", r'<feature type="([^"]+)".+description="([^"]+)".+>', 2).alias("description"))
-    return found.where("type <> '' and type <> 'chain'").distinct()
+    found = spark.read.format("xml").option("rowTag", "feature").option("ignoreNamespace", "true").schema("_type string, _description string").load(path)
+    found = found.select(F.col("_type").alias("type"), F.col("_description").alias("description"))
+    return found.where("type is not null and description is not null and type <> 'chain'").distinct()
 
 
 def read_typed_csv(spark: SparkSession, path, types: dict[str, str], sep: str = ",") -> DataFrame:

@@ -147,6 +147,35 @@ def test_genbank(spark, tmp_path):
     assert rows[1].evidence_type == "none" and {(x.contig_id, x.seq) for x in contigs.collect()} == {("NC_1", "ACGTACGTACGTACGTACGT"), ("NC_2", "ACGTACGTACGTACGTACGT")}
 
 
+def test_evidence_order(spark):
+    """Of two neighbouring types the first one wins, whichever comes first in the file."""
+    known = [t for t in tf.EVIDENCE if t not in ("experiment", "none")]
+    rows = [(k, f"{b}:S:1;{a}:S:2", None) for k, (a, b) in enumerate(zip(known, known[1:]))] + [(100 + k, f"{a}:S:2;{b}:S:1", None) for k, (a, b) in enumerate(zip(known, known[1:]))]
+    rows += [(200, "alignment:S:1", "EXISTENCE: seen [PMID: 12]"), (201, "unheard of:S:1", None), (202, None, None), (203, "unheard of:x;ab initio prediction:S:1", None)]
+    got = {r.id: r.evidence_type for r in tf.best_evidence(spark.createDataFrame(rows, "id int, inference string, experiment string"), ["id"]).collect()}
+    want = {k: a for k, a in enumerate(known[:-1])} | {100 + k: a for k, a in enumerate(known[:-1])} | {200: "experiment", 201: "none", 202: "none", 203: "ab initio prediction"}
+    assert got == want
+
+
+def test_compare_two_genomes_with_one_contig_name(spark):
+    """Each genome's queries meet its own features and its own bases, through overlap, alignment and category."""
+    from orfloom.plans.compare import compare
+
+    q = [("g1", "c1", "p1", 4, 12, 1, "MKV"), ("g2", "c1", "p2", 4, 12, 1, "MLL"), ("g2", "c1", "p3", 200, 260, -1, "MA"), ("g1", "c2", "p4", 1, 9, -1, "MW")]
+    queries = spark.createDataFrame(q, "genome_id string, contig_id string, id string, start long, stop long, strand int, seq string")
+    f = [
+        ("g1", "c1", 1, "CDS", 4, 12, 1, False, "1", "kinase", "profile", "MKV"), ("g2", "c1", 1, "CDS", 4, 12, -1, False, "1", "hypothetical protein", "ab initio prediction", "QQQ"),
+        ("g1", "c2", 2, "CDS", 1, 9, -1, True, "1", "x", "none", "MW"), ("g1", "c1", 3, "CDS", 200, 260, -1, False, "1", "x", "none", "MA"),
+    ]
+    features = spark.createDataFrame(f, "genome_id string, contig_id string, ord int, feature string, start long, stop long, strand int, pseudo boolean, codon_start string, product string, evidence_type string, seq string")
+    contigs = spark.createDataFrame([("g1", "c1", "AAAATGAAAGTTTAA"), ("g2", "c1", "CCCATGCTGCTGTAA"), ("g1", "c2", "TTACCACATGG")], "genome_id string, contig_id string, seq string")
+    got = {r.query_id: r for r in compare(queries, features, contigs).collect()}
+    assert len(got) == 4
+    assert [(k, got[k].category, got[k].n_hits, got[k].query_nt_seq) for k in ("p1", "p2", "p4")] == [("p1", "match", 1, "AUGAAAGUU"), ("p2", "conflict", 1, "AUGCUGCUG"), ("p4", "pseudogene", 1, "AUGUGGUAA")]
+    assert (got["p3"].category, got["p3"].n_hits, got["p3"].top_hit_product) == ("intergenic", 0, "none")
+    assert (got["p1"].sequence_identity, got["p2"].sequence_identity, got["p2"].n_hits_supported) == (1.0, 0.0, 0)
+
+
 def test_interpro_and_clusters(spark, tmp_path):
     (tmp_path / "i.tsv").write_text("p1\tm\t9\tPfam\tPF1\td\t1\t5\t1e-5\tT\t01-01\t-\t-\t-\t-\np1\tm\t9\tPfam\tPF2\td\t1\t5\t-\tT\t01-01\t-\t-\t-\t-\n")
     x = tf.read_interpro(spark, str(tmp_path / "i.tsv"), drop_duplicates=True, prefix="interpro_").collect()
@@ -394,8 +423,16 @@ def test_hit_files(spark, tmp_path):
     (tmp_path / "t.csv").write_text("query_id,overlap_length,same_strand,top_hit_product\nx,12,True,007\n")
     x = tf.read_top_hits(spark, str(tmp_path / "t.csv")).first()
     assert (x.overlap_length, x.same_strand, x.top_hit_product) == (12, True, "007")
-    (tmp_path / "f.xml").write_text('<a>\n <feature type="chain" id="1" description="x">\n <feature type="site" evidence="1" description="cut" id="2">\n <feature type="site" evidence="1" description="cut" id="3">\n</a>\n')
-    assert [tuple(x) for x in tf.read_uniprot_features(spark, str(tmp_path / "f.xml")).collect()] == [("site", "cut")]
+    (tmp_path / "f.xml").write_text(
+        '<uniprot xmlns="http://x.org/u"><entry><feature type="chain" id="1" description="x"/>\n<feature type="site" evidence="1" description="cut" id="2"><location/></feature>\n'
+        '<feature type="site" description="cut" id="3"/></entry><entry><feature\n  type="region"\n  description="two &amp; more"\n/><feature type="none"/></entry></uniprot>'
+    )
+    got = tf.read_uniprot_features(spark, str(tmp_path / "f.xml")).collect()
+    assert sorted(map(tuple, got)) == [("region", "two & more"), ("site", "cut")]
+    for name, rows in (("a", "z\ta\nz\tb\ny\tc\n"), ("b", "z\td\nw\te\n")):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / name).write_text(rows)
+    assert {(x.id, x.cluster_id) for x in tf.read_mmseqs_clusters(spark, str(tmp_path / "many")).collect()} == {("a", 0), ("b", 0), ("c", 1), ("d", 0), ("e", 2)}
 
 
 def test_model_steps(spark):
