@@ -12,6 +12,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orfloom.operators.relational import checkpoints
 from orfloom.operators.vectors import _edge_kernel, distances, euclidean, in_blocks, knn
 
 #: Rows of a cluster up to which one task splits it; larger ones take a pass over the rows for each round.
@@ -217,10 +218,7 @@ def bisecting_kmeans(
     cluster or many do.  Ids must be unique.  Node tables are checkpointed.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    checkpoints(spark)
     v = F.col(vector_col) if dict(df.dtypes)[vector_col] == "array<float>" else F.transform(vector_col, lambda x: x.cast("double"))
     rows = df.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).alias("label"))
     nodes = rows.select("id", "label", F.lit(0).cast("long").alias("node")).checkpoint()

@@ -59,3 +59,30 @@ def upsert_columns(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     require_keys(stored, new, key)
     require_keys(new, stored, key)
     return stored.drop(*[c for c in new.columns if c != key]).join(new, key)
+
+
+#: A key with a share of 1 / HOT_KEYS of the rows is salted, to SALTS parts.
+HOT_KEYS, SALTS = 1024, 32
+
+
+def salted_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined to values on key (inner); rows of a key that holds a large share of them are dealt to parts by a hash of ``by``.
+
+    values' rows of such keys (at most HOT_KEYS of them) go to each part.
+    """
+    counts = rows.groupBy(key).count()
+    total = rows.count()
+    hot = counts.where((F.col("count") * HOT_KEYS >= total) & (F.col("count") > SALTS)).select(key).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot)
+    left = rows.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0)).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = values.join(hot, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def checkpoints(spark) -> None:
+    """The session's checkpoint folder: spark.checkpoint.dir, which a cluster must set; a local master gets one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
