@@ -3,7 +3,7 @@
 The article's blocks are found by elements and roles: what lies in navigation,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments is left out, and where a page marks its main part (article, main) only
-that part counts, unless most of the text is elsewhere.  Removing what a host's pages repeat is not used to decide:
+that part counts, unless it is a bare teaser beside paragraphs.  Removing what a host's pages repeat is not used to decide:
 copies of an article on one host are long repeats too and must stay, and menus
 that differ from page to page are not repeats at all (see the README).
 
@@ -32,12 +32,16 @@ BLOCK = frozenset(
 #: Elements that hold no main text.
 SKIP = frozenset("head script style nav footer aside form noscript template iframe svg math button select textarea dialog menu object canvas audio video title noframes xmp".split())
 MAIN = frozenset(("article", "main"))
+#: Elements that running text and its headings are set in.
+STORY = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dd", "td", "figcaption")
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar note".split())
-#: Names of classes and ids that mark what is not main text, wherever they are a word of a name (as in ``top-ad``).
+#: Names of classes and ids that mark, outside the main part, what is not main text, as a word of a name (as in ``top-ad``).
 AWAY = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|comments?|respond|replies|reply|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|overlay|widget"
-#: Names that do so as a whole name, or as a word of one outside the main part: in an article, ``section-header`` is text.
+#: More such names: as a word of a name outside the main part, as a whole name anywhere; in an article, ``section-header`` is text.
 FRAME = r"banner|notice|alert|sidebar|menu|nav|navbar|navigation|breadcrumbs?|topbar|masthead|header|footer"
-SKIP_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{AWAY})(?:$|[\s_-])|(?:^|\s)(?:{FRAME})(?:$|\s)", re.IGNORECASE)
+#: In an article, words of a name that mark adverts, and whole names of notices, adverts, comments and forms; ``share-price`` or ``related`` is text.
+ADVERT, APART = r"ads?|advert\w*|sponsored", r"promo|cookies?|consent|gdpr|comments?|newsletter|subscribe|signup|login|popup|modal|overlay"
+SKIP_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{ADVERT})(?:$|[\s_-])|(?:^|\s)(?:{APART}|{FRAME})(?:$|\s)", re.IGNORECASE)
 SKIP_OUTSIDE = re.compile(rf"(?:^|[\s_-])(?:{AWAY}|{FRAME})(?:$|[\s_-])", re.IGNORECASE)
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.DOTALL)
@@ -69,18 +73,22 @@ def _skips(name: str, attrs: str, inside: bool) -> bool:
 
 
 def main_text(page: str) -> str:
-    """The main text of a page: its blocks joined by newlines, white space within a block as one space."""
+    """The main text of a page: its blocks joined by newlines, white space within a block as one space.
+
+    A marked main part counts alone, however short, unless it is a bare teaser:
+    without any of STORY's elements, on a page that has some outside of it.
+    """
     blocks = page_blocks(page, _skips)
-    # A marked part that holds less than half of the text is a teaser, not the main story.
-    marked = 2 * sum(len(t) for is_main, t in blocks if is_main) >= sum(len(t) for _, t in blocks) and any(is_main for is_main, _ in blocks)
-    return "\n".join(t for is_main, t in blocks if is_main or not marked)
+    kinds = {kind for kind, _ in blocks}
+    marked = 3 in kinds or (1 in kinds and 2 not in kinds)
+    return "\n".join(t for kind, t in blocks if kind & 1 or not marked)
 
 
-def page_blocks(page: str, skips=_unseen) -> list[tuple[bool, str]]:
-    """(whether it is in the page's marked main part, text) of each block outside the elements that skips names."""
+def page_blocks(page: str, skips=_unseen) -> list[tuple[int, str]]:
+    """(kind, text) of each block outside the elements that skips names: 1 if it is in the page's marked main part, and 2 more in one of STORY's elements."""
     stack: list[tuple[str, bool, bool]] = []  # (element, in a skipped one, in a main one)
     is_open: Counter[str] = Counter()
-    blocks: list[tuple[bool, str]] = []
+    blocks: list[tuple[int, str]] = []
     own: list[str] = []
     skip = main = False
     at = 0
@@ -90,7 +98,7 @@ def page_blocks(page: str, skips=_unseen) -> list[tuple[bool, str]]:
             text = " ".join(html.unescape("".join(own)).split())
             own.clear()
             if text:
-                blocks.append((main, text))
+                blocks.append((main + 2 * any(is_open[x] for x in STORY), text))
 
     def pop_to(k):
         nonlocal skip, main

@@ -42,6 +42,25 @@ def test_scores_on_the_test_pages(spark):
     assert all(x.n_chars == len(x.text) for x in got)
 
 
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="test tables are not there")
+@pytest.mark.parametrize("change", ["article to div", "class names", "ids and wrappers"])
+def test_scores_on_changed_pages(spark, change):
+    """The test pages without their article element, with other class names, and with wrappers: precision and recall of words."""
+    from orfloom.llm.html_text import main_text
+
+    changes = {
+        "article to div": lambda h: h.replace("<article", "<div").replace("</article", "</div"),
+        "class names": lambda h: h.replace('class="ad"', 'class="box sponsored-2"').replace("class='ad'", "class='advert'"),
+        "ids and wrappers": lambda h: h.replace("<p>", '<div class="share-price"><p id="related-1">').replace("</p>", "</p></div>"),
+    }
+    scores = []
+    for x in spark.read.parquet(PAGES).collect():
+        if "<article" in (x.html or ""):
+            scores.append(score(main_text(changes[change](x.html)), article_blocks(x.html)))
+    precision, recall = (sum(s[k] for s in scores) / len(scores) for k in (0, 1))
+    assert len(scores) > 200 and precision > 0.99 and recall > 0.99, (precision, recall)
+
+
 def test_odd_pages(spark):
     from orfloom.llm.html_text import extract_main_text, main_text
 
@@ -50,6 +69,14 @@ def test_odd_pages(spark):
     inside = "<article><div class='alert-level section-header'>kept</div><p id='header-note'>kept too</p><div class=ad>Buy</div><div class='top-ad box'>Buy</div><p>end</p></article>"
     assert main_text(inside) == "kept\nkept too\nend"
     assert main_text("<body><article>teaser</article><div><p>" + "main story " * 30 + "</p></div><div class='page-header'>top</div></body>") == "teaser\n" + ("main story " * 30).strip()
+    # The marked part counts however short it is, and names inside it that only look like an advert's are text.
+    assert main_text("<article><p>a short piece of six words</p></article><div>" + "loose text " * 45 + "</div>") == "a short piece of six words"
+    assert main_text("<article>a bare piece</article><div>" + "loose text " * 45 + "</div>") == "a bare piece"
+    for name in ("share-price", "related", "reply", "promo-box-a", "social", "widget-maker"):
+        assert main_text(f"<article><p>one</p><div class='{name}'>two</div></article>") == "one\ntwo"
+        assert name == "widget-maker" or main_text(f"<main><p>one</p></main><div class='{name}'>two</div>") == "one"
+    for name in ("ad", "top-ad", "comments", "cookie", "newsletter", "promo"):
+        assert main_text(f"<article><p>one</p><div class='{name}'>two</div></article>") == "one"
     long = "<p>" + "word " * 300_000 + "</p>"
     schema = "page_id long, url string, html string, text int, n_chars string, id int"
     rows = [(None, None, "<p>a</p>", 1, "x", 2), (1, "u", None, 1, "x", 2), (2, "u", long, 1, "x", 2), (2, "u", long, 1, "x", 2), (3, "u", "</div></p><b>x<i>y", 1, "x", 2)]
