@@ -8,8 +8,9 @@ span; a turn that is larger than the budget is a window of its own.  The loss
 mask covers the assistant texts of the span only: what a window repeats is not
 a target again.
 
-A conversation is dealt to tasks by blocks of BLOCK_TURNS turn numbers, so one
-with very many turns is many tasks.  A block's rows come sorted and are cut as
+A conversation is dealt to tasks by blocks of BLOCK_TURNS turns, counted by
+their places and not by their numbers, so one with very many turns is many
+tasks.  A block's rows come sorted and are cut as
 they come, with one window in memory; a block that is not the first is sent the
 system turn and the turns before it that may be its history.  Only the last
 span of a block can be short.
@@ -32,8 +33,8 @@ from orfloom.llm import scratch
 
 #: Tokens of a window without the system turn, and of its history; template tokens of a turn.
 BUDGET, HISTORY, TURN_TOKENS = 1024, 256, 4
-#: Turn numbers in a block, and blocks whose keys may be broadcast.
-BLOCK_TURNS, BROADCAST_BLOCKS = 1024, 100_000
+#: Turns in a block, blocks whose keys may be broadcast, and ranges of turn numbers in which a long conversation's turns are placed.
+BLOCK_TURNS, BROADCAST_BLOCKS, RANGES = 1024, 100_000, 256
 
 _UNESCAPE = {"\\\\": "\\", "\\l": "<", "\\g": ">"}
 
@@ -129,6 +130,31 @@ class _Cutter:
         return self.window() if self.span or self.opening else None
 
 
+def _in_blocks(turns: DataFrame, size: int) -> DataFrame:
+    """turns with ``block``: places in the conversation (whatever its turns' numbers) by ``size``.
+
+    Only conversations of more than ``size`` turns are placed: they are cut into
+    ranges of turn numbers of about equal counts, and a turn's place is the one
+    in its range behind the ranges before.
+    """
+    id_ = ["none", "key"]
+    long = turns.groupBy(*id_).count().where(F.col("count") > size).select(*id_)
+    n = long.count()
+    if not n:
+        return turns.withColumn("block", F.lit(0).cast("long"))
+    hint = F.broadcast if n <= BROADCAST_BLOCKS else (lambda df: df)
+    number = F.coalesce("turn", F.lit(-(1 << 62)))
+    cuts = F.percentile_approx(number, F.lit([k / RANGES for k in range(1, RANGES)]), F.lit(100 * RANGES))
+    cuts = turns.join(hint(long), id_).groupBy(*id_).agg(F.array_distinct(cuts).alias("cuts"))
+    rows = turns.join(hint(cuts), id_).withColumn("range", F.size(F.filter("cuts", lambda c: c < number))).drop("cuts")
+    before = F.sum("count").over(Window.partitionBy(*id_).orderBy("range")) - F.col("count")  # at most RANGES rows a conversation
+    counts = rows.groupBy(*id_, "range").count().withColumn("before", before).drop("count")
+    place = F.row_number().over(Window.partitionBy(*id_, "range").orderBy(F.asc_nulls_first("turn"), "role", "text")) - 1
+    rows = rows.withColumn("place", place).join(counts, [*id_, "range"])
+    rows = rows.withColumn("block", F.floor((F.col("place") + F.col("before")) / size)).drop("place", "before", "range")
+    return turns.join(hint(long), id_, "left_anti").withColumn("block", F.lit(0).cast("long")).unionByName(rows)
+
+
 def format_conversations(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY,
     tokenizer: str | None = None, block_turns: int = BLOCK_TURNS,
@@ -150,9 +176,9 @@ def format_conversations(
     # Two columns instead of a null-safe key: a plain key keeps one partitioning through joins and sorts.
     t = turns.select(
         F.col(conv_col).isNull().alias("none"), F.coalesce(F.col(conv_col).cast("string"), F.lit("")).alias("key"), F.col(conv_col).alias("conv"),
-        F.floor(F.coalesce(number, F.lit(-(1 << 40))) / block_turns).alias("block"), number.alias("turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        number.alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+    t = _in_blocks(t, block_turns)
     id_, at = ["none", "key"], ["none", "key", "block"]
     blocks = t.groupBy(*at).agg(F.max("turn").alias("last"))
     order = Window.partitionBy(*id_).orderBy("block")

@@ -171,6 +171,25 @@ def test_chat_round_trip(spark):
     assert read_back(format_conversations(spark.createDataFrame([], schema))).count() == 0
 
 
+@pytest.mark.parametrize("n,block_turns", [(8, 1024), (100, 16), (100, 7)])
+def test_chat_windows_do_not_depend_on_turn_numbers(spark, n, block_turns):
+    """Turns numbered by place, by 5,000, as times with gaps of their own, and below zero give the same windows."""
+    from orfloom.llm.chat_format import format_conversations
+
+    r = random.Random(n)
+    texts = [("system" if k == 0 else ("user", "assistant")[k % 2], " ".join(f"w{r.randrange(50)}" for _ in range(r.choice([1, 5, 40])))) for k in range(n)]
+    gaps = [r.choice([1, 2, 1000, 10**9]) for _ in range(n)]
+    numbers = {"place": range(n), "by 5000": range(0, 5000 * n, 5000), "times": [sum(gaps[: k + 1]) for k in range(n)], "below": range(-3 * n, 0, 3)}
+    rows = [(name, t, *texts[k]) for name, own in numbers.items() for k, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = collections.defaultdict(list)
+    for x in format_conversations(df, budget=300, history=80, block_turns=block_turns).orderBy("conv_id", "window").collect():
+        got[x.conv_id].append((x.n_new, x.n_tokens, x.text))
+    assert len(got) == 4 and all(own == got["place"] for own in got.values()) and sum(x[0] for x in got["place"]) == n
+    if n == 8:
+        assert len(got["place"]) < 8
+
+
 @pytest.mark.parametrize("block_turns", [1024, 40])
 def test_chat_windows(spark, block_turns):
     from orfloom.llm.chat_format import TURN_TOKENS, format_conversations, parse_window
