@@ -59,8 +59,8 @@ def _best(cost: np.ndarray) -> int | None:
     return int(np.argmax(cost <= cost.min() * (1 + 1e-9))) if np.isfinite(cost).any() else None
 
 
-def _two_means(x: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
-    """0/1 for each row: the best of several 2-means runs, one from each pair of centers."""
+def _two_means(x: np.ndarray, starts: np.ndarray, rounds: int, half: np.ndarray) -> np.ndarray:
+    """0/1 for each row: the best of several 2-means runs, one from each pair of centers; half, where all rows are at one place."""
     now, side, open_ = starts.copy(), np.zeros((len(starts), len(x)), bool), np.arange(len(starts))
     for k in range(rounds):
         new = _sides(x, now[open_])
@@ -70,9 +70,11 @@ def _two_means(x: np.ndarray, starts: np.ndarray, rounds: int) -> np.ndarray:
         if not len(open_):
             break
         now[open_] = _means(*_sums(x, new[moved]), now[open_])
+    if len(open_):  # the rounds ended before they came to rest
+        side[open_] = _sides(x, now[open_])
     n = side.sum(1)
     best = _best(np.where((n > 0) & (n < len(x)), _costs(x, side, now), np.inf))
-    return np.arange(len(x)) % 2 if best is None else side[best].astype(np.int64)
+    return half if best is None else side[best].astype(np.int64)
 
 
 def _starts(rows: DataFrame, members: DataFrame, n_init: int, seed: int) -> dict[int, np.ndarray]:
@@ -101,12 +103,13 @@ def _blocks(rows: DataFrame, sizes: dict[int, int], dims: int) -> DataFrame:
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         ids = t.column("id").combine_chunks()
-        return pa.table({"node": t.column("node")[:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "x": pa.array([_vectors_of(t).tobytes()], pa.binary())})
+        half = pa.array([t.column("half").to_numpy().astype(np.int8).tobytes()], pa.binary())
+        return pa.table({"node": t.column("node")[:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "x": pa.array([_vectors_of(t).tobytes()], pa.binary()), "half": half})
 
     size = 8 * dims * sum(sizes.values())
     tasks = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), size // TASK_BYTES)
-    dealt = rows.join(F.broadcast(plan), "node").select("id", "v", "node", F.pmod(F.xxhash64("id"), "blocks").alias("block")).repartition(tasks, "node", "block")
-    return dealt.groupBy("node", "block").applyInArrow(pack, f"node long, ids array<{kinds['id']}>, x binary").checkpoint()
+    dealt = rows.join(F.broadcast(plan), "node").select("id", "v", "half", "node", F.pmod(F.xxhash64("id"), "blocks").alias("block")).repartition(tasks, "node", "block")
+    return dealt.groupBy("node", "block").applyInArrow(pack, f"node long, ids array<{kinds['id']}>, x binary, half binary").checkpoint()
 
 
 @cache
@@ -122,7 +125,8 @@ def _matrix_of(x: bytes, dims: int, width: str) -> np.ndarray:
 def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int, width: str) -> dict[int, np.ndarray | None]:
     """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once.
 
-    A round's job reads the blocks and gives sums for each task and node; a
+    A round's job reads the blocks, adds up within tasks and then by node, and
+    gives the driver one row a node; a
     start whose centers stay is left out from then on.  Jobs are an RDD's, as
     planning a query takes longer than a round of 100,000 rows.
     """
@@ -131,7 +135,7 @@ def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int
     held = blocks.select("node", "x").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     def gathered(c: dict[int, np.ndarray], last: bool) -> dict[int, tuple]:
-        def sums(rows):
+        def sums(part, rows):
             _keep_loaded()
             total: dict = {}
             for n, block in rows:
@@ -140,12 +144,14 @@ def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int
                     side = _sides(x, c[n])
                     got = (side.sum(1), _costs(x, side, c[n])) if last else _sums(x, side)
                     total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
-            return total.items()
+            return ((n, (part, got)) for n, got in total.items())
 
-        by: dict = {}
-        for n, got in held.mapPartitions(sums).collect():
-            by[n] = tuple(a + b for a, b in zip(by[n], got, strict=True)) if n in by else got
-        return by
+        def added(own):
+            """A node's sums in the order of their tasks, so that the last digits do not depend on which came first."""
+            parts = [got for _, got in sorted(own, key=lambda x: x[0])]
+            return tuple(sum(xs[1:], xs[0]) for xs in zip(*parts, strict=True))
+
+        return dict(held.mapPartitionsWithIndex(sums).groupByKey(min(len(c), held.getNumPartitions())).mapValues(added).collect())
 
     for _ in range(rounds):
         if not open_:
@@ -174,13 +180,17 @@ def _split_pass(rows: DataFrame, nodes: DataFrame, sizes: dict[int, int], first_
     children = {n: (first_new + 2 * i, first_new + 2 * i + 1) for i, n in enumerate(sorted(sizes))}
     small = {n for n in sizes if sizes[n] <= TASK_ROWS}
     shared = spark.sparkContext.broadcast(({n: starts[n] for n in small}, children))
+    # Sides where all rows are at one place: below and above the middle of the node's hashes, so neither is empty.
+    h = F.xxhash64("id", F.lit(seed)).cast("double")
+    middle = members.groupBy("node").agg(((F.min(h) + F.max(h)) / 2).alias("middle"))
+    members = members.join(F.broadcast(middle), "node").select("id", "node", (h > F.col("middle")).cast("int").alias("half"))
     rows = rows.select("id", "v").join(members, "id")
     schema = f"id {kinds['id']}, node long"
 
     def in_task(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         n = t.column("node")[0].as_py()
-        side = _two_means(_vectors_of(t).astype(np.float64), shared.value[0][n], rounds)
+        side = _two_means(_vectors_of(t).astype(np.float64), shared.value[0][n], rounds, t.column("half").to_numpy())
         return pa.table({"id": t.column("id"), "node": np.array(shared.value[1][n])[side]})
 
     out = rows.where(F.col("node").isin(sorted(small))).groupBy("node").applyInArrow(in_task, schema)
@@ -195,12 +205,12 @@ def _split_pass(rows: DataFrame, nodes: DataFrame, sizes: dict[int, int], first_
             for batch, i in ((batch, i) for batch in batches for i in range(batch.num_rows)):
                 n, ids = batch.column("node")[i].as_py(), batch.column("ids")[i].values
                 x = _matrix_of(batch.column("x")[i].as_buffer(), dims, width)
-                side = np.full(len(ids), -1) if found[n] is None else _sides(x, found[n][None])[0].astype(np.int64)
+                half = np.frombuffer(batch.column("half")[i].as_buffer(), np.int8).astype(np.int64)
+                side = half if found[n] is None else _sides(x, found[n][None])[0].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), names[n][0])), pa.array(side)], ["id", "first", "side"])
 
-        half = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2))  # where all rows are at one place
         sides = blocks.mapInArrow(assign, f"id {kinds['id']}, first long, side long")
-        out = out.union(sides.select("id", (F.col("first") + F.when(F.col("side") < 0, half).otherwise(F.col("side"))).alias("node")))
+        out = out.union(sides.select("id", (F.col("first") + F.col("side")).alias("node")))
     return out, children
 
 
