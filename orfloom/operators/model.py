@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfloom.functions.stats import confusion
+from orfloom.operators.network import Network, fit_network
 from orfloom.operators.relational import require_unique, upsert_columns
 from orfloom.operators.split import cluster_stratified_split
 
@@ -32,20 +29,20 @@ def balanced_sample(df: DataFrame, label_col: str = "label", seed: int = 42) ->
 
 @dataclass
 class Fitted:
-    """A fitted pipeline with its metrics on held-out rows."""
+    """A fitted network with its metrics on held-out rows."""
 
-    model: PipelineModel
+    model: Network
     metrics: dict = field(default_factory=dict)
 
     def __gt__(self, other: Fitted) -> bool:
         return self.metrics.get("balanced_accuracy", 0) > other.metrics.get("balanced_accuracy", 0)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+        self.model.save(SparkSession.getActiveSession(), path)
 
     @classmethod
     def load(cls, path: str) -> Fitted:
-        return cls(PipelineModel.load(path))
+        return cls(Network.load(SparkSession.getActiveSession(), path))
 
 
 def sample_coverage(df: DataFrame, sample: DataFrame, label_col: str = "label", id_col: str = "id") -> DataFrame:
@@ -56,48 +53,42 @@ def sample_coverage(df: DataFrame, sample: DataFrame, label_col: str = "label",
 
 
 def weighted_loss(df: DataFrame, probability: str, weights: DataFrame, label_col: str = "label") -> DataFrame:
-    """(loss): weighted cross-entropy of the probability of the true label, weights normalised by their sum."""
+    """(loss): mean over the rows of the weighted cross-entropy of the probability of the true label."""
     x = df.join(F.broadcast(weights), label_col)
-    return x.agg((-F.sum(F.col("weight") * F.log(F.greatest(F.col(probability), F.lit(1e-15)))) / F.sum("weight")).alias("loss"))
+    return x.agg((-F.avg(F.col("weight") * F.log(F.greatest(F.col(probability), F.lit(1e-15))))).alias("loss"))
 
 
 def fit(
     df: DataFrame, dims: list[int], vector_col: str = "embedding", label_col: str = "label", epochs: int = 50, balance: bool = True, seed: int = 42,
-    validation: DataFrame | None = None, check_every: int = 10,
+    validation: DataFrame | None = None, check_every: int = 10, rate: float = 0.01, id_col: str = "id",
 ) -> Fitted:
-    """Scaler (fitted on these rows) and a perceptron with the layer sizes dims.
+    """Scales (fitted on these rows) and a network of ReLU layers with the sizes dims.
 
-    balance draws classes by their inverse frequencies, which weights the loss
-    by them.  With validation rows the fit goes on in steps of check_every
-    epochs, each from the last weights, and the best by balanced accuracy stays;
-    ``history`` in its metrics has each step's.
+    balance weights the loss of each row by its class's inverse frequency.  With
+    validation rows the network is scored after every check_every epochs and
+    after the last one, and the best by balanced accuracy stays; ``history`` in
+    its metrics has each score, ``losses`` each epoch's mean weighted loss.
     """
-    train = df.select(array_to_vector(F.transform(vector_col, lambda x: x.cast("double"))).alias("raw"), F.col(label_col).cast("double").alias("label"))
-    train = balanced_sample(train, "label", seed) if balance else train
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
-    scaled = scaler.transform(train)
-    if validation is None:
-        return Fitted(PipelineModel([scaler, MultilayerPerceptronClassifier(layers=dims, maxIter=epochs, seed=seed).fit(scaled)]))
-    best, weights, history = None, None, []
-    for done in range(check_every, epochs + check_every, check_every):
-        step = MultilayerPerceptronClassifier(layers=dims, maxIter=min(check_every, epochs - done + check_every), seed=seed)
-        net = (step if weights is None else step.setInitialWeights(weights)).fit(scaled)
-        weights = net.weights
-        got = Fitted(PipelineModel([scaler, net]))
-        got.metrics = confusion(predict(validation, got, vector_col=vector_col), label_col, "model_label").first().asDict() | {"epoch": min(done, epochs)}
-        history.append(dict(got.metrics))
-        best = got if best is None or got > best else best
-    best.metrics["history"] = history
+    scored: list[Fitted] = []
+
+    def check(epoch: int, net: Network) -> None:
+        if validation is not None and (epoch % check_every == 0 or epoch == epochs):
+            got = Fitted(net)
+            got.metrics = confusion(predict(validation, got, vector_col=vector_col), label_col, "model_label").first().asDict() | {"epoch": epoch}
+            scored.append(got)
+
+    net, losses = fit_network(df, dims, vector_col, label_col, id_col, epochs, rate, weights="balanced" if balance else None, seed=seed, after_epoch=check)
+    best = Fitted(net)
+    for got in scored:
+        best = got if not best.metrics or got > best else best
+    history = [dict(got.metrics) for got in scored]
+    best.metrics |= {"losses": losses} | ({"history": history} if history else {})
     return best
 
 
 def predict(df: DataFrame, fitted: Fitted, name: str = "model", vector_col: str = "embedding") -> DataFrame:
     """df with {name}_label and {name}_output_i."""
-    out = fitted.model.transform(df.withColumn("raw", array_to_vector(F.transform(vector_col, lambda x: x.cast("double")))))
-    p = vector_to_array("probability")
-    k = fitted.model.stages[-1].numClasses
-    out = out.withColumns({f"{name}_label": F.col("prediction").cast("int"), **{f"{name}_output_{i}": F.get(p, F.lit(i)) for i in range(k)}})
-    return out.drop("raw", "features", "rawPrediction", "probability", "prediction")
+    return fitted.model.predict(df, name, vector_col)
 
 
 def predict_many(df: DataFrame, models: dict[str, Fitted], id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
