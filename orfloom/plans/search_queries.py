@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orfloom.operators import search
+from orfloom.operators import cluster_tree, search
 from orfloom.plans.compare import compare
 from orfloom.plans.conflict_queries import QUERIES, SQL
 from orfloom.plans.queries import _IV, _t, intervals, query
@@ -51,4 +51,23 @@ def q66_sequence_clusters(spark, d):
     return search.cluster_sequences(_proteins(spark, d, "documents", "doc_id"), k=17)
 
 
+@query("""WITH RECURSIVE l AS (SELECT c_custkey + 1 AS step, (c_nationkey * 31) % (c_custkey + 1) AS parent, c_custkey + 1 AS new FROM customer),
+made AS (SELECT step, parent AS split, parent AS cluster_id, 2 * step - 1 AS node FROM l UNION ALL SELECT step, parent, new, 2 * step FROM l),
+b AS (SELECT *, coalesce(lag(node) OVER (PARTITION BY cluster_id ORDER BY step), 0) AS before FROM made),
+nodes AS (SELECT m.*, b.before AS parent FROM made m JOIN b ON b.step = m.step AND b.cluster_id = b.split),
+leaves AS (SELECT cluster_id, arg_max(node, step) AS node FROM nodes GROUP BY 1),
+up(cluster_id, node, distance) AS (SELECT cluster_id, node, 0 FROM leaves UNION ALL SELECT up.cluster_id, t.parent, distance + 1 FROM up JOIN nodes t ON t.node = up.node),
+labels AS (SELECT DISTINCT o_custkey AS cluster_id, o_orderstatus = 'F' AS label FROM orders WHERE o_orderkey % 5 < 2),
+one AS (SELECT node FROM up JOIN labels USING (cluster_id) GROUP BY 1 HAVING min(label) = max(label)),
+own AS (SELECT cluster_id FROM labels GROUP BY 1 HAVING min(label) = max(label)),
+best AS (SELECT cluster_id, max(distance) AS d, arg_max(node, distance) AS n FROM up JOIN one USING (node) SEMI JOIN own USING (cluster_id) GROUP BY 1)
+SELECT up.cluster_id, max(distance) AS depth, coalesce(any_value(d), -1) AS homogeneous_depth, any_value(n) AS ancestor FROM up LEFT JOIN best USING (cluster_id) GROUP BY 1""")
+def q67_cluster_tree(spark, d):
+    """A split log with a step for each customer, and labels from orders."""
+    c, k = _t(spark, d, "customer"), F.col("c_custkey") + 1
+    log = c.select(k.alias("step"), ((F.col("c_nationkey") * 31) % k).alias("parent"), k.alias("new"))
+    labels = _t(spark, d, "orders").where("o_orderkey % 5 < 2").select(F.col("o_custkey").alias("cluster_id"), (F.col("o_orderstatus") == "F").alias("label"))
+    return cluster_tree.homogeneous_ancestors(log, labels)
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -465,3 +465,19 @@ def test_two_means_paths_agree_on_equal_rows_and_at_the_last_round(spark, monkey
             out, log = cluster.bisecting_kmeans(df, 4, max_iter=max_iter, n_init=3)
             got.append((sorted(map(tuple, out.collect())), log))
         assert got[0] == got[1]
+
+
+def test_cluster_tree_by_recursive_query(spark):
+    """Depths and ancestors of random split logs (deep ones too) are those of a walk over the log."""
+    from orfloom.operators import cluster, cluster_tree
+
+    r = random.Random(3)
+    for n, deep in ((1, False), (30, False), (150, True)):
+        log = [(s, s - 1 if deep else r.randrange(s), s) for s in range(1, n + 1)]
+        labels = {c: {r.choice("ab") if not deep or c < 3 else "a"} | ({"c"} if r.random() < 0.1 else set()) for c in range(n + 1)}
+        rows = [(c, x) for c, own in labels.items() for x in own]
+        got = cluster_tree.homogeneous_ancestors(spark.createDataFrame(log, "step long, parent long, new long"), spark.createDataFrame(rows + rows[:2], "cluster_id long, label string")).collect()
+        assert {x.cluster_id: x.homogeneous_depth for x in got} == cluster.homogeneous_depth(log, labels)
+        assert all((x.ancestor is None) == (x.homogeneous_depth < 0) for x in got) and max(x.depth for x in got) == (n if deep else max(x.depth for x in got))
+    none = cluster_tree.homogeneous_ancestors(spark.createDataFrame([], "step long, parent long, new long"), spark.createDataFrame([], "cluster_id long, label string"))
+    assert none.collect() == []
