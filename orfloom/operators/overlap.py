@@ -28,28 +28,63 @@ def translation_start(start: Column, stop: Column, strand: Column, codon_start:
     return F.when(strand == -1, stop - shift).otherwise(start + shift)
 
 
-#: Positions in a bin of the interval joins.
-BIN_WIDTH = 65_536
+#: Positions in the smallest bins of the interval joins, levels of bins, and how much wider each level's are.
+BIN_WIDTH, LEVELS, FACTOR = 1024, 14, 4
+
+
+def _bins(df: DataFrame, start: str, stop: str, width: int, up: str | None) -> DataFrame:
+    """df with a row for each of its bins: at its own level, or at all levels above it ("above"), or both ("from").
+
+    An interval's level is the lowest whose bins are as wide as it is long, so it
+    touches at most two bins of a level: rows go by levels, not by length.
+    """
+    size = F.col(stop) - F.col(start) + 1
+    own = F.coalesce(*[F.when(size <= width * FACTOR**k, k) for k in range(LEVELS - 1)], F.lit(LEVELS - 1))
+    df = df.withColumn("_own", own)
+    if up is None:
+        df = df.withColumn("_level", F.col("_own"))
+    else:
+        first = F.col("_own") + (1 if up == "above" else 0)
+        levels = F.when(first <= LEVELS - 1, F.sequence(first, F.lit(LEVELS - 1))).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn("_level", F.explode(levels))
+    wide = F.element_at(F.array(*[F.lit(width * FACTOR**k) for k in range(LEVELS)]), F.col("_level") + 1)
+    df = df.withColumn("_wide", wide)
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_wide")), F.floor(F.col(stop) / F.col("_wide"))))).drop("_own")
+
+
+def nested_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: list[Column], width: int) -> DataFrame:
+    """Pairs of rows whose intervals (columns a of left, b of right) overlap and for which all of ``on`` holds.
+
+    Of two overlapping intervals the one of the lower level meets the other in
+    the bins of its level; a pair is kept in the first bin that both touch, so it
+    is found once.
+    """
+    out = []
+    for up_left, up_right in (("from", None), (None, "above")):
+        x, y = _bins(left, *a, width, up_left), _bins(right, *b, width, up_right)
+        y = y.drop("_wide").withColumnsRenamed({"_level": "_level2", "_bin": "_bin2"})
+        first = F.floor(F.greatest(a[0], b[0]) / F.col("_wide"))
+        same = (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_bin") == first)
+        pairs = x.join(y, [*on, same, has_overlap(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))])
+        out.append(pairs.drop("_level", "_level2", "_bin", "_bin2", "_wide"))
+    return out[0].union(out[1])
 
 
 def overlap_join(queries: DataFrame, subjects: DataFrame, keys: list[str], bin_width: int | None = BIN_WIDTH, how: str = "inner") -> DataFrame:
     """Pairs of rows with equal keys whose [start, stop] overlap; columns become query_* and subject_*.
 
-    Intervals join on their keys and the bins of bin_width that they touch, which
-    splits a key with very many rows; a pair is kept in the first bin that both
-    touch, so it is found once.  Without bin_width the keys alone are the
-    equi-join.  Queries without a hit stay with how="left".
+    Intervals join on their keys and on nested bins, the smallest of bin_width
+    positions, which splits a key with very many rows; an interval over a whole
+    contig is a few rows.  Without bin_width the keys alone are the equi-join.
+    Queries without a hit stay with how="left".
     """
     q = queries.select([F.col(c).alias(f"query_{c}") for c in queries.columns])
     s = subjects.select([F.col(c).alias(f"subject_{c}") for c in subjects.columns])
     on = [F.col(f"query_{k}") == F.col(f"subject_{k}") for k in keys]
-    on.append(has_overlap(F.col("query_start"), F.col("query_stop"), F.col("subject_start"), F.col("subject_stop")))
+    q_ends, s_ends = ("query_start", "query_stop"), ("subject_start", "subject_stop")
     if bin_width is None:
-        return q.join(s, on, how)
-    bins = lambda p: F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bin_width), F.floor(F.col(f"{p}_stop") / bin_width)))
-    qb, sb = q.withColumn("_qb", bins("query")), s.withColumn("_sb", bins("subject"))
-    first = F.floor(F.greatest("query_start", "subject_start") / bin_width)
-    hits = qb.join(sb, [*on, F.col("_qb") == F.col("_sb"), F.col("_qb") == first]).drop("_qb", "_sb")
+        return q.join(s, [*on, has_overlap(*map(F.col, (*q_ends, *s_ends)))], how)
+    hits = nested_join(q, s, q_ends, s_ends, on, bin_width)
     if how == "inner":
         return hits
     names = [f"query_{c}" for c in queries.columns]
@@ -95,15 +130,11 @@ def hit_columns(hits: DataFrame) -> DataFrame:
 def near_pairs(df: DataFrame, keys: list[str], id_col: str, max_separation: int, bin_width: int = BIN_WIDTH) -> DataFrame:
     """Ordered pairs of different rows of a key that overlap or lie less than max_separation apart.
 
-    With their stops moved by max_separation - 1, such rows overlap, and so meet
-    in a bin; a pair is kept in the first bin that both touch.
+    With their stops moved by max_separation - 1, such rows overlap, and so meet in a bin.
     """
-    last = F.floor((F.col("stop") + max_separation - 1) / bin_width)
-    bins = F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.greatest(last, F.floor(F.col("start") / bin_width))))
-    side = lambda p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], bins.alias(f"_{p}"))
+    reach = F.greatest(F.col("stop") + max_separation - 1, "start")
+    side = lambda p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns], reach.alias(f"_{p}_reach"))
     separation = F.greatest("a_start", "b_start") - F.least("a_stop", "b_stop")
-    on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    on += [F.col("_a") == F.col("_b"), F.col("_a") == F.floor(F.greatest("a_start", "b_start") / bin_width), F.col(f"a_{id_col}") != F.col(f"b_{id_col}"), separation < max_separation]
-    return side("a").join(side("b"), on).drop("_a", "_b").withColumns(
-        {"separation_length": separation, "overlap_length": F.greatest(1 - separation, F.lit(0)), "phase": (F.abs(F.col("a_start") - F.col("b_start")) % 3).cast("int")}
-    )
+    on = [*[F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys], F.col(f"a_{id_col}") != F.col(f"b_{id_col}"), separation < max_separation]
+    out = nested_join(side("a"), side("b"), ("a_start", "_a_reach"), ("b_start", "_b_reach"), on, bin_width).drop("_a_reach", "_b_reach")
+    return out.withColumns({"separation_length": separation, "overlap_length": F.greatest(1 - separation, F.lit(0)), "phase": (F.abs(F.col("a_start") - F.col("b_start")) % 3).cast("int")})

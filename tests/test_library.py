@@ -481,3 +481,21 @@ def test_cluster_tree_by_recursive_query(spark):
         assert all((x.ancestor is None) == (x.homogeneous_depth < 0) for x in got) and max(x.depth for x in got) == (n if deep else max(x.depth for x in got))
     none = cluster_tree.homogeneous_ancestors(spark.createDataFrame([], "step long, parent long, new long"), spark.createDataFrame([], "cluster_id long, label string"))
     assert none.collect() == []
+
+
+def test_nested_bins(spark):
+    """Intervals of all lengths, over bin edges and below zero: each overlapping pair once; a row of any length is a few rows."""
+    from orfloom.operators import overlap
+
+    r = random.Random(8)
+    own = [(k, f"c{k % 2}", a, a + r.choice([0, 1, 9, 15, 16, 200, 5000, 10**6])) for k in range(400) for a in [r.choice([r.randint(-300, 300), r.randint(-10**5, 10**5), 16 * r.randint(-9, 9)])]]
+    own += [(1000, "c0", -(10**9), 10**9), (1001, "c1", 0, 0)]
+    df = spark.createDataFrame(own, "id long, contig string, start long, stop long")
+    want = sorted((a[0], b[0]) for a in own for b in own if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3])
+    for width in (16, 1024):
+        got = sorted((x.query_id, x.subject_id) for x in overlap.overlap_join(df, df, ["contig"], width).select("query_id", "subject_id").collect())
+        assert got == want
+        near = sorted((x.a_id, x.b_id) for x in overlap.near_pairs(df, ["contig"], "id", 50, width).select("a_id", "b_id").collect())
+        assert near == sorted((a[0], b[0]) for a in own for b in own if a[0] != b[0] and a[1] == b[1] and max(a[2], b[2]) - min(a[3], b[3]) < 50)
+    one = df.where("id = 1000")
+    assert overlap._bins(one, "start", "stop", 16, None).count() <= 2 and overlap._bins(df, "start", "stop", 16, "from").count() <= 2 * overlap.LEVELS * df.count()
