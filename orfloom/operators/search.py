@@ -32,6 +32,8 @@ _VOLUME = (88.6, 108.5, 111.1, 138.4, 189.9, 60.1, 153.2, 166.7, 168.6, 166.7, 1
 _CHARGE = (0, 0, -1, -1, 0, 0, 0.5, 0, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0)
 #: Costs of opening and of extending a gap; half the width of a band; Karlin's K.
 GAP_OPEN, GAP_EXTEND, BAND, K = 11, 1, 32, 0.1
+#: Bits of the bitmap of the queries' seeds (8 MB), whatever the tables.
+BITMAP_BITS = 26
 #: Least score of a run without gaps on the diagonal of a pair that is aligned.
 MIN_UNGAPPED = 15
 #: Pairs, and cells of their bands, that are aligned at once.
@@ -292,7 +294,8 @@ def _subject_seeds(k: int, wanted, window: int):
         for batch in batches:
             for ids, seqs in _parts(batch):
                 s = seeds(seqs, k)
-                at = np.flatnonzero(wanted.value[s.word >> 3] >> (s.word & 7) & 1)
+                slot = _slots(s.word)
+                at = np.flatnonzero(wanted.value[slot >> 3] >> (slot & 7) & 1)
                 # Two seeds on one diagonal are as far apart in the subject as in the query.
                 near = (np.diff(s.seq[at]) == 0) & (np.diff(s.place[at]) <= window)
                 at = at[np.append(near, False)[: len(at)] | np.append(False, near)[: len(at)]]
@@ -301,17 +304,27 @@ def _subject_seeds(k: int, wanted, window: int):
     return rows
 
 
-def _bitmap(words: DataFrame, k: int) -> np.ndarray:
-    """One bit for each possible word (13**k of them; k is at most 7)."""
+def _slots(words: np.ndarray) -> np.ndarray:
+    """Bit of each word in a bitmap of 2**BITMAP_BITS; longer words may share one, which only lets more seeds through."""
+    return ((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def _bitmap(words: DataFrame) -> np.ndarray:
+    """The bitmap of the words' bits."""
     size = 1 << 18
 
+    def slots(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(batch.column("word").to_numpy())))], ["slot"])
+
     def pack(key, table):
         bits = np.zeros(size, np.uint8)
-        bits[table.column("word").to_numpy() % size] = 1
+        bits[table.column("slot").to_numpy() % size] = 1
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    parts = words.select("word").distinct().withColumn("block", F.floor(F.col("word") / size)).groupBy("block").applyInArrow(pack, "block long, bits binary").collect()
-    out = np.zeros(-(-(len(GROUPS) ** k) // size) * size // 8, np.uint8)
+    found = words.select("word").mapInArrow(slots, "slot long").distinct()
+    parts = found.withColumn("block", F.floor(F.col("slot") / size)).groupBy("block").applyInArrow(pack, "block long, bits binary").collect()
+    out = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
     for r in parts:
         out[r["block"] * size // 8 : (r["block"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
@@ -340,7 +353,7 @@ def candidate_pairs(queries: DataFrame, subjects: DataFrame, k: int, window: int
     checkpoints(spark)
     kind = lambda df: dict(df.dtypes)["id"]
     q = queries.mapInArrow(_query_seeds(k, neighbours), f"word long, id {kind(queries)}, place long")
-    wanted = spark.sparkContext.broadcast(_bitmap(q, k))
+    wanted = spark.sparkContext.broadcast(_bitmap(q))
     s = subjects.mapInArrow(_subject_seeds(k, wanted, window), f"word long, id {kind(subjects)}, place long")
     q, s = (df.select("word", F.col("id").alias(f"{side}_id"), F.col("place").alias(x)).checkpoint() for df, side, x in ((q, "query", "a"), (s, "subject", "b")))
     hits = salted_join(s, q, "word", "subject_id")
@@ -352,22 +365,22 @@ def candidate_pairs(queries: DataFrame, subjects: DataFrame, k: int, window: int
 
 def search(
     queries: DataFrame, subjects: DataFrame | None = None, max_e_value: float = 10.0, k: int = 5, window: int = 40, band: int = BAND,
-    min_ungapped: int = MIN_UNGAPPED, id_col: str = "id", seq_col: str = "seq",
+    min_ungapped: int = MIN_UNGAPPED, neighbours: bool = True, id_col: str = "id", seq_col: str = "seq",
 ) -> DataFrame:
     """Alignments of queries with subjects (or with themselves) of at most max_e_value: the columns of read_mmseqs.
 
     One row for each pair with a double hit, with the banded alignment around the
-    diagonal of its best run without gaps, which must score min_ungapped; a smaller k finds more distant pairs and costs more.  e-values
-    use the residues of all subjects.  Rows without an id or a sequence take no
+    diagonal of its best run without gaps, which must score min_ungapped; a smaller k, and seeds of neighbouring words, find
+    more distant pairs and cost more.  e-values use the residues of all subjects.  Rows without an id or a sequence take no
     part; letters that are no residue score -1 and seed nothing; ids are taken
     to be unique (repeated ids give a row for each pair of rows).
     """
-    if not 2 <= k <= 7:
-        raise ValueError("k must be between 2 and 7")
+    if not 2 <= k <= 17:
+        raise ValueError("k must be between 2 and 17")
     q = _sequences(queries, id_col, seq_col)
     s = q if subjects is None else _sequences(subjects, id_col, seq_col)
     residues = s.agg(F.sum(F.length("seq"))).first()[0] or 0
-    pairs = candidate_pairs(q, s, k, window).checkpoint()
+    pairs = candidate_pairs(q, s, k, window, neighbours).checkpoint()
     count = pairs.count()
     pairs = salted_join(pairs, q.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id", "subject_id")
     pairs = pairs.join(s.select(F.col("id").alias("subject_id"), F.col("seq").alias("subject_seq")), "subject_id")

@@ -42,7 +42,7 @@ def _proteins(spark, d, table, id_col):
 @query()
 def q65_sequence_search(spark, d):
     """benchmark's texts searched in those of all documents."""
-    out = search.search(_proteins(spark, d, "benchmark", "item_id"), _proteins(spark, d, "documents", "doc_id"), max_e_value=1e-20, k=7, min_ungapped=60)
+    out = search.search(_proteins(spark, d, "benchmark", "item_id"), _proteins(spark, d, "documents", "doc_id"), max_e_value=1e-20, k=14, min_ungapped=60, neighbours=False)
     return out.drop("query_seq", "subject_seq")
 
 
