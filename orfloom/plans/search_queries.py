@@ -17,7 +17,7 @@ SELECT i.user_id % 2 AS genome_id, i.event_id AS query_id, coalesce(n_hits, 0) A
   coalesce(r.subject_id, 0) AS top_hit_ord, CASE WHEN r.subject_id % 3 = r.query_id % 3 THEN 1.0 ELSE 0.0 END AS sequence_identity,
   CASE WHEN r.subject_id IS NULL THEN 'intergenic' WHEN f AND st <> 'view' AND r.subject_id % 3 = r.query_id % 3 THEN 'match' WHEN st = 'error' AND qs = ss THEN 'pseudogene' ELSE 'conflict' END AS category
 FROM iv i LEFT JOIN r ON r.query_id = i.event_id AND r.n = 1 LEFT JOIN c ON c.query_id = i.event_id WHERE i.event_type = 'click'""")
-def q64_compare_genomes(spark, d):
+def q101_compare_genomes(spark, d):
     """Two genomes whose contigs have the same names: overlaps, alignment of the best hits, categories."""
     own = intervals(spark, d).withColumns({
         "genome_id": F.col("contig") % 2, "contig_id": F.concat(F.lit("c"), F.floor(F.col("contig") / 2).cast("string")), "seq": F.element_at(F.array(*[F.lit(x * 8) for x in "KLM"]), (F.col("id") % 3 + 1).cast("int")),
@@ -40,14 +40,14 @@ def _proteins(spark, d, table, id_col):
 
 
 @query()
-def q65_sequence_search(spark, d):
+def q102_sequence_search(spark, d):
     """benchmark's texts searched in those of all documents."""
     out = search.search(_proteins(spark, d, "benchmark", "item_id"), _proteins(spark, d, "documents", "doc_id"), max_e_value=1e-20, k=14, min_ungapped=60, neighbours=False)
     return out.drop("query_seq", "subject_seq")
 
 
 @query()
-def q66_sequence_clusters(spark, d):
+def q103_sequence_clusters(spark, d):
     return search.cluster_sequences(_proteins(spark, d, "documents", "doc_id"), k=17)
 
 
@@ -62,7 +62,7 @@ one AS (SELECT node FROM up JOIN labels USING (cluster_id) GROUP BY 1 HAVING min
 own AS (SELECT cluster_id FROM labels GROUP BY 1 HAVING min(label) = max(label)),
 best AS (SELECT cluster_id, max(distance) AS d, arg_max(node, distance) AS n FROM up JOIN one USING (node) SEMI JOIN own USING (cluster_id) GROUP BY 1)
 SELECT up.cluster_id, max(distance) AS depth, coalesce(any_value(d), -1) AS homogeneous_depth, any_value(n) AS ancestor FROM up LEFT JOIN best USING (cluster_id) GROUP BY 1""")
-def q67_cluster_tree(spark, d):
+def q104_cluster_tree(spark, d):
     """A split log with a step for each customer, and labels from orders."""
     c, k = _t(spark, d, "customer"), F.col("c_custkey") + 1
     log = c.select(k.alias("step"), ((F.col("c_nationkey") * 31) % k).alias("parent"), k.alias("new"))
