@@ -441,7 +441,9 @@ def cluster_sequences(
         # One row a word on the right: adaptive execution splits the rows of a frequent word.
         seen = open_.join(first, "word")
         reps = seen.groupBy("id").agg(F.bool_and(F.col("place_in_order") == F.col("head")).alias("top")).where("top").select("id")
-        pairs = seen.where(F.col("place_in_order") != F.col("head")).select(F.col("head.id").alias("query_id"), F.col("id").alias("subject_id"), (F.col("place") - F.col("head_place")).alias("diagonal"))
+        # A path within the band spans at most 2 * band more of the one than of the other: shorter sequences cannot cover.
+        long_enough = 2 * band - F.col("place_in_order.size") >= -min_coverage * F.col("head.size")
+        pairs = seen.where((F.col("place_in_order") != F.col("head")) & long_enough).select(F.col("head.id").alias("query_id"), F.col("id").alias("subject_id"), (F.col("place") - F.col("head_place")).alias("diagonal"))
         pairs = pairs.join(reps.select(F.col("id").alias("query_id")), "query_id").groupBy("query_id", "subject_id").agg(F.collect_set("diagonal").alias("diagonals"))
         pairs = pairs.checkpoint()
         count = pairs.count()
