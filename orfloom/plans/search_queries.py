@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orfloom.operators import cluster_tree, search
+from orfloom.operators import cluster_tree, genes, search
 from orfloom.plans.compare import compare
 from orfloom.plans.conflict_queries import QUERIES, SQL
-from orfloom.plans.queries import _IV, _t, intervals, query
+from orfloom.plans.queries import _IV, _rna, _t, intervals, query
 
 
 @query(f"""WITH {_IV}, g AS (SELECT *, in_frame AND st <> 'error' AS f, NOT (sv < 20 AND st = 'purchase') AS ok FROM h),
@@ -70,4 +70,11 @@ def q104_cluster_tree(spark, d):
     return cluster_tree.homogeneous_ancestors(log, labels)
 
 
+@query()
+def q105_gene_prediction(spark, d):
+    """The documents of a source as contigs of a genome."""
+    x = _t(spark, d, "documents").select(F.coalesce("source", F.lit("none")).alias("genome_id"), F.col("doc_id").alias("contig_id"), _rna().alias("seq"))
+    return genes.predict_genes(x).withColumn("doc_id", F.col("contig_id").cast("long"))
+
+
 __all__ = ["QUERIES", "SQL"]
