@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orfloom.functions.duplex import ANTI_SD, duplex
 from orfloom.operators import cluster_tree, genes, search
+from orfloom.operators.orfs import find_orfs, hit_sequences
 from orfloom.plans.compare import compare
 from orfloom.plans.conflict_queries import QUERIES, SQL
 from orfloom.plans.queries import _IV, _rna, _t, intervals, query
@@ -77,4 +79,13 @@ def q105_gene_prediction(spark, d):
     return genes.predict_genes(x).withColumn("doc_id", F.col("contig_id").cast("long"))
 
 
+@query()
+def q106_ribosome_sites(spark, d):
+    """Energy of the bases before each reading frame of the documents with a ribosome's end."""
+    contigs = _t(spark, d, "documents").select(F.col("doc_id").alias("contig_id"), _rna().alias("seq"))
+    frames = find_orfs(contigs).select("contig_id", *[F.col(c).alias(f"orf_{c}") for c in ("start", "stop", "strand")])
+    site = hit_sequences(frames, contigs, "orf").withColumn("_d", duplex(F.col("orf_nt_seq_upstream"), F.lit(ANTI_SD)))
+    return site.select(F.col("contig_id").alias("doc_id"), "orf_start", "orf_stop", "orf_strand", F.col("orf_nt_seq_upstream").alias("site"), F.round("_d.mfe", 6).alias("mfe"), "_d.mfe_struct")
+
+
 __all__ = ["QUERIES", "SQL"]
