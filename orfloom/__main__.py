@@ -21,8 +21,11 @@ def _save(df: DataFrame, path: str) -> None:
 
 
 def cluster_fit(spark, a) -> None:
-    df = vectors.preprocess(_table(spark, a.dataset_path), a.dims, a.feature_type)
-    rows = df.select("id", "label", F.col("features"))
+    data = _table(spark, a.dataset_path)
+    vectors.Preprocessor.fit(data, a.dims, a.feature_type).save(f"{a.output_path}/preprocessor")
+    # As read back, so that rows met later are scaled and turned by the same numbers.
+    kept = vectors.Preprocessor.load(spark, f"{a.output_path}/preprocessor")
+    rows = kept.apply(data, a.feature_type).select("id", "label", F.col("features"))
     ids, log = cluster.bisecting_kmeans(rows, a.n_clusters, vector_col="features", strategy=a.bisecting_strategy)
     _save(rows.join(ids, "id"), f"{a.output_path}/rows")
     done = spark.read.parquet(f"{a.output_path}/rows")
@@ -31,8 +34,8 @@ def cluster_fit(spark, a) -> None:
 
 
 def cluster_predict(spark, a) -> None:
-    base, dims = _table(spark, a.dataset_path), a.dims
-    rows = vectors.preprocess(_table(spark, a.input_path), dims, a.feature_type, fit_on=base)
+    kept = vectors.Preprocessor.load(spark, f"{a.cluster_path}/preprocessor")
+    rows = kept.apply(_table(spark, a.input_path), a.feature_type)
     centers = spark.read.parquet(f"{a.cluster_path}/centers")
     near = cluster.nearest_centers(rows, centers, a.n, vector_col="features")
     _save(cluster.top_clusters_wide(near, centers, a.n), a.output_path)
@@ -115,7 +118,7 @@ def parser() -> argparse.ArgumentParser:
     may = lambda flag, default, **kw: (flag, {"default": default, **({"type": type(default)} if default is not None else {}), **kw})
     feature = may("--feature-type", "embedding")
     command("cluster", "fit", cluster_fit, need("--dataset-path"), need("--output-path"), feature, may("--n-clusters", 10_000), may("--bisecting-strategy", "largest_non_homogenous"), may("--dims", 100))
-    command("cluster", "predict", cluster_predict, need("--dataset-path"), need("--input-path"), need("--cluster-path"), need("--output-path"), feature, may("--n", 10), may("--dims", 100))
+    command("cluster", "predict", cluster_predict, need("--input-path"), need("--cluster-path"), need("--output-path"), feature, may("--n", 10))
     command("cluster", "metric", cluster_metric, need("--cluster-path"), need("--metric"), may("--sample-size", 5000), may("--method", "center"))
     command("dataset", "update", dataset_update, need("--dataset-path"), need("--input-path"), need("--output-path"), may("--columns", None))
     command("dataset", "split", dataset_split, need("--dataset-path"), need("--output-path"), may("--test-size", 0.2))

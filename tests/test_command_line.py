@@ -12,9 +12,13 @@ def test_commands(spark, tmp_path):
     spark.createDataFrame(rows, "id long, embedding array<double>, label int, cluster_id int").write.parquet(at("data"))
     main(["cluster", "fit", "--dataset-path", at("data"), "--output-path", at("clusters"), "--n-clusters", "3", "--dims", "2"])
     assert spark.read.parquet(at("clusters/rows")).select("cluster_id").distinct().count() == 3 and spark.read.parquet(at("clusters/tree")).count() == 2
-    main(["cluster", "predict", "--dataset-path", at("data"), "--input-path", at("data"), "--cluster-path", at("clusters"), "--output-path", at("near"), "--n", "2", "--dims", "2"])
+    main(["cluster", "predict", "--input-path", at("data"), "--cluster-path", at("clusters"), "--output-path", at("near"), "--n", "2"])
     near = spark.read.parquet(at("near")).join(spark.read.parquet(at("clusters/rows")).select("id", "cluster_id"), "id")
     assert near.count() == 60 and near.where("top_cluster_id = cluster_id and rank_2_cluster_distance > top_cluster_distance").count() == 60
+    # One row alone is met by the scales and components of the fit, not by its own.
+    spark.read.parquet(at("data")).where("id = 7").write.parquet(at("one"))
+    main(["cluster", "predict", "--input-path", at("one"), "--cluster-path", at("clusters"), "--output-path", at("near_one"), "--n", "2"])
+    assert spark.read.parquet(at("near_one")).collect() == spark.read.parquet(at("near")).where("id = 7").collect()
     for metric in ("silhouette", "dunn", "davies-bouldin", "intra-dist", "min-inter-dist"):
         main(["cluster", "metric", "--cluster-path", at("clusters"), "--metric", metric])
     main(["dataset", "split", "--dataset-path", at("data"), "--output-path", at("parts")])
