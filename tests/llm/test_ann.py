@@ -86,3 +86,16 @@ def test_lengths_far_apart():
     x = np.array([[3e-300, 4e-300], [3e300, 4e300], [1.0, 0.0], [0.9999999, 0.0]])
     assert exponents(x).tolist() == [-994, 999, 0, 0]
     assert strata_of({0: 500, 1: 400, -3: 1, -2: 2, 9: 1}).tolist() == [-2, 0, 1, 9]
+
+
+def test_single_queries(spark):
+    """Gaussian rows: 99 of 100 queries find 0.9 of their neighbours, also those that lie close to a centroid (0.3 for a hundredth of them before)."""
+    from orfloom.llm.ann import nearest
+
+    x, k = np.random.default_rng(5).normal(size=(20_000, 64)), 20
+    got = collections.defaultdict(set)
+    for q in nearest(frame(spark, x), k=k).collect():
+        got[q.query_id].add(q.vec_id)
+    want = truth(x, np.arange(len(x)), range(0, len(x), 20), k)
+    share = np.array([len(got[q] & set(best.tolist())) / k for q, (best, _) in want.items()])
+    assert np.quantile(share, 0.01) >= 0.9 and share.mean() >= 0.97
