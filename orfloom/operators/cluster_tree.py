@@ -44,19 +44,42 @@ def cluster_ancestors(log: DataFrame) -> DataFrame:
     ).checkpoint()
 
 
+def _climb(rows: DataFrame) -> DataFrame:
+    """rows (node, parent, lo, hi) as (node, top, distance, lo, hi): the end of each node's parents, how far it is, and the least lo and most hi below the node.
+
+    Each round doubles a step, so rounds are the logarithm of the depth, and a round has a row for each node.
+    Before round k, p is the ancestor 2**k up, and lo and hi are those of descendants less than 2**k below.
+    """
+    now = rows.select("node", F.col("parent").alias("p"), F.coalesce("parent", "node").alias("top"), F.col("parent").isNotNull().cast("int").alias("distance"), "lo", "hi").checkpoint()
+    while now.where("p is not null").limit(1).count():
+        below = now.where("p is not null").groupBy(F.col("p").alias("node")).agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+        above = now.select(F.col("node").alias("p"), F.col("p").alias("_p"), F.col("top").alias("_top"), F.col("distance").alias("_d"))
+        far = now.where("p is not null").join(above, "p").select("node", F.col("_p").alias("p"), F.col("_top").alias("top"), (F.col("distance") + F.col("_d")).alias("distance"), "lo", "hi")
+        done = now.where("p is null").select("node", "p", "top", "distance", "lo", "hi")
+        new = far.union(done).join(below, "node", "left")
+        now = new.select("node", "p", "top", "distance", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi")).checkpoint()
+    return now.drop("p")
+
+
 def homogeneous_ancestors(log: DataFrame, labels: DataFrame) -> DataFrame:
     """(cluster_id, depth, homogeneous_depth, ancestor): splits above each cluster, and up to its highest ancestor of one label.
 
     labels has (cluster_id, label) of the final clusters, repeated rows allowed.
     A cluster with several labels, or none, has -1 and no ancestor.
     """
-    up = cluster_ancestors(log)
-    held = up.join(labels.where("label is not null").distinct(), "cluster_id").groupBy("node").agg((F.min("label") == F.max("label")).alias("one"))
-    up = up.join(held.where("one"), "node", "left")
-    best = F.max(F.when(F.col("one"), F.struct("distance", "node")))
-    out = up.groupBy("cluster_id").agg(F.max("distance").alias("depth"), best.alias("best"))
+    checkpoints(log.sparkSession)
+    made = tree_nodes(log).checkpoint()
+    own = labels.where("label is not null").groupBy("cluster_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    leaves = made.groupBy("cluster_id").agg(F.max_by("node", "step").alias("node")).join(own, "cluster_id", "left").checkpoint()
+    # The root is the one parent that no step made.
+    root = made.select(F.col("parent").alias("node")).join(made.select("node"), "node", "left_anti").distinct()
+    nodes = made.select("node", "parent").unionByName(root, allowMissingColumns=True)
+    tree = _climb(nodes.join(leaves.select("node", "lo", "hi"), "node", "left"))
+    # Above a labelled cluster, ancestors have one label up to some node and none beyond it.
+    one = tree.where("lo = hi").select("node", "lo", "hi")
+    edges = one.join(nodes, "node").join(one.select(F.col("node").alias("parent"), F.lit(True).alias("_same")), "parent", "left")
+    best = _climb(edges.select("node", F.when(F.col("_same"), F.col("parent")).alias("parent"), "lo", "hi"))
+    out = leaves.select("cluster_id", "node", F.coalesce(F.expr("lo = hi"), F.lit(False)).alias("own")).join(tree.select("node", F.col("distance").alias("depth")), "node")
+    out = out.join(best.select("node", "top", "distance"), "node", "left")
     # A cluster without labels of its own does not count, even where its neighbours share one.
-    own = labels.where("label is not null").groupBy("cluster_id").agg((F.min("label") == F.max("label")).alias("own"))
-    ok = F.coalesce("own", F.lit(False))
-    out = out.join(own, "cluster_id", "left")
-    return out.select("cluster_id", "depth", F.when(ok, F.col("best.distance")).otherwise(-1).alias("homogeneous_depth"), F.when(ok, F.col("best.node")).alias("ancestor"))
+    return out.select("cluster_id", "depth", F.when(F.col("own"), F.col("distance")).otherwise(-1).alias("homogeneous_depth"), F.when(F.col("own"), F.col("top")).alias("ancestor"))

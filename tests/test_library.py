@@ -483,6 +483,22 @@ def test_cluster_tree_by_recursive_query(spark):
     assert none.collect() == []
 
 
+def test_deep_tree_in_few_rounds(spark):
+    """A chain of 500 splits: jobs grow with the logarithm of the depth (a job for each round of the recursion before)."""
+    from orfloom.operators import cluster_tree
+
+    n = 500
+    log = spark.createDataFrame([(s, s - 1, s) for s in range(1, n + 1)], "step long, parent long, new long")
+    labels = spark.createDataFrame([(c, "a" if c > 100 else "b") for c in range(n + 1)], "cluster_id long, label string")
+    spark.sparkContext.setJobGroup("tree", "tree")
+    got = {x.cluster_id: (x.depth, x.homogeneous_depth, x.ancestor) for x in cluster_tree.homogeneous_ancestors(log, labels).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("tree"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs < 300
+    # Step s splits cluster s - 1; its node 2s holds clusters s and later.
+    assert got == {c: (min(c + 1, n), 0, 2 * c + 1) if c <= 100 else (min(c + 1, n), min(c + 1, n) - 101, 202) for c in range(n + 1)}
+
+
 def test_nested_bins(spark):
     """Intervals of all lengths, over bin edges and below zero: each overlapping pair once; a row of any length is a few rows."""
     from orfloom.operators import overlap
