@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orfloom.operators.relational import checkpoints
-from orfloom.operators.vectors import _edge_kernel, distances, euclidean, in_blocks, knn
+from orfloom.operators.vectors import _edge_kernel, _matrix, distances, euclidean, in_blocks, knn
 
 #: Rows of a cluster up to which one task splits it; larger ones take a pass over the rows for each round.
 TASK_ROWS = 20_000
@@ -378,14 +378,13 @@ def _cluster_sums(members: DataFrame, asked: DataFrame) -> DataFrame:
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         src, dst = left.column("id").to_numpy(), right.column("id").to_numpy()
-        if not len(src) or not len(dst):
-            left = left[:0]
-            total = n = positive = least = most = np.zeros(0)
-        else:
-            d = distances(np.stack([np.asarray(x, np.float64) for x in left.column("v").to_pylist()]), np.stack([np.asarray(x, np.float64) for x in right.column("v").to_pylist()]))
-            other = src[:, None] != dst[None]
-            total, n, positive = (d * other).sum(1), other.sum(1), (other & (d > 0)).sum(1)
-            least, most = np.where(other, d, np.inf).min(1), np.where(other, d, 0).max(1)
+        d = distances(_matrix(left.column("v")), _matrix(right.column("v")))
+        i, j = np.nonzero(src[:, None] == dst[None]) if np.isin(src, dst).any() else (np.zeros(0, np.int64),) * 2
+        d[i, j] = 0  # a row's distance to itself
+        total, positive, most = d.sum(1), np.count_nonzero(d, 1), d.max(1)
+        n = len(dst) - np.bincount(i, minlength=len(src))
+        d[i, j] = np.inf
+        least = d.min(1)
         return pa.table(
             {"id": left.column("id"), "src_cluster": left.column("cluster_id"), "target": left.column("target"), "total": pa.array(total, pa.float64()), "n": pa.array(n.astype(np.int64)),
              "positive": pa.array(positive.astype(np.int64)), "least": pa.array(least, pa.float64()), "most": pa.array(most, pa.float64())}
