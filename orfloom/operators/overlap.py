@@ -32,41 +32,56 @@ def translation_start(start: Column, stop: Column, strand: Column, codon_start:
 BIN_WIDTH, LEVELS, FACTOR = 1024, 14, 4
 
 
-def _bins(df: DataFrame, start: str, stop: str, width: int, up: str | None) -> DataFrame:
-    """df with a row for each of its bins: at its own level, or at all levels above it ("above"), or both ("from").
+def _wide(level: Column, width: int) -> Column:
+    """Positions in the bins of a level."""
+    return F.element_at(F.array(*[F.lit(width * FACTOR**k) for k in range(LEVELS)]), level + 1)
 
-    An interval's level is the lowest whose bins are as wide as it is long, so it
-    touches at most two bins of a level: rows go by levels, not by length.
-    """
+
+def _own_level(start: str, stop: str, width: int) -> Column:
+    """The lowest level whose bins are as wide as an interval is long, so it touches at most two of them."""
     size = F.col(stop) - F.col(start) + 1
-    own = F.coalesce(*[F.when(size <= width * FACTOR**k, k) for k in range(LEVELS - 1)], F.lit(LEVELS - 1))
-    df = df.withColumn("_own", own)
+    return F.coalesce(*[F.when(size <= width * FACTOR**k, k) for k in range(LEVELS - 1)], F.lit(LEVELS - 1))
+
+
+def _bins(df: DataFrame, start: str, stop: str, width: int, up: str | None, levels: list[int] | range = range(LEVELS)) -> DataFrame:
+    """df with a row for each of its bins: at its own level, or at those of ``levels`` above it ("above"), or from it on ("from").
+
+    Rows go by levels, not by length.
+    """
+    own = _own_level(start, stop, width)
     if up is None:
-        df = df.withColumn("_level", F.col("_own"))
+        df = df.withColumn("_level", own)
     else:
-        first = F.col("_own") + (1 if up == "above" else 0)
-        levels = F.when(first <= LEVELS - 1, F.sequence(first, F.lit(LEVELS - 1))).otherwise(F.array().cast("array<int>"))
-        df = df.withColumn("_level", F.explode(levels))
-    wide = F.element_at(F.array(*[F.lit(width * FACTOR**k) for k in range(LEVELS)]), F.col("_level") + 1)
-    df = df.withColumn("_wide", wide)
-    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_wide")), F.floor(F.col(stop) / F.col("_wide"))))).drop("_own")
+        df = df.withColumn("_own", own)
+        keep = lambda k: (k > F.col("_own")) if up == "above" else (k >= F.col("_own"))
+        df = df.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), keep))).drop("_own")
+    wide = _wide(F.col("_level"), width)
+    return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / wide), F.floor(F.col(stop) / wide))))
 
 
 def nested_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], on: list[Column], width: int) -> DataFrame:
     """Pairs of rows whose intervals (columns a of left, b of right) overlap and for which all of ``on`` holds.
 
     Of two overlapping intervals the one of the lower level meets the other in
-    the bins of its level; a pair is kept in the first bin that both touch, so it
-    is found once.
+    the bins of the other's level; a pair is kept in the first bin that both
+    touch, so it is found once.  A side goes to those higher levels only that the
+    other side's intervals have, which are looked up first (at most LEVELS numbers).
     """
+    left, right = (df.where(F.col(x).isNotNull() & F.col(y).isNotNull()) for df, (x, y) in ((left, a), (right, b)))
+    own = _own_level(*a, width), _own_level(*b, width)
+    in_left, in_right = ([r[0] for r in df.select(level).distinct().collect()] for df, level in zip((left, right), own))
+    low = lambda df, level, least: df.where(level >= least)
+    sides = [
+        (_bins(left, *a, width, "from", in_right), _bins(low(right, own[1], min(in_left, default=LEVELS)), *b, width, None)),
+        (_bins(low(left, own[0], min(in_right, default=LEVELS) + 1), *a, width, None), _bins(right, *b, width, "above", in_left)),
+    ]
     out = []
-    for up_left, up_right in (("from", None), (None, "above")):
-        x, y = _bins(left, *a, width, up_left), _bins(right, *b, width, up_right)
-        y = y.drop("_wide").withColumnsRenamed({"_level": "_level2", "_bin": "_bin2"})
-        first = F.floor(F.greatest(a[0], b[0]) / F.col("_wide"))
+    for x, y in sides:
+        y = y.withColumnsRenamed({"_level": "_level2", "_bin": "_bin2"})
+        first = F.floor(F.greatest(a[0], b[0]) / _wide(F.col("_level"), width))
         same = (F.col("_level") == F.col("_level2")) & (F.col("_bin") == F.col("_bin2")) & (F.col("_bin") == first)
         pairs = x.join(y, [*on, same, has_overlap(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))])
-        out.append(pairs.drop("_level", "_level2", "_bin", "_bin2", "_wide"))
+        out.append(pairs.drop("_level", "_level2", "_bin", "_bin2"))
     return out[0].union(out[1])
 
 
