@@ -19,8 +19,8 @@ WORD_PRIOR, START_PRIOR = 512.0, 16.0
 _CODE = np.full(256, 4, np.uint8)
 for _i, _pair in enumerate(("Aa", "Cc", "Gg", "TtUu")):
     _CODE[[ord(c) for c in _pair]] = _i
-_CODONS = [a + b + c for a in "ACGU" for b in "ACGU" for c in "ACGU"]
-_STARTS = np.array([_CODONS.index(c) for c in seq.START_CODONS])
+CODONS = [a + b + c for a in "ACGU" for b in "ACGU" for c in "ACGU"]
+_STARTS = np.array([CODONS.index(c) for c in seq.START_CODONS])
 _IS_START = np.append(np.isin(np.arange(64), _STARTS), False)  # -1, an unknown codon, is the last
 #: Kinds of counts: words of the chosen frames, words of all frames, start features of the chosen frames, those of all starts.
 WORDS, ALL_WORDS, STARTS, ALL_STARTS = range(4)
@@ -64,7 +64,7 @@ class Contig:
         own = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
         other = np.where(own < 4, 3 - own, 4)[::-1].astype(np.uint8)
         self.n, self.codons, parts = len(own), {}, []
-        ends = np.append(np.isin(_CODONS, seq.STOP_CODONS[table]), False)
+        ends = np.append(np.isin(CODONS, seq.STOP_CODONS[table]), False)
         self.padded = {1: np.concatenate([np.full(UPSTREAM, 4, np.uint8), own]), -1: np.concatenate([np.full(UPSTREAM, 4, np.uint8), other])}
         for strand, s in ((1, own), (-1, other)):
             # Codons by place; an unknown base, 4, makes each of its three unknown.
@@ -129,7 +129,7 @@ class Contig:
         return "M" + "".join(_ACIDS[c] for c in k)
 
 
-_ACIDS = [dict(zip(seq.CODONS, seq.AMINO_ACIDS))[c] for c in _CODONS] + ["X"]
+_ACIDS = [dict(zip(seq.CODONS, seq.AMINO_ACIDS))[c] for c in CODONS] + ["X"]
 
 
 def _dense(rows: list, kind: int, size: int) -> np.ndarray:
@@ -208,7 +208,7 @@ def _predict(table: int, min_length: int, max_overlap: int, cost: float):
             c = Contig(text, table, min_length)
             score = c.scores(word, before, codon)
             for n, i in enumerate(_chosen(c, score - cost, max_overlap), 1):
-                start = _CODONS[c.codons[c.strand[i], c.frame[i]][c.first[i]]]
+                start = CODONS[c.codons[c.strand[i], c.frame[i]][c.first[i]]]
                 out.append((key[0].as_py(), name, f"{name}_{n}", int(c.start[i]) + 1, int(c.stop[i]), int(c.strand[i]), start, float(score[i]), c.protein(i)))
         return pa.Table.from_pylist([dict(zip(_GENES.names, r)) for r in out], _GENES)
 

@@ -2,10 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orfloom.functions import seq
+from orfloom.operators import genes
+
+
+#: Residues that a batch of frames holds at least before it is given.
+BATCH_RESIDUES = 4 << 20
+
+
+def _acids(table: int) -> np.ndarray:
+    """Letters of the codons by their numbers; an unknown codon, -1, is the last."""
+    by = {c: ("Y" if table == 14 and c == "UAA" else a) for c, a in zip(seq.CODONS, seq.AMINO_ACIDS)}
+    return np.frombuffer("".join([*(by[c] for c in genes.CODONS), "X"]).encode(), np.uint8)
+
+
+def _frames(min_length: int, table: int):
+    acids = _acids(table)
+
+    def of(text: str) -> list[tuple]:
+        """(number, start, stop, strand, protein) of one contig's frames."""
+        # Only letters beyond ASCII can change their number.
+        c = genes.Contig(text if text.isascii() else text.upper(), table, 0)
+        n, a, b = len(text), c.from_, c.from_ + 3 * (c.last + 1 - c.first)
+        start, stop = np.where(c.strand == 1, a + 1, n - b + 1), np.where(c.strand == 1, b, n - a)
+        number = np.empty(len(a), np.int64)
+        number[np.lexsort((stop, start, -c.strand))] = np.arange(len(a))
+        letters = {key: acids[k] for key, k in c.codons.items()}
+        out = []
+        for i in np.flatnonzero(b - a >= 3 * (min_length + 1)):
+            body = letters[c.strand[i], c.frame[i]][c.first[i] + 1 : c.last[i]].tobytes()
+            if b"*" not in body:  # a stop codon that is none of the table's stops
+                out.append((int(number[i]), int(start[i]), int(stop[i]), int(c.strand[i]), "M" + body.decode()))
+        return out
+
+    def given(ids: list, rows: list) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], kind) for kind in kinds]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["contig_id", "number", "start", "stop", "strand", "seq"])
+
+    def rows(batches):
+        for batch in batches:
+            ids, found, held = [batch.column("contig_id")[:0]], [], 0
+            for i in range(batch.num_rows):
+                own = of(batch.column("seq")[i].as_py())
+                ids.append(batch.column("contig_id").take(pa.array(np.full(len(own), i))))
+                found += own
+                held += sum(len(x[-1]) for x in own)
+                if held >= BATCH_RESIDUES:
+                    yield given(ids, found)
+                    ids, found, held = ids[:1], [], 0
+            yield given(ids, found)
+
+    return rows
 
 
 def find_orfs(contigs: DataFrame, min_length: int = 50, table: int = 11) -> DataFrame:
@@ -14,27 +67,13 @@ def find_orfs(contigs: DataFrame, min_length: int = 50, table: int = 11) -> Data
     A frame that translates ends at the first stop after its start, so each
     start is paired with the next in-frame stop only.  Ids count all frames of
     a contig by strand and place, before the length filter.  Contig ids are
-    unique.  Only places of starts and stops are shuffled; contigs are joined to
-    the frames that are long enough.
+    unique.  A contig's frames are its own, so nothing is shuffled: a batch of
+    contigs goes to a batch of frames.
     """
-    both = contigs.select(
-        F.col("contig_id"), F.length("seq").alias("n"),
-        F.explode(F.array(F.struct(F.translate(F.upper("seq"), "T", "U").alias("s"), F.lit(1).alias("strand")), F.struct(seq.reverse_complement(F.col("seq")).alias("s"), F.lit(-1).alias("strand")))).alias("x"),
-    )
-    both = both.select("contig_id", "n", "x.s", "x.strand", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-    own = both.select("contig_id", "n", "strand", "frame", F.posexplode(seq.codons(F.expr("substring(s, frame + 1, length(s))"))).alias("i", "codon"))
-    own = own.where(F.col("codon").isin(*seq.START_CODONS, *seq.STOP_CODONS[table]))
-    own = own.select("contig_id", "n", "strand", "frame", "i", F.col("codon").isin(*seq.STOP_CODONS[table]).alias("is_stop"))
-    ahead = Window.partitionBy("contig_id", "strand", "frame").orderBy("i").rowsBetween(0, Window.unboundedFollowing)
-    hit = own.withColumn("end", F.first(F.when(F.col("is_stop"), F.col("i")), ignorenulls=True).over(ahead)).where("not is_stop and end is not null")
-    a, b = F.col("i") * 3 + F.col("frame"), (F.col("end") + 1) * 3 + F.col("frame")
-    hit = hit.select("contig_id", "strand", a.alias("a"), b.alias("b"), F.when(F.col("strand") == 1, a + 1).otherwise(F.col("n") - b + 1).alias("start"), F.when(F.col("strand") == 1, b).otherwise(F.col("n") - a).alias("stop"))
-    number = F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("strand"), "start", "stop")) - 1
-    hit = hit.withColumn("orf_id", F.concat("contig_id", F.lit("_ORF_"), number.cast("string"))).where((F.col("b") - F.col("a")) >= 3 * (min_length + 1))
-    text = contigs.select("contig_id", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.translate(F.upper("seq"), "T", "U").alias("s")), F.struct(F.lit(-1).alias("strand"), seq.reverse_complement(F.col("seq")).alias("s")))).alias("x"))
-    out = hit.join(text.select("contig_id", "x.strand", "x.s"), ["contig_id", "strand"])
-    protein = seq.cds_protein(seq.subsequence(F.col("s"), F.col("a"), F.col("b")), table)
-    return out.select("contig_id", "orf_id", "start", "stop", "strand", protein.alias("seq")).where("seq is not null")
+    own = contigs.select("contig_id", "seq").where("contig_id is not null and seq is not null")
+    kind = dict(own.dtypes)["contig_id"]
+    out = own.mapInArrow(_frames(min_length, table), f"contig_id {kind}, number long, start int, stop int, strand int, seq string")
+    return out.select("contig_id", F.concat("contig_id", F.lit("_ORF_"), F.col("number").cast("string")).alias("orf_id"), "start", "stop", "strand", "seq")
 
 
 def hit_sequences(hits: DataFrame, contigs: DataFrame, prefix: str, upstream: int = 27, keys: dict[str, str] | None = None) -> DataFrame:
