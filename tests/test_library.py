@@ -256,6 +256,38 @@ def test_vector_queries_over_all_rows(spark, tmp_path):
     assert {e.src for e in run("q21_neighbor_summary")} == set(range(61))
 
 
+def test_pair_distances_meet_once(spark, monkeypatch):
+    """Blocks of one table meet once: each pair is compared once, and the rows are those of a sample's path."""
+    import numpy as np
+
+    from orfloom.operators import metric
+
+    monkeypatch.setattr(metric, "blocks_of", lambda n: F.lit(5))
+    r, met = np.random.default_rng(2), spark.sparkContext.accumulator(0)
+    plain = vectors.distances
+
+    def counted(a, b):
+        met.add(len(a) * len(b))
+        return plain(a, b)
+
+    monkeypatch.setattr(vectors, "distances", counted)
+    x = r.normal(size=(200, 3))
+    df = spark.createDataFrame([(i - 100, v.tolist()) for i, v in enumerate(x)] + [(7, None), (None, [1.0, 2.0, 3.0])], "id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.pair_distances(df, df, "id", "embedding").collect()))
+    assert [p[:2] for p in got] == list(itertools.combinations(range(-100, 100), 2))
+    assert 200 * 199 / 2 <= met.value <= 0.75 * 200 * 200  # every block with itself in full, but any two once
+    assert all(abs(d - np.sqrt(((x[i + 100] - x[j + 100]) ** 2).sum())) < 1e-9 for i, j, d in got)
+    assert sorted(map(tuple, vectors.pair_distances(df, df.select("*"), "id", "embedding").collect())) == got
+    names = df.withColumn("id", F.concat(F.lit("v"), F.col("id")))
+    named = {(a, b): d for a, b, d in vectors.pair_distances(names, names, "id", "embedding").collect()}
+    assert named == {tuple(sorted((f"v{i}", f"v{j}"))): d for i, j, d in got}
+    twice = df.union(df.where("id < 0"))  # equal ids are no pair
+    assert vectors.pair_distances(twice, twice, "id", "embedding").count() == vectors.pair_distances(twice, twice.select("*"), "id", "embedding").count()
+    assert vectors.pair_distances(df.limit(0), df.limit(0), "id", "embedding").collect() == []
+    assert vectors._rounded(np.array([0.00005, 1.00004, 2.5, np.inf]), 4).tolist() == [0.0001, 1.0, 2.5, np.inf]
+    assert vectors._rounded(np.array([1.23456789]), None).tolist() == [1.23456789]
+
+
 def test_long_documents_stay(spark, tmp_path):
     from orfloom.plans.queries import QUERIES
 
