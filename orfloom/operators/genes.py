@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orfloom.functions import seq
+from orfloom.operators.relational import checkpoints
 
 #: Bases that one task holds at a time; a longer contig is a pack of its own.
 PACK_BASES = 4_000_000
+#: Bases whose candidates are looked at together.
+BATCH_BASES = 1 << 18
 #: Bases before a start that its score looks at.
 UPSTREAM = 18
 #: Counts that a log ratio starts from, in proportion to the background.
@@ -27,21 +30,25 @@ WORDS, ALL_WORDS, STARTS, ALL_STARTS = range(4)
 _COUNTS = "genome_id string, kind int, i int, n long"
 
 
-def best_chain(start: np.ndarray, stop: np.ndarray, gain: np.ndarray, max_overlap: int) -> np.ndarray:
+def best_chain(start: np.ndarray, stop: np.ndarray, gain: np.ndarray, max_overlap: int, of: np.ndarray | None = None) -> np.ndarray:
     """Indices, by place, of the frames with the largest sum of gains of which no two overlap by more than max_overlap.
 
     Frames are half-open and longer than max_overlap, so frames that fit their
-    neighbours in the chain fit all others in it.
+    neighbours in the chain fit all others in it.  of names the contig of each,
+    where places of several contigs follow on each other: each has its own chain.
     """
     order = np.lexsort((start, stop))
-    a, b, g = start[order], stop[order], gain[order]
-    before = np.searchsorted(b, a + max_overlap, side="right")
-    best, taken = np.zeros(len(a) + 1), np.zeros(len(a), bool)
-    for j in range(len(a)):
+    before = np.searchsorted(stop[order], start[order] + max_overlap, side="right").tolist()
+    g, n = gain[order].tolist(), len(order)
+    fresh = np.append(True, np.diff(of[order]) != 0)[:n].tolist() if of is not None else [True] + [False] * n
+    best, taken = [0.0] * (n + 1), [False] * n
+    for j in range(n):
+        if fresh[j]:
+            best[j] = 0.0  # sums of a contig do not depend on those before it
         with_j = best[before[j]] + g[j]
         taken[j] = with_j > best[j]
         best[j + 1] = with_j if taken[j] else best[j]
-    out, j = [], len(a)
+    out, j = [], n
     while j:
         if taken[j - 1]:
             out.append(order[j - 1])
@@ -57,13 +64,21 @@ def log_ratios(own: np.ndarray, background: np.ndarray, prior: float) -> np.ndar
     return np.log((own + prior * share) / (own.sum(-1, keepdims=True) + prior) / share)
 
 
-class Contig:
-    """Candidates of one contig: every start with the next stop in its frame, on both strands."""
+class Contigs:
+    """Candidates of contigs: every start with the next stop in its frame, on both strands.
 
-    def __init__(self, text: str, table: int, min_length: int):
-        own = _CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+    The contigs lie one after another with unknown bases between them, so that
+    arrays are long however short the contigs are; of is a candidate's contig.
+    """
+
+    def __init__(self, texts: list[str], table: int, min_length: int):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.off = np.cumsum(sizes + UPSTREAM) - sizes - UPSTREAM
+        own = _CODE[np.frombuffer(("?" * UPSTREAM).join(texts).encode("ascii", "replace"), np.uint8)]
         other = np.where(own < 4, 3 - own, 4)[::-1].astype(np.uint8)
         self.n, self.codons, parts = len(own), {}, []
+        #: First places of the contigs by strand, in the order in which they lie on it.
+        self.begin = {1: self.off, -1: (self.n - self.off - sizes)[::-1]}
         ends = np.append(np.isin(CODONS, seq.STOP_CODONS[table]), False)
         self.padded = {1: np.concatenate([np.full(UPSTREAM, 4, np.uint8), own]), -1: np.concatenate([np.full(UPSTREAM, 4, np.uint8), other])}
         for strand, s in ((1, own), (-1, other)):
@@ -73,23 +88,27 @@ class Contig:
                 known = (s[:-2] < 4) & (s[1:-1] < 4) & (s[2:] < 4)
                 np.copyto(every, s[:-2].astype(np.int16) * 16 + s[1:-1] * np.int16(4) + s[2:], where=known)
             for f in range(3):
-                k = self.codons[strand, f] = every[f::3]
+                k = self.codons[strand, f] = np.ascontiguousarray(every[f::3])
                 stops, starts = np.flatnonzero(ends[k]), np.flatnonzero(_IS_START[k])
                 at = np.searchsorted(stops, starts)
                 starts, at = starts[at < len(stops)], at[at < len(stops)]
                 last = stops[at]
-                fits = 3 * (last + 1 - starts) >= min_length
-                starts, last = starts[fits], last[fits]
-                parts.append(np.stack([np.full(len(starts), strand), np.full(len(starts), f), starts, last]))
-        self.strand, self.frame, self.first, self.last = np.concatenate(parts, 1).astype(np.int64)
+                contig = np.searchsorted(self.begin[strand], f + 3 * starts, side="right")
+                fits = (3 * (last + 1 - starts) >= min_length) & (contig == np.searchsorted(self.begin[strand], f + 3 * last, side="right"))
+                starts, last, contig = starts[fits], last[fits], contig[fits] - 1
+                contig = contig if strand == 1 else len(texts) - 1 - contig
+                parts.append(np.stack([np.full(len(starts), strand), np.full(len(starts), f), starts, last, contig, k[starts]]))
+        self.strand, self.frame, self.first, self.last, self.of, self._codon = np.concatenate(parts, 1).astype(np.int64)
         a, b = self.frame + 3 * self.first, self.frame + 3 * self.last + 3
         self.from_ = a
-        self.start, self.stop = np.where(self.strand == 1, a, self.n - b), np.where(self.strand == 1, b, self.n - a)
+        # Places among all contigs, and on the candidate's own.
+        self.start_at, self.stop_at = np.where(self.strand == 1, a, self.n - b), np.where(self.strand == 1, b, self.n - a)
+        self.start, self.stop = self.start_at - self.off[self.of], self.stop_at - self.off[self.of]
 
     def words(self, strand: int, f: int) -> np.ndarray:
         """Codon with the next codon at each place but the last; -1 where a base is unknown."""
-        k = self.codons[strand, f].astype(np.int64)
-        return np.where((k[:-1] < 0) | (k[1:] < 0), -1, 64 * k[:-1] + k[1:])
+        k = self.codons[strand, f]
+        return np.where((k[:-1] < 0) | (k[1:] < 0), np.int16(-1), np.int16(64) * k[:-1] + k[1:])
 
     def start_features(self, which: np.ndarray) -> np.ndarray:
         """Counts by place before the start and base, then by start codon."""
@@ -103,33 +122,63 @@ class Contig:
         return out
 
     def start_codon(self, which: np.ndarray) -> np.ndarray:
-        return np.array([self.codons[self.strand[i], self.frame[i]][self.first[i]] for i in which], np.int64)
+        return self._codon[which]
+
+    def _totals(self, word: np.ndarray, strand: int, f: int) -> np.ndarray:
+        """Running sums of word over a frame, from 0 before each contig; between contigs words are unknown and count 0."""
+        values = np.append(word, 0.0)[self.words(strand, f)]
+        cuts = [0, *((self.begin[strand][1:] - f) // 3 - 3).tolist(), len(values)]
+        total = np.zeros(len(values) + 1)
+        for a, b in zip(cuts, cuts[1:]):
+            np.cumsum(values[a:b], out=total[a + 1 : b + 1])
+        return total
 
     def scores(self, word: np.ndarray, before: np.ndarray | None = None, codon: np.ndarray | None = None) -> np.ndarray:
         """Sum of the words' log ratios from the start to the stop, and of those of the start, if given."""
         out = np.zeros(len(self.first))
-        for (strand, f), k in self.codons.items():
+        for strand, f in self.codons:
             i = np.flatnonzero((self.strand == strand) & (self.frame == f))
             if len(i):
-                total = np.concatenate([[0.0], np.cumsum(np.append(word, 0.0)[self.words(strand, f)])])
+                total = self._totals(word, strand, f)
                 out[i] = total[self.last[i] - 1] - total[self.first[i]]
                 if before is not None:
                     base = self.padded[strand][self.from_[i][:, None] + np.arange(UPSTREAM)]
                     out[i] += np.hstack([before, np.zeros((UPSTREAM, 1))])[np.arange(UPSTREAM), base].sum(1)
-                    out[i] += codon[np.searchsorted(np.sort(_STARTS), k[self.first[i]])]
+                    out[i] += codon[np.searchsorted(np.sort(_STARTS), self._codon[i])]
         return out
 
     def longest(self) -> np.ndarray:
         """The first start of each stop."""
         key = np.stack([self.strand, self.frame, self.last])
-        return np.sort(np.unique(key, axis=1, return_index=True)[1]) if len(self.first) else np.empty(0, np.int64)
+        return np.flatnonzero(np.append(True, (np.diff(key, axis=1) != 0).any(0))[: len(self.first)])
+
+    def chain(self, which: np.ndarray, gain: np.ndarray, max_overlap: int) -> np.ndarray:
+        """Those of the candidates that are their contigs' best chains by gain, contig by contig."""
+        return which[best_chain(self.start_at[which], self.stop_at[which], gain, max_overlap, self.of[which])]
 
     def protein(self, i: int) -> str:
         k = self.codons[self.strand[i], self.frame[i]][self.first[i] + 1 : self.last[i]]
-        return "M" + "".join(_ACIDS[c] for c in k)
+        return "M" + _ACIDS[k].tobytes().decode()
+
 
+class Contig(Contigs):
+    """Candidates of one contig."""
 
-_ACIDS = [dict(zip(seq.CODONS, seq.AMINO_ACIDS))[c] for c in CODONS] + ["X"]
+    def __init__(self, text: str, table: int, min_length: int):
+        super().__init__([text], table, min_length)
+
+
+def _batches(contigs: pa.Table, table: int, min_length: int):
+    """(first row, candidates) of slices of about BATCH_BASES bases."""
+    texts, first, held = contigs.column("seq").to_pylist(), 0, 0
+    for i, text in enumerate(texts, 1):
+        held += len(text)
+        if held >= BATCH_BASES or i == len(texts):
+            yield first, Contigs(texts[first:i], table, min_length)
+            first, held = i, 0
+
+
+_ACIDS = np.frombuffer("".join([*(dict(zip(seq.CODONS, seq.AMINO_ACIDS))[c] for c in CODONS), "X"]).encode(), np.uint8)
 
 
 def _dense(rows: list, kind: int, size: int) -> np.ndarray:
@@ -150,15 +199,16 @@ def _rows(genome, kinds: dict[int, np.ndarray]) -> pa.Table:
 def _count_words(table: int, train_length: int, max_overlap: int):
     def run(key, contigs):
         own, every = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
-        for text in contigs.column("seq").to_pylist():
-            c = Contig(text, table, train_length)
-            for strand, f in c.codons:
-                w = c.words(strand, f)
+        for _, c in _batches(contigs, table, train_length):
+            words = {at: c.words(*at) for at in c.codons}
+            for w in words.values():
                 every += np.bincount(w[w >= 0], minlength=4096)
-            i = c.longest()
             # Of frames that share bases, those that cover most of the contig teach.
-            for j in i[best_chain(c.start[i], c.stop[i], (c.stop - c.start)[i].astype(float), max_overlap)]:
-                w = c.words(c.strand[j], c.frame[j])[c.first[j] : c.last[j] - 1]
+            i = c.longest()
+            chosen = c.chain(i, (c.stop - c.start)[i].astype(float), max_overlap)
+            for (strand, f), w in words.items():
+                j = chosen[(c.strand[chosen] == strand) & (c.frame[chosen] == f)]
+                w = np.concatenate([w[:0], *(w[a:b] for a, b in zip(c.first[j], c.last[j] - 1))])
                 own += np.bincount(w[w >= 0], minlength=4096)
         return _rows(key[0].as_py(), {WORDS: own, ALL_WORDS: every})
 
@@ -169,17 +219,16 @@ def _word_scores(rows: list) -> np.ndarray:
     return log_ratios(_dense(rows, WORDS, 4096), _dense(rows, ALL_WORDS, 4096), WORD_PRIOR)
 
 
-def _chosen(c: Contig, gain: np.ndarray, max_overlap: int) -> np.ndarray:
+def _chosen(c: Contigs, gain: np.ndarray, max_overlap: int) -> np.ndarray:
     i = np.flatnonzero(gain > 0)
-    return i[best_chain(c.start[i], c.stop[i], gain[i], max_overlap)]
+    return c.chain(i, gain[i], max_overlap)
 
 
 def _count_starts(table: int, min_length: int, max_overlap: int, cost: float):
     def run(key, contigs, counts):
         word, size = _word_scores(counts.column("counts")[0].as_py()), 4 * UPSTREAM + 3
         own, every = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for text in contigs.column("seq").to_pylist():
-            c = Contig(text, table, min_length)
+        for _, c in _batches(contigs, table, min_length):
             own += c.start_features(_chosen(c, c.scores(word) - cost, max_overlap))
             every += c.start_features(np.arange(len(c.first)))
         return _rows(key[0].as_py(), {STARTS: own, ALL_STARTS: every})
@@ -204,12 +253,13 @@ def _predict(table: int, min_length: int, max_overlap: int, cost: float):
     def run(key, contigs, counts):
         rows, out = counts.column("counts")[0].as_py(), []
         word, (before, codon) = _word_scores(rows), start_scores(rows)
-        for name, text in zip(contigs.column("contig_id").to_pylist(), contigs.column("seq").to_pylist()):
-            c = Contig(text, table, min_length)
-            score = c.scores(word, before, codon)
-            for n, i in enumerate(_chosen(c, score - cost, max_overlap), 1):
-                start = CODONS[c.codons[c.strand[i], c.frame[i]][c.first[i]]]
-                out.append((key[0].as_py(), name, f"{name}_{n}", int(c.start[i]) + 1, int(c.stop[i]), int(c.strand[i]), start, float(score[i]), c.protein(i)))
+        names = contigs.column("contig_id").to_pylist()
+        for first, c in _batches(contigs, table, min_length):
+            score, n, of = c.scores(word, before, codon), 0, -1
+            for i in _chosen(c, score - cost, max_overlap):
+                n, of = (n + 1 if c.of[i] == of else 1), c.of[i]
+                name = names[first + of]
+                out.append((key[0].as_py(), name, f"{name}_{n}", int(c.start[i]) + 1, int(c.stop[i]), int(c.strand[i]), CODONS[c._codon[i]], float(score[i]), c.protein(i)))
         return pa.Table.from_pylist([dict(zip(_GENES.names, r)) for r in out], _GENES)
 
     return run
@@ -229,7 +279,8 @@ def predict_genes(contigs: DataFrame, table: int = 11, min_length: int = 90, max
 
     Contigs of a genome are dealt to packs of about PACK_BASES, so a large genome
     is many tasks; only counts (at most 8,342 numbers a genome) travel between
-    passes.  One contig is one task's work, at about 60 bytes of memory a base.
+    passes.  One contig is one task's work, at about 60 bytes of memory a base;
+    short ones are looked at together, about BATCH_BASES at a time.
     Rows without genome_id, contig_id or seq, and contigs that are too short,
     give nothing; unknown bases end no frame and have no score, and are X in the
     protein.  Repeated contigs are each counted and each give their genes.
@@ -237,7 +288,9 @@ def predict_genes(contigs: DataFrame, table: int = 11, min_length: int = 90, max
     """
     if not 0 <= max_overlap < min_length:
         raise ValueError("max_overlap must be less than min_length")
-    own = contigs.select(F.col("genome_id").cast("string").alias("genome_id"), F.col("contig_id").cast("string").alias("contig_id"), "seq").na.drop()
+    checkpoints(contigs.sparkSession)
+    # Written once: sizes and packs both read the contigs, and making their bases may take longer than reading them.
+    own = contigs.select(F.col("genome_id").cast("string").alias("genome_id"), F.col("contig_id").cast("string").alias("contig_id"), "seq").na.drop().checkpoint()
     sizes = own.groupBy("genome_id").agg(F.ceil(F.sum(F.length("seq")) / PACK_BASES).cast("int").alias("_n")).withColumn("_n", F.greatest("_n", F.lit(1)))
     own = own.join(sizes, "genome_id").select("genome_id", F.pmod(F.xxhash64("contig_id"), F.col("_n")).cast("int").alias("pack"), "contig_id", "seq")
     # Other names than those of the contigs: both sides of a cogroup come from the same rows.

@@ -87,6 +87,31 @@ def test_scores_against_plain_sums():
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_contigs_together_as_one_by_one(monkeypatch):
+    """Contigs that lie in one array have the candidates, scores (to the last digit), chains and counts that each has alone."""
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("ACGUN"), n, p=[0.248, 0.248, 0.248, 0.248, 0.008])) for n in (700, 1, 0, 901, 2, 899, 37, 1200, 0)] + ["NNN", planted(9, 3, 1)[0][0][1]]
+    word, before, codon = r.normal(size=4096), r.normal(size=(m.UPSTREAM, 4)), r.normal(size=3)
+    every, alone = m.Contigs(texts, 11, 30), [m.Contig(t, 11, 30) for t in texts]
+    score = every.scores(word, before, codon)
+    chosen = every.chain(np.arange(len(score)), score - score.min() + 1, 20)
+    lead, total = every.longest(), np.zeros(4 * m.UPSTREAM + 3, np.int64)
+    for k, c in enumerate(alone):
+        s = c.scores(word, before, codon)
+        own = np.flatnonzero(every.of == k)
+        rows = lambda d, i, x: sorted((d.strand[j], d.start[j], d.stop[j], x[j], d.protein(j)) for j in i)
+        assert rows(every, own, score) == rows(c, range(len(s)), s)
+        assert rows(every, lead[every.of[lead] == k], score) == rows(c, c.longest(), s)
+        got, want = chosen[every.of[chosen] == k], c.chain(np.arange(len(s)), s - score.min() + 1, 20)
+        assert [(every.start[i], every.stop[i], every.strand[i]) for i in got] == [(c.start[i], c.stop[i], c.strand[i]) for i in want]
+        total += c.start_features(np.arange(len(s)))
+    assert len(score) > 20 and (total == every.start_features(np.arange(len(score)))).all()
+    table, key = m.pa.table({"contig_id": [f"c{k}" for k in range(len(texts))], "seq": texts}), (m.pa.scalar("g"),)
+    counts = [m._count_words(11, 60, 20)(key, table)]
+    monkeypatch.setattr(m, "BATCH_BASES", 1)
+    assert m._count_words(11, 60, 20)(key, table).equals(counts[0])
+
+
 def test_hostile_rows(spark):
     contigs, _ = planted(4, 30, 1)
     rows = [(None, "a", "AUG"), ("g", None, "AUG"), ("g", "a", None), ("g", "b", ""), ("g", "é", "NNNé" * 50), ("h", "x", "AUGAAAUAA"), ("g", *contigs[0]), ("g", *contigs[0])]
