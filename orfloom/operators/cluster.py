@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import heapq
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -19,6 +20,8 @@ from orfloom.operators.vectors import _edge_kernel, _matrix, distances, euclidea
 TASK_ROWS = 20_000
 #: Rows of a larger cluster's block; bytes of vectors that are worth a task of a round, and that a task reads at most.
 BLOCK_ROWS, LEAST_BYTES, TASK_BYTES = 2048, 8 << 20, 64 << 20
+#: Rows beside the border of a large cluster's start (at most an eighth) that one task moves on with, and rounds that it makes with them.
+BORDER_ROWS, BORDER_ROUNDS = 10_000, 64
 
 
 def _assign(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,10 +42,17 @@ def _sides(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return side
 
 
-def _sums(x: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, sum of rows) of each side of each start: (t, 2) and (t, 2, dims)."""
-    own = np.stack([~side, side], 1).astype(np.float64)
-    return own.sum(2), (own.reshape(-1, len(x)) @ x).reshape(*own.shape[:2], -1)
+def _off(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of each pair of centers (t, 2, dims), each row's signed distance from the border between them; 0 where both are one."""
+    w, mid = c[:, 1] - c[:, 0], (c[:, 0] + c[:, 1]) / 2
+    size = np.sqrt((w * w).sum(1))
+    return (w @ x.T - (w * mid).sum(1)[:, None]) / np.where(size > 0, size, 1)[:, None]
+
+
+def _sums(x: np.ndarray, side: np.ndarray, counted: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sum of rows) of each side of each start, of the rows counted: (t, 2) and (t, 2, dims)."""
+    own = np.stack([~side & counted, side & counted], 1).astype(np.float64)
+    return own.sum(2), (own.reshape(2 * len(own), len(x)) @ x).reshape(*own.shape[:2], -1)
 
 
 def _means(n: np.ndarray, total: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -122,50 +132,144 @@ def _matrix_of(x: bytes, dims: int, width: str) -> np.ndarray:
     return np.frombuffer(x, width).reshape(-1, dims).astype(np.float64)
 
 
+@dataclass
+class _Run:
+    """One start of a large node: centers after ``used`` rounds and, tried beyond them, ``path``; only path[0] is sure.
+
+    The tried ones hold if no row farther than ``margin`` from the border of ``ref`` was on
+    another side at any of them but the last.  closed: the path's last centers are final.
+    """
+
+    ref: np.ndarray
+    path: np.ndarray
+    margin: float
+    used: int
+    closed: bool
+    width: float = 0.0  # of the border's strip for the next rounds, of which about BORDER_ROWS rows lie within
+
+
+def _on_border(run: _Run, count: np.ndarray, total: np.ndarray, x: np.ndarray, rounds: int) -> tuple[list[np.ndarray], bool]:
+    """(centers after each of up to ``rounds`` rounds, whether they came to rest) with only the rows x moving; it ends where these say that others may move."""
+    steps, before = [], run.path[-1]
+    first = _off(x, before[None])
+    for _ in range(rounds):
+        if steps and np.abs(_off(x, before[None]) - first).max(initial=0) > 0.9 * run.width:
+            break
+        n, own = _sums(x, _sides(x, before[None]))
+        after = _means(count + n[0], total + own[0], before)
+        steps.append(after)
+        if np.isclose(before, after, rtol=1e-9, atol=1e-12).all():
+            return steps, True
+        if not len(x):
+            break
+        before = after
+    return steps, False
+
+
 def _large_centers(blocks: DataFrame, starts: dict[int, np.ndarray], rounds: int, width: str) -> dict[int, np.ndarray | None]:
     """The best pair of centers of each large node: rounds of sums over all rows, for all starts at once.
 
-    A round's job reads the blocks, adds up within tasks and then by node, and
-    gives the driver one row a node; a
-    start whose centers stay is left out from then on.  Jobs are an RDD's, as
+    A job reads the blocks, adds up within tasks and then by start, and gives the
+    driver one row a start.  Where centers move little, only rows near the border
+    change sides: a start's rows in a strip around it (at most about BORDER_ROWS)
+    go to one task, which makes many rounds with them and the sums of the others.  The next
+    job checks at each of these rounds that all others kept their side; where one did
+    not, the start goes on from there.  So the centers are those of plain rounds.
+    A start whose centers stay is left out from then on.  Jobs are an RDD's, as
     planning a query takes longer than a round of 100,000 rows.
     """
     dims = next(iter(starts.values())).shape[-1]
-    now, open_ = {n: c.copy() for n, c in starts.items()}, {n: np.arange(len(c)) for n, c in starts.items()}
+    now = {n: c.copy() for n, c in starts.items()}
+    size = {r["node"]: r["n"] for r in blocks.groupBy("node").agg(F.sum(F.size("ids")).alias("n")).collect()}
     held = blocks.select("node", "x").rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def gathered(c: dict[int, np.ndarray], last: bool) -> dict[int, tuple]:
+    def summed(own):
+        """Sums in the order of their tasks, so that the last digits do not depend on which came first."""
+        parts = [got for _, got in sorted(own, key=lambda x: x[0])]
+        return tuple(sum(xs[1:], xs[0]) for xs in zip(*parts, strict=True))
+
+    def costs() -> dict[int, tuple]:
         def sums(part, rows):
             _keep_loaded()
             total: dict = {}
             for n, block in rows:
-                if n in c:
-                    x = _matrix_of(block, dims, width)
-                    side = _sides(x, c[n])
-                    got = (side.sum(1), _costs(x, side, c[n])) if last else _sums(x, side)
-                    total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
+                x = _matrix_of(block, dims, width)
+                side = _sides(x, now[n])
+                got = (side.sum(1), _costs(x, side, now[n]))
+                total[n] = tuple(a + b for a, b in zip(total[n], got, strict=True)) if n in total else got
             return ((n, (part, got)) for n, got in total.items())
 
-        def added(own):
-            """A node's sums in the order of their tasks, so that the last digits do not depend on which came first."""
-            parts = [got for _, got in sorted(own, key=lambda x: x[0])]
-            return tuple(sum(xs[1:], xs[0]) for xs in zip(*parts, strict=True))
+        return dict(held.mapPartitionsWithIndex(sums).groupByKey(min(len(now), held.getNumPartitions())).mapValues(summed).collect())
 
-        return dict(held.mapPartitionsWithIndex(sums).groupByKey(min(len(c), held.getNumPartitions())).mapValues(added).collect())
+    def advance(runs: dict[int, dict[int, _Run]]) -> dict:
+        """By (node, start): the first place of the path that does not hold, or None; the centers of the rounds after it, whether they rest, and the strip of BORDER_ROWS rows."""
 
-    for _ in range(rounds):
-        if not open_:
-            break
-        for n, (count, total) in gathered({n: now[n][t] for n, t in open_.items()}, False).items():
-            before = now[n][open_[n]]
-            after = _means(count, total, before)
-            now[n][open_[n]] = after
-            open_[n] = open_[n][~np.isclose(before, after, rtol=1e-9, atol=1e-12).all((1, 2))]
-            if not len(open_[n]):
-                del open_[n]
+        most = max(256, 4 * BORDER_ROWS // held.getNumPartitions())
+
+        def sums(part, rows):
+            _keep_loaded()
+            total: dict = {}
+            for n, block in rows:
+                if n not in runs:
+                    continue
+                x, own = _matrix_of(block, dims, width), list(runs[n].values())
+                last = np.cumsum([len(r.path) for r in own]) - 1
+                side, c = _sides(x, np.concatenate([r.path for r in own])), np.stack([r.path[-1] for r in own])
+                off = np.abs(_off(x, c))
+                strip = off < np.array([r.width for r in own])[:, None]
+                count, added = _sums(x, side[last], ~strip)
+                for k, (t, r) in enumerate(runs[n].items()):
+                    first = last[k] + 1 - len(r.path)
+                    moved = np.zeros(len(r.path) - 1, bool)
+                    if len(moved):
+                        far = np.abs(_off(x, r.ref[None])[0]) >= r.margin * (1 - 1e-9)
+                        moved = (side[first : last[k], far] != _sides(x[far], r.ref[None])).any(1)
+                    near = [x[strip[k]].astype(width)] if strip[k].any() else []
+                    if (n, t) not in total:
+                        share = int(len(x) * min(0.125, BORDER_ROWS / size[n]))
+                        total[n, t] = [0, 0, np.zeros_like(moved), [], np.sort(off[k])[min(share, len(x) - 1)] if share else 0.0, False]
+                    old = total[n, t]
+                    old[:4] = old[0] + count[k], old[1] + added[k], old[2] | moved, old[3] + near
+                    if sum(map(len, old[3])) > most:  # equal rows, for instance: no more than this round's sums
+                        rest = np.concatenate(old[3]).astype(np.float64)
+                        ones, own_ = _sums(rest, _sides(rest, c[k][None]))
+                        old[0], old[1], old[3], old[5] = old[0] + ones[0], old[1] + own_[0], [], True
+            return ((at, (part, got)) for at, got in total.items())
+
+        def gone_on(item):
+            (n, t), own = item
+            run, parts = runs[n][t], [got for _, got in sorted(own, key=lambda x: x[0])]
+            moved = np.logical_or.reduce([p[2] for p in parts])
+            if moved.any():
+                return (n, t), (int(moved.argmax()), [], False, 0.0)
+            near = [x for p in parts for x in p[3]]
+            x = np.concatenate([np.zeros((0, dims)), *near])
+            many = len(x) and not any(p[5] for p in parts)
+            steps, rest = _on_border(run, sum(p[0] for p in parts), sum(p[1] for p in parts), x, min(BORDER_ROUNDS if many else 1, rounds - run.used - len(run.path)))
+            return (n, t), (None, steps, rest, float(np.median([p[4] for p in parts])))
+
+        keys = sum(len(r) for r in runs.values())
+        return dict(held.mapPartitionsWithIndex(sums).groupByKey(min(keys, held.getNumPartitions())).map(gone_on).collect())
+
+    runs = {n: {t: _Run(c[t], c[t][None], 0.0, -1, rounds < 1) for t in range(len(c))} for n, c in now.items()}
+    while runs := {n: r for n, r in runs.items() if r}:
+        for (n, t), (bad, steps, rest, strip) in advance(runs).items():
+            run = runs[n][t]
+            if bad is not None:
+                runs[n][t] = _Run(run.path[bad], run.path[bad : bad + 1], 0.0, run.used + bad, False)
+                continue
+            at, used = run.path[-1], run.used + len(run.path)
+            if run.closed or not steps or used + len(steps) >= rounds and len(steps) == 1 or rest and len(steps) == 1:
+                now[n][t] = at if run.closed or not steps else steps[-1]
+                del runs[n][t]
+                continue
+            # A strip is worth its rows if centers will not soon have moved as far.
+            w = steps[-1][1] - steps[-1][0]
+            pace = np.linalg.norm(steps[-1] - (steps[-2] if len(steps) > 1 else at), axis=1).sum()
+            width_ = strip if np.linalg.norm(w) > 0 and strip > 2 * pace else 0.0
+            runs[n][t] = _Run(at, np.stack(steps), run.width, used, rest or used + len(steps) >= rounds, width_)
     out = {}
-    size = {r["node"]: r["n"] for r in blocks.groupBy("node").agg(F.sum(F.size("ids")).alias("n")).collect()}
-    for n, (ones, cost) in gathered(now, True).items():
+    for n, (ones, cost) in costs().items():
         best = _best(np.where((ones > 0) & (ones < size[n]), cost, np.inf))
         out[n] = None if best is None else now[n][best]
     held.unpersist()

@@ -344,6 +344,32 @@ def test_clusters_by_tasks_and_by_passes(spark, monkeypatch):
     assert cluster.homogeneous_depth([(1, 0, 1), (2, 0, 2)], {0: {1}, 1: {2}, 2: {1}}) == {0: 1, 2: 1, 1: 0}
 
 
+def test_rounds_on_the_border_are_plain_rounds(spark, monkeypatch):
+    """Many rounds a job, with the rows near the border alone, give the clusters of rounds over all rows; equal rows on the border too."""
+    import numpy as np
+
+    r, sc = np.random.default_rng(12), spark.sparkContext
+    noise = r.normal(size=(4000, 6)).astype(np.float32)
+    copies = np.concatenate([noise[:1500], np.repeat(noise[:2] / 8, 900, 0)])
+
+    def run(x, name):
+        df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "id long, embedding array<float>, label int")
+        sc.setJobGroup(name, "")
+        parts = {p.id: p.cluster_id for p in cluster.bisecting_kmeans(df, 2, n_init=3)[0].collect()}
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = len(sc.statusTracker().getJobIdsForGroup(name))
+        sc._jsc.sc().clearJobGroup()
+        return parts, jobs
+
+    small = [run(x, f"border-small-{k}")[0] for k, x in enumerate((noise, copies))]
+    monkeypatch.setattr(cluster, "TASK_ROWS", 500)
+    few = [run(x, f"border-few-{k}") for k, x in enumerate((noise, copies))]
+    assert [parts for parts, _ in few] == small
+    monkeypatch.setattr(cluster, "BORDER_ROUNDS", 1)
+    parts, jobs = run(noise, "border-many")
+    assert parts == small[0] and few[0][1] < 0.7 * jobs
+
+
 def test_a_round_over_a_large_cluster_is_two_stages(spark, monkeypatch):
     import numpy as np
 
