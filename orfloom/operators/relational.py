@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +88,17 @@ def checkpoints(spark) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df, written into the checkpoint folder in buckets by key: joins on the key read it without a shuffle, as often as they come.
+
+    (A checkpoint under adaptive execution does not tell how it is partitioned.)
+    """
+    spark = df.sparkSession
+    checkpoints(spark)
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"orfloom_{uuid.uuid4().hex}"
+    where = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    dealt = df.repartition(parts, key).sortWithinPartitions(key)
+    dealt.write.bucketBy(parts, key).sortBy(key).option("path", where).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)

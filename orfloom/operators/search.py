@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orfloom.operators.relational import checkpoints, salted_join
+from orfloom.operators.relational import bucketed, checkpoints, salted_join
 
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 #: Groups of similar residues, the alphabet of seeds.
@@ -248,16 +248,16 @@ def _align_pairs(band: int, least: int):
     return rows
 
 
-def aligned(pairs: DataFrame, count: int, band: int = BAND, min_ungapped: int = MIN_UNGAPPED) -> DataFrame:
+def aligned(pairs: DataFrame, count: int | None, band: int = BAND, min_ungapped: int = MIN_UNGAPPED) -> DataFrame:
     """``count`` pairs (query_id, subject_id, query_seq, subject_seq, diagonals) with their alignment around the best diagonal.
 
-    Pairs without a run of min_ungapped on any of their diagonals are left out.
+    Pairs without a run of min_ungapped on any of their diagonals are left out.  Without a count they are aligned in the partitions that they lie in.
     """
     kinds = dict(pairs.dtypes)
     names = [c for c in pairs.columns if c != "diagonals"]
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in names], *[f"{c} long" for c in _RESULT]])
     # Few bytes, much work: adaptive execution would put all pairs into one task.
-    pairs = pairs.repartition(1 + count // TASK_PAIRS)
+    pairs = pairs if count is None else pairs.repartition(1 + count // TASK_PAIRS)
     return pairs.mapInArrow(_align_pairs(band, min_ungapped), schema)
 
 
@@ -425,39 +425,49 @@ def cluster_sequences(
 
     In a round, every open sequence that is the first in all of its open words'
     groups is a representative: it is aligned with the rest of these groups, whom
-    it covers leaves, and its words are closed.  Equal sequences are one from the start
-    (the smallest id).  Sequences shorter than k stand alone.  Rows without an id
-    or a sequence take no part.
+    it covers leaves, and its words are closed.  A word of one sequence binds
+    nobody and is left out.  Equal sequences are one from the start (the smallest
+    id), by their SHA-256.  Sequences shorter than k stand alone.  Rows without an
+    id or a sequence take no part; ids are taken to be unique.
+
+    Sequences are shuffled once, into buckets by id.  In a round the
+    representatives' travel to their pairs' other ends, and nothing else does but
+    ids, words and places.
     """
-    checkpoints(df.sparkSession)
+    spark = df.sparkSession
+    checkpoints(spark)
     rows = _sequences(df, id_col, seq_col)
-    copies = rows.groupBy("seq").agg(F.min("id").alias("rep"))
     kind = dict(rows.dtypes)["id"]
-    one = copies.select(F.col("rep").alias("id"), "seq", F.struct((-F.length("seq")).alias("size"), F.col("rep").alias("id")).alias("place_in_order")).checkpoint()
-    marks = one.select("id", "seq").mapInArrow(_signatures(k, words), f"word long, id {kind}, place long").join(one.select("id", "place_in_order"), "id").checkpoint()
-    done, open_ = None, marks
-    while open_.limit(1).count():
-        first = open_.groupBy("word").agg(F.min(F.struct("place_in_order", "place")).alias("f")).select("word", F.col("f.place_in_order").alias("head"), F.col("f.place").alias("head_place"))
+    texts = bucketed(rows.withColumn("digest", F.unhex(F.sha2(F.col("seq").cast("binary"), 256))), "id")
+    members = texts.select("id", "digest").join(texts.groupBy("digest").agg(F.min("id").alias("rep")), "digest").select("rep", "id").checkpoint()
+    one = texts.join(members.where("rep = id").select("id").distinct(), "id").select(F.struct((-F.length("seq")).alias("size"), "id").alias("id"), "seq")
+    marks = one.mapInArrow(_signatures(k, words), f"word long, id struct<size: int, id: {kind}>, place long")
+    open_, done = marks.select("word", F.col("id.size").alias("size"), "id.id", F.col("place").cast("int").alias("place")).checkpoint(), None
+    while True:
+        heads = open_.groupBy("word").agg(F.min(F.struct("size", "id", "place")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
         # One row a word on the right: adaptive execution splits the rows of a frequent word.
-        seen = open_.join(first, "word")
-        reps = seen.groupBy("id").agg(F.bool_and(F.col("place_in_order") == F.col("head")).alias("top")).where("top").select("id")
+        seen = open_.join(heads, "word").checkpoint()
+        reps = seen.groupBy("id").agg(F.bool_and(F.col("id") == F.col("head.id")).alias("top")).where("top").select(F.col("id").alias("query_id")).checkpoint()
+        if not reps.limit(1).count():  # no word is left: of two sequences with one, the first of all is always a representative
+            break
         # A path within the band spans at most 2 * band more of the one than of the other: shorter sequences cannot cover.
-        long_enough = 2 * band - F.col("place_in_order.size") >= -min_coverage * F.col("head.size")
-        pairs = seen.where((F.col("place_in_order") != F.col("head")) & long_enough).select(F.col("head.id").alias("query_id"), F.col("id").alias("subject_id"), (F.col("place") - F.col("head_place")).alias("diagonal"))
-        pairs = pairs.join(reps.select(F.col("id").alias("query_id")), "query_id").groupBy("query_id", "subject_id").agg(F.collect_set("diagonal").alias("diagonals"))
-        pairs = pairs.checkpoint()
-        count = pairs.count()
-        pairs = pairs.join(one.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id")
-        pairs = pairs.join(one.select(F.col("id").alias("subject_id"), F.col("seq").alias("subject_seq")), "subject_id")
-        fit = _statistics(aligned(pairs, count, band), 1).where(
+        long_enough = 2 * band - F.col("size") >= -min_coverage * F.col("head.size")
+        pairs = seen.where((F.col("id") != F.col("head.id")) & long_enough).select(F.col("head.id").alias("query_id"), F.col("id").alias("subject_id"), (F.col("place") - F.col("head.place")).cast("long").alias("diagonal"))
+        pairs = pairs.join(reps, "query_id").groupBy("query_id", "subject_id").agg(F.collect_set("diagonal").alias("diagonals"))
+        pairs = pairs.join(texts.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id")
+        # By merging, so that pairs are aligned in as many tasks as there are buckets, however few they are.
+        pairs = pairs.join(texts.select(F.col("id").alias("subject_id"), F.col("seq").alias("subject_seq")).hint("merge"), "subject_id")
+        fit = _statistics(aligned(pairs, None, band), 1).where(
             (F.col("fraction_identical_matches") >= min_identity) & (F.least("query_coverage", "subject_coverage") >= min_coverage)
         )
         fit = fit.groupBy("subject_id").agg(F.min(F.struct((-F.length("query_seq")).alias("size"), F.col("query_id").alias("id"))).alias("r"))
-        now = reps.select(F.col("id").alias("rep"), "id").union(fit.select(F.col("r.id").alias("rep"), F.col("subject_id").alias("id"))).checkpoint()
+        now = fit.select(F.col("r.id").alias("rep"), F.col("subject_id").alias("id")).checkpoint()
         done = now if done is None else done.union(now)
-        used = first.join(reps.select(F.col("id").alias("_rep")), F.col("head.id") == F.col("_rep")).select("word")
-        open_ = open_.join(now.select("id"), "id", "left_anti").join(used, "word", "left_anti").checkpoint()
-    alone = one.select(F.col("id").alias("rep"), "id") if done is None else one.join(done.select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "id")
-    found = alone if done is None else done.union(alone)  # closed words only, or too short for one
-    members = rows.join(copies, "seq").select(F.col("rep").alias("id"), F.col("id").alias("member"))
-    return members.join(found, "id").select(F.col("rep").alias("cluster_rep_id"), F.col("member").alias("id"))
+        gone = now.select("id").union(reps.select(F.col("query_id").alias("id")))
+        left = seen.join(reps, F.col("head.id") == F.col("query_id"), "left_anti")
+        open_ = left.join(gone, "id", "left_anti").select("word", "size", "id", "place").checkpoint()
+    if done is None:
+        return members.select(F.col("rep").alias("cluster_rep_id"), "id")
+    # Who follows nobody is a representative, at whatever time its words were closed.
+    out = members.join(done.select(F.col("id").alias("rep"), F.col("rep").alias("to")), "rep", "left")
+    return out.select(F.coalesce("to", "rep").alias("cluster_rep_id"), "id")

@@ -1,6 +1,7 @@
 """Sequence search and clustering against exhaustive alignment and plain greedy clustering."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -169,3 +170,33 @@ def test_clusters_against_plain_greedy(spark, tmp_path, seed, identity):
 def test_clusters_of_nothing(spark):
     assert m.cluster_sequences(spark.createDataFrame([], "id long, seq string")).collect() == []
     assert [tuple(x) for x in m.cluster_sequences(spark.createDataFrame([(7, "MK")], "id long, seq string")).collect()] == [(7, 7)]
+
+
+def test_clusters_move_their_sequences_once(spark):
+    """Representatives that wait for each other take many rounds; without broadcasts, no round shuffles the table of sequences again."""
+    r = random.Random(7)
+    parts = [protein(r, 1600 - 20 * i) for i in range(9)]
+    rows = [(i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:]))] + [(20 + i, protein(r, 3000)) for i in range(100)]
+    rows += [(200, rows[3][1]), (201, mutated(r, rows[5][1], 0.02))]
+    df = spark.createDataFrame(rows, "id long, seq string")
+    # Task metrics reach the store a little after an action ends; the driver is the only executor here.
+    moved = lambda: time.sleep(2) or spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        before = moved()
+        got = sorted(map(tuple, m.cluster_sequences(df).collect()))
+        assert moved() - before < 2 * sum(len(s) for _, s in rows)
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == greedy(rows, 20, 8, 0.5, 0.8)
+
+
+def test_clusters_of_repeated_rows(spark):
+    """A row that is there twice is a member twice, of the same cluster."""
+    r = random.Random(8)
+    a, b = protein(r, 80), protein(r, 70)
+    df = spark.createDataFrame([(1, a), (1, a), (2, a), (3, b), (3, b)], "id long, seq string")
+    assert sorted(map(tuple, m.cluster_sequences(df).collect())) == [(1, 1), (1, 1), (1, 2), (3, 3), (3, 3)]
