@@ -101,4 +101,6 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     where = f"{spark.sparkContext.getCheckpointDir()}/{name}"
     dealt = df.repartition(parts, key).sortWithinPartitions(key)
     dealt.write.bucketBy(parts, key).sortBy(key).option("path", where).option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, with the checkpoints
+    return table
