@@ -306,12 +306,12 @@ def q23c_inter_methods(spark, d):
     return own("closest").join(own("furthest"), ["a", "b"])
 
 
-@query(f"""WITH {_INTRA}, {_MEMBERS}, e AS (SELECT i, ci, cj, CASE WHEN ci = cj THEN avg(d) FILTER (WHERE d > 0) ELSE avg(d) END AS m FROM p GROUP BY 1, 2, 3),
-s AS (SELECT i, ci, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE near <= 4) AS b FROM e LEFT JOIN d ON a = ci AND b = cj GROUP BY 1, 2)
+@query(f"""WITH {_MEMBERS}, e AS (SELECT i, ci, cj, CASE WHEN ci = cj THEN avg(d) FILTER (WHERE d > 0) ELSE avg(d) END AS m FROM p GROUP BY 1, 2, 3),
+s AS (SELECT i, ci, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE ci <> cj) AS b FROM e GROUP BY 1, 2)
 SELECT ci AS cluster_id, round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s GROUP BY 1""")
 def q24_silhouette(spark, d):
     v = _clustered(spark, d)
-    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v), nearest=4))
+    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v), nearest=None))
     return s.select("cluster_id", F.round("silhouette_index_mean", 4).alias("silhouette"), F.col("silhouette_index_weight").alias("n"))
 
 

@@ -256,6 +256,42 @@ def test_vector_queries_over_all_rows(spark, tmp_path):
     assert {e.src for e in run("q21_neighbor_summary")} == set(range(61))
 
 
+def _silhouettes(x, label):
+    """Silhouette of each row by its definition: distances over 0 to its own cluster, the least mean of all others."""
+    import numpy as np
+
+    out = []
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = d[(label == label[i]) & (d > 0)]
+        b = min(d[label == c].mean() for c in set(label.tolist()) - {label[i]})
+        out.append((b - own.mean()) / max(b, own.mean()) if len(own) else 0)
+    return np.array(out)
+
+
+def _embeddings(spark, path, n, clusters, seed):
+    """Rows of noise, so that the cluster of least mean distance need not have one of the nearest centers; written as the table of embeddings."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 3)).astype(np.float32)
+    label = np.arange(n) % clusters
+    x[label == 0] *= 0.01  # a tight cluster amid the others
+    label[0] = clusters  # a singleton
+    spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return x.astype(float), label
+
+
+def test_silhouettes_look_at_all_clusters(spark, tmp_path):
+    from orfloom.plans.queries import QUERIES
+
+    x, label = _embeddings(spark, tmp_path, 90, 9, 3)
+    s = _silhouettes(x, label)
+    got = {e.cluster_id: (e.silhouette, e.n) for e in QUERIES["q24_silhouette"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(10)) and got[9] == (0, 1)
+    assert all(abs(m - s[label == c].mean()) < 1e-4 and n == (label == c).sum() for c, (m, n) in got.items())
+
+
 def test_pair_distances_meet_once(spark, monkeypatch):
     """Blocks of one table meet once: each pair is compared once, and the rows are those of a sample's path."""
     import numpy as np
