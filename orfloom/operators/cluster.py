@@ -541,18 +541,17 @@ def davies_bouldin(df: DataFrame, cs: DataFrame, nearest: int | None = 9, vector
     return d.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.col("distance")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouettes(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, nearest: int | None = 19, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def silhouettes(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster_id, silhouette) of a sample's rows (all, if None).
 
     a is the mean distance to the other members of the own cluster that are not
-    at the same place, b the least mean distance to one of the ``nearest``
-    clusters; rows of singletons, and those all of whose cluster is at one
-    place, have 0.
+    at the same place, b the least mean distance to one of all other clusters;
+    rows of singletons, and those all of whose cluster is at one place, have 0.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
     some = rows if sample is None else sample.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
-    targets = center_distances(cs, nearest).select(F.col("a").alias("cluster_id"), F.col("b").alias("target")).union(cs.select("cluster_id", "cluster_id"))
-    sums = _cluster_sums(rows, some.join(targets, "cluster_id"))
+    names = cs.select("cluster_id")
+    sums = _cluster_sums(rows, some.join(names, "cluster_id", "left_semi").crossJoin(names.withColumnRenamed("cluster_id", "target")))
     d = sums.groupBy("id", "src_cluster", "target").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("positive").alias("positive"))
     own = F.col("target") == F.col("src_cluster")
     s = d.groupBy("id", F.col("src_cluster").alias("cluster_id")).agg(
@@ -561,9 +560,9 @@ def silhouettes(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, n
     return s.select("id", "cluster_id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def silhouette(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, nearest: int | None = 19, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def silhouette(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(silhouette, n): the mean over a sample's rows."""
-    return silhouettes(df, cs, sample, nearest, id_col, vector_col).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
+    return silhouettes(df, cs, sample, id_col, vector_col).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
 
 
 def cluster_silhouettes(s: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ s AS (SELECT i, ci, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE ci
 SELECT ci AS cluster_id, round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s GROUP BY 1""")
 def q24_silhouette(spark, d):
     v = _clustered(spark, d)
-    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v), nearest=None))
+    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v)))
     return s.select("cluster_id", F.round("silhouette_index_mean", 4).alias("silhouette"), F.col("silhouette_index_weight").alias("n"))
 
 

@@ -292,6 +292,18 @@ def test_silhouettes_look_at_all_clusters(spark, tmp_path):
     assert all(abs(m - s[label == c].mean()) < 1e-4 and n == (label == c).sum() for c, (m, n) in got.items())
 
 
+def test_silhouette_index_looks_at_all_clusters(spark, tmp_path):
+    from orfloom.plans.queries import QUERIES
+
+    x, label = _embeddings(spark, tmp_path, 200, 40, 4)
+    s = _silhouettes(x, label)
+    (got,) = QUERIES["q24b_silhouette_index"](spark, str(tmp_path)).collect()
+    assert got.n == 200 and abs(got.silhouette - s.mean()) < 1e-4
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("cluster_id"))
+    some = cluster.silhouettes(df, cluster.centers(df), df.where("id % 7 = 0")).collect()
+    assert {e.id for e in some} == set(range(0, 200, 7)) and all(abs(e.silhouette - s[e.id]) < 1e-9 for e in some)
+
+
 def test_pair_distances_meet_once(spark, monkeypatch):
     """Blocks of one table meet once: each pair is compared once, and the rows are those of a sample's path."""
     import numpy as np
