@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orfloom.operators import metric
 from orfloom.operators.relational import checkpoints
 from orfloom.operators.vectors import _edge_kernel, _matrix, distances, euclidean, in_blocks, knn
 
@@ -399,6 +400,8 @@ def centers(df: DataFrame, cluster_col: str = "cluster_id", vector_col: str = "e
     return mean.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x.m).alias("center"))
 
 
+#: Rows of two blocks that are multiplied at once: their distances stay in a core's cache.
+PAIR_SLICE = (256, 1024)
 #: Bytes of centers that every task may hold.
 CENTER_BYTES = 64 << 20
 
@@ -509,16 +512,59 @@ def center_distances(cs: DataFrame, nearest: int | None = None) -> DataFrame:
     return in_blocks(own, own, _edge_kernel(choose), f"src {kind}, dst {kind}, distance double").select(F.col("src").alias("a"), F.col("dst").alias("b"), "distance")
 
 
+def _extremes(left: pa.Table, right: pa.Table):
+    """(a, b, least, most) of the distances between two blocks' rows, those of one id left out.
+
+    Products in single precision find the pairs that may be the nearest or the
+    furthest, to within their error; these are taken by plain differences.
+    """
+    x, y = _matrix(left.column("v")), _matrix(right.column("v"))
+    src, dst = left.column("id").to_numpy(zero_copy_only=False), right.column("id").to_numpy(zero_copy_only=False)
+    c, found, shared = y.mean(0), [np.inf, -np.inf], bool(np.isin(src, dst).any())
+    with np.errstate(over="ignore", invalid="ignore"):
+        one, two = (metric.halves(m - c)[k].astype(np.float32) for k, m in enumerate((x, y)))
+        reach = np.sqrt(one[:, -2].max()) + np.sqrt(two[:, -1].max())
+        error = float(reach) ** 2 * (x.shape[1] + 8) * 2.0**-22
+        for i in range(0, len(x), PAIR_SLICE[0]):
+            for j in range(0, len(y), PAIR_SLICE[1]):
+                d = one[i : i + PAIR_SLICE[0]] @ two[j : j + PAIR_SLICE[1]].T
+                other = src[i : i + PAIR_SLICE[0], None] != dst[None, j : j + PAIR_SLICE[1]] if shared else None
+                if other is not None and not other.any():
+                    continue
+                ends = (d.min(), d.max()) if other is None else (d[other].min(), d[other].max())
+                plain = not (np.isfinite(ends[0]) and np.isfinite(ends[1]) and np.isfinite(error))
+                for k, sign in enumerate((1, -1)):
+                    best = min(sign * float(ends[k]) + error, sign * found[k]) if not plain else 0
+                    if not plain and sign * float(ends[k]) - error > best:
+                        continue
+                    near = np.ones(d.shape, bool) if plain else sign * d <= best + error
+                    p, q = np.nonzero(near if other is None else near & other)
+                    for t in range(0, len(p), 65_536):
+                        z = x[i + p[t : t + 65_536]] - y[j + q[t : t + 65_536]]
+                        found[k] = sign * min(sign * found[k], (sign * (z * z).sum(1)).min())
+    if np.isfinite(found[1]) or found[1] > 0:
+        yield pa.RecordBatch.from_arrays([left.column("a").slice(0, 1).combine_chunks(), left.column("b").slice(0, 1).combine_chunks(), pa.array([np.sqrt(found[0])]), pa.array([np.sqrt(found[1])])], ["a", "b", "least", "most"])
+
+
+def inter_distances(df: DataFrame, cs: DataFrame, nearest: int | None = 19, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
+    """(a, b, closest, furthest) of each cluster and its nearest clusters: distances of members; two clusters meet once, whichever is near the other."""
+    checkpoints(df.sparkSession)
+    pairs = center_distances(cs, nearest).select("a", "b").checkpoint()
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id").where("v is not null")
+    kind = dict(rows.dtypes)["cluster_id"]
+    left, right = (rows.join(once.withColumn("cluster_id", F.col(c)), "cluster_id").select("id", "v", "a", "b") for c in ("a", "b"))
+    found = in_blocks(left, right, _extremes, f"a {kind}, b {kind}, least double, most double", ("a", "b"), whole=True)
+    found = found.groupBy("a", "b").agg(F.min("least").alias("closest"), F.max("most").alias("furthest"))
+    swapped = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "closest", "furthest")
+    return found.unionByName(swapped).join(pairs, ["a", "b"], "left_semi")
+
+
 def inter_distance(df: DataFrame, cs: DataFrame, method: str = "center", nearest: int | None = 19, vector_col: str = "embedding", id_col: str = "id") -> DataFrame:
     """(a, b, distance) of each cluster and its nearest clusters: of the centers, or of the closest or furthest members."""
-    pairs = center_distances(cs, nearest)
     if method == "center":
-        return pairs
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
-    asked = rows.join(pairs.select(F.col("a").alias("cluster_id"), F.col("b").alias("target")), "cluster_id")
-    sums = _cluster_sums(rows, asked)
-    how = F.min("least") if method == "closest" else F.max("most")
-    return sums.groupBy(F.col("src_cluster").alias("a"), F.col("target").alias("b")).agg(how.alias("distance"))
+        return center_distances(cs, nearest)
+    return inter_distances(df, cs, nearest, vector_col, id_col).select("a", "b", F.col("closest" if method == "closest" else "furthest").alias("distance"))
 
 
 def min_inter_distance(df: DataFrame, cs: DataFrame, method: str = "center", nearest: int | None = 19, vector_col: str = "embedding") -> DataFrame:

@@ -304,6 +304,35 @@ def test_silhouette_index_looks_at_all_clusters(spark, tmp_path):
     assert {e.id for e in some} == set(range(0, 200, 7)) and all(abs(e.silhouette - s[e.id]) < 1e-9 for e in some)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e25])
+def test_inter_distances_meet_once(spark, monkeypatch, scale):
+    """Two clusters meet once for both methods; what is found is exact, for copies, far rows and sizes beyond single precision too."""
+    import numpy as np
+
+    from orfloom.operators import metric
+
+    monkeypatch.setattr(metric, "blocks_of", lambda n: F.lit(2))
+    r, met, plain = np.random.default_rng(6), spark.sparkContext.accumulator(0), metric.halves
+
+    def counted(x):
+        met.add(len(x))
+        return plain(x)
+
+    monkeypatch.setattr(metric, "halves", counted)
+    x = r.normal(size=(120, 5)) * scale
+    x[:40] += 100 * scale
+    x[7], x[50] = x[51], x[8]  # distances of 0
+    label = np.arange(120) // 40
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "id long, embedding array<double>, cluster_id int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {(e.a, e.b): (e.closest, e.furthest) for e in cluster.inter_distances(df, cluster.centers(df), None).collect()}
+    assert set(got) == set(itertools.permutations(range(3), 2))
+    for (a, b), near_far in got.items():
+        own = d[label == a][:, label == b]
+        assert np.allclose(near_far, (own.min(), own.max()), rtol=1e-12, atol=0)
+    assert met.value <= 3 * 4 * (20 + 20) * 1.5  # three pairs of clusters, four of their blocks each
+
+
 def test_pair_distances_meet_once(spark, monkeypatch):
     """Blocks of one table meet once: each pair is compared once, and the rows are those of a sample's path."""
     import numpy as np
