@@ -402,6 +402,8 @@ def centers(df: DataFrame, cluster_col: str = "cluster_id", vector_col: str = "e
 
 #: Rows of two blocks that are multiplied at once: their distances stay in a core's cache.
 PAIR_SLICE = (256, 1024)
+#: Clusters of a block up to which two blocks' distances are made once for both.
+FEW_CLUSTERS = 64
 #: Bytes of centers that every task may hold.
 CENTER_BYTES = 64 << 20
 
@@ -587,26 +589,139 @@ def davies_bouldin(df: DataFrame, cs: DataFrame, nearest: int | None = 9, vector
     return d.groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / F.col("distance")).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouettes(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def _blocks_by_cluster(rows: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(rows with their block, blocks, first block of whole clusters, rows of a block): a large cluster has blocks of its own, small ones share some."""
+    sizes = rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    each = metric.block_rows(total)
+    # At most two clusters for each block's rows are large.
+    large = sizes.where(F.col("n") > each // 2).withColumn("parts", F.ceil(F.col("n") / each).cast("int")).collect()
+    first = np.append(0, np.cumsum([r["parts"] for r in large])).tolist()
+    bins = -(-(total - sum(r["n"] for r in large)) // each)
+    table = rows.sparkSession.createDataFrame([(r["cluster_id"], int(k), r["parts"]) for r, k in zip(large, first)], f"cluster_id {dict(rows.dtypes)['cluster_id']}, first int, parts int")
+    own = F.coalesce(F.col("first") + F.pmod(F.xxhash64("id"), "parts"), F.lit(int(first[-1])) + F.pmod(F.xxhash64("cluster_id"), F.lit(max(bins, 1)))).cast("int")
+    return rows.join(F.broadcast(table), "cluster_id", "left").select("id", "v", "cluster_id", own.alias("_own")), int(first[-1] + bins), int(first[-1]), each
+
+
+def _sorted_by_cluster(part: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, pa.Array]:
+    """(rows in order of their clusters, their vectors, places of their clusters, clusters)."""
+    names = part.column("cluster_id").combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    part = part.take(pa.array(order))
+    return part, _matrix(part.column("v")), code[order].astype(np.int64), names.dictionary
+
+
+def _mean_kernel(whole_from: int, symmetric: bool):
+    """A kernel of sums over the distances of a block's rows to the other block's clusters; of a pair of blocks that come once, either way."""
+
+    def given(rows, code, names, target, total, zeros, same, sizes, whole):
+        """Sums of the rows to each cluster; of whole clusters only those to the own, and the least mean of the others."""
+        n = sizes[None] - same
+        col = lambda c, k: c.take(pa.array(k))
+        ids, src = rows.column("id").combine_chunks(), names.take(pa.array(code))
+
+        def batch(i, k, least):
+            return pa.RecordBatch.from_arrays(
+                [col(ids, i), col(src, i), pa.nulls(len(i), target.type) if k is None else col(target, k), pa.array(np.zeros(len(i)) if k is None else total[i, k]), pa.array(np.zeros(len(i), np.int64) if k is None else n[i, k]),
+                 pa.array(np.zeros(len(i), np.int64) if k is None else sizes[k] - zeros[i, k]), pa.array(least) if k is None else pa.nulls(len(i), pa.float64())],
+                ["id", "src_cluster", "target", "total", "n", "positive", "least"],
+            )
+
+        if not whole:
+            i, k = (x.ravel() for x in np.indices(total.shape))
+            yield batch(i, k, None)
+            return
+        place = {v: k for k, v in enumerate(target.to_pylist())}
+        own = np.array([place.get(v, -1) for v in names.to_pylist()], np.int64)[code]
+        i = np.flatnonzero(own >= 0)
+        yield batch(i, own[i], None)
+        mean = np.where(n > 0, total / np.maximum(n, 1), np.inf)
+        mean[i, own[i]] = np.inf
+        least = mean.min(1)
+        i = np.flatnonzero(np.isfinite(least))
+        yield batch(i, None, least[i])
+
+    def one_way(left, right, whole, back=None):
+        (rows, x, cx, own), (others, y, cy, target) = left, right
+        c, sizes = y.mean(0), np.bincount(cy, minlength=len(target))
+        (one, _), (_, two) = metric.halves(x - c), metric.halves(y - c)
+        src, dst = rows.column("id").to_numpy(), others.column("id").to_numpy()
+        shared, (m, n) = bool(np.isin(src, dst).any()), PAIR_SLICE
+        for i in range(0, len(x), m):
+            total, zeros, same = np.zeros((len(x[i : i + m]), len(target))), *(np.zeros((len(x[i : i + m]), len(target)), np.int64) for _ in range(2))
+            lefts = np.flatnonzero(np.append(True, np.diff(cx[i : i + m]) != 0))
+            for j in range(0, len(y), n):
+                starts = np.flatnonzero(np.append(True, np.diff(cy[j : j + n]) != 0))
+                k = cy[j : j + n][starts]
+                d = one[i : i + m] @ two[j : j + n].T
+                near = float(d.min()) <= 1e-6 * (float(one[i : i + m, -2].max()) + float(two[j : j + n, -1].max()))
+                if near:  # what is almost equal by plain differences
+                    p, q = np.nonzero(d <= 1e-6 * (one[i : i + m, -2][:, None] + two[j : j + n, -1][None]))
+                    for t in range(0, len(p), 65_536):
+                        z = x[i + p[t : t + 65_536]] - y[j + q[t : t + 65_536]]
+                        d[p[t : t + 65_536], q[t : t + 65_536]] = (z * z).sum(1)
+                np.sqrt(d, out=d)
+                if near or shared:
+                    equal = src[i : i + m, None] == dst[None, j : j + n]
+                    d[equal] = 0
+                    for held, of_back, mask in ((zeros, 1, d == 0), (same, 2, equal)):
+                        held[:, k] += np.add.reduceat(mask, starts, 1, dtype=np.int64)
+                        if back is not None:
+                            back[of_back][j : j + n, cx[i : i + m][lefts]] += np.add.reduceat(mask, lefts, 0, dtype=np.int64).T
+                total[:, k] += d.sum(1)[:, None] if len(starts) == 1 else np.add.reduceat(d, starts, 1)
+                if back is not None:
+                    back[0][j : j + n, cx[i : i + m][lefts]] += d.sum(0)[:, None] if len(lefts) == 1 else np.add.reduceat(d, lefts, 0).T
+            yield from given(rows.slice(i, m), cx[i : i + m], own, target, total, zeros, same, sizes, whole)
+
+    def kernel(left: pa.Table, right: pa.Table):
+        p, q = left.column("_p")[0].as_py(), left.column("_q")[0].as_py()
+        a, b = _sorted_by_cluster(left), _sorted_by_cluster(right)
+        if not symmetric or p == q:
+            yield from one_way(a, b, q >= whole_from)
+        elif len(a[3]) <= FEW_CLUSTERS:
+            back = np.zeros((len(b[1]), len(a[3]))), *(np.zeros((len(b[1]), len(a[3])), np.int64) for _ in range(2))
+            yield from one_way(a, b, q >= whole_from, back)
+            yield from given(b[0], b[2], b[3], a[3], *back, np.bincount(a[2], minlength=len(a[3])), p >= whole_from)
+        else:
+            yield from one_way(a, b, q >= whole_from)
+            yield from one_way(b, a, p >= whole_from)
+
+    return kernel
+
+
+def silhouettes(df: DataFrame, cs: DataFrame | None, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, cluster_id, silhouette) of a sample's rows (all, if None).
 
     a is the mean distance to the other members of the own cluster that are not
     at the same place, b the least mean distance to one of all other clusters;
     rows of singletons, and those all of whose cluster is at one place, have 0.
+    Ids are taken to be unique; the centers are not needed.  Blocks of rows meet once, for the sums of both;
+    of clusters that lie in one block only the least mean leaves a task.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
-    some = rows if sample is None else sample.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id")
-    names = cs.select("cluster_id")
-    sums = _cluster_sums(rows, some.join(names, "cluster_id", "left_semi").crossJoin(names.withColumnRenamed("cluster_id", "target")))
-    d = sums.groupBy("id", "src_cluster", "target").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    sides = lambda t: t.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), "cluster_id").where("v is not null and id is not null and cluster_id is not null")
+    dealt, blocks, whole_from, each = _blocks_by_cluster(sides(df))
+    own, last = F.col("_own"), F.lit(blocks - 1)
+    if sample is None:
+        a = dealt.select("id", "v", "cluster_id", own.alias("_p"), F.explode(F.sequence(own, last)).alias("_q"))
+        b = dealt.select("id", "v", "cluster_id", F.explode(F.sequence(F.lit(0), own)).alias("_p"), own.alias("_q"))
+    else:
+        some = sides(sample)
+        lefts = 1 + some.count() // each
+        a = some.select("*", F.pmod(F.xxhash64("id"), F.lit(lefts)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), last)).alias("_q"))
+        b = dealt.select("id", "v", "cluster_id", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("_p"), own.alias("_q"))
+    kinds = dict(dealt.dtypes)
+    schema = f"id {kinds['id']}, src_cluster {kinds['cluster_id']}, target {kinds['cluster_id']}, total double, n long, positive long, least double"
+    sums = metric.cogroup(a, b, ["_p", "_q"], _mean_kernel(whole_from, sample is None), schema, spread=True)
+    d = sums.groupBy("id", "src_cluster", "target").agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("positive").alias("positive"), F.min("least").alias("least"))
     own = F.col("target") == F.col("src_cluster")
     s = d.groupBy("id", F.col("src_cluster").alias("cluster_id")).agg(
-        F.max(F.when(own, F.try_divide("total", "positive"))).alias("a"), F.min(F.when(~own, F.try_divide("total", "n"))).alias("b")
+        F.max(F.when(own, F.try_divide("total", "positive"))).alias("a"), F.min(F.when(F.col("target").isNull(), F.col("least")).when(~own, F.try_divide("total", "n"))).alias("b")
     )
     return s.select("id", "cluster_id", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 
-def silhouette(df: DataFrame, cs: DataFrame, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+def silhouette(df: DataFrame, cs: DataFrame | None, sample: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(silhouette, n): the mean over a sample's rows."""
     return silhouettes(df, cs, sample, id_col, vector_col).agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
 

@@ -311,7 +311,7 @@ s AS (SELECT i, ci, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE ci
 SELECT ci AS cluster_id, round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s GROUP BY 1""")
 def q24_silhouette(spark, d):
     v = _clustered(spark, d)
-    s = cluster.cluster_silhouettes(cluster.silhouettes(v, cluster.centers(v)))
+    s = cluster.cluster_silhouettes(cluster.silhouettes(v, None))
     return s.select("cluster_id", F.round("silhouette_index_mean", 4).alias("silhouette"), F.col("silhouette_index_weight").alias("n"))
 
 
@@ -320,7 +320,7 @@ s AS (SELECT i, max(m) FILTER (WHERE ci = cj) AS a, min(m) FILTER (WHERE ci <> c
 SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 4) AS silhouette, count(*) AS n FROM s""")
 def q24b_silhouette_index(spark, d):
     v = _clustered(spark, d)
-    return cluster.silhouette(v, cluster.centers(v)).withColumn("silhouette", F.round("silhouette", 4))
+    return cluster.silhouette(v, None).withColumn("silhouette", F.round("silhouette", 4))
 
 
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), s AS (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1)

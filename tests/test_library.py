@@ -333,6 +333,40 @@ def test_inter_distances_meet_once(spark, monkeypatch, scale):
     assert met.value <= 3 * 4 * (20 + 20) * 1.5  # three pairs of clusters, four of their blocks each
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_silhouettes_meet_once(spark, monkeypatch, few):
+    """Blocks of rows meet once, for large clusters (blocks of their own) and small ones (together); one way or both, the sums are those of the definition."""
+    import numpy as np
+
+    from orfloom.operators import metric
+
+    monkeypatch.setattr(metric, "block_rows", lambda n: 30)
+    monkeypatch.setattr(cluster, "FEW_CLUSTERS", few)
+    monkeypatch.setattr(cluster, "PAIR_SLICE", (7, 5))
+    r, met, plain = np.random.default_rng(9), spark.sparkContext.accumulator(0), cluster._mean_kernel
+
+    def counted(*args):
+        kernel = plain(*args)
+
+        def run(left, right):
+            met.add(left.num_rows * right.num_rows)
+            yield from kernel(left, right)
+
+        return run
+
+    monkeypatch.setattr(cluster, "_mean_kernel", counted)
+    label = np.array([0] * 70 + [1] * 20 + [2 + i // 3 for i in range(60)] + [99])
+    x = r.normal(size=(len(label), 4)) + r.normal(size=(100, 4))[label]
+    x[3], x[75], x[90:93] = x[4], x[5], x[90]  # copies within a cluster, of another's row, and a cluster at one place
+    want = _silhouettes(x, label)
+    df = spark.createDataFrame([(i, v.tolist(), f"c{c}") for i, (v, c) in enumerate(zip(x, label))], "id long, embedding array<double>, cluster_id string")
+    got = {e.id: e.silhouette for e in cluster.silhouettes(df, None).collect()}
+    assert set(got) == set(range(len(x))) and all(abs(got[i] - w) < 1e-9 for i, w in enumerate(want))
+    assert len(x) ** 2 / 2 <= met.value <= 0.75 * len(x) ** 2
+    some = {e.id: e.silhouette for e in cluster.silhouettes(df, None, df.where("id % 4 = 1")).collect()}
+    assert set(some) == set(range(1, len(x), 4)) and all(abs(some[i] - want[i]) < 1e-9 for i in some)
+
+
 def test_pair_distances_meet_once(spark, monkeypatch):
     """Blocks of one table meet once: each pair is compared once, and the rows are those of a sample's path."""
     import numpy as np
