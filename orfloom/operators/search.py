@@ -38,6 +38,8 @@ BITMAP_BITS = 26
 MIN_UNGAPPED = 15
 #: Pairs, and cells of their bands, that are aligned at once.
 BATCH_PAIRS, PAIR_BYTES = 128, 32 << 20
+#: Rows of a batch's bands after which pairs are given up that cannot cover.
+CHECK_ROWS = 64
 #: Pairs of a task.
 TASK_PAIRS = 512
 OTHER = len(RESIDUES)
@@ -115,11 +117,15 @@ def with_neighbours(s: Seeds, k: int) -> Seeds:
     return Seeds(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def align_bands(queries: list[np.ndarray], subjects: list[np.ndarray], diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
+def align_bands(queries: list[np.ndarray], subjects: list[np.ndarray], diagonals: np.ndarray, band: int = BAND, coverage: float = 0.0) -> np.ndarray:
     """Best local alignment of each pair within ``band`` of a diagonal (subject place less query place).
 
     Columns: score, first and last query and subject place (from 0, inclusive),
     matches, columns, gap openings.  A score of 0 has zeros.
+
+    With a coverage, pairs whose best alignment covers less of either sequence
+    may be left out (zeros): a pair is given up once no alignment that began early
+    enough goes on, none can begin any more, and those that ended are too short.
     """
     p, w = len(queries), 2 * band + 1
     best = np.zeros((p, 8), np.int64)
@@ -149,8 +155,23 @@ def align_bands(queries: list[np.ndarray], subjects: list[np.ndarray], diagonals
     info = np.zeros((5, p, w), np.int64)  # first query place, first subject place, matches, columns, openings
     up_info = np.zeros((5, p, w), np.int64)
     cells = np.arange(w)
+    # Last places at which an alignment that covers enough begins, and spans that it has at least; with one place to spare for rounding.
+    latest_q, latest_s, least_q, least_s = nq * (1 - coverage) + 1, ns * (1 - coverage) + 1, nq * coverage - 1, ns * coverage - 1
     for r in range(longest):
         m = int(np.searchsorted(-rows, -r, side="left"))
+        if coverage and r % CHECK_ROWS == 0:
+            at_q, at_s = first[:m] + r, first[:m] + r + diagonals[:m]
+            over = ((at_q > latest_q[:m]) | (at_s - band > latest_s[:m])) & ((at_q < least_q[:m]) | (at_s + band < least_s[:m]))
+            for i in np.flatnonzero(over):
+                over[i] = not any(((x[i] > 0) & (y[0, i] <= latest_q[i]) & (y[1, i] <= latest_s[i])).any() for x, y in ((h, info), (up, up_info)))
+            if 8 * over.sum() > m:
+                best[order[:m][over]] = 0
+                on = np.flatnonzero(~over)
+                q, t, h, up, info, up_info = q[on], t[on], h[on], up[on], info[:, on], up_info[:, on]
+                order, nq, ns, first, rows, diagonals, latest_q, latest_s, least_q, least_s = [x[on] for x in (order, nq, ns, first, rows, diagonals, latest_q, latest_s, least_q, least_s)]
+                m = len(on)
+        if not m:
+            break
         a, b = q[:m, r], t[:m, r : r + w]
         # From above: a gap in the subject.
         opened, extended = h[:m, 1:] - GAP_OPEN, up[:m, 1:] - GAP_EXTEND
@@ -223,7 +244,7 @@ def _codes(s: str) -> np.ndarray:
 _RESULT = ["score", "query_start", "query_stop", "subject_start", "subject_stop", "n_identical_matches", "alignment_length", "n_gap_open_events"]
 
 
-def _align_pairs(band: int, least: int):
+def _align_pairs(band: int, least: int, coverage: float):
     def rows(batches):
         for batch in batches:
             left, right = batch.column("query_seq").to_pylist(), batch.column("subject_seq").to_pylist()
@@ -239,7 +260,7 @@ def _align_pairs(band: int, least: int):
                 size = max(1, min(BATCH_PAIRS, PAIR_BYTES // (jobs[-1][0] + 1)))
                 part, jobs = jobs[-size:], jobs[:-size]
                 at = [i for _, i, _ in part]
-                best[at] = align_bands([_codes(left[i]) for i in at], [_codes(right[i]) for i in at], np.array([d for _, _, d in part]), band)
+                best[at] = align_bands([_codes(left[i]) for i in at], [_codes(right[i]) for i in at], np.array([d for _, _, d in part]), band, coverage)
             keep = pa.array(np.flatnonzero(best[:, 0] > 0))
             names = [c for c in batch.schema.names if c != "diagonals"]
             columns = [*[batch.column(c) for c in names], *[pa.array(best[:, k]) for k in range(8)]]
@@ -248,17 +269,17 @@ def _align_pairs(band: int, least: int):
     return rows
 
 
-def aligned(pairs: DataFrame, count: int | None, band: int = BAND, min_ungapped: int = MIN_UNGAPPED) -> DataFrame:
+def aligned(pairs: DataFrame, count: int | None, band: int = BAND, min_ungapped: int = MIN_UNGAPPED, coverage: float = 0.0) -> DataFrame:
     """``count`` pairs (query_id, subject_id, query_seq, subject_seq, diagonals) with their alignment around the best diagonal.
 
-    Pairs without a run of min_ungapped on any of their diagonals are left out.  Without a count they are aligned in the partitions that they lie in.
+    Pairs without a run of min_ungapped on any of their diagonals are left out, and those that cover less than coverage of either may be.  Without a count they are aligned in the partitions that they lie in.
     """
     kinds = dict(pairs.dtypes)
     names = [c for c in pairs.columns if c != "diagonals"]
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in names], *[f"{c} long" for c in _RESULT]])
     # Few bytes, much work: adaptive execution would put all pairs into one task.
     pairs = pairs if count is None else pairs.repartition(1 + count // TASK_PAIRS)
-    return pairs.mapInArrow(_align_pairs(band, min_ungapped), schema)
+    return pairs.mapInArrow(_align_pairs(band, min_ungapped, coverage), schema)
 
 
 def _rows_of(ids: pa.Array, s: Seeds) -> pa.RecordBatch:
@@ -457,7 +478,7 @@ def cluster_sequences(
         pairs = pairs.join(texts.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id")
         # By merging, so that pairs are aligned in as many tasks as there are buckets, however few they are.
         pairs = pairs.join(texts.select(F.col("id").alias("subject_id"), F.col("seq").alias("subject_seq")).hint("merge"), "subject_id")
-        fit = _statistics(aligned(pairs, None, band), 1).where(
+        fit = _statistics(aligned(pairs, None, band, coverage=min_coverage), 1).where(
             (F.col("fraction_identical_matches") >= min_identity) & (F.least("query_coverage", "subject_coverage") >= min_coverage)
         )
         fit = fit.groupBy("subject_id").agg(F.min(F.struct((-F.length("query_seq")).alias("size"), F.col("query_id").alias("id"))).alias("r"))

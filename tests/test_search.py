@@ -119,6 +119,25 @@ def test_search_hot_words_and_empty_tables(spark, monkeypatch):
     assert m.search(df.where("id < 0"), df).collect() == [] and m.search(df, df.where("id < 0")).collect() == []
 
 
+def test_alignments_that_cannot_cover_are_given_up():
+    """With a coverage, no alignment that covers enough changes, and pairs that share a passage alone have none."""
+    r = random.Random(12)
+    pairs = []
+    for n in range(40):
+        a = protein(r, r.randint(150, 900))
+        b = mutated(r, a, r.choice([0.02, 0.1, 0.3]))
+        cut = r.choice([0, 0, len(a) // 7, len(a) // 5, len(a) // 4, len(a) // 2])
+        pairs.append((a, b[cut:] if n % 2 else b[: len(b) - cut], -cut if n % 2 else 0))
+    shared = protein(r, 60)
+    passages = [(protein(r, 400) + shared + protein(r, 400), protein(r, 400) + shared + protein(r, 400), 0) for _ in range(10)]
+    codes = lambda k, rows: [m._codes(x[k]) for x in rows]
+    both = lambda rows, **more: m.align_bands(codes(0, rows), codes(1, rows), np.array([d for _, _, d in rows]), **more)
+    plain, early = both(pairs + passages), both(pairs + passages, coverage=0.8)
+    covers = [min((x[2] - x[1] + 1) / len(q), (x[4] - x[3] + 1) / len(s)) >= 0.8 for x, (q, s, _) in zip(plain, pairs + passages)]
+    assert 10 < sum(covers) < 40 and (early[covers] == plain[covers]).all()
+    assert all((e == p).all() or not e.any() for e, p in zip(early, plain)) and any(not e.any() for e in early)
+
+
 def greedy(rows, words, k, identity, coverage):
     """Plain greedy clustering over the same signatures and the same alignments."""
     first = {}
